@@ -156,6 +156,6 @@ def attempt_limit_status(answers: DataFrame, questions: DataFrame, quizzes: Data
         "id_quizu",
         "podejscia",
         "limit_podejsc",
-        F.greatest(limit - F.col("podejscia"), F.lit(0)).alias("pozostalo"),
+        F.when(limit.isNotNull(), F.greatest(limit - F.col("podejscia"), F.lit(0))).alias("pozostalo"),
         F.coalesce(F.col("podejscia") >= limit, F.lit(False)).alias("wyczerpane"),
     )
