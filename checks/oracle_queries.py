@@ -466,7 +466,7 @@ SELECT i + 4 AS id_pyt, pytanie AS tresc, CAST(3 AS BIGINT) AS id_typu, CAST(1 A
 SELECT 13 + i * 4 + s AS id_odp_w, i + 4 AS id_pyt, coalesce(odpowiedzi[s + 1], '') AS tresc_odp,
   CASE WHEN s = 0 THEN 100 ELSE 0 END AS poziom_poprawnosci, CAST(NULL AS VARCHAR) AS komentarz
 FROM bloki_nr, (VALUES (0), (1), (2), (3)) v(s)""",
-    "generation_summary": "SELECT 'dokumenty' AS zestaw, 36 AS quizy, count(*) AS pytania FROM bloki",
+    "generation_summary": "SELECT 'dokumenty' AS zestaw, CAST(36 AS BIGINT) AS quizy, count(*) AS pytania FROM bloki",
     # data quality
     "check_users": f"""
 SELECT 'uzytkownik' AS tabela, regula, CAST(id_uz AS VARCHAR) AS klucz FROM (

@@ -54,7 +54,7 @@ def draw_options(draws: DataFrame, by: list[str], types: DataFrame, templates: D
     swap = (F.col("place") == 1) & ~F.col("_has_full") & F.col("_full_id_odp_w").isNotNull()
     return picked.select(
         *[c for c in draws.columns if not c.startswith("_full_")],
-        "place",
+        F.col("place").cast("bigint").alias("place"),
         *[F.when(swap, F.col(f"_full_{c}")).otherwise(F.col(c)).alias(c) for c in OPTION],
         F.col("_full_id_odp_w").isNull().alias("blad"),
     )
