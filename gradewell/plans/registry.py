@@ -40,6 +40,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(fn) for name, fn in _REGISTRY.items()}
 
 
+def run(name: str, d: Requests) -> DataFrame:
+    """One query over tables that are at hand already."""
+    return _REGISTRY[name](d)
+
+
 def _who(d: Requests) -> dict[str, DataFrame]:
     return {"users": d.uzytkownik, "groups": d.grupa_quizowa, "access": d.dostep_grupa}
 

@@ -212,5 +212,13 @@ class Domain:
             self.odpowiedz_uzytkownika, self.pytanie, self.typ, self.odpowiedz_wzorcowa, self.quiz
         )
 
+    def stored(self, path: str, *names: str) -> "Domain":
+        """Writes the named tables under ``path`` and reads them from there from now on."""
+        for name in names:
+            df = getattr(self, name)
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            self.__dict__[name] = self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return self
+
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in names}
