@@ -37,9 +37,13 @@ def with_standing(
     access: DataFrame,
     user: str = "id_uz",
     group: str = "id_grupy",
+    user_columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Adds what the rules look at: ``_ranga``, ``_wlasciciel`` and ``_prawa`` (null when absent)."""
-    ranks = users.select(F.col("id_uz").alias(user), F.col("ranga").alias("_ranga"))
+    """Adds what the rules look at: ``_ranga``, ``_wlasciciel`` and ``_prawa`` (null when absent).
+
+    ``user_columns`` are taken along from the users, which saves joining them again.
+    """
+    ranks = users.select(F.col("id_uz").alias(user), F.col("ranga").alias("_ranga"), *user_columns)
     owners = groups.select(F.col("id_grupy").alias(group), F.col("id_wlasciciela").alias("_wlasciciel"))
     rights = access.select(
         F.col("id_uz").alias(user), F.col("id_grupy").alias(group), F.col("prawa_dost").alias("_prawa")

@@ -22,7 +22,7 @@ from gradewell.operators.quality import (
     with_multi_flag,
 )
 from gradewell.operators.ranking import recompute_group_ranking
-from gradewell.operators.sampling import draw_options, drawable_questions
+from gradewell.operators.sampling import draw_options, drawable_options
 from gradewell.operators.access import user_roles
 from gradewell.schema import DEFAULT_RIGHTS, LIMBO_GROUP, LIMBO_USER, PUBLIC_GROUP
 
@@ -71,14 +71,11 @@ def shown_options(
     ``zaznaczona``: ticked. For open questions it tells whether the entered text
     contains the option's text, which is what decides about its comment.
     """
-    attempt = ["id_uz", "id_quizu", "data_wyslania"]
-    asked = (
-        submissions.select(*attempt)
-        .distinct()
-        .join(drawable_questions(visible_questions(questions), types, templates), "id_quizu")
-    )
+    attempts = submissions.select("id_uz", "id_quizu", "data_wyslania").distinct()
+    options = drawable_options(visible_questions(questions), types, templates)
     by = ["id_uz", "data_wyslania", "id_pyt"]
-    drawn = draw_options(asked, by, types, templates, seed)
+    # options meet the attempts, one short row each, so only the result is shuffled
+    drawn = draw_options(attempts.join(options, "id_quizu"), by, seed)
     entered = submissions.filter(F.col("id_pyt").isNotNull()).select(*by, "chosen", "open_text")
     ticked = F.when(
         F.col("rodzaj") == "open",
@@ -224,19 +221,14 @@ def apply_option_changes(
     modification time.
     """
     first = templates.groupBy("id_pyt", "tresc_odp").agg(F.min("id_odp_w").alias("id_odp_w"))
-    exists = questions.select("id_pyt", F.lit(True).alias("_jest"))
-    found = (
-        with_multi_flag(changes, questions, types)
-        .join(exists, "id_pyt", "left")
-        .join(first, ["id_pyt", "tresc_odp"], "left")
-    )
+    found = with_multi_flag(changes, questions, types).join(first, ["id_pyt", "tresc_odp"], "left")
     rules = template_rules()
     new_broken = F.array_join(problems(rules), ",")
     changed_rules = {k: v for k, v in rules.items() if k not in ("tresc_odp_pusta", "poziom_pusty")}
     changed_broken = F.array_join(problems(changed_rules), ",")
     is_new = F.col("op") == "create"
     reason = (
-        F.when(F.col("_jest").isNull(), "no_question")
+        F.when(F.col("wielokrotnego_wyboru").isNull(), "no_question")
         .when(~is_new & F.col("id_odp_w").isNull(), "no_template")
         .when(is_new & (new_broken != ""), new_broken)
         .when((F.col("op") == "update") & (changed_broken != ""), changed_broken)
@@ -368,23 +360,24 @@ def create_questions(
     return questions.select(*fresh.columns).unionByName(fresh)
 
 
-def _taken(rows: DataFrame, table: DataFrame, column: str, key: str | None = None) -> DataFrame:
-    """Adds ``_taken_<column>``: the value is in the table already or in an earlier row.
+def _taken(
+    rows: DataFrame, batch: DataFrame, table: DataFrame, column: str, key: str | None = None
+) -> DataFrame:
+    """Adds ``_taken_<column>``: the value is in the table already or in an earlier row of ``batch``.
 
     ``key``: rows and table share it, and a row's own table value does not count.
+    Both facts are gathered per value first, so rows meet them in one join.
     """
     owners = table.groupBy(column).agg(
         F.count("*").alias("_n"), *([F.min(key).alias("_k1"), F.max(key).alias("_k2")] if key else [])
     )
-    earliest = rows.groupBy(column).agg(F.min("nr").alias("_first"))
+    facts = batch.groupBy(column).agg(F.min("nr").alias("_first")).join(owners, column, "left")
     by_other = F.coalesce(F.col("_n") > 0, F.lit(False))
     if key:
         by_other = by_other & ((F.col("_k1") != F.col(key)) | (F.col("_k2") != F.col(key)))
     earlier = F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
-    return (
-        rows.join(owners, column, "left")
-        .join(earliest, column, "left")
-        .select(*rows.columns, (by_other | earlier).alias(f"_taken_{column}"))
+    return rows.join(facts, column, "left").select(
+        *rows.columns, (by_other | earlier).alias(f"_taken_{column}")
     )
 
 
@@ -399,7 +392,8 @@ def create_groups(requests: DataFrame, groups: DataFrame, users: DataFrame) -> t
         F.when(~F.coalesce("_moze", F.lit(False)), "no_privilege").when(broken != "", broken),
     )
     # only rows that could be created compete for a name
-    fit = _taken(_accepted(checked).drop("powod"), groups, "nazwa").withColumn(
+    rivals = _accepted(checked).drop("powod")
+    fit = _taken(rivals, rivals, groups, "nazwa").withColumn(
         "powod", F.when(F.col("_taken_nazwa"), "name_taken")
     )
     fresh = with_new_ids(_accepted(fit), groups, "id_grupy").select(
@@ -465,9 +459,10 @@ def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
     last = last_per_key(changes, "id_uz", PROFILE_FIELDS)
     nr = changes.groupBy("id_uz").agg(F.max("nr").alias("nr"))
     touched = overlay(users.join(last.select("id_uz"), "id_uz", "left_semi"), last, "id_uz", PROFILE_FIELDS)
-    rows = touched.join(nr, "id_uz")
+    batch = touched.join(nr, "id_uz")
+    rows = batch
     for field in PROFILE_FIELDS:
-        rows = _taken(rows, users, field, "id_uz")
+        rows = _taken(rows, batch, users, field, "id_uz")
     rules = user_rules() | {f"{f}_zajete": F.col(f"_taken_{f}") for f in PROFILE_FIELDS}
     broken = F.array_join(problems(rules), ",")
     judged = rows.withColumn("powod", F.when(broken != "", broken))

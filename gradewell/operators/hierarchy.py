@@ -44,8 +44,7 @@ def discussion_feed(
     placed = posts.join(quizzes.select("id_quizu", "id_grupy"), "id_quizu")
     may = granted(privilege_mask("participation_in_discussions"))
     return (
-        with_standing(placed, users, groups, access)
-        .filter(may)
-        .join(users.select("id_uz", "nazwa_uz"), "id_uz")
+        with_standing(placed, users, groups, access, user_columns=("nazwa_uz",))
+        .filter(may & F.col("_ranga").isNotNull())
         .select("id_quizu", "id_grupy", "id_uz", "nazwa_uz", "tresc", "data_wyslania")
     )

@@ -46,6 +46,9 @@ def numbered(
 
     ``levels`` are the cell columns, coarse to fine. Every level must rise with
     ``order``. ``by`` and cell columns must not be null.
+
+    Rows are spread by group and cell on purpose: a join on the group key before
+    would otherwise lend its layout, and a big group would stay in one task.
     """
     by = list(by or [])
     tagged, names = df, []
@@ -56,7 +59,8 @@ def numbered(
     cells = cell_offsets(tagged.groupBy(*keys).agg(F.count("*").alias("_n")), by, names)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        tagged.withColumn("_inside", inside)
+        tagged.repartition(*keys)
+        .withColumn("_inside", inside)
         .join(cells.select(*keys, "_before"), keys)
         .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
     )

@@ -91,9 +91,8 @@ def leaderboard(ranking: DataFrame, users: DataFrame, groups: DataFrame, access:
     """
     may_play = granted(privilege_mask("participation_in_quizzes"))
     return (
-        with_standing(placed(ranking), users, groups, access)
-        .filter(may_play)
-        .join(users.select("id_uz", "nazwa_uz"), "id_uz")
+        with_standing(placed(ranking), users, groups, access, user_columns=("nazwa_uz",))
+        .filter(may_play & F.col("_ranga").isNotNull())
         .select("id_grupy", "place", "id_uz", "nazwa_uz", "pkt")
     )
 

@@ -8,22 +8,32 @@ from gradewell.functions.scalar import question_kind
 OPTION = ["id_odp_w", "tresc_odp", "poziom_poprawnosci", "komentarz"]
 
 
-def first_full_template(templates: DataFrame) -> DataFrame:
-    """Per question, its lowest-id template at level 100, columns prefixed ``_full_``."""
-    full = templates.filter(F.col("poziom_poprawnosci") == 100)
-    first = full.groupBy("id_pyt").agg(F.min("id_odp_w").alias("id_odp_w"))
-    return full.join(first, ["id_pyt", "id_odp_w"], "left_semi").select(
-        "id_pyt", *[F.col(c).alias(f"_full_{c}") for c in OPTION]
-    )
-
+def drawable_options(questions: DataFrame, types: DataFrame, templates: DataFrame) -> DataFrame:
+    """One row per question and template, with what a draw needs to know.
 
-def drawable_questions(questions: DataFrame, types: DataFrame, templates: DataFrame) -> DataFrame:
-    """What a draw needs to know of each question."""
+    ``_pierwsza`` marks the question's lowest-id template at level 100, ``blad``
+    a question that has none. A question without templates keeps one row.
+    """
+    first = (
+        templates.filter(F.col("poziom_poprawnosci") == 100)
+        .groupBy("id_pyt")
+        .agg(F.min("id_odp_w").alias("_first_full"))
+    )
     kind = question_kind("liczba_odp", "wielokrotnego_wyboru").alias("rodzaj")
     return (
-        questions.join(types.select("id_typu", "liczba_odp", "wielokrotnego_wyboru"), "id_typu")
-        .join(first_full_template(templates), "id_pyt", "left")
-        .select("id_pyt", "id_quizu", "liczba_odp", kind, *[f"_full_{c}" for c in OPTION])
+        questions.select("id_pyt", "id_quizu", "id_typu")
+        .join(types.select("id_typu", "liczba_odp", "wielokrotnego_wyboru"), "id_typu")
+        .join(first, "id_pyt", "left")
+        .join(templates.select("id_pyt", *OPTION), "id_pyt", "left")
+        .select(
+            "id_pyt",
+            "id_quizu",
+            "liczba_odp",
+            kind,
+            *OPTION,
+            F.coalesce(F.col("id_odp_w") == F.col("_first_full"), F.lit(False)).alias("_pierwsza"),
+            F.col("_first_full").isNull().alias("blad"),
+        )
     )
 
 
@@ -32,41 +42,35 @@ def draw_order(seed: str, user: str = "id_uz") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(user).cast("string"), F.col("id_odp_w").cast("string")))
 
 
-def draw_options(draws: DataFrame, by: list[str], types: DataFrame, templates: DataFrame, seed: str) -> DataFrame:
-    """Options of each draw. ``draws`` are distinct ``by`` rows joined with ``drawable_questions``.
+def draw_options(asked: DataFrame, by: list[str], seed: str) -> DataFrame:
+    """Draws from ``asked``, rows of ``drawable_options`` given to each ``by`` key.
 
     ``liczba_odp`` options are taken in digest order. If none of them is at level
-    100, the first gives way to the question's first template that is. ``blad``
-    marks questions without any such template. A question without templates
-    keeps one row with null option columns.
+    100, the first gives way to the question's first template that is.
+
+    Rows are spread by the whole draw key. Left to itself Spark would keep the
+    layout of the join before, where all draws of a popular question sit together.
     """
-    # The widest type bounds every draw. As a literal it lets Spark cut each
-    # draw before the shuffle; the filter by liczba_odp below stays exact.
-    widest = types.agg(F.max("liczba_odp")).first()[0] or 1
-    options = draws.join(templates.select("id_pyt", *OPTION), "id_pyt", "left")
     in_draw = Window.partitionBy(*by)
-    picked = (
-        options.withColumn("place", F.row_number().over(in_draw.orderBy(draw_order(seed), "id_odp_w")))
-        .filter(F.col("place") <= widest)
-        .filter(F.col("place") <= F.col("liczba_odp"))
-        .withColumn("_has_full", F.max(F.coalesce(F.col("poziom_poprawnosci") == 100, F.lit(False))).over(in_draw))
-    )
-    swap = (F.col("place") == 1) & ~F.col("_has_full") & F.col("_full_id_odp_w").isNotNull()
-    return picked.select(
-        *[c for c in draws.columns if not c.startswith("_full_")],
-        F.col("place").cast("bigint").alias("place"),
-        *[F.when(swap, F.col(f"_full_{c}")).otherwise(F.col(c)).alias(c) for c in OPTION],
-        F.col("_full_id_odp_w").isNull().alias("blad"),
+    taken = F.col("_nr") <= F.col("liczba_odp")
+    full = taken & F.coalesce(F.col("poziom_poprawnosci") == 100, F.lit(False))
+    swap = ~F.col("_has_full") & ~F.col("blad")
+    drawn = (
+        asked.repartition(*by)
+        .withColumn("_nr", F.row_number().over(in_draw.orderBy(draw_order(seed), "id_odp_w")))
+        .withColumn("_has_full", F.max(full).over(in_draw))
+        .filter(F.when(swap, F.col("_pierwsza") | (taken & (F.col("_nr") > 1))).otherwise(taken))
+        .withColumn("place", F.when(swap & F.col("_pierwsza"), 1).otherwise(F.col("_nr")).cast("bigint"))
     )
+    return drawn.drop("_nr", "_has_full", "_pierwsza", "liczba_odp")
 
 
 def sample_options(
     draws: DataFrame, questions: DataFrame, types: DataFrame, templates: DataFrame, seed: str
 ) -> tuple[DataFrame, DataFrame]:
     """Options drawn per (id_uz, id_pyt), and the draws that have no right option."""
-    asked = draws.select("id_uz", "id_pyt").distinct()
-    asked = asked.join(drawable_questions(questions, types, templates), "id_pyt")
-    drawn = draw_options(asked, ["id_uz", "id_pyt"], types, templates, seed)
-    good = drawn.filter(~F.col("blad")).select("id_uz", "id_pyt", "place", *OPTION)
-    failed = asked.filter(F.col("_full_id_odp_w").isNull()).select("id_uz", "id_pyt")
-    return good, failed
+    options = drawable_options(questions, types, templates)
+    wanted = draws.select("id_uz", "id_pyt").distinct()
+    drawn = draw_options(wanted.join(options.filter("NOT blad"), "id_pyt"), ["id_uz", "id_pyt"], seed)
+    failed = wanted.join(options.filter("blad").select("id_pyt").distinct(), "id_pyt", "left_semi")
+    return drawn.select("id_uz", "id_pyt", "place", *OPTION), failed.select("id_uz", "id_pyt")
