@@ -56,6 +56,10 @@ def numbered(
         names.append([f"_cell{depth}_{i}" for i in range(len(level))])
         tagged = tagged.withColumns(dict(zip(names[-1], level)))
     keys = by + [n for level in names for n in level]
+    # the joins below would each infer their own null filters; one common filter
+    # keeps the branches alike, so that Spark computes ``df`` once for all of them
+    for key in keys:
+        tagged = tagged.filter(F.col(key).isNotNull())
     cells = cell_offsets(tagged.groupBy(*keys).agg(F.count("*").alias("_n")), by, names)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
