@@ -157,13 +157,16 @@ SELECT z.*, nullif(concat_ws(',',
   CASE WHEN NOT regexp_matches(email, '{EMAIL}') THEN 'email_format' END,
   CASE WHEN length(login) > 15 THEN 'login_za_dlugi' END,
   CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.nazwa_uz = z.nazwa_uz AND o.id_uz <> z.id_uz)
-         OR EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.nazwa_uz = z.nazwa_uz AND o.nr < z.nr)
+         OR z.nazwa_uz NOT IN (SELECT nazwa_uz FROM uzytkownik)
+           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.nazwa_uz = z.nazwa_uz AND o.nr < z.nr)
        THEN 'nazwa_uz_zajete' END,
   CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.login = z.login AND o.id_uz <> z.id_uz)
-         OR EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.login = z.login AND o.nr < z.nr)
+         OR z.login NOT IN (SELECT login FROM uzytkownik)
+           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.login = z.login AND o.nr < z.nr)
        THEN 'login_zajete' END,
   CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.email = z.email AND o.id_uz <> z.id_uz)
-         OR EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.email = z.email AND o.nr < z.nr)
+         OR z.email NOT IN (SELECT email FROM uzytkownik)
+           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.email = z.email AND o.nr < z.nr)
        THEN 'email_zajete' END), '') AS powod
 FROM profile_zmienione z""",
     "linie": r"""

@@ -363,7 +363,7 @@ def create_questions(
 def _taken(
     rows: DataFrame, batch: DataFrame, table: DataFrame, column: str, key: str | None = None
 ) -> DataFrame:
-    """Adds ``_taken_<column>``: the value is in the table already or in an earlier row of ``batch``.
+    """Adds ``_taken_<column>``: the value is another's already, or an earlier row of ``batch`` asks for it.
 
     ``key``: rows and table share it, and a row's own table value does not count.
     Both facts are gathered per value first, so rows meet them in one join.
@@ -375,7 +375,8 @@ def _taken(
     by_other = F.coalesce(F.col("_n") > 0, F.lit(False))
     if key:
         by_other = by_other & ((F.col("_k1") != F.col(key)) | (F.col("_k2") != F.col(key)))
-    earlier = F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
+    # whoever holds a value may keep it; a free value goes to the first row that asks
+    earlier = F.col("_n").isNull() & F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
     return rows.join(facts, column, "left").select(
         *rows.columns, (by_other | earlier).alias(f"_taken_{column}")
     )
@@ -453,8 +454,9 @@ PROFILE_FIELDS = ["nazwa_uz", "login", "email"]
 def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies (nr, id_uz, nazwa_uz, login, email); null keeps the old value.
 
-    Refused when ``user_rules`` break or a value belongs to another user, before
-    this batch or by an earlier row of it. The last change of a user counts.
+    Refused when ``user_rules`` break, when a value belongs to another user, or
+    when an earlier row of the batch asks for the same free value. The last change
+    of a user counts.
     """
     last = last_per_key(changes, "id_uz", PROFILE_FIELDS)
     nr = changes.groupBy("id_uz").agg(F.max("nr").alias("nr"))
