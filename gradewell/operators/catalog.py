@@ -13,6 +13,7 @@ from gradewell.functions.scalar import blank, privilege_mask, yes_no
 from gradewell.operators.access import granted, is_superuser, not_limbo_user, with_standing
 from gradewell.operators.numbering import cell_offsets, id_cell, numbered_by_id
 from gradewell.operators.relations import groups_with_owner
+from gradewell.operators.skew import own_shuffle
 from gradewell.schema import LIMBO_GROUP
 
 
@@ -180,7 +181,7 @@ def template_lookup(lookups: DataFrame, templates: DataFrame) -> DataFrame:
         F.min("id_odp_w").alias("id_odp_w"),
         F.min_by("poziom_poprawnosci", "id_odp_w").alias("poziom_poprawnosci"),
     )
-    return lookups.join(first, ["id_pyt", "tresc_odp"])
+    return lookups.join(own_shuffle(first, "id_pyt"), ["id_pyt", "tresc_odp"])
 
 
 def type_by_shape(requests: DataFrame, types: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import is_member
-from gradewell.operators.access import removal_check
+from gradewell.operators.access import removal_check, user_roles
 from gradewell.operators.catalog import visible_questions
 from gradewell.operators.counts import question_validity
 from gradewell.operators.numbering import numbered, numbered_by_id
@@ -23,10 +23,9 @@ from gradewell.operators.quality import (
 )
 from gradewell.operators.ranking import recompute_group_ranking
 from gradewell.operators.sampling import draw_options, drawable_options
-from gradewell.operators.access import user_roles
+from gradewell.operators.skew import own_shuffle
 from gradewell.schema import DEFAULT_RIGHTS, LIMBO_GROUP, LIMBO_USER, PUBLIC_GROUP
 
-ANSWER = ["id_uz", "id_pyt", "data_wyslania", "tresc_odp", "zaznaczona"]
 NO_ANSWER = "nil"
 
 
@@ -221,7 +220,9 @@ def apply_option_changes(
     modification time.
     """
     first = templates.groupBy("id_pyt", "tresc_odp").agg(F.min("id_odp_w").alias("id_odp_w"))
-    found = with_multi_flag(changes, questions, types).join(first, ["id_pyt", "tresc_odp"], "left")
+    found = with_multi_flag(changes, questions, types).join(
+        own_shuffle(first, "id_pyt"), ["id_pyt", "tresc_odp"], "left"
+    )
     rules = template_rules()
     new_broken = F.array_join(problems(rules), ",")
     changed_rules = {k: v for k, v in rules.items() if k not in ("tresc_odp_pusta", "poziom_pusty")}
@@ -281,12 +282,12 @@ def transfer_ownership(
 def move_quizzes(
     changes: DataFrame, quizzes: DataFrame, groups: DataFrame, limbo_only: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Moves quizzes (nr, id_quizu, id_grupy); also gives the groups that gained one."""
+    """Moves quizzes (nr, id_quizu, id_grupy); also gives the groups that gained one, once per quiz."""
     known = groups.select("id_grupy", F.lit(True).alias("_jest"))
     judged = _limbo_moves(changes, quizzes, limbo_only).join(known, "id_grupy", "left")
     judged = judged.withColumn("powod", F.when(F.col("_jest").isNull(), "no_group").otherwise(F.col("powod")))
     news = last_per_key(_accepted(judged), "id_quizu", ["id_grupy"])
-    touched = news.select(F.col("_new_id_grupy").alias("id_grupy")).distinct()
+    touched = news.select(F.col("_new_id_grupy").alias("id_grupy"))
     return (
         overlay(quizzes, news, "id_quizu", ["id_grupy"]),
         _rejected(judged, "id_quizu", "id_grupy"),
@@ -377,7 +378,7 @@ def _taken(
         by_other = by_other & ((F.col("_k1") != F.col(key)) | (F.col("_k2") != F.col(key)))
     # whoever holds a value may keep it; a free value goes to the first row that asks
     earlier = F.col("_n").isNull() & F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
-    return rows.join(facts, column, "left").select(
+    return rows.join(own_shuffle(facts, column), column, "left").select(
         *rows.columns, (by_other | earlier).alias(f"_taken_{column}")
     )
 
@@ -419,7 +420,7 @@ def delete_questions_quizzes(
     """Deletes quizzes and questions with everything below them."""
     left_quizzes = quizzes.join(quiz_ids.select("id_quizu"), "id_quizu", "left_anti")
     by_quiz = questions.join(quiz_ids.select("id_quizu"), "id_quizu", "left_semi").select("id_pyt")
-    doomed = by_quiz.unionByName(question_ids.select("id_pyt")).distinct()
+    doomed = by_quiz.unionByName(question_ids.select("id_pyt"))
     return {
         "quiz": left_quizzes,
         "pytanie": questions.join(doomed, "id_pyt", "left_anti"),
@@ -432,10 +433,10 @@ def delete_users(
     user_ids: DataFrame, users: DataFrame, quizzes: DataFrame, access: DataFrame
 ) -> dict[str, DataFrame]:
     """Deletes users; their quizzes go to the holding area. The limbo user stays."""
-    gone = user_ids.select("id_uz").filter(F.col("id_uz") != LIMBO_USER).distinct()
-    orphaned = gone.select(F.col("id_uz").alias("id_wlasciciela"), F.lit(True).alias("_gone"))
+    gone = user_ids.select("id_uz").filter(F.col("id_uz") != LIMBO_USER)
+    orphaned = gone.distinct().select(F.col("id_uz").alias("id_wlasciciela"), F.lit(True).alias("_gone"))
     moved = F.col("_gone").isNotNull()
-    state = quizzes.join(orphaned, "id_wlasciciela", "left").withColumns(
+    state = quizzes.join(own_shuffle(orphaned, "id_wlasciciela"), "id_wlasciciela", "left").withColumns(
         {
             "id_grupy": F.when(moved, F.lit(LIMBO_GROUP)).otherwise(F.col("id_grupy")).cast("bigint"),
             "id_wlasciciela": F.when(moved, F.lit(LIMBO_USER)).otherwise(F.col("id_wlasciciela")).cast("bigint"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gradewell.operators.access import is_superuser, not_limbo_user
 from gradewell.operators.catalog import active_quizzes, group_card, visible_groups
 from gradewell.operators.relations import is_enrolled
+from gradewell.operators.skew import own_shuffle
 
 
 def member_counts(groups: DataFrame, access: DataFrame, users: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def group_overview(
         .join(groups.select("id_grupy", "id_wlasciciela"), "id_grupy")
     )
     seen = is_enrolled(visible_groups(requests, users, groups, access, mode), access)
-    return seen.join(cards, "id_grupy").select(
+    return seen.join(own_shuffle(cards, "id_grupy"), "id_grupy").select(
         "id_uz",
         "id_grupy",
         "place",

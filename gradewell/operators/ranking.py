@@ -61,7 +61,7 @@ def recompute_group_ranking(
 
     Answers of other groups are dropped before any of them is scored.
     """
-    wanted = group_ids.select("id_grupy").distinct()
+    wanted = group_ids.select("id_grupy")
     their_quizzes = quizzes.join(wanted, "id_grupy", "left_semi")
     their_questions = questions.join(their_quizzes, "id_quizu", "left_semi")
     their_answers = answers.join(their_questions.select("id_pyt"), "id_pyt", "left_semi")

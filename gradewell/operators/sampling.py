@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import question_kind
+from gradewell.operators.skew import own_shuffle
 
 OPTION = ["id_odp_w", "tresc_odp", "poziom_poprawnosci", "komentarz"]
 
@@ -69,8 +70,8 @@ def sample_options(
     draws: DataFrame, questions: DataFrame, types: DataFrame, templates: DataFrame, seed: str
 ) -> tuple[DataFrame, DataFrame]:
     """Options drawn per (id_uz, id_pyt), and the draws that have no right option."""
-    options = drawable_options(questions, types, templates)
+    options = own_shuffle(drawable_options(questions, types, templates), "id_pyt")
     wanted = draws.select("id_uz", "id_pyt").distinct()
     drawn = draw_options(wanted.join(options.filter("NOT blad"), "id_pyt"), ["id_uz", "id_pyt"], seed)
-    failed = wanted.join(options.filter("blad").select("id_pyt").distinct(), "id_pyt", "left_semi")
+    failed = wanted.join(options.filter("blad").select("id_pyt"), "id_pyt", "left_semi")
     return drawn.select("id_uz", "id_pyt", "place", *OPTION), failed.select("id_uz", "id_pyt")

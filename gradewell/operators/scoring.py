@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import points, question_kind, score_band, score_label
+from gradewell.operators.skew import own_shuffle
 
 ATTEMPT = ["id_uz", "data_wyslania"]
 
@@ -14,9 +15,10 @@ def _text(column: str, normalize: bool) -> Column:
 
 def answer_key(templates: DataFrame, normalize: bool = False) -> DataFrame:
     """One row per (question, text), so that joining answers never adds rows."""
-    return templates.groupBy("id_pyt", _text("tresc_odp", normalize).alias("_text")).agg(
+    levels = templates.groupBy("id_pyt", _text("tresc_odp", normalize).alias("_text")).agg(
         F.max("poziom_poprawnosci").alias("_level")
     )
+    return own_shuffle(levels, "id_pyt")
 
 
 def question_scores(
@@ -33,8 +35,8 @@ def question_scores(
     open: ``pkt * level / 100`` of the template with the same text.
 
     Answers are shuffled once by attempt. That layout serves the grouping by
-    question here and the grouping by quiz in ``attempt_history``, and it keeps
-    the join before it free for AQE to split popular questions.
+    question here and the grouping by quiz in ``attempt_history``, and it leaves
+    AQE free to split popular questions in the join before it.
     ``normalize`` makes open answers match by trimmed lower-case text.
     """
     levels = _answer_levels(answers, templates, normalize)
