@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradewell.schema import PRIVILEGES, UNKNOWN_PRIVILEGE
+from gradewell.schema import BAND_LIMITS, BANDS, NO, PRIVILEGES, SCORE_TEXT, UNKNOWN_PRIVILEGE, YES
 
 POINT_DIGITS = 6  # points are sums of doubles; this many decimals are kept
 
@@ -27,16 +27,14 @@ def millionths(c) -> Column:
 def score_band(score, max_score) -> Column:
     score, max_score = F.col(score), F.col(max_score)
     return (
-        F.when(score < 0.25 * max_score, "bad-score")
-        .when(score < 0.75 * max_score, "mediocre-score")
-        .otherwise("good-score")
+        F.when(score < BAND_LIMITS[0] * max_score, BANDS[0])
+        .when(score < BAND_LIMITS[1] * max_score, BANDS[1])
+        .otherwise(BANDS[2])
     )
 
 
 def score_label(score, max_score) -> Column:
-    return F.concat(
-        F.lit("("), F.col(score).cast("string"), F.lit(" / "), F.col(max_score).cast("string"), F.lit(" punktów)")
-    )
+    return F.format_string(SCORE_TEXT, F.col(score).cast("string"), F.col(max_score).cast("string"))
 
 
 def privilege_mask(*names: str) -> int:
@@ -107,4 +105,4 @@ def question_kind(option_count, multi) -> Column:
 
 
 def yes_no(flag: Column) -> Column:
-    return F.when(flag, "TAK").otherwise("NIE")
+    return F.when(flag, YES).otherwise(NO)

@@ -24,9 +24,15 @@ from gradewell.operators.quality import (
 from gradewell.operators.ranking import recompute_group_ranking
 from gradewell.operators.sampling import draw_options, drawable_options
 from gradewell.operators.skew import own_shuffle
-from gradewell.schema import DEFAULT_RIGHTS, LIMBO_GROUP, LIMBO_USER, PUBLIC_GROUP
+from gradewell.schema import (
+    DEFAULT_RIGHTS,
+    LIMBO_GROUP,
+    LIMBO_USER,
+    NEW_QUESTION_TEXT,
+    NO_ANSWER,
+    PUBLIC_GROUP,
+)
 
-NO_ANSWER = "nil"
 
 
 # Shared steps ---------------------------------------------------------------
@@ -343,7 +349,7 @@ def create_questions(
     types: DataFrame,
     categories: DataFrame,
     at: Column,
-    text: str = "Nowe pytanie z %s",
+    text: str = NEW_QUESTION_TEXT,
 ) -> DataFrame:
     """New hidden questions from (nr, id_quizu, id_autora) with the default type and category."""
     default_type = types.agg(F.min("id_typu").alias("_t")).scalar()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import points, question_kind, score_band, score_label
 from gradewell.operators.skew import own_shuffle
+from gradewell.schema import COMMENT_PREFIX
 
 ATTEMPT = ["id_uz", "data_wyslania"]
 
@@ -136,7 +137,7 @@ def submission_comments(shown: DataFrame) -> DataFrame:
             "id_uz",
             "id_pyt",
             "data_wyslania",
-            F.when(F.length("_text") > 0, F.concat(F.lit("Komentarz: "), "_text")).alias("komentarz"),
+            F.when(F.length("_text") > 0, F.concat(F.lit(COMMENT_PREFIX), "_text")).alias("komentarz"),
         )
     )
 

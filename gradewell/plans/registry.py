@@ -17,6 +17,7 @@ from gradewell.operators import ranking as RA
 from gradewell.operators import relations as RE
 from gradewell.operators import sampling as SA
 from gradewell.operators import scoring as SC
+from gradewell.schema import NO_ANSWER
 from gradewell.sources import line_blocks as LB
 from gradewell.sources.shared import shared_folder
 from gradewell.sources.testrequests import Requests
@@ -448,7 +449,7 @@ def submission_membership(d):
         "data_wyslania",
         "id_pyt",
         S.is_member("chosen", "A").alias("wybrano_a"),
-        S.default_to("open_text", CH.NO_ANSWER).alias("tekst"),
+        S.default_to("open_text", NO_ANSWER).alias("tekst"),
     )
 
 

@@ -26,6 +26,15 @@ PRIVILEGES = {
 }
 UNKNOWN_PRIVILEGE = 1
 
+# Texts users see or that are stored
+NO_ANSWER = "nil"
+COMMENT_PREFIX = "Komentarz: "
+NEW_QUESTION_TEXT = "Nowe pytanie z %s"
+SCORE_TEXT = "(%s / %s punktów)"
+YES, NO = "TAK", "NIE"
+BANDS = ["bad-score", "mediocre-score", "good-score"]
+BAND_LIMITS = [0.25, 0.75]
+
 # (id_typu, nazwa, liczba_odp, wielokrotnego_wyboru)
 QUESTION_TYPES = [
     (1, "jednokrotny 2", 2, False),

@@ -212,11 +212,15 @@ class Domain:
             self.odpowiedz_uzytkownika, self.pytanie, self.typ, self.odpowiedz_wzorcowa, self.quiz
         )
 
-    def stored(self, path: str, *names: str) -> "Domain":
-        """Writes the named tables under ``path`` and reads them from there from now on."""
+    def stored(self, path: str, *names: str, files: int = 1) -> "Domain":
+        """Writes the named tables under ``path`` and reads them from there from now on.
+
+        The test tables are one file each; ``files`` gives later scans as many tasks.
+        """
         for name in names:
             df = getattr(self, name)
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            key = "id_uz" if "id_uz" in df.columns else df.columns[0]
+            df.repartition(files, key).write.mode("overwrite").parquet(f"{path}/{name}")
             self.__dict__[name] = self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
         return self
 

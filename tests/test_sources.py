@@ -47,9 +47,9 @@ def test_generated_set(spark, text_file):
     blocks = LB.read_question_blocks(spark, text_file, 5)
     at = F.lit("2013-01-01").cast("timestamp_ntz")
     made = generate_quiz_set(
-        blocks, "milionerzy", quizzes=3, answers=4, type_id=3, at=at, first_quiz_id=3, first_question_id=4
+        blocks, "zestaw", quizzes=3, answers=4, type_id=3, at=at, first_quiz_id=3, first_question_id=4
     )
-    assert rows(made["quiz"], "id_quizu", "nazwa") == [(3, "milionerzy 1"), (4, "milionerzy 2"), (5, "milionerzy 3")]
+    assert rows(made["quiz"], "id_quizu", "nazwa") == [(3, "zestaw 1"), (4, "zestaw 2"), (5, "zestaw 3")]
     assert rows(made["pytanie"], "id_pyt", "tresc", "id_quizu") == [
         (4, "pytanie 0", 3), (5, "pytanie 1", 4), (6, "pytanie 2", 5), (7, "pytanie 3", 3),
     ]
