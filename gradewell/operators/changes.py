@@ -34,7 +34,6 @@ from gradewell.schema import (
 )
 
 
-
 # Shared steps ---------------------------------------------------------------
 def last_per_key(changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """The last change of each key, fields renamed to ``_new_*``."""
