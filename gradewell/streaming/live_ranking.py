@@ -1,11 +1,15 @@
 """Rankings kept up to date by a stream of submissions.
 
-Three append-only tables live under one path, each with a folder per micro-batch:
+Append-only tables live under one path, each with a folder per micro-batch:
 ``answers``, ``attempts`` (one short row per attempt) and ``ranking`` (new totals
 of the (user, group) pairs the batch touched). A batch that runs again writes the
 same folders again, so nothing is counted twice. The present ranking is the
 latest row of each pair.
 
+``compact`` folds old batches into ``attempts_base`` (the best attempt per user
+and quiz) and ``ranking_base`` (one row per pair), so that a batch reads the base
+and the few batches after it, however long the stream has been running.
+
 A submitted form must arrive whole, i.e. its rows in one file of the stream.
 """
 
@@ -15,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradewell.functions.scalar import points
 from gradewell.operators.changes import expand_submissions, shown_options
 from gradewell.operators.ranking import ranking_from_attempts
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
 
-ATTEMPT_COLUMNS = ["id_uz", "id_quizu", "data_wyslania", "zdobyte_pkt"]
+ATTEMPT = "id_uz long, id_quizu long, zdobyte_pkt double"
+TOTAL = "id_uz long, id_grupy long, pkt double"
+NO_BATCH = -1
 
 
 @dataclass(frozen=True)
@@ -38,6 +43,10 @@ def start_live_ranking(
     submissions: DataFrame, tables: QuizTables, path: str, seed: str, **trigger
 ) -> StreamingQuery:
     """Starts the stream; ``trigger`` is passed on, e.g. ``availableNow=True``."""
+    spark = submissions.sparkSession
+    for name, schema in (("attempts", ATTEMPT), ("ranking", TOTAL)):
+        # an empty first base, the same at every start
+        _write(spark.createDataFrame([], schema), f"{path}/{name}_base/upto={NO_BATCH}")
     return (
         submissions.writeStream.foreachBatch(lambda batch, nr: _apply_batch(batch, nr, tables, path, seed))
         .option("checkpointLocation", f"{path}/checkpoint")
@@ -46,45 +55,69 @@ def start_live_ranking(
     )
 
 
+def _write(df: DataFrame, folder: str) -> None:
+    df.write.mode("overwrite").parquet(folder)
+
+
 def _store(df: DataFrame, path: str, table: str, nr: int) -> DataFrame:
     """Writes a batch's rows to their folder and reads them back, so later steps do not redo them."""
     folder = f"{path}/{table}/batch={nr}"
-    df.write.mode("overwrite").parquet(folder)
+    _write(df, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _since_base(spark: SparkSession, path: str, table: str, schema: str, below: int) -> DataFrame:
+    """Rows of the newest base older than batch ``below`` and of the batches after it, with ``batch``."""
+    bases = spark.read.schema(f"{schema}, upto long").parquet(f"{path}/{table}_base").filter(F.col("upto") < below)
+    newest = bases.agg(F.max("upto")).first()[0]
+    newest = NO_BATCH if newest is None else newest
+    base = bases.filter(F.col("upto") == newest).withColumnRenamed("upto", "batch")
+    log = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/{table}")
+    return base.unionByName(log.filter((F.col("batch") > newest) & (F.col("batch") < below)))
+
+
 def _apply_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: str) -> None:
     shown = shown_options(batch, tables.questions, tables.types, tables.templates, seed)
     answers = _store(expand_submissions(shown)[0], path, "answers", nr)
     scores = question_scores(answers, tables.questions, tables.types, tables.templates)
-    fresh = _store(attempt_history(scores).select(*ATTEMPT_COLUMNS), path, "attempts", nr)
+    fresh = _store(attempt_history(scores).select("id_uz", "id_quizu", "zdobyte_pkt"), path, "attempts", nr)
 
     groups = tables.quizzes.select("id_quizu", "id_grupy").filter(F.col("id_grupy") != LIMBO_GROUP)
-    touched = fresh.join(groups, "id_quizu").select("id_uz", "id_grupy").distinct()
+    touched = fresh.join(groups, "id_quizu").select("id_uz", "id_grupy")
     # only attempts of touched pairs up to this batch count, also when it runs again
     history = (
-        fresh.sparkSession.read.parquet(f"{path}/attempts")
-        .filter(F.col("batch") <= nr)
+        _since_base(batch.sparkSession, path, "attempts", ATTEMPT, nr + 1)
         .join(groups, "id_quizu")
         .join(touched, ["id_uz", "id_grupy"], "left_semi")
-        .select(*ATTEMPT_COLUMNS)
+        .select("id_uz", "id_quizu", "zdobyte_pkt")
     )
     _store(ranking_from_attempts(history, tables.quizzes), path, "ranking", nr)
 
 
+def _latest(totals: DataFrame) -> DataFrame:
+    return totals.groupBy("id_uz", "id_grupy").agg(F.max_by("pkt", "batch").alias("pkt"))
+
+
 def current_ranking(spark: SparkSession, path: str) -> DataFrame:
     """Latest total of every (user, group) pair."""
-    return (
-        spark.read.parquet(f"{path}/ranking")
-        .groupBy("id_uz", "id_grupy")
-        .agg(points(F.max_by("pkt", "batch")).alias("pkt"))
+    return _latest(_since_base(spark, path, "ranking", TOTAL, 1 << 62))
+
+
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Folds the batches up to ``upto`` into a new base. These must be finished for good."""
+    best = (
+        _since_base(spark, path, "attempts", ATTEMPT, upto + 1)
+        .groupBy("id_uz", "id_quizu")
+        .agg(F.max("zdobyte_pkt").alias("zdobyte_pkt"))
     )
+    _write(best, f"{path}/attempts_base/upto={upto}")
+    _write(_latest(_since_base(spark, path, "ranking", TOTAL, upto + 1)), f"{path}/ranking_base/upto={upto}")
 
 
 def replay(
     spark: SparkSession, submissions: DataFrame, tables: QuizTables, path: str, seed: str, files: int = 4
 ) -> DataFrame:
-    """Runs stored submissions through the stream, a file at a time, and returns the ranking."""
+    """Runs stored submissions through the stream, two files at a time, and returns the ranking."""
     schema = submissions.schema
     submissions.repartition(files, "id_uz", "data_wyslania").write.parquet(f"{path}/inbox")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/inbox")

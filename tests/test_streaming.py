@@ -2,7 +2,14 @@ from pyspark.sql import functions as F
 
 from gradewell.operators import changes as CH
 from gradewell.operators.ranking import recompute_ranking
-from gradewell.streaming.live_ranking import QuizTables, _apply_batch, current_ranking, replay, start_live_ranking
+from gradewell.streaming.live_ranking import (
+    QuizTables,
+    _apply_batch,
+    compact,
+    current_ranking,
+    replay,
+    start_live_ranking,
+)
 from tests.conftest import rows
 
 
@@ -33,8 +40,13 @@ def test_restart_and_repeated_batch_do_not_count_twice(spark, domain, tmp_path):
 
     first.coalesce(1).write.mode("append").parquet(inbox)
     run()
+    before = rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt")
+    compact(spark, path, 0)
+    assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == before
     second.coalesce(1).write.mode("append").parquet(inbox)
     run()  # a new query on the same checkpoint
     _apply_batch(second, 1, tables, path, "s")  # the last batch once more
     want = rows(wanted(domain, domain.submissions), "id_uz", "id_grupy", "pkt")
     assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == want
+    compact(spark, path, 1)
+    assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == want
