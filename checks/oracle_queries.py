@@ -557,6 +557,7 @@ WHERE {kept.get(child, "true")} AND {key} NOT IN (SELECT {pkey} FROM {parent} WH
 
 
 SQL["orphans"] = _orphans()
+SQL["submit_ranking"] = SQL["live_ranking"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,9 +40,12 @@ def last_per_key(changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return changes.groupBy(key).agg(*[F.max_by(f, "nr").alias(f"_new_{f}") for f in fields])
 
 
-def overlay(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``table`` with the non-null ``_new_*`` fields of ``changes`` (one row per key) put over it."""
-    joined = table.join(changes, key, "left")
+def overlay(table: DataFrame, changes: DataFrame, key: str, fields: list[str], how: str = "left") -> DataFrame:
+    """``table`` with the non-null ``_new_*`` fields of ``changes`` (one row per key) put over it.
+
+    ``how="inner"`` gives the changed rows only.
+    """
+    joined = table.join(changes, key, how)
     return joined.select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns]
     )
@@ -197,7 +200,7 @@ def update_questions(
     """
     last = last_per_key(changes, "id_pyt", QUESTION_FIELDS)
     nr = changes.groupBy("id_pyt").agg(F.max("nr").alias("nr"))
-    touched = overlay(questions.join(last.select("id_pyt"), "id_pyt", "left_semi"), last, "id_pyt", QUESTION_FIELDS)
+    touched = overlay(questions, last, "id_pyt", QUESTION_FIELDS, "inner")
     broken = F.array_join(problems(question_rules()), ",")
     judged = touched.withColumn("powod", F.when(broken != "", broken))
     validity = question_validity(touched, types, templates).select("id_pyt", "poprawne")
@@ -466,7 +469,7 @@ def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
     """
     last = last_per_key(changes, "id_uz", PROFILE_FIELDS)
     nr = changes.groupBy("id_uz").agg(F.max("nr").alias("nr"))
-    touched = overlay(users.join(last.select("id_uz"), "id_uz", "left_semi"), last, "id_uz", PROFILE_FIELDS)
+    touched = overlay(users, last, "id_uz", PROFILE_FIELDS, "inner")
     batch = touched.join(nr, "id_uz")
     rows = batch
     for field in PROFILE_FIELDS:

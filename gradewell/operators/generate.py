@@ -22,8 +22,8 @@ def generate_quiz_set(
 ) -> dict[str, DataFrame]:
     """Quizzes, questions and template answers of one set.
 
-    ``blocks`` come from ``question_blocks``, their sources being numbers or
-    sortable text. Question ``i`` goes to quiz ``i mod quizzes``. Each question
+    ``name`` is the quiz name, with ``%d`` where its number goes. ``blocks`` come
+    from ``question_blocks``, their sources being numbers or sortable text. Question ``i`` goes to quiz ``i mod quizzes``. Each question
     gets ``answers`` template answers, the first at level 100; one that the
     block does not have is an empty text.
     """
@@ -32,7 +32,7 @@ def generate_quiz_set(
     quiz = numbers.select(
         (F.col("id") + first_quiz_id).alias("id_quizu"),
         F.lit(owner).cast("bigint").alias("id_wlasciciela"),
-        F.format_string(f"{name} %d", F.col("id") + 1).alias("nazwa"),
+        F.format_string(name, *([F.col("id") + 1] if "%d" in name else [])).alias("nazwa"),
         F.lit(group).cast("bigint").alias("id_grupy"),
         F.lit(None).cast("int").alias("limit_podejsc"),
         F.lit(None).cast("string").alias("limit_czasowy"),

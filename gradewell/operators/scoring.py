@@ -128,11 +128,10 @@ def submission_comments(shown: DataFrame) -> DataFrame:
     ``shown``: id_uz, id_pyt, data_wyslania, place, zaznaczona, komentarz, one
     row per option put before the user (see ``changes.shown_options``).
     """
-    ticked = F.when(F.col("zaznaczona"), F.struct("place", "komentarz"))
+    joined = F.expr("listagg(CASE WHEN zaznaczona THEN komentarz END, '') WITHIN GROUP (ORDER BY place)")
     return (
         shown.groupBy("id_uz", "id_pyt", "data_wyslania")
-        .agg(F.sort_array(F.collect_list(ticked)).alias("_c"))
-        .withColumn("_text", F.concat_ws("", F.col("_c.komentarz")))
+        .agg(joined.alias("_text"))
         .select(
             "id_uz",
             "id_pyt",
@@ -146,7 +145,6 @@ def attempt_limit_status(answers: DataFrame, questions: DataFrame, quizzes: Data
     """Attempts used and left per (user, quiz); no limit means never exhausted."""
     used = (
         answers.select(*ATTEMPT, "id_pyt")
-        .distinct()
         .join(questions.select("id_pyt", "id_quizu"), "id_pyt")
         .select(*ATTEMPT, "id_quizu")
         .distinct()

@@ -18,6 +18,7 @@ from gradewell.operators import relations as RE
 from gradewell.operators import sampling as SA
 from gradewell.operators import scoring as SC
 from gradewell.schema import NO_ANSWER
+from gradewell.plans.flows import submit
 from gradewell.sources import line_blocks as LB
 from gradewell.sources.shared import shared_folder
 from gradewell.sources.testrequests import Requests
@@ -650,7 +651,7 @@ def _blocks(d):
 
 def _generated(d):
     return GE.generate_quiz_set(
-        _blocks(d), "dokumenty", quizzes=36, answers=4, type_id=3, at=F.lit(MADE_AT).cast("timestamp_ntz"),
+        _blocks(d), "dokumenty %d", quizzes=36, answers=4, type_id=3, at=F.lit(MADE_AT).cast("timestamp_ntz"),
         first_quiz_id=3, first_question_id=4, first_template_id=13,
     )
 
@@ -734,3 +735,10 @@ def live_ranking(d):
     tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz)
     path = shared_folder(d.spark, "live-ranking")
     return replay(d.spark, d.submissions, tables, path, SEED)
+
+
+@query
+def submit_ranking(d):
+    """Submissions to ranking with every step stored."""
+    tables = d.tables("pytanie", "typ", "odpowiedz_wzorcowa", "quiz")
+    return submit(d.spark, d.submissions, tables, shared_folder(d.spark, "submit"), SEED)["ranking"]

@@ -40,9 +40,13 @@ def load_jdbc(
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Writes tables as Parquet; user answers go into one folder per day."""
+    """Writes tables as Parquet; user answers go into one folder per day.
+
+    Rebalancing gathers a quiet day into few files and splits a busy one over tasks.
+    """
     for name, df in tables.items():
-        writer = df.write.mode(mode)
         if name == "odpowiedz_uzytkownika":
-            writer = df.withColumn("dzien", F.to_date("data_wyslania")).write.mode(mode).partitionBy("dzien")
-        writer.parquet(f"{path}/{name}")
+            daily = df.withColumn("dzien", F.to_date("data_wyslania")).hint("rebalance", "dzien")
+            daily.write.mode(mode).partitionBy("dzien").parquet(f"{path}/{name}")
+        else:
+            df.write.mode(mode).parquet(f"{path}/{name}")

@@ -47,7 +47,7 @@ def test_generated_set(spark, text_file):
     blocks = LB.read_question_blocks(spark, text_file, 5)
     at = F.lit("2013-01-01").cast("timestamp_ntz")
     made = generate_quiz_set(
-        blocks, "zestaw", quizzes=3, answers=4, type_id=3, at=at, first_quiz_id=3, first_question_id=4
+        blocks, "zestaw %d", quizzes=3, answers=4, type_id=3, at=at, first_quiz_id=3, first_question_id=4
     )
     assert rows(made["quiz"], "id_quizu", "nazwa") == [(3, "zestaw 1"), (4, "zestaw 2"), (5, "zestaw 3")]
     assert rows(made["pytanie"], "id_pyt", "tresc", "id_quizu") == [
@@ -56,6 +56,9 @@ def test_generated_set(spark, text_file):
     last = made["odpowiedz_wzorcowa"].filter("id_pyt = 7")
     assert rows(last, "tresc_odp", "poziom_poprawnosci") == [("", 0), ("odp 3.1", 100), ("odp 3.2", 0), ("odp 3.3", 0)]
     assert rows(generation_summary({"m": made})) == [("m", 3, 4)]
+    one = generate_quiz_set(blocks, "Jeden", quizzes=1, answers=4, type_id=3, at=at)
+    assert rows(one["quiz"], "id_quizu", "nazwa") == [(1, "Jeden")]
+    assert rows(one["pytanie"].select("id_quizu").distinct()) == [(1,)]
 
 
 def test_tables_round_trip(spark, domain, tmp_path):
