@@ -59,20 +59,25 @@ def visible_groups(
     The place needs no list per viewer: it is the group's place in a shared
     list, corrected by the viewer's own invite-only memberships before it.
     """
-    as_coded = mode == "as_coded"
-    listed = groups.filter(F.col("id_grupy") != LIMBO_GROUP).select("id_grupy", "na_zaproszenie")
-    shared = _shared_places(listed)
+    return listed_groups(requests, users, groups, access, mode).select("id_uz", "id_grupy", "place")
 
-    invited = access.select("id_uz", "id_grupy").join(
-        listed.filter("na_zaproszenie").select("id_grupy"), "id_grupy", "left_semi"
-    )
-    asked = requests.select("id_uz", "id_grupy", F.lit(1).alias("_asked"), F.lit(0).alias("_own"))
-    own = invited.select("id_uz", "id_grupy", F.lit(0).alias("_asked"), F.lit(1).alias("_own"))
-    marks = asked.unionByName(own).groupBy("id_uz", "id_grupy").agg(
-        F.max("_asked").alias("_asked"), F.max("_own").alias("_own")
-    )
-    counted = _own_before(marks)
 
+def listed_groups(
+    requests: DataFrame, users: DataFrame, groups: DataFrame, access: DataFrame, mode: str = "as_coded"
+) -> DataFrame:
+    """``visible_groups`` with a flag: is the viewer a member."""
+    as_coded = mode == "as_coded"
+    shared = _shared_places(groups.filter(F.col("id_grupy") != LIMBO_GROUP).select("id_grupy", "na_zaproszenie"))
+    asked = requests.select("id_uz", "id_grupy", F.lit(1).alias("_asked"), F.lit(0).alias("_member"))
+    member = access.select("id_uz", "id_grupy", F.lit(0).alias("_asked"), F.lit(1).alias("_member"))
+    marks = (
+        asked.unionByName(member)
+        .groupBy("id_uz", "id_grupy")
+        .agg(F.max("_asked").alias("_asked"), F.max("_member").alias("_member"))
+        .join(shared, "id_grupy")
+        .filter((F.col("_asked") == 1) | F.col("na_zaproszenie"))
+        .withColumn("_own", F.when(F.col("na_zaproszenie"), F.col("_member")).otherwise(0))
+    )
     superuser = F.col("_superuser")
     hidden = F.col("na_zaproszenie") & ((F.col("_own") == 1) if as_coded else (F.col("_own") == 0))
     if as_coded:
@@ -81,11 +86,11 @@ def visible_groups(
         own_place = F.col("_open_place") + F.col("_own_before") + F.col("na_zaproszenie").cast("int")
         place = F.when(superuser, F.col("_all_place")).otherwise(own_place)
     return (
-        counted.filter("_asked = 1")
+        _own_before(marks)
+        .filter("_asked = 1")
         .join(users.select("id_uz", is_superuser().alias("_superuser")), "id_uz")
-        .join(shared, "id_grupy")
         .filter(superuser | ~hidden)
-        .select("id_uz", "id_grupy", place.cast("bigint").alias("place"))
+        .select("id_uz", "id_grupy", place.cast("bigint").alias("place"), (F.col("_member") == 1).alias("zapisany"))
     )
 
 
@@ -106,21 +111,18 @@ def _shared_places(listed: DataFrame) -> DataFrame:
 
 
 def _own_before(marks: DataFrame) -> DataFrame:
-    """Per (viewer, group): how many own invite-only groups come before it."""
+    """Adds, per (viewer, group), how many own invite-only groups come before it."""
     tagged = marks.withColumn("_cell", id_cell("id_grupy"))
     cells = cell_offsets(
         tagged.groupBy("id_uz", "_cell").agg(F.sum("_own").alias("_n")), ["id_uz"], [["_cell"]]
     )
-    before = F.coalesce(
-        F.sum("_own").over(
-            Window.partitionBy("id_uz", "_cell").orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+    inside = F.sum("_own").over(
+        Window.partitionBy("id_uz", "_cell").orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        tagged.withColumn("_inside", before)
+        tagged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
         .join(cells.select("id_uz", "_cell", "_before"), ["id_uz", "_cell"])
-        .select("id_uz", "id_grupy", "_asked", "_own", (F.col("_before") + F.col("_inside")).alias("_own_before"))
+        .select(*marks.columns, (F.col("_before") + F.col("_inside")).alias("_own_before"))
     )
 
 
@@ -190,10 +192,12 @@ def type_by_shape(requests: DataFrame, types: DataFrame) -> DataFrame:
     return requests.join(first, ["liczba_odp", "wielokrotnego_wyboru"])
 
 
-def group_card(groups: DataFrame) -> DataFrame:
+def group_card(groups: DataFrame, *more: str) -> DataFrame:
+    """Name and yes/no labels of each group, and the columns named in ``more``."""
     return groups.select(
         "id_grupy",
         "nazwa",
+        *more,
         yes_no(F.col("na_zaproszenie")).alias("na_zaproszenie"),
         yes_no(~blank("haslo")).alias("chroniona_haslem"),
     )

@@ -4,33 +4,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.access import is_superuser, not_limbo_user
-from gradewell.operators.catalog import active_quizzes, group_card, visible_groups
-from gradewell.operators.relations import is_enrolled
+from gradewell.operators.catalog import active_quizzes, group_card, listed_groups
 from gradewell.operators.skew import own_shuffle
 
 
+def _members_per_group(access: DataFrame, users: DataFrame) -> DataFrame:
+    counted_users = users.filter(~is_superuser() & not_limbo_user()).select("id_uz")
+    return (
+        access.select("id_uz", "id_grupy")
+        .join(counted_users, "id_uz", "left_semi")
+        .groupBy("id_grupy")
+        .agg(F.count("*").alias("_uzytkownicy"))
+    )
+
+
+def _quizzes_per_group(quizzes: DataFrame) -> DataFrame:
+    return active_quizzes(quizzes).groupBy("id_grupy").agg(F.count("*").alias("_quizy"))
+
+
 def member_counts(groups: DataFrame, access: DataFrame, users: DataFrame) -> DataFrame:
     """Members per group without superusers and the limbo user; empty groups give 0.
 
     Memberships are counted before they meet the groups, so a group that holds
     most users arrives at the join as one row.
     """
-    counted_users = users.filter(~is_superuser() & not_limbo_user()).select("id_uz")
-    counted = (
-        access.select("id_uz", "id_grupy")
-        .join(counted_users, "id_uz", "left_semi")
-        .groupBy("id_grupy")
-        .agg(F.count("*").alias("_n"))
-    )
-    return groups.select("id_grupy").join(counted, "id_grupy", "left").select(
-        "id_grupy", F.coalesce("_n", F.lit(0)).alias("uzytkownicy")
+    return groups.join(_members_per_group(access, users), "id_grupy", "left").select(
+        "id_grupy", F.coalesce("_uzytkownicy", F.lit(0)).alias("uzytkownicy")
     )
 
 
 def active_quiz_counts(groups: DataFrame, quizzes: DataFrame) -> DataFrame:
-    counted = active_quizzes(quizzes).groupBy("id_grupy").agg(F.count("*").alias("_n"))
-    return groups.select("id_grupy").join(counted, "id_grupy", "left").select(
-        "id_grupy", F.coalesce("_n", F.lit(0)).alias("quizy")
+    """Active quizzes per group, 0 where there is none."""
+    return groups.join(_quizzes_per_group(quizzes), "id_grupy", "left").select(
+        "id_grupy", F.coalesce("_quizy", F.lit(0)).alias("quizy")
     )
 
 
@@ -44,19 +50,18 @@ def group_overview(
 ) -> DataFrame:
     """The group index page: one row per asked (id_uz, id_grupy) that the viewer sees."""
     cards = (
-        group_card(groups)
-        .join(member_counts(groups, access, users), "id_grupy")
-        .join(active_quiz_counts(groups, quizzes), "id_grupy")
-        .join(groups.select("id_grupy", "id_wlasciciela"), "id_grupy")
+        group_card(groups, "id_wlasciciela")
+        .join(_members_per_group(access, users), "id_grupy", "left")
+        .join(_quizzes_per_group(quizzes), "id_grupy", "left")
     )
-    seen = is_enrolled(visible_groups(requests, users, groups, access, mode), access)
+    seen = listed_groups(requests, users, groups, access, mode)
     return seen.join(own_shuffle(cards, "id_grupy"), "id_grupy").select(
         "id_uz",
         "id_grupy",
         "place",
         "nazwa",
-        "uzytkownicy",
-        "quizy",
+        F.coalesce("_uzytkownicy", F.lit(0)).alias("uzytkownicy"),
+        F.coalesce("_quizy", F.lit(0)).alias("quizy"),
         "na_zaproszenie",
         "chroniona_haslem",
         "zapisany",
