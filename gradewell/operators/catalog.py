@@ -13,14 +13,14 @@ from gradewell.functions.scalar import blank, privilege_mask, yes_no
 from gradewell.operators.access import granted, is_superuser, not_limbo_user, with_standing
 from gradewell.operators.numbering import cell_offsets, id_cell, numbered_by_id
 from gradewell.operators.relations import groups_with_owner
-from gradewell.operators.skew import own_shuffle
+from gradewell.operators.skew import own_shuffle, without
 from gradewell.schema import LIMBO_GROUP
 
 
 def lookup_by_key(keys: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows with the wanted keys, and the keys that are missing."""
     wanted = keys.select(key).distinct()
-    return wanted.join(table, key), wanted.join(table, key, "left_anti")
+    return wanted.join(table, key), without(wanted, table, [key])
 
 
 def visible_questions(questions: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from gradewell.operators.quality import (
 )
 from gradewell.operators.ranking import recompute_group_ranking
 from gradewell.operators.sampling import draw_options, drawable_options
-from gradewell.operators.skew import own_shuffle
+from gradewell.operators.skew import own_shuffle, without
 from gradewell.schema import (
     DEFAULT_RIGHTS,
     LIMBO_GROUP,
@@ -130,9 +130,7 @@ def enroll_visits(
     visits: DataFrame, groups: DataFrame, access: DataFrame, rights: str = DEFAULT_RIGHTS
 ) -> tuple[DataFrame, DataFrame]:
     """Visitors of open groups become members; others are turned away."""
-    outsiders = (
-        visits.select("id_uz", "id_grupy").distinct().join(access, ["id_uz", "id_grupy"], "left_anti")
-    )
+    outsiders = without(visits.select("id_uz", "id_grupy").distinct(), access, ["id_uz", "id_grupy"])
     judged = outsiders.join(groups.select("id_grupy", "na_zaproszenie"), "id_grupy", "left").withColumn(
         "powod",
         F.when(F.col("na_zaproszenie").isNull(), "no_group").when(F.col("na_zaproszenie"), "invite_only"),

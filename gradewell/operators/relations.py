@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gradewell.operators.access import granted, with_standing
 from gradewell.functions.scalar import privilege_mask
 from gradewell.operators.numbering import numbered_by_id
+from gradewell.operators.skew import without
 
 
 def questions_enriched(
@@ -140,7 +141,7 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
             continue
         values = tables[child].groupBy(F.col(key).alias("wartosc")).agg(F.count("*").alias("wiersze"))
         parents = tables[parent].select(F.col(parent_key).alias("wartosc"))
-        missing = values.join(parents, "wartosc", "left_anti").select(
+        missing = without(values, parents, ["wartosc"]).filter(F.col("wartosc").isNotNull()).select(
             F.lit(child).alias("tabela"), F.lit(key).alias("klucz"), "wartosc", "wiersze"
         )
         found = missing if found is None else found.unionByName(missing)

@@ -19,3 +19,13 @@ def own_shuffle(df: DataFrame, key: str) -> DataFrame:
     if dict(df.dtypes)[key] == "string":
         return df.withColumn(key, F.concat(key, F.lit("")))
     return df.withColumn(key, F.shiftleft(key, 0))
+
+
+def without(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of the grouped ``df`` whose keys are not in ``other``.
+
+    Spark moves an anti join below a grouping by the same keys and so shuffles
+    every row. An outer join stays above it: rows are combined map-side first.
+    """
+    there = other.select(*on, F.lit(True).alias("_there"))
+    return df.join(there, on, "left").filter(F.col("_there").isNull()).select(*df.columns)
