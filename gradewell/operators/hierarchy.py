@@ -7,19 +7,20 @@ from gradewell.functions.scalar import privilege_mask
 from gradewell.operators.access import granted, with_standing
 
 
-def category_closure(edges: DataFrame) -> DataFrame:
+def category_closure(edges: DataFrame, deepest: int = 100) -> DataFrame:
     """All (ancestor, descendant, depth) pairs of the category tree.
 
     A child has one parent at most, so the result has one row per node and level.
-    ``LIMIT ALL`` lifts Spark's row guard on recursive queries.
+    ``LIMIT ALL`` lifts Spark's row guard on recursive queries. A tree deeper than
+    ``deepest``, or a cycle, is an error and never a shortened result.
     """
     return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(id_przodka, id_potomka, glebokosc) AS (
-            SELECT id_nadkategorii, id_podkategorii, 1 FROM {edges}
+        f"""
+        WITH RECURSIVE walk(id_przodka, id_potomka, glebokosc) MAX RECURSION LEVEL {int(deepest)} AS (
+            SELECT id_nadkategorii, id_podkategorii, 1 FROM {{edges}}
             UNION ALL
             SELECT w.id_przodka, e.id_podkategorii, w.glebokosc + 1
-            FROM walk w JOIN {edges} e ON e.id_nadkategorii = w.id_potomka
+            FROM walk w JOIN {{edges}} e ON e.id_nadkategorii = w.id_potomka
         )
         SELECT id_przodka, id_potomka, glebokosc FROM walk LIMIT ALL
         """,
