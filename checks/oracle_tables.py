@@ -103,7 +103,7 @@ FROM punkty GROUP BY ALL""",
 SELECT b.id_uz, q.id_grupy, round(sum(b.m), 6) AS pkt
 FROM (SELECT id_uz, id_quizu, max(zdobyte_pkt) AS m FROM podejscia GROUP BY ALL) b JOIN quiz q USING (id_quizu)
 WHERE q.id_grupy <> 0 GROUP BY ALL""",
-    # one row per member with what the access rules look at
+    # does a question have enough templates and a right one
     "waznosc": """
 SELECT p.id_pyt, count(w.id_odp_w) AS odpowiedzi,
   count(w.id_odp_w) FILTER (WHERE w.poziom_poprawnosci = 100) AS w_pelni_poprawne,
