@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bloom_dedup, poisson_mix, seekable, set_join
-from gradewell.llm.common import table
+from gradewell.llm import bloom_dedup, poisson_mix, ppm_language, rff_quality, seekable, set_join
+from gradewell.llm.common import crc_share, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -19,6 +19,12 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = rff_quality.quality_scores(docs, labels, learn=crc_share("doc_id", 3) != 1)
+    return scores.select("doc_id", (crc_share("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = seekable.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -28,6 +34,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm_language.identify(table(spark, sf_dir, "documents"), learn=crc_share("doc_id", 4) != 2)
+    return found.select("doc_id", (crc_share("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,8 +46,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_poisson_mix": op3_poisson_mix,
+        "op4_rff_quality": op4_rff_quality,
         "op6_token_files": op6_token_files,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_ppm_language": op9_ppm_language,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

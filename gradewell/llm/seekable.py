@@ -29,7 +29,8 @@ from gradewell.llm.common import shared_path
 
 SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
-FOOTER = struct.Struct("<QI8s")
+FOOTER = "<QI8s"
+FOOTER_BYTES = struct.calcsize(FOOTER)
 #: Chunks between white space whose ids are remembered by a task.
 REMEMBERED = 1 << 20
 #: A file holds about so many input characters; one read task takes about so many frames.
@@ -108,7 +109,7 @@ def _write(folder: str):
 
         def finish() -> pd.DataFrame:
             entries = np.concatenate(held).tobytes()
-            footer = FOOTER.pack(len(entries) // ENTRY.itemsize, zlib.crc32(entries), NAME)
+            footer = struct.pack(FOOTER, len(entries) // ENTRY.itemsize, zlib.crc32(entries), NAME)
             out.write(struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer)
             out.close()
             name = f"tokens-{bucket:07d}.bin"
@@ -141,11 +142,11 @@ def _write(folder: str):
 def seek_table(file) -> np.ndarray:
     """The entries of an open file's seek table, read from its end; raises if it is damaged."""
     end = file.seek(0, os.SEEK_END) or file.tell()
-    file.seek(end - FOOTER.size)
-    count, crc, name = FOOTER.unpack(file.read(FOOTER.size))
+    file.seek(end - FOOTER_BYTES)
+    count, crc, name = struct.unpack(FOOTER, file.read(FOOTER_BYTES))
     if name != NAME:
         raise ValueError("not a token file")
-    file.seek(end - FOOTER.size - count * ENTRY.itemsize)
+    file.seek(end - FOOTER_BYTES - count * ENTRY.itemsize)
     raw = file.read(count * ENTRY.itemsize)
     if zlib.crc32(raw) != crc:
         raise ValueError("the seek table is damaged")
