@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bloom_dedup, poisson_mix, ppm_language, rff_quality, seekable, set_join
+from gradewell.llm import bloom_dedup, poisson_mix, ppm_language, rff_quality, seekable, set_join, url_templates
 from gradewell.llm.common import crc_share, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+#: The rules that a url is judged by before its template.
+RULES = [
+    url_templates.Rule("com", "/", "allow"),
+    url_templates.Rule("example.com", "/en/", "block"),
+    url_templates.Rule("www.example.com", "/en/", "allow"),
+    url_templates.Rule("net", "/es/", "block"),
+    url_templates.Rule("net", "/fr/", "block"),
+]
+
+
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_templates": op1_url_templates,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_rff_quality": op4_rff_quality,
         "op6_token_files": op6_token_files,
