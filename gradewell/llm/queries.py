@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bloom_dedup, poisson_mix, ppm_language, rff_quality, seekable, set_join, url_templates
+from gradewell.llm import (
+    bloom_dedup,
+    html_suffix,
+    line_chunks,
+    poisson_mix,
+    ppm_language,
+    qgram_decontam,
+    rff_quality,
+    seekable,
+    set_join,
+    url_templates,
+)
 from gradewell.llm.common import crc_share, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +40,10 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_html_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -39,11 +54,19 @@ def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (crc_share("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_qgram_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qgram_decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = seekable.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -60,9 +83,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_templates": op1_url_templates,
+        "op2_html_suffix": op2_html_suffix,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_rff_quality": op4_rff_quality,
+        "op5_qgram_decontam": op5_qgram_decontam,
         "op6_token_files": op6_token_files,
+        "op7_line_dedup": op7_line_dedup,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_ppm_language": op9_ppm_language,
         "op10_exact_dedup": op10_exact_dedup,

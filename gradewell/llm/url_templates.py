@@ -15,8 +15,8 @@ from gradewell.operators.skew import own_shuffle
 MOST_BRANCHES = 24
 #: Depth of the tree in segments; deeper segments share a tail wildcard.
 DEPTH = 6
-#: A template is rejected if its smoothed share of blocked urls reaches PURITY. The corpus's share
-#: counts as STRENGTH labelled urls.
+#: A template is rejected if its smoothed share of blocked urls reaches PURITY. STRENGTH labelled
+#: urls, half of them blocked, are added to each template's.
 PURITY, STRENGTH = 0.7, 4.0
 #: Branches merge where their shares of blocked urls differ by less than so many standard errors.
 ERRORS = 1.64
@@ -86,13 +86,12 @@ def path_templates(urls: DataFrame) -> DataFrame:
         F.sum(F.coalesce("blocked", F.lit(0)) * F.col("n")).alias("blocked"),
     )
     shapes = store(shapes.withColumn("template", F.lit("")), "shapes")
-    known = shapes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
-    prior = (known["b"] or 0) / known["l"] if known["l"] else 0.0
+    known = shapes.agg(F.max(F.size("segments")).alias("depth")).first()
 
     def smoothed(blocked: str, labelled: str) -> Column:
-        return (F.col(blocked) + STRENGTH * prior) / (F.col(labelled) + STRENGTH)
+        return (F.col(blocked) + STRENGTH / 2) / (F.col(labelled) + STRENGTH)
 
-    for level in range(DEPTH + 1):
+    for level in range(known["depth"] or 0):
         here = shapes.withColumn("segment", F.get("segments", F.lit(level)))
         branches = here.filter("segment is not null").groupBy("host", "template", "segment")
         branches = branches.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
@@ -114,8 +113,7 @@ def path_templates(urls: DataFrame) -> DataFrame:
         names = merged.select("host", "template", "segment", "name").union(wide.select("host", "template", "segment", "name"))
         grown = here.join(own_shuffle(names, "host"), ["host", "template", "segment"], "left")
         template = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        shapes = grown.select("host", "segments", "n", "labelled", "blocked", template.alias("template"))
-    shapes = store(shapes, "shapes")
+        shapes = store(grown.select("host", "segments", "n", "labelled", "blocked", template.alias("template")), "shapes")
     leaves = shapes.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     leaves = leaves.select("host", "template", smoothed("b", "l").alias("purity"), F.col("l").alias("labelled"))
     return shapes.select("host", "segments", "template").join(leaves, ["host", "template"])
@@ -129,7 +127,7 @@ def judge_urls(
     The longest fitting rule decides. Where none fits, the url's template does: it is blocked if
     the smoothed share of blocked urls among the labelled ones of the template reaches PURITY,
     else allowed. A url's label is that of ``labels`` (id_col, blocked 0/1) where given, else its
-    rule's verdict; a template without labelled urls has the corpus's share.
+    rule's verdict; a template without labelled urls is allowed.
 
     A null url, or one without ://, has an empty host and path and is judged like the other such
     urls. Rows that repeat are judged each; a page with several labels counts as blocked if one of
