@@ -24,8 +24,8 @@ from gradewell.operators.skew import own_shuffle
 SHINGLE, PERCENT = 4, 85
 #: Sets in a block, about; entries of one piece of an index list, about.
 BLOCK_SETS, PIECE = 256, 4096
-#: The frequency sketch has 2**bits counters, so many at least and at most (32 MB).
-SKETCH_BITS = (20, 22)
+#: The frequency sketch has 2**bits counters, so many at least and at most (16 MB).
+SKETCH_BITS = (18, 22)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -75,9 +75,15 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         for part in np.array_split(some, max(1, len(some) >> 17)):
             yield pd.DataFrame({"cell": part, "held": counts[part]})
 
-    sums = docs.mapInPandas(run, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).toPandas()
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cells, sums = frame["cell"].to_numpy(dtype="<u4"), np.minimum(frame["held"], 2**32 - 1).to_numpy(dtype="<u4")
+            yield pd.DataFrame({"cells": [cells.tobytes()], "sums": [sums.tobytes()]})
+
+    sums = docs.mapInPandas(run, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held"))
     out = np.zeros(1 << bits, dtype=np.uint32)
-    out[sums["cell"].to_numpy(dtype=np.int64)] = np.minimum(sums["held"].to_numpy(dtype=np.int64), 2**32 - 1)
+    for row in sums.mapInPandas(pack, "cells binary, sums binary").toLocalIterator():
+        out[np.frombuffer(row["cells"], dtype="<u4")] = np.frombuffer(row["sums"], dtype="<u4")
     return out
 
 
@@ -202,7 +208,7 @@ def jaccard_components(
     groups = members.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("set_id")).filter("set_id is not null")
     groups = store(groups, "groups")
     facts = members.agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).first()
-    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (facts["tokens"] or 1).bit_length() - 7))
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (facts["tokens"] or 1).bit_length() - 9))
 
     lists = postings(docs, size, percent, sketch(docs, size, bits))
     piece = Window.partitionBy("token", "piece")
