@@ -24,8 +24,10 @@ from gradewell.operators.skew import own_shuffle
 SHINGLE, PERCENT = 4, 85
 #: Sets in a block, about; entries of one piece of an index list, about.
 BLOCK_SETS, PIECE = 256, 4096
-#: The frequency sketch has 2**bits counters, so many at least and at most (16 MB).
-SKETCH_BITS = (18, 22)
+#: The frequency sketch has 2**bits counters, one for each row about, so many at least and at most (64 MB).
+SKETCH_BITS = (18, 24)
+#: Needed sets are broadcast to the scan of the texts up to so many (about 32 MB), and joined beyond.
+BROADCAST_SETS = 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -43,44 +45,44 @@ def _fingerprint(found: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, f1, f2): the size and the 128-bit fingerprint of each document's set."""
+def facts(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """What one reading of the texts tells: rows (doc_id, n, f1, f2) with the size and the 128-bit
+    fingerprint of each document's set, and rows (cell, held) from each task with the number of its
+    sets that hold a shingle of each of 2**bits groups of shingles."""
+    shift = np.uint64(64 - bits)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, waiting = np.zeros(1 << bits, dtype=np.int64), []
         for frame in frames:
-            rows = [(len(found), *_fingerprint(found)) for _, found in _sets(frame, size)]
+            rows = []
+            for _, found in _sets(frame, size):
+                rows.append((len(found), *_fingerprint(found)))
+                waiting.append(found)
+                if len(waiting) >= 2000:
+                    counts += np.bincount((np.concatenate(waiting) >> shift).astype(np.int64), minlength=1 << bits)
+                    waiting = []
             made = pd.DataFrame(rows, columns=["n", "f1", "f2"])
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n": made["n"], "f1": made["f1"], "f2": made["f2"]})
+            made.insert(0, "doc_id", frame["doc_id"].astype("Int64").array)
+            yield made.assign(cell=pd.NA, held=pd.NA).astype({"cell": "Int64", "held": "Int64"})
+        if waiting:
+            counts += np.bincount((np.concatenate(waiting) >> shift).astype(np.int64), minlength=1 << bits)
+        some = np.flatnonzero(counts)
+        none = pd.array([None] * len(some), dtype="Int64")
+        yield pd.DataFrame({"doc_id": none, "n": none, "f1": none, "f2": none, "cell": some, "held": counts[some]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInPandas(run, "doc_id long, n long, f1 long, f2 long, cell long, held long")
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """How many documents hold the shingles of each of 2**bits groups of shingles: an upper bound
-    of each shingle's frequency. Tasks count for themselves; its size does not grow with the rows."""
-    shift = np.uint64(64 - bits)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held, waiting = np.zeros(1 << bits, dtype=np.int64), [], 0
-        for frame in frames:
-            for _, found in _sets(frame, size):
-                held.append((found >> shift).astype(np.int64))
-                waiting += len(found)
-                if waiting > 1 << bits:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << bits)
-                    held, waiting = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=1 << bits)
-        some = np.flatnonzero(counts)
-        for part in np.array_split(some, max(1, len(some) >> 17)):
-            yield pd.DataFrame({"cell": part, "held": counts[part]})
+def sketch(found: DataFrame, bits: int) -> np.ndarray:
+    """The counts of ``facts`` summed: for each shingle, an upper bound of its frequency. The
+    sketch's size does not grow with its input, and it reaches the driver packed."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             cells, sums = frame["cell"].to_numpy(dtype="<u4"), np.minimum(frame["held"], 2**32 - 1).to_numpy(dtype="<u4")
             yield pd.DataFrame({"cells": [cells.tobytes()], "sums": [sums.tobytes()]})
 
-    sums = docs.mapInPandas(run, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held"))
+    sums = found.filter("cell is not null").groupBy("cell").agg(F.sum("held").alias("held"))
     out = np.zeros(1 << bits, dtype=np.uint32)
     for row in sums.mapInPandas(pack, "cells binary, sums binary").toLocalIterator():
         out[np.frombuffer(row["cells"], dtype="<u4")] = np.frombuffer(row["sums"], dtype="<u4")
@@ -125,6 +127,13 @@ def _frame(parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate(column) for name, column in zip(names, zip(*parts, strict=True), strict=True)})
 
 
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the sorted ``a`` has and the sorted ``b`` has not; neither is empty."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return a[b[at] != a]
+
+
 def linked(arrays: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (x, y) that join sets into components, by index; sets of equal ``groups`` count as
     joined from the start, and no more links are sought than joining needs.
@@ -134,8 +143,8 @@ def linked(arrays: list[np.ndarray], groups: np.ndarray, percent: int) -> list[t
     m = len(arrays)
     sizes = np.fromiter(map(len, arrays), dtype=np.int64, count=m)
     pivot = arrays[0]
-    gone = [np.setdiff1d(pivot, a, assume_unique=True) for a in arrays]
-    new = [np.setdiff1d(a, pivot, assume_unique=True) for a in arrays]
+    gone = [_minus(pivot, a) for a in arrays]
+    new = [_minus(a, pivot) for a in arrays]
     lacks = np.fromiter(map(len, gone), dtype=np.int64, count=m)
     tokens = np.concatenate([np.concatenate((g, a)) for g, a in zip(gone, new, strict=True)])
     ends = np.cumsum(np.fromiter((len(g) + len(a) for g, a in zip(gone, new, strict=True)), dtype=np.int64, count=m))
@@ -194,8 +203,9 @@ def jaccard_components(
     3. A set's leader is the smallest set that it meets in most of its lists; sets with the same
        leader form blocks of about BLOCK_SETS sets. Leaders only shape the blocks.
     4. Each list is reduced to blocks with ranges of size and position. Pairs of blocks whose
-       ranges rule out the needed overlap are skipped.
-    5. Links inside blocks (with the leader), then between blocks that meet. A pair of blocks is
+       ranges, or whose number of shared lists, rule out the needed overlap are skipped.
+    5. Links inside blocks (with the leader), then between blocks that meet: the smaller block's
+       sets visit the larger one, in rooms of about BLOCK_SETS visitors. A pair of blocks is
        skipped where all its sets are in one component already.
 
     Shingles are compared as 64-bit hashes. Null and empty texts, and texts of white space, have
@@ -204,13 +214,13 @@ def jaccard_components(
     component_id unless it equals another row. An empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = store(fingerprints(docs, size), "members")
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], docs.count().bit_length()))
+    found = store(facts(docs, size, bits), "facts")
+    members = found.filter("cell is null").select("doc_id", "n", "f1", "f2")
     groups = members.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("set_id")).filter("set_id is not null")
     groups = store(groups, "groups")
-    facts = members.agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).first()
-    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (facts["tokens"] or 1).bit_length() - 9))
 
-    lists = postings(docs, size, percent, sketch(docs, size, bits))
+    lists = postings(docs, size, percent, sketch(found, bits))
     piece = Window.partitionBy("token", "piece")
     lists = lists.withColumns({"low": F.min("f1").over(piece), "high": F.max("f1").over(piece)})
     lists = lists.filter("low != high or pieces > 1").select("token", "f1", "n", "i").distinct()
@@ -237,35 +247,53 @@ def jaccard_components(
         f"{100 + percent} * (1 + least(a.i_max, b.i_max) + least(a.n_max - a.i_min, b.n_max - b.i_min) - 1) "
         f">= {percent} * (a.n_min + b.n_min)"
     )
-    pairs = a.join(b, F.expr("a.token = b.token and " + able)).select(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    pairs = store(pairs.distinct(), "pairs")
-
-    met = pairs.select(F.col("x").alias("block")).union(pairs.select(F.col("y").alias("block")))
+    pairs = a.join(b, F.expr("a.token = b.token and " + able)).groupBy(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
+    ranges = [f(f"{side}.n_{f.__name__}").alias(f"{side}_{f.__name__}") for side in "ab" for f in (F.min, F.max)]
+    pairs = pairs.agg(F.count("*").alias("shared"), *ranges)
+    # shared shingles beyond one set's rarest are at most the rest of that set
+    rest = f"greatest(ceil({percent} * a_max / 100), ceil({percent} * b_max / 100)) - 1"
+    pairs = pairs.filter(f"{100 + percent} * (shared + {rest}) >= {percent} * (a_min + b_min)").select("x", "y")
+    pairs = store(pairs, "pairs")
+
+    met = pairs.select(F.col("x").alias("block")).union(pairs.select(F.col("y").alias("block"))).distinct()
     several = blocks.groupBy("block").count().filter("count > 1").select("block")
-    wanted = blocks.join(met.union(several).distinct(), "block", "left_semi")
-    guests = wanted.filter("set_id != lead").select(F.col("lead").alias("set_id"), "block", F.lit(True).alias("guest")).distinct()
-    asked = wanted.select("set_id", "block", F.lit(False).alias("guest")).union(guests)
-    needed = asked.groupBy("set_id").agg(F.collect_list(F.when(~F.col("guest"), F.col("block"))).alias("home"))
-    texts = docs.join(needed, docs["doc_id"] == needed["set_id"]).select("set_id", "text")
+    needed = blocks.join(met.union(several).distinct(), "block", "left_semi")
+    needed = store(needed, "needed")
+    asked = F.broadcast(needed) if needed.count() <= BROADCAST_SETS else needed
+    texts = docs.join(asked, docs["doc_id"] == asked["set_id"]).select("set_id", "block", "lead", "text")
     arrays = store(_arrays(texts, size), "arrays")
 
-    inside = asked.groupBy("block", "set_id").agg(F.min("guest").alias("guest"))
-    inside = inside.join(arrays, "set_id").join(wanted.select("block", "lead").distinct(), "block")
-    inside = inside.withColumns({"first": F.col("set_id") == F.col("lead"), "comp": F.col("set_id")})
-    links = inside.select("block", "set_id", "first", "comp", "tokens").groupBy("block").applyInPandas(_linker(percent), "a long, b long")
-    links = store(links, "links")
+    inside = arrays.join(several, "block", "left_semi")
+    homes = needed.join(several, "block", "left_semi").select("block", F.col("lead").alias("set_id")).distinct()
+    guests = homes.join(needed.select("block", "set_id"), ["block", "set_id"], "left_anti")
+    guests = guests.join(arrays.select("set_id", "lead", "tokens"), "set_id").withColumn("lead", F.col("set_id"))
+    inside = inside.select("block", "set_id", "lead", "tokens").union(guests.select("block", "set_id", "lead", "tokens"))
+    inside = inside.select("block", "set_id", (F.col("set_id") == F.col("lead")).alias("first"), F.col("set_id").alias("comp"), "tokens")
+    links = store(inside.groupBy("block").applyInPandas(_linker(percent), "a long, b long"), "links")
 
     state = components(links)
-    placed = wanted.join(state, F.col("set_id") == F.col("node"), "left")
-    placed = placed.select("set_id", "block", F.coalesce("root", "set_id").alias("comp"))
-    ranges = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_pairs = pairs.join(ranges.select(F.col("block").alias("x"), F.col("low").alias("x_low"), F.col("high").alias("x_high")), "x")
-    open_pairs = open_pairs.join(ranges.select(F.col("block").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high")), "y")
-    open_pairs = open_pairs.filter("least(x_low, y_low) != greatest(x_high, y_high)")
-    sides = [open_pairs.select("x", "y", F.col(own).alias("block"), F.col(f"{to}_low").alias("to_low"), F.col(f"{to}_high").alias("to_high")) for own, to in ("xy", "yx")]
-    across = sides[0].union(sides[1]).join(placed, "block").filter("to_low != comp or to_high != comp")
-    across = across.join(arrays, "set_id").select("x", "y", "set_id", F.lit(False).alias("first"), "comp", "tokens")
-    more = store(across.groupBy("x", "y").applyInPandas(_linker(percent), "a long, b long"), "links")
+    placed = needed.join(state, F.col("set_id") == F.col("node"), "left")
+    placed = store(placed.select("set_id", "block", F.coalesce("root", "set_id").alias("comp")), "placed")
+    spans = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    for side in "xy":
+        pairs = pairs.join(spans.select(F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in spans.columns[1:])), side)
+    pairs = pairs.filter("least(x_low, y_low) != greatest(x_high, y_high)")
+    # the smaller block's sets visit the larger block, together with all others that do
+    swap = F.expr("x_size < y_size")
+    visits = pairs.select(
+        *(F.when(swap, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"to{c}") for c in ("", "_low", "_high")),
+        F.when(swap, F.col("x")).otherwise(F.col("y")).alias("block"),
+    )
+    visits = visits.join(placed, "block").filter("to_low != comp or to_high != comp").select("to", "set_id", "comp").distinct()
+    visits = store(visits, "visits")
+    rooms = visits.groupBy("to").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("rooms"))
+    room = F.pmod(F.xxhash64("set_id"), F.col("rooms")).cast("int")
+    guests = visits.join(own_shuffle(rooms, "to"), "to").select("to", room.alias("room"), "set_id", "comp")
+    hosts = rooms.join(placed.withColumnRenamed("block", "to"), "to")
+    hosts = hosts.select("to", F.explode(F.expr("sequence(0, rooms - 1)")).alias("room"), "set_id", "comp")
+    across = guests.union(hosts).join(arrays.select("set_id", "tokens"), "set_id").withColumn("first", F.lit(False))
+    across = across.select("to", "room", "set_id", "first", "comp", "tokens")
+    more = store(across.groupBy("to", "room").applyInPandas(_linker(percent), "a long, b long"), "links")
 
     final = components(links.union(more))
     sets = groups.join(final, F.col("set_id") == F.col("node"), "left")
@@ -281,12 +309,12 @@ def jaccard_components(
 def _arrays(texts: DataFrame, size: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, held = frame["set_id"].to_numpy(), []
+            keys, held = [*frame[["set_id", "block", "lead"]].itertuples(index=False)], []
             for k, found in _sets(frame, size):
-                held.append((ids[k], found.tobytes()))
+                held.append((*keys[k], found.tobytes()))
                 if len(held) >= 500:
-                    yield pd.DataFrame(held, columns=["set_id", "tokens"])
+                    yield pd.DataFrame(held, columns=["set_id", "block", "lead", "tokens"])
                     held = []
-            yield pd.DataFrame(held, columns=["set_id", "tokens"])
+            yield pd.DataFrame(held, columns=["set_id", "block", "lead", "tokens"])
 
-    return texts.mapInPandas(run, "set_id long, tokens binary")
+    return texts.mapInPandas(run, "set_id long, block long, lead long, tokens binary")
