@@ -75,10 +75,10 @@ def poisson_counts(
     steps = rates.select(F.col("source").cast("string"), "rate").mapInPandas(_with_steps, schema)
     key = "_source_key"
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    steps = own_shuffle(store(steps.select(named.alias(key), "steps"), "rates"), key)
+    steps = own_shuffle(store(steps.select(named.alias(key), F.col("steps").alias("_steps")), "rates"), key)
     keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    count = F.size(F.filter("steps", lambda s: s <= draw(id_col, text_col, seed)))
-    return keyed.join(steps, key).withColumn("_copies", count).drop(key, "steps")
+    count = F.size(F.filter("_steps", lambda s: s <= draw(id_col, text_col, seed)))
+    return keyed.join(steps, key).withColumn("_copies", count).drop(key, "_steps")
 
 
 def poisson_mix(
