@@ -257,18 +257,20 @@ def jaccard_components(
 
     met = pairs.select(F.col("x").alias("block")).union(pairs.select(F.col("y").alias("block"))).distinct()
     several = blocks.groupBy("block").count().filter("count > 1").select("block")
-    needed = blocks.join(met.union(several).distinct(), "block", "left_semi")
-    needed = store(needed, "needed")
-    asked = F.broadcast(needed) if needed.count() <= BROADCAST_SETS else needed
-    texts = docs.join(asked, docs["doc_id"] == asked["set_id"]).select("set_id", "block", "lead", "text")
+    several = several.withColumn("several", F.lit(True))
+    needed = blocks.join(met.union(several.select("block")).distinct(), "block", "left_semi").join(several, "block", "left")
+    needed = store(needed.select("set_id", "block", "lead", F.coalesce("several", F.lit(False)).alias("several")), "needed")
+    # a cluster's leader is a guest in the cluster's other blocks
+    homes = needed.filter("several").select("block", F.col("lead").alias("set_id")).distinct()
+    guests = homes.join(needed.select("block", "set_id"), ["block", "set_id"], "left_anti")
+    guests = guests.select("set_id", "block", F.col("set_id").alias("lead"), F.lit(True).alias("several"), F.lit(True).alias("guest"))
+    asked = needed.withColumn("guest", F.lit(False)).union(guests)
+    asked = F.broadcast(asked) if needed.count() <= BROADCAST_SETS else asked
+    texts = docs.join(asked, docs["doc_id"] == asked["set_id"]).select("set_id", "block", "lead", "several", "guest", "text")
     arrays = store(_arrays(texts, size), "arrays")
 
-    inside = arrays.join(several, "block", "left_semi")
-    homes = needed.join(several, "block", "left_semi").select("block", F.col("lead").alias("set_id")).distinct()
-    guests = homes.join(needed.select("block", "set_id"), ["block", "set_id"], "left_anti")
-    guests = guests.join(arrays.select("set_id", "lead", "tokens"), "set_id").withColumn("lead", F.col("set_id"))
-    inside = inside.select("block", "set_id", "lead", "tokens").union(guests.select("block", "set_id", "lead", "tokens"))
-    inside = inside.select("block", "set_id", (F.col("set_id") == F.col("lead")).alias("first"), F.col("set_id").alias("comp"), "tokens")
+    first = (F.col("set_id") == F.col("lead")).alias("first")
+    inside = arrays.filter("several").select("block", "set_id", first, F.col("set_id").alias("comp"), "tokens")
     links = store(inside.groupBy("block").applyInPandas(_linker(percent), "a long, b long"), "links")
 
     state = components(links)
@@ -291,7 +293,7 @@ def jaccard_components(
     guests = visits.join(own_shuffle(rooms, "to"), "to").select("to", room.alias("room"), "set_id", "comp")
     hosts = rooms.join(placed.withColumnRenamed("block", "to"), "to")
     hosts = hosts.select("to", F.explode(F.expr("sequence(0, rooms - 1)")).alias("room"), "set_id", "comp")
-    across = guests.union(hosts).join(arrays.select("set_id", "tokens"), "set_id").withColumn("first", F.lit(False))
+    across = guests.union(hosts).join(arrays.filter("not guest").select("set_id", "tokens"), "set_id").withColumn("first", F.lit(False))
     across = across.select("to", "room", "set_id", "first", "comp", "tokens")
     more = store(across.groupBy("to", "room").applyInPandas(_linker(percent), "a long, b long"), "links")
 
@@ -307,14 +309,16 @@ def jaccard_components(
 
 
 def _arrays(texts: DataFrame, size: int) -> DataFrame:
+    names = ["set_id", "block", "lead", "several", "guest", "tokens"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, held = [*frame[["set_id", "block", "lead"]].itertuples(index=False)], []
+            keys, held = [*frame[names[:-1]].itertuples(index=False)], []
             for k, found in _sets(frame, size):
                 held.append((*keys[k], found.tobytes()))
                 if len(held) >= 500:
-                    yield pd.DataFrame(held, columns=["set_id", "block", "lead", "tokens"])
+                    yield pd.DataFrame(held, columns=names)
                     held = []
-            yield pd.DataFrame(held, columns=["set_id", "block", "lead", "tokens"])
+            yield pd.DataFrame(held, columns=names)
 
-    return texts.mapInPandas(run, "set_id long, block long, lead long, tokens binary")
+    return texts.mapInPandas(run, "set_id long, block long, lead long, several boolean, guest boolean, tokens binary")
