@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +33,8 @@ SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
 FOOTER = "<QI8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
-#: Chunks between white space whose ids are remembered by a task.
-REMEMBERED = 1 << 20
+#: Chunks between white space whose ids a Python worker remembers (about 200 MB).
+REMEMBERED = 1_000_000
 #: A file holds about so many input characters; one read task takes about so many frames.
 FILE_CHARS, READ_FRAMES = 32_000_000, 4096
 
@@ -42,19 +44,30 @@ class Encoder:
     remembered; right for tokenizers that split on white space and drop it."""
 
     def __init__(self, path: str, end_id: int | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
 
+    @staticmethod
+    def of_worker(path: str, end_id: int | None) -> Encoder:
+        """The Python worker's encoder: what it remembers serves all tasks that the worker runs."""
+        held = sys.modules.setdefault("gradewell_token_encoders", types.ModuleType("gradewell_token_encoders")).__dict__
+        key = f"{path} {end_id}"
+        if key not in held:
+            held[key] = Encoder(path, end_id)
+        return held[key]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.split() for text in texts]
+        fresh = [*set().union(*split).difference(self.known)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [text.split() for text in texts]
-        fresh = [*{chunk for chunks in split for chunk in chunks if chunk not in self.known}]
-        found = self.tokenizer.encode_batch([x.decode("utf-8") for x in fresh], add_special_tokens=False)
-        self.known.update((x, struct.pack(f"<{len(e.ids)}I", *e.ids)) for x, e in zip(fresh, found, strict=True))
+            fresh = [*set().union(*split)]
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False)
+        self.known.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(fresh, (e.ids for e in found), strict=True))
         return [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in split]
 
 
