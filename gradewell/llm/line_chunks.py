@@ -10,6 +10,9 @@ from gradewell.operators.skew import own_shuffle
 
 #: A boundary follows a line where the rolling hash of the last WINDOW lines is 0 modulo EVERY.
 WINDOW, EVERY = 2, 3
+#: Repeated hashes, and documents that lose lines, are broadcast up to so many (some ten MB each)
+#: and joined beyond, which then shuffles the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def line_chunks(text: Column, window: int = WINDOW, every: int = EVERY) -> Column:
@@ -70,7 +73,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     repeated = chunks.groupBy("hash").count().filter("count > 1").select("hash")
     repeated = store(repeated, "hashes")
-    suspects = store(chunks.join(own_shuffle(repeated, "hash"), "hash", "left_semi"), "chunks")
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else own_shuffle(repeated, "hash")
+    suspects = store(chunks.join(side, "hash", "left_semi"), "chunks")
 
     place = F.struct("id", "seq")
     groups = suspects.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("top"))
@@ -78,6 +82,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = suspects.join(groups, ["hash", "body"]).filter("struct(id, seq) != kept")
     gone = found.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     gone = store(gone, "gone").select(F.col("id").alias("gone_id"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
 
     joined = plain.join(gone, F.col("id") == F.col("gone_id"), "left").drop("gone_id")
     lines = F.split("body", "\n")
