@@ -267,7 +267,7 @@ def test_token_files(spark, docs, tmp_path):
 
 
 def test_line_dedup(spark, docs):
-    block = "shared first line\nshared second line\nshared third line\nshared fourth line\nshared fifth line\nshared sixth line"
+    block = "\n".join(f"shared line {k}" for k in range(40))
     texts = dict(zip(docs.doc_id.astype(int), docs.text, strict=True))
     for k in range(30):
         texts[5000 + k] = f"own start {k}\n" * (k % 3) + f"{block}\nown end {k}\nmore {k}"
