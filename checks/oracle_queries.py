@@ -94,42 +94,66 @@ LEFT JOIN grupa_quizowa g ON g.id_grupy = w.id_grupy""",
 SELECT r.id_pyt, r.n, p.ukryty, v.poprawne FROM (SELECT id_pyt, count(*) AS n FROM przelaczenia GROUP BY id_pyt) r
 LEFT JOIN pytanie p ON p.id_pyt = r.id_pyt LEFT JOIN waznosc v ON v.id_pyt = r.id_pyt""",
     "pytania_zmienione": """
-SELECT p.id_pyt, c.nr, coalesce(c.tresc, p.tresc) AS tresc, coalesce(c.id_typu, p.id_typu) AS id_typu, p.id_autora,
-  coalesce(c.pkt, p.pkt) AS pkt, p.id_quizu, coalesce(c.id_kategorii, p.id_kategorii) AS id_kategorii, p.ukryty
-FROM pytanie p JOIN (SELECT * FROM zmiany_pytan QUALIFY row_number() OVER (PARTITION BY id_pyt ORDER BY nr DESC) = 1) c
-  ON c.id_pyt = p.id_pyt""",
-    "pytania_ocenione": """
-SELECT z.*, nullif(concat_ws(',', CASE WHEN trim(tresc) = '' THEN 'tresc_pusta' END,
-                             CASE WHEN pkt < 0 THEN 'pkt_ujemne' END), '') AS powod,
-  (SELECT count(*) FROM odpowiedz_wzorcowa w WHERE w.id_pyt = z.id_pyt) >= t.liczba_odp AND
-  (t.wielokrotnego_wyboru OR EXISTS (SELECT 1 FROM odpowiedz_wzorcowa w
-                                     WHERE w.id_pyt = z.id_pyt AND w.poziom_poprawnosci = 100)) AS poprawne
-FROM pytania_zmienione z JOIN typ t ON t.id_typu = z.id_typu""",
-    "odpowiedzi_ocenione": """
-SELECT c.*, f.id_odp_w, CASE
-  WHEN p.id_pyt IS NULL THEN 'no_question'
-  WHEN c.op <> 'create' AND f.id_odp_w IS NULL THEN 'no_template'
-  WHEN c.op <> 'delete' THEN nullif(concat_ws(',',
+SELECT p.id_pyt, c.nr, c.tresc, c.id_typu, c.pkt, c.id_kategorii, p.id_typu AS typ_przed,
+  nullif(concat_ws(',', CASE WHEN trim(coalesce(c.tresc, p.tresc)) = '' THEN 'tresc_pusta' END,
+                   CASE WHEN coalesce(c.pkt, p.pkt) < 0 THEN 'pkt_ujemne' END), '') AS powod
+FROM pytanie p JOIN zmiany_pytan c ON c.id_pyt = p.id_pyt""",
+    "pytania_stany": """
+SELECT id_pyt, nr, tresc, pkt, id_kategorii, id_typu, coalesce(last_value(id_typu IGNORE NULLS) OVER (
+  PARTITION BY id_pyt ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), typ_przed) AS typ_po
+FROM pytania_zmienione WHERE powod IS NULL""",
+    "pytania_nowe": """
+SELECT s.id_pyt, arg_max(tresc, nr) FILTER (WHERE tresc IS NOT NULL) AS tresc, arg_max(pkt, nr) FILTER (WHERE pkt IS NOT NULL) AS pkt,
+  arg_max(id_kategorii, nr) FILTER (WHERE id_kategorii IS NOT NULL) AS id_kategorii,
+  arg_max(s.id_typu, nr) FILTER (WHERE s.id_typu IS NOT NULL) AS id_typu,
+  bool_and(coalesce(n.ile, 0) >= t.liczba_odp AND (t.wielokrotnego_wyboru OR coalesce(n.pelne, 0) > 0)) AS zawsze_poprawne
+FROM pytania_stany s JOIN typ t ON t.id_typu = s.typ_po
+LEFT JOIN (SELECT id_pyt, count(*) AS ile, count(*) FILTER (WHERE poziom_poprawnosci = 100) AS pelne
+           FROM odpowiedz_wzorcowa GROUP BY 1) n ON n.id_pyt = s.id_pyt GROUP BY s.id_pyt""",
+    "odpowiedzi_reguly": """
+SELECT c.*, p.id_pyt IS NOT NULL AS znane, nullif(concat_ws(',',
     CASE WHEN c.op = 'create' AND c.tresc_odp = '' THEN 'tresc_odp_pusta' END,
     CASE WHEN c.poziom_poprawnosci NOT BETWEEN 0 AND 100 THEN 'poziom_poza_zakresem' END,
-    CASE WHEN t.wielokrotnego_wyboru AND c.poziom_poprawnosci NOT IN (0, 100) THEN 'poziom_wielokrotny' END), '')
-  END AS powod
-FROM zmiany_odpowiedzi c LEFT JOIN pytanie p ON p.id_pyt = c.id_pyt LEFT JOIN typ t ON t.id_typu = p.id_typu
-LEFT JOIN (SELECT id_pyt, tresc_odp, min(id_odp_w) AS id_odp_w FROM odpowiedz_wzorcowa GROUP BY ALL) f
-  ON f.id_pyt = c.id_pyt AND f.tresc_odp = c.tresc_odp""",
-    "ostatnie_edycje": """
-SELECT * FROM odpowiedzi_ocenione WHERE powod IS NULL AND op <> 'create'
-QUALIFY row_number() OVER (PARTITION BY id_odp_w ORDER BY nr DESC) = 1""",
+    CASE WHEN t.wielokrotnego_wyboru AND c.poziom_poprawnosci NOT IN (0, 100) THEN 'poziom_wielokrotny' END), '') AS zle,
+  (SELECT count(*) FROM odpowiedz_wzorcowa w WHERE w.id_pyt = c.id_pyt AND w.tresc_odp = c.tresc_odp) AS bylo
+FROM zmiany_odpowiedzi c LEFT JOIN pytanie p ON p.id_pyt = c.id_pyt LEFT JOIN typ t ON t.id_typu = p.id_typu""",
+    # one row per request in order: rows of the text that are left before it, and how many were taken away
+    "odpowiedzi_sumy": """
+SELECT *, bylo + sum(krok) OVER w AS suma FROM (
+  SELECT *, CASE WHEN NOT znane THEN 0 WHEN op = 'create' AND zle IS NULL THEN 1 WHEN op = 'delete' THEN -1 ELSE 0 END AS krok
+  FROM odpowiedzi_reguly) WINDOW w AS (PARTITION BY id_pyt, tresc_odp ORDER BY nr)""",
+    "odpowiedzi_kolejka": """
+SELECT *, coalesce(lag(dno) OVER w, 0) AS dno_przed, sum((krok = -1)::INT) OVER w + dno AS usuniete, sum((krok = 1)::INT) OVER w AS dodane
+FROM (SELECT *, least(0, min(suma) OVER (PARTITION BY id_pyt, tresc_odp ORDER BY nr)) AS dno FROM odpowiedzi_sumy)
+WINDOW w AS (PARTITION BY id_pyt, tresc_odp ORDER BY nr)""",
+    "odpowiedzi_ocenione": """
+SELECT *, CASE WHEN NOT znane THEN 'no_question'
+  WHEN op <> 'create' AND suma - krok - dno_przed <= 0 THEN 'no_template' WHEN op <> 'delete' THEN zle END AS powod
+FROM odpowiedzi_kolejka""",
+    "odpowiedzi_wiersze": """
+SELECT id_odp_w, id_pyt, tresc_odp, poziom_poprawnosci, komentarz, ost_modyfikacja,
+  row_number() OVER (PARTITION BY id_pyt, tresc_odp ORDER BY id_odp_w) AS miejsce FROM odpowiedz_wzorcowa
+UNION ALL
+SELECT (SELECT max(id_odp_w) FROM odpowiedz_wzorcowa) + row_number() OVER (ORDER BY nr), id_pyt, tresc_odp,
+  poziom_poprawnosci, komentarz, kiedy, bylo + dodane FROM odpowiedzi_ocenione WHERE op = 'create' AND powod IS NULL""",
+    "odpowiedzi_edycje": """
+SELECT id_pyt, tresc_odp, usuniete + 1 AS miejsce, arg_max(kiedy, nr) AS kiedy, arg_max(komentarz, nr) AS komentarz,
+  arg_max(poziom_poprawnosci, nr) AS poziom_poprawnosci
+FROM odpowiedzi_ocenione WHERE op = 'update' AND powod IS NULL GROUP BY ALL""",
     "ruchy_wlascicieli": """
 SELECT c.*, CASE WHEN q.id_quizu IS NULL THEN 'no_quiz' WHEN q.id_grupy <> 0 THEN 'not_in_limbo' END AS powod
 FROM zmiany_wlascicieli c LEFT JOIN quiz q ON q.id_quizu = c.id_quizu""",
-    "ruchy_grup": """
+    "ruchy_wstepne": """
 SELECT c.*, CASE WHEN g.id_grupy IS NULL THEN 'no_group' WHEN q.id_quizu IS NULL THEN 'no_quiz'
-                 WHEN q.id_grupy <> 0 THEN 'not_in_limbo' END AS powod
+                 WHEN q.id_grupy <> 0 THEN 'not_in_limbo' END AS wstepny
 FROM przeniesienia c LEFT JOIN quiz q ON q.id_quizu = c.id_quizu
 LEFT JOIN grupa_quizowa g ON g.id_grupy = c.id_grupy""",
     "cele": """
-SELECT id_quizu, arg_max(id_grupy, nr) AS cel FROM ruchy_grup WHERE powod IS NULL GROUP BY id_quizu""",
+SELECT id_quizu, id_grupy AS cel, nr AS kiedy FROM ruchy_wstepne WHERE wstepny IS NULL AND id_grupy <> 0
+QUALIFY row_number() OVER (PARTITION BY id_quizu ORDER BY nr) = 1""",
+    "ruchy_grup": """
+SELECT r.nr, r.id_quizu, r.id_grupy, coalesce(wstepny, CASE WHEN r.nr > c.kiedy THEN 'not_in_limbo' END) AS powod
+FROM ruchy_wstepne r LEFT JOIN cele c ON c.id_quizu = r.id_quizu""",
     "quizy_po_ruchu": """
 SELECT q.id_quizu, q.id_wlasciciela, q.nazwa, coalesce(c.cel, q.id_grupy) AS id_grupy, q.limit_podejsc,
   q.limit_czasowy, q.data_utworzenia, q.ukryty FROM quiz q LEFT JOIN cele c USING (id_quizu)""",
@@ -147,28 +171,18 @@ FROM grupy_sprawdzone s""",
     "pytania_usuwane": """
 SELECT id_pyt FROM pytanie WHERE id_quizu IN (SELECT id_quizu FROM quizy_do_usuniecia)
 UNION SELECT id_pyt FROM pytania_do_usuniecia""",
-    "profile_zmienione": """
-SELECT u.id_uz, c.nr, coalesce(c.nazwa_uz, u.nazwa_uz) AS nazwa_uz, coalesce(c.login, u.login) AS login,
-  coalesce(c.email, u.email) AS email, u.ranga
-FROM uzytkownik u JOIN (SELECT * FROM zmiany_profili
-  QUALIFY row_number() OVER (PARTITION BY id_uz ORDER BY nr DESC) = 1) c ON c.id_uz = u.id_uz""",
-    "profile_ocenione": f"""
-SELECT z.*, nullif(concat_ws(',',
-  CASE WHEN NOT regexp_matches(email, '{EMAIL}') THEN 'email_format' END,
-  CASE WHEN length(login) > 15 THEN 'login_za_dlugi' END,
-  CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.nazwa_uz = z.nazwa_uz AND o.id_uz <> z.id_uz)
-         OR z.nazwa_uz NOT IN (SELECT nazwa_uz FROM uzytkownik)
-           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.nazwa_uz = z.nazwa_uz AND o.nr < z.nr)
-       THEN 'nazwa_uz_zajete' END,
-  CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.login = z.login AND o.id_uz <> z.id_uz)
-         OR z.login NOT IN (SELECT login FROM uzytkownik)
-           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.login = z.login AND o.nr < z.nr)
-       THEN 'login_zajete' END,
-  CASE WHEN EXISTS (SELECT 1 FROM uzytkownik o WHERE o.email = z.email AND o.id_uz <> z.id_uz)
-         OR z.email NOT IN (SELECT email FROM uzytkownik)
-           AND EXISTS (SELECT 1 FROM profile_zmienione o WHERE o.email = z.email AND o.nr < z.nr)
-       THEN 'email_zajete' END), '') AS powod
-FROM profile_zmienione z""",
+    "profile_zmienione": f"""
+SELECT c.nr, c.id_uz, c.nazwa_uz, c.login, c.email,
+  nullif(concat_ws(',', CASE WHEN NOT regexp_matches(coalesce(c.email, u.email), '{EMAIL}') THEN 'email_format' END,
+                   CASE WHEN length(coalesce(c.login, u.login)) > 15 THEN 'login_za_dlugi' END), '') AS zle
+FROM zmiany_profili c JOIN uzytkownik u ON u.id_uz = c.id_uz""",
+    "profile_ocenione": """
+SELECT z.*, nullif(concat_ws(',', zle, CASE WHEN {nazwa_uz} THEN 'nazwa_uz_zajete' END,
+  CASE WHEN {login} THEN 'login_zajete' END, CASE WHEN {email} THEN 'email_zajete' END), '') AS powod
+FROM profile_zmienione z""".format(**{f: f"""(EXISTS (SELECT 1 FROM uzytkownik o WHERE o.{f} = z.{f} AND o.id_uz <> z.id_uz)
+  OR z.{f} NOT IN (SELECT {f} FROM uzytkownik)
+     AND (SELECT arg_min(o.id_uz, o.nr) FROM profile_zmienione o WHERE o.zle IS NULL AND o.{f} = z.{f} AND o.nr < z.nr) <> z.id_uz)"""
+                                      for f in ("nazwa_uz", "login", "email")}),
     "linie": r"""
 SELECT doc_id, unnest(l) AS linia, generate_subscripts(l, 1) - 1 AS nr
 FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n') AS l
@@ -389,21 +403,21 @@ FROM pytanie p LEFT JOIN przelaczane t ON t.id_pyt = p.id_pyt""",
 SELECT id_pyt, 'no_question' AS powod, n AS odmowy FROM przelaczane WHERE ukryty IS NULL
 UNION ALL SELECT id_pyt, 'invalid', n - (NOT ukryty)::INT FROM przelaczane
 WHERE ukryty IS NOT NULL AND NOT poprawne AND n - (NOT ukryty)::INT > 0""",
-    "update_questions": f"""
-SELECT {QUESTION} FROM pytanie WHERE id_pyt NOT IN (SELECT id_pyt FROM pytania_ocenione WHERE powod IS NULL)
-UNION ALL SELECT id_pyt, tresc, id_typu, id_autora, pkt, id_quizu, id_kategorii, ukryty OR NOT poprawne
-FROM pytania_ocenione WHERE powod IS NULL""",
+    "update_questions": """
+SELECT p.id_pyt, coalesce(n.tresc, p.tresc) AS tresc, coalesce(n.id_typu, p.id_typu) AS id_typu, p.id_autora,
+  coalesce(n.pkt, p.pkt) AS pkt, p.id_quizu, coalesce(n.id_kategorii, p.id_kategorii) AS id_kategorii,
+  p.ukryty OR NOT coalesce(n.zawsze_poprawne, true) AS ukryty
+FROM pytanie p LEFT JOIN pytania_nowe n ON n.id_pyt = p.id_pyt""",
     "update_questions_rejects": """
-SELECT nr, id_pyt, powod FROM pytania_ocenione WHERE powod IS NOT NULL
+SELECT nr, id_pyt, powod FROM pytania_zmienione WHERE powod IS NOT NULL
 UNION ALL SELECT nr, id_pyt, 'no_question' FROM zmiany_pytan WHERE id_pyt NOT IN (SELECT id_pyt FROM pytanie)""",
     "apply_option_changes": """
 SELECT w.id_odp_w, w.id_pyt, w.tresc_odp, coalesce(e.poziom_poprawnosci, w.poziom_poprawnosci) AS poziom_poprawnosci,
   coalesce(e.komentarz, w.komentarz) AS komentarz, coalesce(e.kiedy, w.ost_modyfikacja) AS ost_modyfikacja
-FROM odpowiedz_wzorcowa w LEFT JOIN ostatnie_edycje e ON e.id_odp_w = w.id_odp_w
-WHERE e.op IS NULL OR e.op <> 'delete'
-UNION ALL
-SELECT (SELECT max(id_odp_w) FROM odpowiedz_wzorcowa) + row_number() OVER (ORDER BY nr), id_pyt, tresc_odp,
-  poziom_poprawnosci, komentarz, kiedy FROM odpowiedzi_ocenione WHERE op = 'create' AND powod IS NULL""",
+FROM odpowiedzi_wiersze w
+LEFT JOIN odpowiedzi_edycje e ON e.id_pyt = w.id_pyt AND e.tresc_odp = w.tresc_odp AND e.miejsce = w.miejsce
+LEFT JOIN (SELECT id_pyt, tresc_odp, max(usuniete) AS glowa FROM odpowiedzi_ocenione GROUP BY ALL) g
+  ON g.id_pyt = w.id_pyt AND g.tresc_odp = w.tresc_odp WHERE w.miejsce > coalesce(g.glowa, 0)""",
     "apply_option_changes_rejects": """
 SELECT nr, op, id_pyt, tresc_odp, powod FROM odpowiedzi_ocenione WHERE powod IS NOT NULL""",
     "transfer_ownership": """
@@ -453,9 +467,13 @@ FROM quiz LEFT JOIN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0
     "delete_users_dostep_grupa": """
 SELECT * FROM dostep_grupa WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia)""",
     "update_profiles": """
-SELECT id_uz, login, nazwa_uz, email, ranga FROM uzytkownik
-WHERE id_uz NOT IN (SELECT id_uz FROM profile_ocenione WHERE powod IS NULL)
-UNION ALL SELECT id_uz, login, nazwa_uz, email, ranga FROM profile_ocenione WHERE powod IS NULL""",
+SELECT u.id_uz, coalesce(n.login, u.login) AS login, coalesce(n.nazwa_uz, u.nazwa_uz) AS nazwa_uz,
+  coalesce(n.email, u.email) AS email, u.ranga
+FROM uzytkownik u LEFT JOIN (
+  SELECT id_uz, arg_max(login, nr) FILTER (WHERE login IS NOT NULL) AS login,
+    arg_max(nazwa_uz, nr) FILTER (WHERE nazwa_uz IS NOT NULL) AS nazwa_uz,
+    arg_max(email, nr) FILTER (WHERE email IS NOT NULL) AS email
+  FROM profile_ocenione WHERE powod IS NULL GROUP BY 1) n ON n.id_uz = u.id_uz""",
     "update_profiles_rejects": """
 SELECT nr, id_uz, powod FROM profile_ocenione WHERE powod IS NOT NULL
 UNION ALL SELECT nr, id_uz, 'no_user' FROM zmiany_profili WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownik)""",

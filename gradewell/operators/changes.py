@@ -1,11 +1,12 @@
 """Change sets applied to whole tables: new state and rejected rows out.
 
 Each function takes all changes of a batch as a DataFrame. Where several rows
-of a batch touch one key, ``nr`` (the row's number in the batch) decides: the
-last one wins. Files have no row updates, so write the result to a new path.
+of a batch touch one key they count as requests one after another, in the order
+of ``nr`` (the row's number in the batch). Files have no row updates, so write the
+result to a new path.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import is_member
@@ -51,6 +52,21 @@ def overlay(table: DataFrame, changes: DataFrame, key: str, fields: list[str], h
     )
 
 
+def last_given(changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Each field's last value that is not null, by key, fields renamed to ``_new_*``."""
+    given = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("nr"))).alias(f"_new_{f}") for f in fields]
+    return changes.groupBy(key).agg(*given)
+
+
+def overlaid(changes: DataFrame, table: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """For each change of a known key, the table's row with the change's fields over it, and ``nr``."""
+    news = changes.select("nr", key, *[F.col(f).alias(f"_new_{f}") for f in fields])
+    # the table's side is narrowed to the batch's keys before rows of popular keys meet it
+    return news.join(own_shuffle(table, key), key).select(
+        "nr", *[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns]
+    )
+
+
 def missing_keys(changes: DataFrame, table: DataFrame, key: str, reason: str) -> DataFrame:
     return changes.join(table.select(key), key, "left_anti").select("nr", key, F.lit(reason).alias("powod"))
 
@@ -83,7 +99,9 @@ def shown_options(
     by = ["id_uz", "data_wyslania", "id_pyt"]
     # options meet the attempts, one short row each, so only the result is shuffled
     drawn = draw_options(attempts.join(options, "id_quizu"), by, seed)
-    entered = submissions.filter(F.col("id_pyt").isNotNull()).select(*by, "chosen", "open_text")
+    # a form may arrive more than once; of differing rows for one question the greatest counts
+    entry = F.max(F.struct("open_text", "chosen")).alias("_wpis")
+    entered = submissions.filter(F.col("id_pyt").isNotNull()).groupBy(*by).agg(entry).select(*by, "_wpis.*")
     ticked = F.when(
         F.col("rodzaj") == "open",
         F.coalesce(F.contains("open_text", "tresc_odp"), F.lit(False)),
@@ -191,80 +209,97 @@ QUESTION_FIELDS = ["tresc", "id_typu", "pkt", "id_kategorii"]
 def update_questions(
     changes: DataFrame, questions: DataFrame, types: DataFrame, templates: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Applies field changes (nr, id_pyt, fields; null keeps the old value).
+    """Applies field changes (nr, id_pyt, fields; null keeps the old value) row by row.
 
-    A change that would break ``question_rules`` is refused. An updated question
-    that is not valid any more is hidden.
+    A row that would break ``question_rules`` is refused alone; a field's last accepted
+    value counts. A question that is not valid after one of its accepted rows is
+    hidden, also if a later row makes it valid again.
     """
-    last = last_per_key(changes, "id_pyt", QUESTION_FIELDS)
-    nr = changes.groupBy("id_pyt").agg(F.max("nr").alias("nr"))
-    touched = overlay(questions, last, "id_pyt", QUESTION_FIELDS, "inner")
+    own = overlaid(changes, questions, "id_pyt", QUESTION_FIELDS)
     broken = F.array_join(problems(question_rules()), ",")
-    judged = touched.withColumn("powod", F.when(broken != "", broken))
-    validity = question_validity(touched, types, templates).select("id_pyt", "poprawne")
-    applied = (
-        _accepted(judged)
-        .join(validity, "id_pyt")
-        .withColumn("ukryty", F.col("ukryty") | ~F.coalesce("poprawne", F.lit(False)))
-        .select(*questions.columns)
-    )
-    kept = questions.join(_accepted(judged).select("id_pyt"), "id_pyt", "left_anti")
-    rejects = _rejected(judged.join(nr, "id_pyt"), "id_pyt").unionByName(
-        missing_keys(changes, questions, "id_pyt", "no_question")
-    )
-    return kept.select(*questions.columns).unionByName(applied), rejects
+    judged = own.select("nr", "id_pyt", F.when(broken != "", broken).alias("powod"))
+    accepted = changes.join(_accepted(judged).select("nr"), "nr", "left_semi")
+    news = last_given(accepted, "id_pyt", QUESTION_FIELDS)
+
+    # every type that a question had after an accepted row; its old one only if the first row keeps it
+    keeps = accepted.groupBy("id_pyt").agg(F.min_by(F.col("id_typu").isNull(), "nr").alias("_stary"))
+    kept = questions.select("id_pyt", "id_typu").join(keeps.filter("_stary").select("id_pyt"), "id_pyt", "left_semi")
+    given = accepted.filter("id_typu IS NOT NULL").select("id_pyt", "id_typu")
+    had = kept.union(given).distinct()
+    mine = templates.join(keeps.select("id_pyt"), "id_pyt", "left_semi")
+    validity = question_validity(had, types, mine).groupBy("id_pyt").agg(F.min("poprawne").alias("_zawsze"), F.count("*").alias("_typy"))
+    known = had.groupBy("id_pyt").agg(F.count("*").alias("_wszystkie")).join(validity, "id_pyt", "left")
+    never = known.filter(~F.coalesce(F.col("_zawsze") & (F.col("_typy") == F.col("_wszystkie")), F.lit(False)))
+    state = overlay(questions, news, "id_pyt", QUESTION_FIELDS)
+    state = state.join(never.select("id_pyt", F.lit(True).alias("_ukryj")), "id_pyt", "left")
+    state = state.withColumn("ukryty", F.col("ukryty") | F.coalesce("_ukryj", F.lit(False)))
+    rejects = _rejected(judged, "id_pyt").unionByName(missing_keys(changes, questions, "id_pyt", "no_question"))
+    return state.select(*questions.columns), rejects
 
 
 def apply_option_changes(
     changes: DataFrame, templates: DataFrame, questions: DataFrame, types: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Template answers added, changed and deleted.
+    """Template answers added, changed and deleted, row by row.
 
     ``changes``: nr, op (create, update, delete), id_pyt, tresc_odp,
     poziom_poprawnosci, komentarz, kiedy. Update and delete find their row by
-    (id_pyt, tresc_odp), the lowest id when several match; ``kiedy`` becomes the
-    modification time.
+    (id_pyt, tresc_odp): of the rows that are there at that moment, created ones
+    included, the lowest id. ``kiedy`` becomes the modification time.
+
+    The rows of one (id_pyt, tresc_odp) form a queue: creating appends, deleting takes
+    the head, updating meets the head. With +1 and -1 for these, the running sum and its
+    running minimum tell which row is the head, and where there was none.
     """
-    first = templates.groupBy("id_pyt", "tresc_odp").agg(F.min("id_odp_w").alias("id_odp_w"))
-    found = with_multi_flag(changes, questions, types).join(
-        own_shuffle(first, "id_pyt"), ["id_pyt", "tresc_odp"], "left"
-    )
+    by = ["id_pyt", "tresc_odp"]
+    fields = ["poziom_poprawnosci", "komentarz"]
+    keys = changes.select(*by).distinct()
+    touched = templates.join(keys, by, "left_semi")
+    held = touched.groupBy(*by).agg(F.count("*").alias("_bylo"))
+    found = with_multi_flag(changes, questions, types).join(own_shuffle(held, "id_pyt"), by, "left")
     rules = template_rules()
     new_broken = F.array_join(problems(rules), ",")
     changed_rules = {k: v for k, v in rules.items() if k not in ("tresc_odp_pusta", "poziom_pusty")}
     changed_broken = F.array_join(problems(changed_rules), ",")
-    is_new = F.col("op") == "create"
+    is_new, known = F.col("op") == "create", F.col("wielokrotnego_wyboru").isNotNull()
+    step = F.when(known & is_new & (new_broken == ""), 1).when(known & (F.col("op") == "delete"), -1).otherwise(0)
+    order = Window.partitionBy(*by).orderBy("nr")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumns({"_bylo": F.coalesce("_bylo", F.lit(0)), "_krok": step})
+    found = found.withColumn("_suma", F.col("_bylo") + F.sum("_krok").over(sofar))
+    found = found.withColumn("_dno", F.least(F.min("_suma").over(sofar), F.lit(0)))
+    found = found.withColumn("_dno_przed", F.lag("_dno", 1, 0).over(order))
+    there = F.col("_suma") - F.col("_krok") - F.col("_dno_przed")  # rows in the queue before this one
     reason = (
-        F.when(F.col("wielokrotnego_wyboru").isNull(), "no_question")
-        .when(~is_new & F.col("id_odp_w").isNull(), "no_template")
+        F.when(~known, "no_question")
+        .when(~is_new & (there <= 0), "no_template")
         .when(is_new & (new_broken != ""), new_broken)
         .when((F.col("op") == "update") & (changed_broken != ""), changed_broken)
     )
-    judged = found.withColumn("powod", reason)
-    edits = _accepted(judged).filter(~is_new)
-    fields = ["poziom_poprawnosci", "komentarz"]
-    last = edits.groupBy("id_odp_w").agg(
-        F.max_by("op", "nr").alias("_op"),
-        F.max_by("kiedy", "nr").alias("_new_ost_modyfikacja"),
-        *[F.max_by(f, "nr").alias(f"_new_{f}") for f in fields],
-    )
-    edited = overlay(
-        templates.join(last.filter("_op = 'delete'").select("id_odp_w"), "id_odp_w", "left_anti"),
-        last.filter("_op = 'update'").drop("_op"),
-        "id_odp_w",
-        fields + ["ost_modyfikacja"],
-    )
-    fresh = with_new_ids(
+    gone = F.sum(F.when(F.col("_krok") == -1, 1).otherwise(0)).over(sofar) + F.col("_dno")
+    made = F.sum(F.when(F.col("_krok") == 1, 1).otherwise(0)).over(sofar)
+    judged = found.withColumns({"powod": reason, "_usuniete": gone, "_miejsce": F.col("_bylo") + made})
+
+    created = with_new_ids(
         _accepted(judged)
         .filter(is_new)
-        .select("nr", "id_pyt", "tresc_odp", *fields, F.col("kiedy").alias("ost_modyfikacja")),
+        .select("nr", *by, *fields, F.col("kiedy").alias("ost_modyfikacja"), "_miejsce"),
         templates,
         "id_odp_w",
     )
     columns = ["id_odp_w", "id_pyt", "tresc_odp", *fields, "ost_modyfikacja"]
-    return edited.select(*columns).unionByName(fresh.select(*columns)), _rejected(
-        judged, "op", "id_pyt", "tresc_odp"
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("id_odp_w")).cast("long")
+    queue = touched.select(*columns, place.alias("_miejsce")).unionByName(created.select(*columns, "_miejsce"))
+    edits = _accepted(judged).filter("op = 'update'").withColumn("_miejsce", F.col("_usuniete") + 1)
+    edits = edits.groupBy(*by, "_miejsce").agg(
+        F.max_by("kiedy", "nr").alias("_new_ost_modyfikacja"),
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("nr"))).alias(f"_new_{f}") for f in fields],
     )
+    taken = judged.groupBy(*by).agg(F.max("_usuniete").alias("_glowa"))
+    alive = queue.join(own_shuffle(taken, "id_pyt"), by).filter("_miejsce > _glowa").join(own_shuffle(edits, "id_pyt"), [*by, "_miejsce"], "left")
+    alive = alive.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in (*fields, "ost_modyfikacja") else F.col(c) for c in columns])
+    others = templates.join(keys, by, "left_anti").select(*columns)
+    return others.unionByName(alive), _rejected(judged, "op", "id_pyt", "tresc_odp")
 
 
 def _limbo_moves(changes: DataFrame, quizzes: DataFrame, limbo_only: bool) -> DataFrame:
@@ -288,11 +323,23 @@ def transfer_ownership(
 def move_quizzes(
     changes: DataFrame, quizzes: DataFrame, groups: DataFrame, limbo_only: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Moves quizzes (nr, id_quizu, id_grupy); also gives the groups that gained one, once per quiz."""
+    """Moves quizzes (nr, id_quizu, id_grupy); also gives the groups that gained one, once per quiz.
+
+    A quiz leaves the holding area with its first accepted move to another group, and
+    later moves find it gone (``not_in_limbo``). With ``limbo_only=False`` the last one counts.
+    """
     known = groups.select("id_grupy", F.lit(True).alias("_jest"))
     judged = _limbo_moves(changes, quizzes, limbo_only).join(known, "id_grupy", "left")
     judged = judged.withColumn("powod", F.when(F.col("_jest").isNull(), "no_group").otherwise(F.col("powod")))
-    news = last_per_key(_accepted(judged), "id_quizu", ["id_grupy"])
+    if limbo_only:
+        leaving = _accepted(judged).filter(F.col("id_grupy") != LIMBO_GROUP).groupBy("id_quizu")
+        news = leaving.agg(F.min_by("id_grupy", "nr").alias("_new_id_grupy"), F.min("nr").alias("_kiedy"))
+        judged = judged.join(own_shuffle(news.select("id_quizu", "_kiedy"), "id_quizu"), "id_quizu", "left")
+        late = F.when(F.col("nr") > F.col("_kiedy"), "not_in_limbo")
+        judged = judged.withColumn("powod", F.coalesce("powod", late))
+        news = news.drop("_kiedy")
+    else:
+        news = last_per_key(_accepted(judged), "id_quizu", ["id_grupy"])
     touched = news.select(F.col("_new_id_grupy").alias("id_grupy"))
     return (
         overlay(quizzes, news, "id_quizu", ["id_grupy"]),
@@ -372,18 +419,24 @@ def _taken(
 ) -> DataFrame:
     """Adds ``_taken_<column>``: the value is another's already, or an earlier row of ``batch`` asks for it.
 
-    ``key``: rows and table share it, and a row's own table value does not count.
-    Both facts are gathered per value first, so rows meet them in one join.
+    ``key``: rows and table share it; a row's own table value does not count, nor
+    does an earlier row with the same key. Only values of the batch are looked up
+    in the table, and all facts are gathered per value, so rows meet them in one join.
     """
-    owners = table.groupBy(column).agg(
+    asked = batch.filter(F.col(column).isNotNull()).groupBy(column).agg(
+        F.min("nr").alias("_first"), *([F.min_by(key, "nr").alias("_first_key")] if key else [])
+    )
+    owners = table.join(rows.select(column).distinct(), column, "left_semi").groupBy(column).agg(
         F.count("*").alias("_n"), *([F.min(key).alias("_k1"), F.max(key).alias("_k2")] if key else [])
     )
-    facts = batch.groupBy(column).agg(F.min("nr").alias("_first")).join(owners, column, "left")
+    facts = asked.join(owners, column, "full")
     by_other = F.coalesce(F.col("_n") > 0, F.lit(False))
+    earlier = F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
     if key:
         by_other = by_other & ((F.col("_k1") != F.col(key)) | (F.col("_k2") != F.col(key)))
+        earlier = earlier & (F.col("_first_key") != F.col(key))
     # whoever holds a value may keep it; a free value goes to the first row that asks
-    earlier = F.col("_n").isNull() & F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
+    earlier = F.col("_n").isNull() & earlier
     return rows.join(own_shuffle(facts, column), column, "left").select(
         *rows.columns, (by_other | earlier).alias(f"_taken_{column}")
     )
@@ -459,22 +512,26 @@ PROFILE_FIELDS = ["nazwa_uz", "login", "email"]
 
 
 def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Applies (nr, id_uz, nazwa_uz, login, email); null keeps the old value.
+    """Applies (nr, id_uz, nazwa_uz, login, email) row by row; null keeps the old value.
 
-    Refused when ``user_rules`` break, when a value belongs to another user, or
-    when an earlier row of the batch asks for the same free value. The last change
-    of a user counts.
+    Every row is judged by itself and refused alone: when ``user_rules`` break with
+    its fields put over the table's, when a value it sets belongs to another user of
+    the table, or when an earlier row of another user that keeps the rules asks for
+    the same free value. A field's last accepted value counts. A value that the
+    batch frees can be taken from the next batch on.
     """
-    last = last_per_key(changes, "id_uz", PROFILE_FIELDS)
-    nr = changes.groupBy("id_uz").agg(F.max("nr").alias("nr"))
-    touched = overlay(users, last, "id_uz", PROFILE_FIELDS, "inner")
-    batch = touched.join(nr, "id_uz")
-    rows = batch
+    own = overlaid(changes, users, "id_uz", PROFILE_FIELDS)
+    rules = F.array_join(problems(user_rules()), ",")
+    checked = own.withColumn("powod", F.when(rules != "", rules))
+    asked = changes.join(users.select("id_uz"), "id_uz", "left_semi").select("nr", "id_uz", *PROFILE_FIELDS)
+    rivals = asked.join(_accepted(checked).select("nr"), "nr", "left_semi")
+    rows = asked
     for field in PROFILE_FIELDS:
-        rows = _taken(rows, batch, users, field, "id_uz")
-    rules = user_rules() | {f"{f}_zajete": F.col(f"_taken_{f}") for f in PROFILE_FIELDS}
-    broken = F.array_join(problems(rules), ",")
-    judged = rows.withColumn("powod", F.when(broken != "", broken))
-    kept = users.join(_accepted(judged).select("id_uz"), "id_uz", "left_anti").select(*users.columns)
-    state = kept.unionByName(_accepted(judged).select(*users.columns))
-    return state, _rejected(judged, "id_uz").unionByName(missing_keys(changes, users, "id_uz", "no_user"))
+        rows = _taken(rows, rivals, users, field, "id_uz")
+    taken = F.array_join(problems({f"{f}_zajete": F.col(f"_taken_{f}") for f in PROFILE_FIELDS}), ",")
+    reasons = checked.select("nr", "powod").join(rows.select("nr", "id_uz", taken.alias("_zajete")), "nr")
+    both = F.concat_ws(",", "powod", F.when(F.col("_zajete") != "", F.col("_zajete")))
+    judged = reasons.select("nr", "id_uz", F.when(both != "", both).alias("powod"))
+    news = last_given(asked.join(_accepted(judged).select("nr"), "nr", "left_semi"), "id_uz", PROFILE_FIELDS)
+    rejects = _rejected(judged, "id_uz").unionByName(missing_keys(changes, users, "id_uz", "no_user"))
+    return overlay(users, news, "id_uz", PROFILE_FIELDS), rejects
