@@ -8,12 +8,12 @@ import json
 import os
 import platform
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from gradewell.plans import registry
+from gradewell.sources.shared import shared_folder
 from gradewell.sources.testrequests import Requests
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -48,7 +48,7 @@ def main() -> None:
     answers_of_ranking = registry.run("recompute_ranking", Requests(spark, SF_DIR))
     answers_of_ranking.limit(1).count()  # start-up cost is not a query's
     start = time.time()
-    d.stored(tempfile.mkdtemp(prefix="bench-"), *STORED, files=int(CPUS))
+    d.stored(shared_folder(spark, "bench"), *STORED, files=int(CPUS))
     seconds["prepare"] = round(time.time() - start, 3)
     fresh = Requests(spark, SF_DIR)
     fresh.__dict__.update({name: d.__dict__[name] for name in STORED if name != "ranking"})

@@ -2,7 +2,16 @@
 
 from checks.oracle_requests import REQUESTS
 from checks.oracle_tables import may, with_tables
-from gradewell.operators.relations import FOREIGN_KEYS
+
+# child table, foreign key, parent table; a parent's key has the name given, or the same as the child's
+REFERENCES = """
+dostep_grupa.id_uz uzytkownik, dostep_grupa.id_grupy grupa_quizowa, dyskusja.id_quizu quiz, dyskusja.id_uz uzytkownik,
+grupa_quizowa.id_wlasciciela uzytkownik.id_uz, odpowiedz_uzytkownika.id_uz uzytkownik,
+odpowiedz_uzytkownika.id_pyt pytanie, odpowiedz_wzorcowa.id_pyt pytanie,
+podkategoria.id_nadkategorii kategoria.id_kategorii, podkategoria.id_podkategorii kategoria.id_kategorii,
+pytanie.id_typu typ, pytanie.id_autora uzytkownik.id_uz, pytanie.id_quizu quiz, pytanie.id_kategorii kategoria,
+quiz.id_wlasciciela uzytkownik.id_uz, quiz.id_grupy grupa_quizowa, ranking.id_uz uzytkownik, ranking.id_grupy grupa_quizowa
+"""
 
 SEED = "losowanie"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,4}"
@@ -560,6 +569,12 @@ SELECT b.id_uz, q.id_grupy, round(sum(b.m), 6) AS pkt FROM (
 }
 
 
+def _reference(text: str) -> tuple[str, str, str, str]:
+    child, parent = text.split()
+    table, key = child.split(".")
+    return (table, key, *(parent.split(".") if "." in parent else (parent, key)))
+
+
 def _orphans() -> str:
     kept = {
         "uzytkownik": "id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia)",
@@ -568,8 +583,7 @@ def _orphans() -> str:
     parts = [
         f"""SELECT '{child}' AS tabela, '{key}' AS klucz, {key} AS wartosc, count(*) AS wiersze FROM {child}
 WHERE {kept.get(child, "true")} AND {key} NOT IN (SELECT {pkey} FROM {parent} WHERE {kept.get(parent, "true")}) GROUP BY {key}"""
-        for child, key, parent, pkey in FOREIGN_KEYS
-        if child != "ranking"
+        for child, key, parent, pkey in map(_reference, REFERENCES.split(","))
     ]
     return "\nUNION ALL ".join(parts)
 

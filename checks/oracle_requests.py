@@ -36,7 +36,7 @@ SELECT o_orderkey AS nr, CASE WHEN o_orderstatus = 'P' THEN -1 - o_custkey ELSE
   o_orderpriority < '3' AS ukryty FROM orders""",
     "przelaczenia": """
 SELECT CASE WHEN l_quantity > 49 THEN -1 - l_partkey ELSE l_partkey * 10 + l_linenumber END AS id_pyt
-FROM lineitem WHERE l_linestatus = 'O'""",
+FROM lineitem""",
     "zmiany_pytan": """
 SELECT o_orderkey AS nr, o_custkey * 10 + 1 + o_orderkey % 8 AS id_pyt,
   CASE WHEN o_orderstatus = 'F' THEN o_orderpriority

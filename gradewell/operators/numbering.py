@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_BITS = 20  # a cell of unique ids holds at most 2**20 rows
+#: What stands for null in a key, by type; a flag beside it tells the two apart.
+_LEAST = {
+    "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0, "float": 0, "boolean": False,
+    "date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01",
+}
 
 
 def id_cell(column: str) -> Column:
@@ -45,22 +50,30 @@ def numbered(
     """1-based position of each row in its group ``by`` under ``order``.
 
     ``levels`` are the cell columns, coarse to fine. Every level must rise with
-    ``order``. ``by`` and cell columns must not be null.
+    ``order``. Rows with a null group form a group; a null cell comes first, as nulls
+    do in ``order``.
 
     Rows are spread by group and cell on purpose: a join on the group key before
     would otherwise lend its layout, and a big group would stay in one task.
     """
     by = list(by or [])
     tagged, names = df, []
+
+    def keyed(column: Column, name: str) -> list[str]:
+        """Two columns without nulls that tell the values of ``column`` apart, nulls first."""
+        nonlocal tagged
+        tagged = tagged.withColumn(name, column)
+        least = _LEAST.get(dict(tagged.dtypes)[name], "")
+        tagged = tagged.withColumns(
+            {f"{name}_there": F.col(name).isNotNull(), name: F.coalesce(name, F.lit(least).cast(dict(tagged.dtypes)[name]))}
+        )
+        return [f"{name}_there", name]
+
+    groups = [n for i, column in enumerate(by) for n in keyed(F.col(column), f"_by{i}")]
     for depth, level in enumerate(levels):
-        names.append([f"_cell{depth}_{i}" for i in range(len(level))])
-        tagged = tagged.withColumns(dict(zip(names[-1], level)))
-    keys = by + [n for level in names for n in level]
-    # the joins below would each infer their own null filters; one common filter
-    # keeps the branches alike, so that Spark computes ``df`` once for all of them
-    for key in keys:
-        tagged = tagged.filter(F.col(key).isNotNull())
-    cells = cell_offsets(tagged.groupBy(*keys).agg(F.count("*").alias("_n")), by, names)
+        names.append([n for i, column in enumerate(level) for n in keyed(column, f"_cell{depth}_{i}")])
+    keys = groups + [n for level in names for n in level]
+    cells = cell_offsets(tagged.groupBy(*keys).agg(F.count("*").alias("_n")), groups, names)
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
         tagged.repartition(*keys)

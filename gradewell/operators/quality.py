@@ -104,28 +104,41 @@ UNIQUE = [
 
 
 def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
-    """Values that occur more than once; ``klucz`` is the value."""
+    """Values that occur more than once; ``klucz`` is the value as text.
+
+    ``tables`` holds every table of ``UNIQUE``; one that is not there is a ``KeyError``.
+    As in SQL, a value with a null in it is no duplicate.
+    """
     found = [
         tables[table]
-        .groupBy(F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("klucz"))
+        .dropna(subset=columns)
+        .groupBy(*columns)
         .agg(F.count("*").alias("_n"))
         .filter("_n > 1")
-        .select(F.lit(table).alias("tabela"), F.lit("unikalne_" + "_".join(columns)).alias("regula"), "klucz")
+        .select(
+            F.lit(table).alias("tabela"),
+            F.lit("unikalne_" + "_".join(columns)).alias("regula"),
+            F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("klucz"),
+        )
         for table, columns in UNIQUE
-        if table in tables
     ]
     return reduce(DataFrame.unionByName, found)
 
 
-def check_not_null(tables: dict[str, DataFrame]) -> DataFrame:
+def check_not_null(tables: dict[str, DataFrame], partial: tuple[str, ...] = ()) -> DataFrame:
     """Nulls in NOT NULL columns, counted per column: ``klucz`` is the column name.
 
     One pass per table. The count of each column is taken map-side, so the
-    result stays one row per broken column.
+    result stays one row per broken column. A column that is not there is a ``KeyError``,
+    unless its table is named as ``partial`` (a change set that sets some columns).
     """
     found = []
     for table, df in tables.items():
-        columns = [c for c in required_columns(table) if c in df.columns]
+        columns = required_columns(table)
+        absent = [c for c in columns if c not in df.columns]
+        if absent and table not in partial:
+            raise KeyError(f"{table} has no {', '.join(absent)}")
+        columns = [c for c in columns if c not in absent]
         counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
         pairs = F.array(*[F.struct(F.lit(c).alias("klucz"), F.col(c).alias("wiersze")) for c in columns])
         found.append(

@@ -1,5 +1,7 @@
 """Associations between tables, all key joins."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,17 +134,26 @@ FOREIGN_KEYS = [
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """Foreign-key values without a parent, and how many rows carry each.
 
-    A child table is counted per key value first, so only one row per distinct
-    value reaches the join, however many rows share it.
+    ``tables`` holds every table of ``FOREIGN_KEYS``; one that is not there is a
+    ``KeyError``. A child table is read once: its keys are stacked and counted per
+    value, so only one row per distinct value reaches the join with the parents'
+    keys, however many rows share it.
     """
-    found = None
+    children: dict[str, list[tuple[str, str, str]]] = {}
     for child, key, parent, parent_key in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        values = tables[child].groupBy(F.col(key).alias("wartosc")).agg(F.count("*").alias("wiersze"))
-        parents = tables[parent].select(F.col(parent_key).alias("wartosc"))
-        missing = without(values, parents, ["wartosc"]).filter(F.col("wartosc").isNotNull()).select(
-            F.lit(child).alias("tabela"), F.lit(key).alias("klucz"), "wartosc", "wiersze"
-        )
-        found = missing if found is None else found.unionByName(missing)
-    return found
+        children.setdefault(child, []).append((key, parent, parent_key))
+    counted = []
+    for child, keys in children.items():
+        pairs = [
+            F.struct(F.lit(key).alias("klucz"), F.lit(parent).alias("rodzic"), F.col(key).cast("bigint").alias("wartosc"))
+            for key, parent, _ in keys
+        ]
+        stacked = tables[child].select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+        counts = stacked.filter("wartosc IS NOT NULL").groupBy("klucz", "rodzic", "wartosc").agg(F.count("*").alias("wiersze"))
+        counted.append(counts.select(F.lit(child).alias("tabela"), "klucz", "rodzic", "wartosc", "wiersze"))
+    parents = [
+        tables[parent].select(F.lit(parent).alias("rodzic"), F.col(key).cast("bigint").alias("wartosc"))
+        for parent, key in sorted({(parent, key) for _, _, parent, key in FOREIGN_KEYS})
+    ]
+    values, known = reduce(DataFrame.unionByName, counted), reduce(DataFrame.unionByName, parents)
+    return without(values, known, ["rodzic", "wartosc"]).select("tabela", "klucz", "wartosc", "wiersze")

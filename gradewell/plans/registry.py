@@ -377,7 +377,7 @@ def not_enrolled(d):
 @query
 def orphans(d):
     """Rows left without a parent when users and questions are dropped with nothing else."""
-    tables = d.tables(*[name for name in ORPHAN_TABLES])
+    tables = d.tables(*ORPHAN_TABLES)
     tables["uzytkownik"] = d.uzytkownik.join(d.uzytkownicy_do_usuniecia, "id_uz", "left_anti")
     tables["pytanie"] = d.pytanie.join(d.pytania_do_usuniecia, "id_pyt", "left_anti")
     return RE.orphans(tables)
@@ -385,7 +385,7 @@ def orphans(d):
 
 ORPHAN_TABLES = [
     "dostep_grupa", "dyskusja", "grupa_quizowa", "kategoria", "odpowiedz_uzytkownika", "odpowiedz_wzorcowa",
-    "podkategoria", "quiz", "typ",
+    "podkategoria", "quiz", "ranking", "typ",
 ]
 
 
@@ -706,11 +706,14 @@ def check_unique(d):
 
 @query
 def check_not_null(d):
-    tables = d.tables("uzytkownik", "dostep_grupa", "dyskusja", "odpowiedz_uzytkownika", "odpowiedz_wzorcowa")
+    tables = d.tables(
+        "uzytkownik", "dostep_grupa", "dyskusja", "odpowiedz_uzytkownika", "odpowiedz_wzorcowa", "kategoria", "podkategoria",
+        "ranking", "typ",
+    )
     tables["pytanie"] = d.zmiany_pytan
     tables["quiz"] = d.nowe_quizy
     tables["grupa_quizowa"] = d.nowe_grupy
-    return QU.check_not_null(tables)
+    return QU.check_not_null(tables, partial=("pytanie", "quiz", "grupa_quizowa"))
 
 
 # Categories and discussions -----------------------------------------------------

@@ -1,6 +1,5 @@
 """The folder every executor can reach, for tables that must outlive a lost one."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,6 +8,16 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder the cluster names; a local one only where none is named (tests)."""
-    root = spark.conf.get(SETTING, None) or tempfile.mkdtemp(prefix="gradewell-")
+    """A new path under the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, one under the warehouse. Off a local master that has to be on
+    a shared file system, so a warehouse without a scheme, or on ``file:``, is an error.
+    """
+    root = spark.conf.get(SETTING, None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        if not local and ("://" not in warehouse or warehouse.startswith("file:")):
+            raise ValueError(f"name a folder that all executors share in {SETTING}; {warehouse} is local to each machine")
+        root = f"{warehouse.rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
