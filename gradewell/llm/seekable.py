@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import shared_path
+from gradewell.llm.common import shared_path, small_batches
 
 SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
@@ -33,6 +33,8 @@ FOOTER = "<QI8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 #: Chunks between white space whose ids a task remembers (about 100 MB).
 REMEMBERED = 500_000
+#: Words that are encoded at a time.
+TOGETHER = 500
 #: A file holds about so many input characters; one read task takes about so many frames.
 FILE_CHARS, READ_FRAMES = 32_000_000, 4096
 
@@ -51,6 +53,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
 
     @staticmethod
@@ -65,13 +70,33 @@ class Encoder:
         ends += np.searchsorted(points, ends)
         return [cut[start:end].split() for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk. Chunks of letters are one word each; they are encoded many at a
+        time and told apart by the pieces that close a word."""
+        plain = [x.decode("utf-8") for x in chunks]
+        words = [k for k, x in enumerate(plain) if x.isalpha()]
+        out: list[bytes | None] = [None] * len(chunks)
+        for start in range(0, len(words), TOGETHER):
+            group = words[start : start + TOGETHER]
+            ids = self.tokenizer.encode_batch_fast([" ".join(plain[k] for k in group)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids] if len(ids) and ids.max() < len(self.closes) else np.zeros(0)) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                for k, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[k] = raw[4 * a : 4 * b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        found = self.tokenizer.encode_batch_fast([plain[k] for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, found, strict=True):
+            out[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = self.chunks(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = [*set().union(*split).difference(self.known)]
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False)
-        self.known.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(fresh, (e.ids for e in found), strict=True))
+        self.known.update(zip(fresh, self.encode(fresh), strict=True))
         return [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in split]
 
 
@@ -224,7 +249,8 @@ def write_tokens(
     frames = frames.sortWithinPartitions("bucket", "doc_id", "ids_crc")
     listed = frames.mapInPandas(_write(folder), "bucket int, file string, n_docs long, n_tokens long")
     path = f"{folder.rstrip('/')}/list.parquet"
-    listed.write.parquet(path)
+    with small_batches(spark):
+        listed.write.parquet(path)
     rows = sorted(spark.read.parquet(path).collect())  # one row for each file
     made, start, first = [], 0, 0
     for row in rows:
