@@ -349,7 +349,8 @@ def test_url_templates(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(0, 40)] + [(100 + k, 0) for k in range(20)], "page_id long, blocked int")
     got = {r["page_id"]: r for r in judge_urls(pages, [], labels).collect()}
     assert all(got[k]["verdict"] == ("block" if k % 2 else "allow") for k in range(60))
-    assert got[150]["template"] == "/wiki/*" and got[150]["verdict"] == "allow"
+    # news and wiki are alike in their labels, so they are one branch
+    assert got[150]["template"] == "/news|wiki/*" and got[150]["verdict"] == "allow"
     assert got[41]["template"] == "/spam/{n}/page-{n}.html"
 
 
