@@ -120,13 +120,16 @@ def _batches(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc, frame, bucket): each text's ids as a zstandard frame."""
+def encoded(docs: DataFrame, bounds: list[int], tokenizer_path: str, end_id: int | None) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc, frame, bucket): each text's ids as a zstandard frame; the bucket
+    is the number of ``bounds`` (ascending) that are below the id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, pack = Encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=1)
+        edges = np.array(bounds, dtype=np.int64)
         for frame in frames:
-            ids, buckets = frame["doc_id"].to_numpy(), frame["bucket"].to_numpy()
+            ids = frame["doc_id"].to_numpy()
+            buckets = np.searchsorted(edges, ids, side="left")
             for start, texts in _batches(frame["text"]):
                 raw = encode(texts)
                 yield pd.DataFrame(
@@ -235,17 +238,7 @@ def write_tokens(
     shares = [k / files for k in range(1, files)]
     bounds = plain.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 100_000)).first()[0] if shares else []
     bounds = sorted({*(bounds or [])})
-    if bounds:
-        array = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
-
-        @F.pandas_udf("int")
-        def bucket(ids: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(array.value, ids.to_numpy(), side="left"))
-
-        placed = plain.withColumn("bucket", bucket("doc_id"))
-    else:
-        placed = plain.withColumn("bucket", F.lit(0))
-    frames = encoded(placed, tokenizer_path, end_id).repartitionById(len(bounds) + 1, "bucket")
+    frames = encoded(plain, bounds, tokenizer_path, end_id).repartitionById(len(bounds) + 1, "bucket")
     frames = frames.sortWithinPartitions("bucket", "doc_id", "ids_crc")
     listed = frames.mapInPandas(_write(folder), "bucket int, file string, n_docs long, n_tokens long")
     path = f"{folder.rstrip('/')}/list.parquet"
