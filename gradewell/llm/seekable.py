@@ -31,8 +31,8 @@ SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
 FOOTER = "<QI8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
-#: Chunks between white space whose ids a task remembers (about 100 MB).
-REMEMBERED = 500_000
+#: Chunks between white space whose ids a task remembers (about 50 MB).
+REMEMBERED = 250_000
 #: Words that are encoded at a time.
 TOGETHER = 500
 #: A file holds about so many input characters; one read task takes about so many frames.

@@ -7,7 +7,7 @@ import numpy as np
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 5
 MASK = (1 << 64) - 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 #: A random value for every byte, A-Z as a-z.
