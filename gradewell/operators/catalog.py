@@ -6,12 +6,12 @@ the (viewer, item) rows that are asked for and answer each with key joins. Place
 in a list are exact all the same, see ``visible_groups``.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import blank, privilege_mask, yes_no
 from gradewell.operators.access import granted, is_superuser, not_limbo_user, with_standing
-from gradewell.operators.numbering import cell_offsets, id_cell, numbered_by_id
+from gradewell.operators.numbering import cell_offsets, id_levels, numbered_by_id
 from gradewell.operators.relations import groups_with_owner
 from gradewell.operators.skew import own_shuffle, without
 from gradewell.schema import LIMBO_GROUP
@@ -94,34 +94,42 @@ def listed_groups(
     )
 
 
+#: Names of the cell levels of an id.
+_CELLS = ["_wide", "_middle", "_cell"]
+
+
+def _cells(key: str) -> dict[str, Column]:
+    return {name: cell for name, (cell,) in zip(_CELLS, id_levels(key), strict=True)}
+
+
 def _shared_places(listed: DataFrame) -> DataFrame:
     """Per listed group: its place among all groups, and the number of open groups up to it."""
     placed = numbered_by_id(listed, "id_grupy", name="_all_place")
-    tagged = placed.withColumn("_cell", id_cell("id_grupy"))
+    tagged = placed.withColumns(_cells("id_grupy"))
     is_open = (~F.col("na_zaproszenie")).cast("int")
-    cells = cell_offsets(tagged.groupBy("_cell").agg(F.sum(is_open).alias("_n")), [], [["_cell"]])
+    cells = cell_offsets(tagged.groupBy(*_CELLS).agg(F.sum(is_open).alias("_n")), [], [[c] for c in _CELLS])
     upto = F.sum(is_open).over(
-        Window.partitionBy("_cell").orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*_CELLS).orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         tagged.withColumn("_upto", upto)
-        .join(cells.select("_cell", "_before"), "_cell")
+        .join(cells.select(*_CELLS, "_before"), _CELLS)
         .select("id_grupy", "na_zaproszenie", "_all_place", (F.col("_before") + F.col("_upto")).alias("_open_place"))
     )
 
 
 def _own_before(marks: DataFrame) -> DataFrame:
     """Adds, per (viewer, group), how many own invite-only groups come before it."""
-    tagged = marks.withColumn("_cell", id_cell("id_grupy"))
+    tagged = marks.withColumns(_cells("id_grupy"))
     cells = cell_offsets(
-        tagged.groupBy("id_uz", "_cell").agg(F.sum("_own").alias("_n")), ["id_uz"], [["_cell"]]
+        tagged.groupBy("id_uz", *_CELLS).agg(F.sum("_own").alias("_n")), ["id_uz"], [[c] for c in _CELLS]
     )
     inside = F.sum("_own").over(
-        Window.partitionBy("id_uz", "_cell").orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("id_uz", *_CELLS).orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         tagged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-        .join(cells.select("id_uz", "_cell", "_before"), ["id_uz", "_cell"])
+        .join(cells.select("id_uz", *_CELLS, "_before"), ["id_uz", *_CELLS])
         .select(*marks.columns, (F.col("_before") + F.col("_inside")).alias("_own_before"))
     )
 

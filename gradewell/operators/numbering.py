@@ -2,8 +2,8 @@
 
 A plain ``row_number`` window sends a whole group to one task. Here every row
 falls into a *cell*, a coarse piece of the sort order. Rows are numbered inside
-their cell, cells are counted, and a running sum over the (few) cells gives the
-offset to add. Cells are a function of the row's own values, so a lost executor
+their cell, cells are counted, and running sums over the cells, level by level,
+give the offset to add. Cells are a function of the row's own values, so a lost executor
 that recomputes its rows gets the same numbers.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_BITS = 20  # a cell of unique ids holds at most 2**20 rows
+WIDE_BITS = (50, 35)  # wide cells: at most 2**14, of at most 2**15 middle ones, of at most 2**15 cells
 #: What stands for null in a key, by type; a flag beside it tells the two apart.
 _LEAST = {
     "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0, "float": 0, "boolean": False,
@@ -22,6 +23,13 @@ def id_cell(column: str) -> Column:
     return F.shiftright(F.col(column).cast("bigint"), CELL_BITS)
 
 
+def id_levels(column: str) -> list[list[Column]]:
+    """Cell levels of an id, coarse to fine, whose windows are bounded for any spread of ids:
+    dense ids fill few cells, hashed ids fill many, but never more than 2**15 under one parent."""
+    wide = [[F.shiftright(F.col(column).cast("bigint"), bits)] for bits in WIDE_BITS]
+    return [*wide, [id_cell(column)]]
+
+
 def cell_offsets(cells: DataFrame, by: list[str], levels: list[list[str]]) -> DataFrame:
     """Adds ``_before``: the sum of ``_n`` over all earlier cells of the same group.
 
@@ -85,4 +93,4 @@ def numbered(
 
 def numbered_by_id(df: DataFrame, key: str, by: list[str] | None = None, name: str = "place") -> DataFrame:
     """``numbered`` for lists ordered by an id that is unique inside its group."""
-    return numbered(df, [F.col(key)], [[id_cell(key)]], by, name)
+    return numbered(df, [F.col(key)], id_levels(key), by, name)

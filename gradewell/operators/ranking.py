@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import millionths, points, privilege_mask
 from gradewell.operators.access import granted, with_standing
-from gradewell.operators.numbering import id_cell, numbered
+from gradewell.operators.numbering import id_levels, numbered
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
 
@@ -78,7 +78,7 @@ def placed(ranking: DataFrame) -> DataFrame:
     return numbered(
         ranking.select("id_grupy", "id_uz", "pkt"),
         order=[F.desc("pkt"), F.col("id_uz")],
-        levels=[[F.floor(fall / 1_000_000)], [fall, id_cell("id_uz")]],
+        levels=[[F.floor(fall / 1_000_000)], [fall], *id_levels("id_uz")],
         by=["id_grupy"],
     )
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from gradewell.operators import ranking as R
-from gradewell.operators.numbering import id_cell, numbered, numbered_by_id
+from gradewell.operators.numbering import id_cell, id_levels, numbered, numbered_by_id
 from gradewell.operators.scoring import attempt_history, question_scores
 from tests.conftest import rows
 
@@ -74,3 +74,31 @@ def test_attempt_rules(spark):
     assert rows(R.ranking_from_attempts(attempts, quizzes)) == [(1, 5, 3.0)]
     assert rows(R.ranking_from_attempts(attempts, quizzes, "last")) == [(1, 5, 2.0)]
     assert rows(R.ranking_from_attempts(attempts, quizzes, "sum", include_limbo=True)) == [(1, 0, 1.0), (1, 5, 5.0)]
+
+
+def test_hashed_ids_are_numbered_in_small_windows(spark):
+    """With ids spread over 64 bits, no window of cells holds more than a small part of the rows."""
+    n = 200_000
+    df = spark.range(n).select(F.xxhash64("id").alias("i"))
+    levels = [level[0].alias(f"c{k}") for k, level in enumerate(id_levels("i"))]
+    cells = df.select(*levels)
+    largest = 0
+    for depth in range(len(levels)):
+        parents = [f"c{k}" for k in range(depth)]
+        inside = cells.select(*parents, f"c{depth}").distinct().groupBy(*parents).count()
+        largest = max(largest, inside.agg(F.max("count")).first()[0])
+    assert largest <= 1 << 15
+    places = numbered_by_id(df, "i").agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()
+    assert tuple(places) == (n, 1, n)
+    few = df.limit(500)
+    got = [r.i for r in numbered_by_id(few, "i").orderBy("place").collect()]
+    assert got == sorted(got)
+
+
+def test_sources_by_path_keep_the_order_of_paths(spark):
+    from gradewell.operators.generate import _source_levels
+
+    paths = [f"file:///{a}/{b}{c}/{d}" for a in "pq" for b in ("r", "r-s", "r/t/u/v/w") for c in ("", "/x", "!") for d in ("1", "z", "zz")]
+    df = spark.createDataFrame([(p,) for p in paths], "zrodlo string")
+    got = [r.zrodlo for r in numbered(df, [F.col("zrodlo")], _source_levels(df)).orderBy("place").collect()]
+    assert got == sorted(paths)
