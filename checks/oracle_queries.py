@@ -467,6 +467,8 @@ SELECT {QUESTION} FROM pytanie WHERE id_pyt NOT IN (SELECT id_pyt FROM pytania_u
 SELECT * FROM odpowiedz_wzorcowa WHERE id_pyt NOT IN (SELECT id_pyt FROM pytania_usuwane)""",
     "delete_quizzes_odpowiedz_uzytkownika": """
 SELECT * FROM odpowiedz_uzytkownika WHERE id_pyt NOT IN (SELECT id_pyt FROM pytania_usuwane)""",
+    "delete_quizzes_dyskusja": """
+SELECT * FROM dyskusja WHERE id_quizu NOT IN (SELECT id_quizu FROM quizy_do_usuniecia)""",
     "delete_users_uzytkownik": """
 SELECT * FROM uzytkownik WHERE id_uz = 0 OR id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia)""",
     "delete_users_quiz": """
@@ -474,7 +476,19 @@ SELECT id_quizu, CASE WHEN z.id_uz IS NULL THEN id_wlasciciela ELSE 0 END AS id_
   CASE WHEN z.id_uz IS NULL THEN id_grupy ELSE 0 END AS id_grupy, limit_podejsc, limit_czasowy, data_utworzenia, ukryty
 FROM quiz LEFT JOIN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0) z ON z.id_uz = id_wlasciciela""",
     "delete_users_dostep_grupa": """
-SELECT * FROM dostep_grupa WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia)""",
+SELECT * FROM dostep_grupa WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
+    "delete_users_grupa_quizowa": """
+SELECT id_grupy, CASE WHEN id_wlasciciela IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0) THEN 0 ELSE id_wlasciciela END AS id_wlasciciela,
+  nazwa, na_zaproszenie, haslo FROM grupa_quizowa""",
+    "delete_users_pytanie": """
+SELECT id_pyt, tresc, id_typu, CASE WHEN id_autora IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0) THEN 0 ELSE id_autora END AS id_autora,
+  pkt, id_quizu, id_kategorii, ukryty FROM pytanie""",
+    "delete_users_ranking": """
+SELECT * FROM ranking WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
+    "delete_users_odpowiedz_uzytkownika": """
+SELECT * FROM odpowiedz_uzytkownika WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
+    "delete_users_dyskusja": """
+SELECT * FROM dyskusja WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
     "update_profiles": """
 SELECT u.id_uz, coalesce(n.login, u.login) AS login, coalesce(n.nazwa_uz, u.nazwa_uz) AS nazwa_uz,
   coalesce(n.email, u.email) AS email, u.ranga

@@ -475,8 +475,10 @@ def delete_questions_quizzes(
     questions: DataFrame,
     templates: DataFrame,
     answers: DataFrame,
+    posts: DataFrame,
 ) -> dict[str, DataFrame]:
-    """Deletes quizzes and questions with everything below them."""
+    """Deletes quizzes and questions with everything below them: questions, their template and
+    user answers, and the posts about a quiz."""
     left_quizzes = quizzes.join(quiz_ids.select("id_quizu"), "id_quizu", "left_anti")
     by_quiz = questions.join(quiz_ids.select("id_quizu"), "id_quizu", "left_semi").select("id_pyt")
     doomed = by_quiz.unionByName(question_ids.select("id_pyt"))
@@ -485,26 +487,39 @@ def delete_questions_quizzes(
         "pytanie": questions.join(doomed, "id_pyt", "left_anti"),
         "odpowiedz_wzorcowa": templates.join(doomed, "id_pyt", "left_anti"),
         "odpowiedz_uzytkownika": answers.join(doomed, "id_pyt", "left_anti"),
+        "dyskusja": posts.join(quiz_ids.select("id_quizu"), "id_quizu", "left_anti").select(*posts.columns),
     }
 
 
-def delete_users(
-    user_ids: DataFrame, users: DataFrame, quizzes: DataFrame, access: DataFrame
-) -> dict[str, DataFrame]:
-    """Deletes users; their quizzes go to the holding area. The limbo user stays."""
-    gone = user_ids.select("id_uz").filter(F.col("id_uz") != LIMBO_USER)
-    orphaned = gone.distinct().select(F.col("id_uz").alias("id_wlasciciela"), F.lit(True).alias("_gone"))
-    moved = F.col("_gone").isNotNull()
-    state = quizzes.join(own_shuffle(orphaned, "id_wlasciciela"), "id_wlasciciela", "left").withColumns(
-        {
-            "id_grupy": F.when(moved, F.lit(LIMBO_GROUP)).otherwise(F.col("id_grupy")).cast("bigint"),
-            "id_wlasciciela": F.when(moved, F.lit(LIMBO_USER)).otherwise(F.col("id_wlasciciela")).cast("bigint"),
-        }
-    )
+def delete_users(user_ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Deletes users and returns every table that knows of users, without a key that points to
+    a deleted one. The limbo user stays.
+
+    Quizzes of a deleted user go to the holding area; groups and questions pass to the limbo
+    user. Memberships, ranking rows, answers and posts of a deleted user go.
+    """
+    gone = user_ids.select("id_uz").filter(F.col("id_uz") != LIMBO_USER).distinct()
+
+    def passed_on(name: str, key: str, more: dict[str, int]) -> DataFrame:
+        table = tables[name]
+        flagged = gone.select(F.col("id_uz").alias(key), F.lit(True).alias("_gone"))
+        moved = F.col("_gone").isNotNull()
+        state = table.join(own_shuffle(flagged, key), key, "left").withColumns(
+            {
+                column: F.when(moved, F.lit(value)).otherwise(F.col(column)).cast("bigint")
+                for column, value in {key: LIMBO_USER, **more}.items()
+            }
+        )
+        return state.select(*table.columns)
+
+    def removed(name: str) -> DataFrame:
+        return tables[name].join(gone, "id_uz", "left_anti").select(*tables[name].columns)
+
     return {
-        "uzytkownik": users.join(gone, "id_uz", "left_anti"),
-        "quiz": state.select(*quizzes.columns),
-        "dostep_grupa": access.join(gone, "id_uz", "left_anti").select(*access.columns),
+        "quiz": passed_on("quiz", "id_wlasciciela", {"id_grupy": LIMBO_GROUP}),
+        "grupa_quizowa": passed_on("grupa_quizowa", "id_wlasciciela", {}),
+        "pytanie": passed_on("pytanie", "id_autora", {}),
+        **{name: removed(name) for name in ("uzytkownik", "dostep_grupa", "ranking", "odpowiedz_uzytkownika", "dyskusja")},
     }
 
 

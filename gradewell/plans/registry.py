@@ -588,7 +588,8 @@ def create_groups_rejects(d):
 
 def _deleted(d):
     return CH.delete_questions_quizzes(
-        d.quizy_do_usuniecia, d.pytania_do_usuniecia, d.quiz, d.pytanie, d.odpowiedz_wzorcowa, d.odpowiedz_uzytkownika
+        d.quizy_do_usuniecia, d.pytania_do_usuniecia, d.quiz, d.pytanie, d.odpowiedz_wzorcowa, d.odpowiedz_uzytkownika,
+        d.dyskusja,
     )
 
 
@@ -612,8 +613,14 @@ def delete_quizzes_odpowiedz_uzytkownika(d):
     return _deleted(d)["odpowiedz_uzytkownika"]
 
 
+@query
+def delete_quizzes_dyskusja(d):
+    return _deleted(d)["dyskusja"]
+
+
 def _users_deleted(d):
-    return CH.delete_users(d.uzytkownicy_do_usuniecia, d.uzytkownik, d.quiz, d.dostep_grupa)
+    names = ("uzytkownik", "quiz", "grupa_quizowa", "pytanie", "dostep_grupa", "ranking", "odpowiedz_uzytkownika", "dyskusja")
+    return CH.delete_users(d.uzytkownicy_do_usuniecia, d.tables(*names))
 
 
 @query
@@ -631,6 +638,31 @@ def delete_users_dostep_grupa(d):
     return _users_deleted(d)["dostep_grupa"]
 
 
+@query
+def delete_users_grupa_quizowa(d):
+    return _users_deleted(d)["grupa_quizowa"]
+
+
+@query
+def delete_users_pytanie(d):
+    return _users_deleted(d)["pytanie"]
+
+
+@query
+def delete_users_ranking(d):
+    return _users_deleted(d)["ranking"]
+
+
+@query
+def delete_users_odpowiedz_uzytkownika(d):
+    return _users_deleted(d)["odpowiedz_uzytkownika"]
+
+
+@query
+def delete_users_dyskusja(d):
+    return _users_deleted(d)["dyskusja"]
+
+
 @query
 def update_profiles(d):
     return CH.update_profiles(d.zmiany_profili, d.uzytkownik)[0]

@@ -127,7 +127,23 @@ def test_deleted_owner_leaves_quizzes_in_limbo(spark, quizzes):
     users = spark.createDataFrame([(0,), (3,), (4,)], "id_uz long")
     access = spark.createDataFrame([(5, 3, "1"), (5, 4, "1")], "id_grupy long, id_uz long, prawa_dost string")
     gone = spark.createDataFrame([(3,), (0,)], "id_uz long")
-    got = CH.delete_users(gone, users, quizzes, access)
+    tables = {
+        "uzytkownik": users, "quiz": quizzes, "dostep_grupa": access,
+        "grupa_quizowa": spark.createDataFrame([(5, 3), (6, 4)], "id_grupy long, id_wlasciciela long"),
+        "pytanie": spark.createDataFrame([(1, 3), (2, 4), (3, None)], "id_pyt long, id_autora long"),
+        "ranking": spark.createDataFrame([(3, 5), (4, 5)], "id_uz long, id_grupy long"),
+        "odpowiedz_uzytkownika": spark.createDataFrame([(3, 1), (4, 1), (4, 1)], "id_uz long, id_pyt long"),
+        "dyskusja": spark.createDataFrame([(2, 3), (2, 4)], "id_quizu long, id_uz long"),
+    }
+    got = CH.delete_users(gone, tables)
+    left = {r.id_uz for r in got["uzytkownik"].collect()}
+    keys = {"quiz": "id_wlasciciela", "grupa_quizowa": "id_wlasciciela", "pytanie": "id_autora"}
+    for name, table in got.items():
+        pointed = {r[0] for r in table.select(keys.get(name, "id_uz")).collect()} - {None}
+        assert pointed <= left, name
+    assert rows(got["grupa_quizowa"]) == [(5, 0), (6, 4)]
+    assert rows(got["pytanie"]) == [(1, 0), (2, 4), (3, None)]
+    assert rows(got["odpowiedz_uzytkownika"]) == [(4, 1), (4, 1)]
     assert rows(got["uzytkownik"]) == [(0,), (4,)]
     assert rows(got["quiz"], "id_quizu", "id_wlasciciela", "id_grupy") == [(1, 0, 0), (2, 4, 5), (3, 0, 0)]
     assert rows(got["dostep_grupa"]) == [(5, 4, "1")]
