@@ -171,5 +171,10 @@ def test_quality_reports_seed_edges(spark, questions, types, templates):
     assert {r[1] for r in rows(QU.check_templates(partial, multi, types))} == {"poziom_wielokrotny", "tresc_odp_pusta"}
     nulls = QU.check_not_null({"pytanie": questions.withColumn("tresc", F.lit(None).cast("string"))})
     assert rows(nulls) == [("pytanie", "nie_null", "tresc", 4)]
-    twice = QU.check_unique({"kategoria": spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id_kategorii long, nazwa string")})
-    assert rows(twice) == [("kategoria", "unikalne_nazwa", "a")]
+    category = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "id_kategorii long, nazwa string")
+    none = {}
+    for table, columns in QU.UNIQUE:
+        none[table] = spark.createDataFrame([], ", ".join({f"{c} string" for t, cs in QU.UNIQUE if t == table for c in cs}))
+    assert rows(QU.check_unique(none | {"kategoria": category})) == [("kategoria", "unikalne_nazwa", "a")]
+    with pytest.raises(KeyError):
+        QU.check_unique({"kategoria": category})
