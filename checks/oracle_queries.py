@@ -48,12 +48,22 @@ LEFT JOIN pelne f ON f.id_pyt = c.id_pyt, LATERAL (SELECT c.maybe AND f.id_pyt I
     "wpisy": """
 SELECT l_orderkey AS o_orderkey, l_linenumber AS k, list(DISTINCT l_returnflag) AS chosen,
   min(l_returnflag) AS open_text FROM lineitem GROUP BY ALL""",
+    "ocenione": """
+SELECT f.*, CASE
+  WHEN f.id_grupy NOT IN (SELECT id_grupy FROM grupa_quizowa) THEN 'no_group'
+  WHEN f.id_grupy IN (SELECT id_grupy FROM grupa_quizowa WHERE na_zaproszenie)
+    AND NOT EXISTS (SELECT 1 FROM dostep_grupa d WHERE d.id_uz = f.id_uz AND d.id_grupy = f.id_grupy) THEN 'invite_only'
+  WHEN f.id_quizu NOT IN (SELECT id_quizu FROM quiz) THEN 'no_quiz'
+  WHEN f.id_grupy <> (SELECT q.id_grupy FROM quiz q WHERE q.id_quizu = f.id_quizu) THEN 'wrong_group'
+  WHEN f.id_quizu IN (SELECT id_quizu FROM quiz WHERE ukryty) THEN 'hidden' END AS powod
+FROM (SELECT *, id_quizu % 25 + CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS id_grupy FROM attempts) f""",
+    "przyjete": "SELECT * FROM ocenione WHERE powod IS NULL",
     "pokazane": """
 SELECT a.id_uz, p.id_pyt, a.data_wyslania, x.place, x.id_odp_w, x.tresc_odp, x.komentarz, x.blad,
   p.id_typu = 11 AS otwarte, e.open_text,
   CASE WHEN p.id_typu = 11 THEN coalesce(contains(e.open_text, x.tresc_odp), false)
        ELSE coalesce(list_contains(e.chosen, x.tresc_odp), false) END AS zaznaczona
-FROM attempts a JOIN pytanie p USING (id_quizu) JOIN wylosowane x ON x.id_uz = a.id_uz AND x.id_pyt = p.id_pyt
+FROM przyjete a JOIN pytanie p USING (id_quizu) JOIN wylosowane x ON x.id_uz = a.id_uz AND x.id_pyt = p.id_pyt
 LEFT JOIN wpisy e ON e.o_orderkey = a.o_orderkey AND e.k = p.id_pyt % 10
 WHERE NOT p.ukryty""",
     "wyslane": """
@@ -244,9 +254,24 @@ SELECT id_uz, id_pyt, place, id_odp_w, tresc_odp, poziom_poprawnosci, komentarz
     "sample_options_errors": """
 SELECT DISTINCT a.id_uz, p.id_pyt FROM attempts a JOIN pytanie p USING (id_quizu)
 WHERE NOT p.ukryty AND p.id_pyt NOT IN (SELECT id_pyt FROM odpowiedz_wzorcowa WHERE poziom_poprawnosci = 100)""",
+    "gate_submissions": "SELECT id_uz, id_grupy, id_quizu, data_wyslania FROM przyjete",
+    "gate_submissions_rejects": """
+SELECT id_uz, id_grupy, id_quizu, data_wyslania, powod FROM ocenione WHERE powod IS NOT NULL""",
+    "gate_submissions_members": """
+SELECT id_grupy, id_uz, prawa_dost FROM dostep_grupa
+UNION ALL SELECT DISTINCT id_grupy, id_uz, '1100000000000000' FROM ocenione o
+WHERE id_grupy IN (SELECT id_grupy FROM grupa_quizowa WHERE NOT na_zaproszenie)
+  AND NOT EXISTS (SELECT 1 FROM dostep_grupa d WHERE d.id_uz = o.id_uz AND d.id_grupy = o.id_grupy)""",
+    "refused_entries": """
+SELECT * FROM (
+  SELECT a.id_uz, a.id_quizu, a.data_wyslania, a.id_quizu * 10 + e.k AS id_pyt, CASE
+    WHEN p.id_pyt IS NULL THEN 'no_question' WHEN p.id_quizu <> a.id_quizu THEN 'other_quiz'
+    WHEN p.ukryty THEN 'hidden_question' END AS powod
+  FROM attempts a JOIN wpisy e USING (o_orderkey) LEFT JOIN pytanie p ON p.id_pyt = a.id_quizu * 10 + e.k)
+WHERE powod IS NOT NULL""",
     "expand_submissions": "SELECT * FROM wyslane",
     "expand_submissions_rejects": """
-SELECT a.id_uz, p.id_pyt, a.data_wyslania FROM attempts a JOIN pytanie p USING (id_quizu)
+SELECT a.id_uz, p.id_pyt, a.data_wyslania FROM przyjete a JOIN pytanie p USING (id_quizu)
 WHERE NOT p.ukryty AND p.id_pyt NOT IN (SELECT id_pyt FROM odpowiedz_wzorcowa WHERE poziom_poprawnosci = 100)""",
     "submission_comments": """
 SELECT id_uz, id_pyt, data_wyslania,
@@ -383,8 +408,8 @@ SELECT o_orderkey, CAST(left(o_orderpriority, 1) AS BIGINT) AS priorytet,
   o_orderkey // 4 AS blok, o_orderkey % 4 AS miejsce FROM orders""",
     "time_round_trip": "SELECT o_orderkey, data_wyslania FROM attempts",
     "submission_membership": """
-SELECT a.id_uz, a.data_wyslania, a.id_quizu * 10 + e.k AS id_pyt, list_contains(e.chosen, 'A') AS wybrano_a,
-  coalesce(e.open_text, 'nil') AS tekst FROM attempts a JOIN wpisy e USING (o_orderkey)""",
+SELECT a.id_uz, a.data_wyslania, a.id_quizu * 10 + e.k AS id_pyt, coalesce(list_contains(e.chosen, 'A'), false) AS wybrano_a,
+  coalesce(e.open_text, 'nil') AS tekst FROM attempts a LEFT JOIN wpisy e USING (o_orderkey)""",
     "question_kinds": """
 SELECT id_pyt, CASE WHEN id_typu = 11 THEN 'open' WHEN id_typu > 5 THEN 'multi' ELSE 'single' END AS rodzaj,
   'Pytanie ' || id_pyt || ': ' || tresc AS opis FROM pytanie""",
@@ -504,13 +529,13 @@ UNION ALL SELECT nr, id_uz, 'no_user' FROM zmiany_profili WHERE id_uz NOT IN (SE
     "question_blocks": """
 SELECT zrodlo, blok, pytanie, coalesce(array_to_string(odpowiedzi, '|'), '') AS odpowiedzi FROM bloki""",
     "generate_quiz_set_pytanie": """
-SELECT i + 4 AS id_pyt, pytanie AS tresc, CAST(3 AS BIGINT) AS id_typu, CAST(1 AS BIGINT) AS id_autora,
-  CAST(1 AS DOUBLE) AS pkt, 3 + i % 36 AS id_quizu, CAST(1 AS BIGINT) AS id_kategorii, false AS ukryty FROM bloki_nr""",
+SELECT i + 1001 AS id_pyt, pytanie AS tresc, CAST(3 AS BIGINT) AS id_typu, CAST(1 AS BIGINT) AS id_autora,
+  CAST(1 AS DOUBLE) AS pkt, 101 + i % 40 AS id_quizu, CAST(1 AS BIGINT) AS id_kategorii, false AS ukryty FROM bloki_nr""",
     "generate_quiz_set_odpowiedz": """
-SELECT 13 + i * 4 + s AS id_odp_w, i + 4 AS id_pyt, coalesce(odpowiedzi[s + 1], '') AS tresc_odp,
+SELECT 5001 + i * 4 + s AS id_odp_w, i + 1001 AS id_pyt, coalesce(odpowiedzi[s + 1], '') AS tresc_odp,
   CASE WHEN s = 0 THEN 100 ELSE 0 END AS poziom_poprawnosci, CAST(NULL AS VARCHAR) AS komentarz
 FROM bloki_nr, (VALUES (0), (1), (2), (3)) v(s)""",
-    "generation_summary": "SELECT 'dokumenty' AS zestaw, CAST(36 AS BIGINT) AS quizy, count(*) AS pytania FROM bloki",
+    "generation_summary": "SELECT 'dokumenty' AS zestaw, CAST(40 AS BIGINT) AS quizy, count(*) AS pytania FROM bloki",
     # data quality
     "check_users": f"""
 SELECT 'uzytkownik' AS tabela, regula, CAST(id_uz AS VARCHAR) AS klucz FROM (

@@ -86,15 +86,81 @@ def _accepted(df: DataFrame) -> DataFrame:
 
 
 # Submissions ----------------------------------------------------------------
+FORM = ["id_uz", "id_grupy", "id_quizu", "data_wyslania"]
+
+
+def gate_submissions(
+    submissions: DataFrame,
+    quizzes: DataFrame,
+    groups: DataFrame,
+    access: DataFrame,
+    rights: str = DEFAULT_RIGHTS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forms that may be handed in, forms that are refused (``powod``), and the memberships afterwards.
+
+    A form (``FORM``; equal rows are one form) passes when its group can be
+    entered, the quiz lies in that group and is not hidden. Whoever sends a form to an open
+    group becomes a member, also when the quiz is then refused; an invite-only group takes
+    members only. The first broken rule is the reason. Without ``id_grupy``, or where it is
+    null, the form belongs to the quiz's own group.
+    """
+    group = F.col("id_grupy") if "id_grupy" in submissions.columns else F.lit(None).cast("bigint")
+    forms = submissions.select("id_uz", group.alias("id_grupy"), "id_quizu", "data_wyslania").distinct()
+    quiz = quizzes.select("id_quizu", F.col("id_grupy").alias("_miejsce"), "ukryty", F.lit(True).alias("_quiz"))
+    entry = groups.select("id_grupy", F.coalesce("na_zaproszenie", F.lit(False)).alias("_zamknieta"))
+    member = access.select("id_uz", "id_grupy").distinct().withColumn("_czlonek", F.lit(True))
+    found = (
+        forms.join(quiz, "id_quizu", "left")
+        .withColumn("id_grupy", F.coalesce("id_grupy", "_miejsce"))
+        .join(entry, "id_grupy", "left")
+        .join(member, ["id_uz", "id_grupy"], "left")
+    )
+    turned_away = (
+        F.when(F.col("id_uz").isNull(), "no_user")
+        .when(F.col("_zamknieta").isNull() & (F.col("id_grupy").isNotNull() | F.col("_quiz").isNotNull()), "no_group")
+        .when(F.col("_zamknieta") & F.col("_czlonek").isNull(), "invite_only")
+    )
+    refused = (
+        F.when(F.col("_quiz").isNull(), "no_quiz")
+        .when(~F.col("id_grupy").eqNullSafe(F.col("_miejsce")), "wrong_group")
+        .when(F.col("ukryty"), "hidden")
+    )
+    judged = found.withColumns({"_wstep": turned_away, "powod": F.coalesce(turned_away, refused)})
+    entered = judged.filter("_wstep IS NULL AND _czlonek IS NULL AND _zamknieta IS NOT NULL")
+    fresh = entered.select("id_grupy", "id_uz").distinct().withColumn("prawa_dost", F.lit(rights))
+    members = access.select("id_grupy", "id_uz", "prawa_dost").unionByName(fresh)
+    return _accepted(judged).select(*FORM), judged.filter("powod IS NOT NULL").select(*FORM, "powod"), members
+
+
+def refused_entries(submissions: DataFrame, questions: DataFrame) -> DataFrame:
+    """Entries that no shown question takes, with the reason: unknown, of another quiz, or hidden."""
+    of = questions.select("id_pyt", F.col("id_quizu").alias("_quiz"), "ukryty", F.lit(True).alias("_jest"))
+    reason = (
+        F.when(F.col("_jest").isNull(), "no_question")
+        .when(~F.col("_quiz").eqNullSafe(F.col("id_quizu")), "other_quiz")
+        .when(F.col("ukryty"), "hidden_question")
+    )
+    entries = submissions.filter("id_pyt IS NOT NULL").select("id_uz", "id_quizu", "data_wyslania", "id_pyt")
+    judged = entries.join(of, "id_pyt", "left").withColumn("powod", reason).filter("powod IS NOT NULL")
+    return judged.select("id_uz", "id_quizu", "data_wyslania", "id_pyt", "powod").distinct()
+
+
 def shown_options(
-    submissions: DataFrame, questions: DataFrame, types: DataFrame, templates: DataFrame, seed: str
+    submissions: DataFrame,
+    questions: DataFrame,
+    types: DataFrame,
+    templates: DataFrame,
+    seed: str,
+    accepted: DataFrame | None = None,
 ) -> DataFrame:
     """Every option put before a user in a submission, with what the user did with it.
 
     ``zaznaczona``: ticked. For open questions it tells whether the entered text
     contains the option's text, which is what decides about its comment.
+    ``accepted``: the forms that count (``gate_submissions``); all if not given.
     """
-    attempts = submissions.select("id_uz", "id_quizu", "data_wyslania").distinct()
+    forms = submissions if accepted is None else accepted
+    attempts = forms.select("id_uz", "id_quizu", "data_wyslania").distinct()
     options = drawable_options(visible_questions(questions), types, templates)
     by = ["id_uz", "data_wyslania", "id_pyt"]
     # options meet the attempts, one short row each, so only the result is shuffled
@@ -185,8 +251,11 @@ def toggle_questions(
     request at most has an effect and the rest are refused. ``odmowy`` counts them.
     """
     asked = requests.groupBy("id_pyt").agg(F.count("*").alias("_n"))
-    judged = asked.join(questions.select("id_pyt", "ukryty"), "id_pyt", "left").join(
-        question_validity(questions, types, templates).select("id_pyt", "poprawne"), "id_pyt", "left"
+    # validity is worked out for the batch's questions only
+    named = asked.select("id_pyt")
+    mine, theirs = (df.join(named, "id_pyt", "left_semi") for df in (questions, templates))
+    judged = asked.join(mine.select("id_pyt", "ukryty"), "id_pyt", "left").join(
+        question_validity(mine, types, theirs).select("id_pyt", "poprawne"), "id_pyt", "left"
     )
     flipped = F.when(F.col("poprawne"), F.col("ukryty") != (F.col("_n") % 2 == 1)).otherwise(F.lit(True))
     refused = (

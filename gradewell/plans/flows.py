@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.operators.changes import expand_submissions, shown_options
+from gradewell.operators.changes import expand_submissions, gate_submissions, shown_options
 from gradewell.operators.ranking import leaderboard, ranking_from_attempts
 from gradewell.operators.scoring import attempt_history, question_scores
 
@@ -10,7 +10,8 @@ from gradewell.operators.scoring import attempt_history, question_scores
 def submit(
     spark: SparkSession, submissions: DataFrame, tables: dict[str, DataFrame], path: str, seed: str
 ) -> dict[str, DataFrame]:
-    """Submissions to stored answers, attempts and ranking.
+    """Submissions that pass the gates to stored answers, attempts and ranking; also the
+    refused forms and the memberships that come of it.
 
     Each step is written under ``path`` and the next one reads it from there:
     nothing is worked out twice, and a lost executor costs one step at most.
@@ -21,11 +22,20 @@ def submit(
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    answers, _ = expand_submissions(shown_options(submissions, *kinds, seed))
+    gates = [tables[name] for name in ("quiz", "grupa_quizowa", "dostep_grupa")]
+    accepted, refused, members = gate_submissions(submissions, *gates)
+    accepted = stored("przyjete", accepted)
+    answers, _ = expand_submissions(shown_options(submissions, *kinds, seed, accepted))
     answers = stored("odpowiedz_uzytkownika", answers)
     attempts = stored("podejscia", attempt_history(question_scores(answers, *kinds)))
     ranking = stored("ranking", ranking_from_attempts(attempts, tables["quiz"]))
-    return {"odpowiedz_uzytkownika": answers, "podejscia": attempts, "ranking": ranking}
+    return {
+        "odpowiedz_uzytkownika": answers,
+        "podejscia": attempts,
+        "ranking": ranking,
+        "odrzucone": stored("odrzucone", refused),
+        "dostep_grupa": stored("dostep_grupa", members),
+    }
 
 
 def group_boards(ranking: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

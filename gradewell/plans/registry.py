@@ -25,7 +25,7 @@ from gradewell.sources.testrequests import Requests
 from gradewell.streaming.live_ranking import QuizTables, replay
 
 SEED = "losowanie"
-MADE_AT = "2013-09-09 22:10:12"
+MADE_AT = "2020-01-01 00:00:00"
 
 _REGISTRY: dict[str, Callable[[Requests], DataFrame]] = {}
 
@@ -56,7 +56,11 @@ def _scores(d: Requests) -> DataFrame:
 
 
 def _shown(d: Requests) -> DataFrame:
-    return CH.shown_options(d.submissions, d.pytanie, d.typ, d.odpowiedz_wzorcowa, SEED)
+    return CH.shown_options(d.submissions, d.pytanie, d.typ, d.odpowiedz_wzorcowa, SEED, _gated(d)[0])
+
+
+def _gated(d: Requests) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return CH.gate_submissions(d.submissions, d.quiz, d.grupa_quizowa, d.dostep_grupa)
 
 
 # Scoring and rankings -----------------------------------------------------------
@@ -130,6 +134,26 @@ def sample_options_errors(d):
     return SA.sample_options(_draws(d), d.pytanie, d.typ, d.odpowiedz_wzorcowa, SEED)[1]
 
 
+@query
+def gate_submissions(d):
+    return _gated(d)[0]
+
+
+@query
+def gate_submissions_rejects(d):
+    return _gated(d)[1]
+
+
+@query
+def gate_submissions_members(d):
+    return _gated(d)[2]
+
+
+@query
+def refused_entries(d):
+    return CH.refused_entries(d.submissions, d.pytanie)
+
+
 @query
 def expand_submissions(d):
     return CH.expand_submissions(_shown(d))[0]
@@ -445,7 +469,7 @@ def time_round_trip(d):
 
 @query
 def submission_membership(d):
-    return d.submissions.filter("id_pyt IS NOT NULL").select(
+    return d.submissions.select(
         "id_uz",
         "data_wyslania",
         "id_pyt",
@@ -683,8 +707,8 @@ def _blocks(d):
 
 def _generated(d):
     return GE.generate_quiz_set(
-        _blocks(d), "dokumenty %d", quizzes=36, answers=4, type_id=3, at=F.lit(MADE_AT).cast("timestamp_ntz"),
-        first_quiz_id=3, first_question_id=4, first_template_id=13,
+        _blocks(d), "dokumenty %d", quizzes=40, answers=4, type_id=3, at=F.lit(MADE_AT).cast("timestamp_ntz"),
+        first_quiz_id=101, first_question_id=1001, first_template_id=5001,
     )
 
 
@@ -767,7 +791,7 @@ def discussion_feed(d):
 # Streaming ----------------------------------------------------------------------
 @query
 def live_ranking(d):
-    tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz)
+    tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
     path = shared_folder(d.spark, "live-ranking")
     return replay(d.spark, d.submissions, tables, path, SEED)
 
@@ -775,5 +799,5 @@ def live_ranking(d):
 @query
 def submit_ranking(d):
     """Submissions to ranking with every step stored."""
-    tables = d.tables("pytanie", "typ", "odpowiedz_wzorcowa", "quiz")
+    tables = d.tables("pytanie", "typ", "odpowiedz_wzorcowa", "quiz", "grupa_quizowa", "dostep_grupa")
     return submit(d.spark, d.submissions, tables, shared_folder(d.spark, "submit"), SEED)["ranking"]

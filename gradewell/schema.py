@@ -133,6 +133,7 @@ TABLES = {
     # one row per question a user filled in; id_pyt is null for an empty form
     "submissions": [
         ("id_uz", _LONG, False),
+        ("id_grupy", _LONG, True),
         ("id_quizu", _LONG, False),
         ("data_wyslania", _TIME, False),
         ("id_pyt", _LONG, True),

@@ -193,7 +193,13 @@ class Domain:
             .agg(F.collect_set("l_returnflag").alias("chosen"), F.min("l_returnflag").alias("open_text"))
         )
         return self.attempts.join(entered, "o_orderkey", "left").selectExpr(
-            "id_uz", "id_quizu", "data_wyslania", "id_quizu * 10 + l_linenumber AS id_pyt", "chosen", "open_text"
+            "id_uz",
+            "id_quizu % 25 + IF(o_orderkey % 40 = 0, 1, 0) AS id_grupy",
+            "id_quizu",
+            "data_wyslania",
+            "id_quizu * 10 + l_linenumber AS id_pyt",
+            "chosen",
+            "open_text",
         )
 
     @cached_property

@@ -1,8 +1,8 @@
 """Rankings kept up to date by a stream of submissions.
 
 Append-only tables live under one path, each with a folder per micro-batch:
-``answers``, ``attempts`` (one short row per attempt) and ``ranking`` (new totals
-of the (user, group) pairs the batch touched). A batch that runs again writes the
+``refused`` (forms that do not pass the gates), ``answers``, ``attempts`` (one short
+row per attempt) and ``ranking`` (new totals of the (user, group) pairs the batch touched). A batch that runs again writes the
 same folders again, so nothing is counted twice. The present ranking is the
 latest row of each pair.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradewell.operators.changes import expand_submissions, shown_options
+from gradewell.operators.changes import expand_submissions, gate_submissions, shown_options
 from gradewell.operators.ranking import ranking_from_attempts
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
@@ -37,6 +37,8 @@ class QuizTables:
     types: DataFrame
     templates: DataFrame
     quizzes: DataFrame
+    groups: DataFrame
+    access: DataFrame
 
 
 def start_live_ranking(
@@ -77,7 +79,9 @@ def _since_base(spark: SparkSession, path: str, table: str, schema: str, below:
 
 
 def _apply_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: str) -> None:
-    shown = shown_options(batch, tables.questions, tables.types, tables.templates, seed)
+    accepted, refused, _ = gate_submissions(batch, tables.quizzes, tables.groups, tables.access)
+    _write(refused, f"{path}/refused/batch={nr}")
+    shown = shown_options(batch, tables.questions, tables.types, tables.templates, seed, accepted)
     answers = _store(expand_submissions(shown)[0], path, "answers", nr)
     scores = question_scores(answers, tables.questions, tables.types, tables.templates)
     fresh = _store(attempt_history(scores).select("id_uz", "id_quizu", "zdobyte_pkt"), path, "attempts", nr)

@@ -14,13 +14,14 @@ from tests.conftest import rows
 
 
 def wanted(d, submissions):
-    shown = CH.shown_options(submissions, d.pytanie, d.typ, d.odpowiedz_wzorcowa, "s")
+    accepted = CH.gate_submissions(submissions, d.quiz, d.grupa_quizowa, d.dostep_grupa)[0]
+    shown = CH.shown_options(submissions, d.pytanie, d.typ, d.odpowiedz_wzorcowa, "s", accepted)
     answers = CH.expand_submissions(shown)[0]
     return recompute_ranking(answers, d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz)
 
 
 def quiz_tables(d):
-    return QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz)
+    return QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
 
 
 def test_stream_equals_batch(spark, domain, tmp_path):
