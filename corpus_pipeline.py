@@ -15,6 +15,9 @@ from gradewell.llm import poisson_mix, qgram_decontam, rff_quality, seekable, se
 from gradewell.llm.common import store, table
 from gradewell.llm.queries import END_ID, TOKENIZER
 
+#: Near copies: words in a shingle, and the least similarity in per cent (op8 has its own).
+SHINGLE, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from all their labels."""
@@ -25,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    groups = set_join.jaccard_components(docs)
+    groups = set_join.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
