@@ -64,7 +64,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"), own_line=line_chunks.LONG_LINE)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

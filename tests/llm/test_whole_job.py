@@ -1,6 +1,12 @@
 """Cases that an operator once did only in part."""
 
+import random
+
+import pandas as pd
+import pytest
+
 import corpus_pipeline
+from gradewell.llm import queries
 from tests.llm.test_brute_force import shingles
 
 
@@ -13,3 +19,49 @@ def test_pipeline_drops_copies_with_a_fifth_added(spark):
     assert near == {1: True, 2: True, 3: False, 4: False}
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3, 4]
+
+
+@pytest.fixture()
+def as_table(spark, tmp_path):
+    """A folder with the given rows as a table, for a query."""
+
+    def made(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return made
+
+
+def prose(rng, words):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(words))
+
+
+def test_line_dedup_removes_passages_of_few_lines(spark, as_table):
+    rng, rows, want = random.Random(6), [], {}
+    for n in (1, 3, 5):
+        passage = [prose(rng, 51) for _ in range(n)]
+        for copy in range(8):
+            before, after = ([prose(rng, rng.choice((3, 40, 70))) for _ in range(rng.randrange(4))] for _ in range(2))
+            doc = 100 * n + copy
+            rows.append((doc, "\n".join(before + passage + after)))
+            want[doc] = ("\n".join(before + passage * (copy == 0) + after), n * (copy > 0))
+    line = prose(rng, 50)  # not over 50 words: stays
+    for doc in (901, 902):
+        rows.append((doc, f"start {doc}\n{line}\nend {doc}"))
+        want[doc] = (rows[-1][1], 0)
+    got = queries.op7_line_dedup(spark, as_table("documents", rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == want
+
+
+def test_line_dedup_keeps_the_first_of_every_line(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id")
+    got = {r["doc_id"]: r for r in queries.op7_line_dedup(spark, "/root/testdata/sf0.01").collect()}
+    seen, left = set(), set()
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        lines, kept = text.split("\n"), got[doc]["text"].split("\n")
+        assert got[doc]["n_removed"] == len(lines) - len(kept) or (got[doc]["n_removed"], kept) == (len(lines), [""])
+        for line in kept:
+            assert len(line.split()) <= 50 or line not in seen
+        seen |= set(lines)
+        left |= set(kept)
+    assert seen <= left
