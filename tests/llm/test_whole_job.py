@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from gradewell.llm import queries
+from gradewell.llm import html_suffix, queries
 from tests.llm.test_brute_force import shingles
 
 
@@ -65,3 +65,22 @@ def test_line_dedup_keeps_the_first_of_every_line(spark):
         seen |= set(lines)
         left |= set(kept)
     assert seen <= left
+
+
+def test_html_decides_for_the_whole_host(spark):
+    """Boilerplate on few pages of a host of many shards goes as it does in one suffix array."""
+    rng, rows = random.Random(8), []
+    few = [prose(rng, 9) for _ in range(30)]
+    for page in range(120):
+        body = [prose(rng, 12)] + ([few[page % 30]] if page < 90 else []) + [prose(rng, rng.randrange(1, 12))]
+        rng.shuffle(body)
+        blocks = "".join(f"<div>{x}</div>" for x in body)
+        blocks = f"<main><p>own {page}</p></main>{blocks}" if page % 30 in (3, 4) and page >= 60 else blocks
+        rows.append((page, f"http://{'big' if page % 40 else 'small'}.org/{page}", f"<body>{blocks}</body>"))
+    rows += [(500 + k, "http://big.org/same", f"<div>{few[0]}</div>") for k in range(2)] + [(600, "http://big.org/", None), (601, "http://big.org/", "")]
+    rows += [(700 + k, "http://closed.org/", f"<article>text {k}</article><div>{few[1]}</div>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = ({r["page_id"]: r["text"] for r in html_suffix.extract(pages, shard=n).collect()} for n in (1000, 5))
+    assert len(dealt) == len(rows) and dealt == whole
+    gone = sum(few[k % 30] in html and few[k % 30] not in dealt[k] for k, _, html in rows[:90])
+    assert gone > 70
