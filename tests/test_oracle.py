@@ -5,7 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle_queries
 from checks.compare import compare, database
+from gradewell.plans import registry
 from tests.conftest import SF_SMALL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
@@ -16,13 +18,13 @@ def db():
     return database(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_equals_sql(spark, db, name):
     assert compare(spark, db, SF_SMALL, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(oracle_queries.oracle_sql())
 
 
 def test_entry_runs(spark):

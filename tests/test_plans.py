@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from gradewell.plans import registry
 from tests.conftest import SF_SMALL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tables")
@@ -14,9 +14,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tab
 STORED_STEPS = {"live_ranking", "submit_ranking"}
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in STORED_STEPS])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in STORED_STEPS])
 def test_plan(spark, name):
-    plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"NestedLoopJoin|CartesianProduct|EvalPython|PythonUDF|MapInPandas", plan)
     # windows over a whole table are allowed for cell counts only
     for keys in re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)", plan):
@@ -33,7 +33,7 @@ def test_plan(spark, name):
     ],
 )
 def test_scans_read_what_is_needed(spark, name, table, column, pushed):
-    plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and f"{table}.parquet" in line]
     assert scans and all("ReadSchema" in s for s in scans)
     assert any(column in s for s in scans)
