@@ -12,18 +12,22 @@ from gradewell.llm import (
     bloom_dedup,
     html_suffix,
     line_chunks,
+    packing,
     poisson_mix,
     ppm_language,
+    prefix_trie,
     qgram_decontam,
     rff_quality,
     seekable,
     set_join,
     url_templates,
+    whitening,
 )
-from gradewell.llm.common import crc_share, table
+from gradewell.llm.common import crc_share, store, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+PACKED_END_ID = 1
 
 
 #: The rules that a url is judged by before its template.
@@ -80,6 +84,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), PACKED_END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = store(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")), "turns")
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    rebuilt = prefix_trie.with_heads(own, base, crc_share("conv_id", 4).cast("int"), most=3)
+    nodes = prefix_trie.prefix_trie(rebuilt)
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_templates": op1_url_templates,
@@ -92,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_ppm_language": op9_ppm_language,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_packing": op11_packing,
+        "op12_whitening": op12_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 

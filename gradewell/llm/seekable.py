@@ -26,100 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import shared_path, small_batches
+from gradewell.llm.encoder import Encoder, text_batches
 
 SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
 FOOTER = "<QI8s"
 FOOTER_BYTES = struct.calcsize(FOOTER)
-#: Chunks between white space whose ids a task remembers (about 50 MB).
-REMEMBERED = 250_000
-#: Words that are encoded at a time.
-TOGETHER = 500
 #: A file holds about so many input characters; one read task takes about so many frames.
 FILE_CHARS, READ_FRAMES = 32_000_000, 4096
 
 
-class Encoder:
-    """Token ids of texts as bytes, for tokenizers that lower-case and split at white space, which
-    they drop, and between letters and other characters.
-
-    Chunks between ASCII white space are encoded apart and remembered. So that there are fewer
-    different ones, A-Z are lower-cased and a full stop or comma between an ASCII letter and white
-    space is a chunk of its own; the ids stay the same."""
-
-    def __init__(self, path: str, end_id: int | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    @staticmethod
-    def chunks(texts: list[bytes]) -> list[list[bytes]]:
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        lower = b"<|" not in data.tobytes()  # special tokens are told by case
-        mark = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _LETTER[data[:-2]] & _SPACE[data[2:]]
-        points = np.flatnonzero(mark) + 1
-        cut = np.insert(_LOWER[data] if lower else data, points, 32).tobytes()
-        lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        ends = np.cumsum(lengths)
-        ends += np.searchsorted(points, ends)
-        return [cut[start:end].split() for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def encode(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each chunk. Chunks of letters are one word each; they are encoded many at a
-        time and told apart by the pieces that close a word."""
-        plain = [x.decode("utf-8") for x in chunks]
-        words = [k for k, x in enumerate(plain) if x.isalpha()]
-        out: list[bytes | None] = [None] * len(chunks)
-        for start in range(0, len(words), TOGETHER):
-            group = words[start : start + TOGETHER]
-            ids = self.tokenizer.encode_batch_fast([" ".join(plain[k] for k in group)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids] if len(ids) and ids.max() < len(self.closes) else np.zeros(0)) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                for k, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    out[k] = raw[4 * a : 4 * b]
-        rest = [k for k, x in enumerate(out) if x is None]
-        found = self.tokenizer.encode_batch_fast([plain[k] for k in rest], add_special_tokens=False)
-        for k, e in zip(rest, found, strict=True):
-            out[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return out
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = self.chunks(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [*set().union(*split).difference(self.known)]
-        self.known.update(zip(fresh, self.encode(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in split]
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _batches(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text.encode("utf-8", "replace") if text else b"")
-        size += len(held[-1])
-        if size > 1 << 21:
-            yield start, held
-            start, held, size = i + 1, [], 0
-    if held:
-        yield start, held
-
-
 def encoded(docs: DataFrame, bounds: list[int], tokenizer_path: str, end_id: int | None) -> DataFrame:
     """(doc_id, n_tokens, ids_crc, frame, bucket): each text's ids as a zstandard frame; the bucket
     is the number of ``bounds`` (ascending) that are below the id."""
@@ -130,7 +46,7 @@ def encoded(docs: DataFrame, bounds: list[int], tokenizer_path: str, end_id: int
         for frame in frames:
             ids = frame["doc_id"].to_numpy()
             buckets = np.searchsorted(edges, ids, side="left")
-            for start, texts in _batches(frame["text"]):
+            for start, texts in text_batches(frame["text"]):
                 raw = encode(texts)
                 yield pd.DataFrame(
                     {
