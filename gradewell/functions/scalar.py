@@ -19,11 +19,6 @@ def points(c) -> Column:
     return F.round(c, POINT_DIGITS)
 
 
-def millionths(c) -> Column:
-    """Points as a whole number: a grouping key that needs no float clean-up."""
-    return F.round(F.col(c) * 10**POINT_DIGITS).cast("bigint")
-
-
 def score_band(score, max_score) -> Column:
     score, max_score = F.col(score), F.col(max_score)
     return (

@@ -6,12 +6,12 @@ the (viewer, item) rows that are asked for and answer each with key joins. Place
 in a list are exact all the same, see ``visible_groups``.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import blank, privilege_mask, yes_no
 from gradewell.operators.access import granted, is_superuser, not_limbo_user, with_standing
-from gradewell.operators.numbering import cell_offsets, id_levels, numbered_by_id
+from gradewell.operators.numbering import PART, numbered_by_id, swept
 from gradewell.operators.relations import groups_with_owner
 from gradewell.operators.skew import own_shuffle, without
 from gradewell.schema import LIMBO_GROUP
@@ -67,70 +67,43 @@ def listed_groups(
 ) -> DataFrame:
     """``visible_groups`` with a flag: is the viewer a member."""
     as_coded = mode == "as_coded"
-    shared = _shared_places(groups.filter(F.col("id_grupy") != LIMBO_GROUP).select("id_grupy", "na_zaproszenie"))
-    asked = requests.select("id_uz", "id_grupy", F.lit(1).alias("_asked"), F.lit(0).alias("_member"))
-    member = access.select("id_uz", "id_grupy", F.lit(0).alias("_asked"), F.lit(1).alias("_member"))
-    marks = (
-        asked.unionByName(member)
-        .groupBy("id_uz", "id_grupy")
-        .agg(F.max("_asked").alias("_asked"), F.max("_member").alias("_member"))
-        .join(shared, "id_grupy")
-        .filter((F.col("_asked") == 1) | F.col("na_zaproszenie"))
-        .withColumn("_own", F.when(F.col("na_zaproszenie"), F.col("_member")).otherwise(0))
+    is_open = (~F.col("na_zaproszenie")).cast("long")
+    shared = swept(
+        groups.filter(F.col("id_grupy") != LIMBO_GROUP).select("id_grupy", "na_zaproszenie"),
+        [F.col("id_grupy")],
+        {"_all_place": F.lit(1).cast("long"), "_open_place": is_open},
     )
-    superuser = F.col("_superuser")
-    hidden = F.col("na_zaproszenie") & ((F.col("_own") == 1) if as_coded else (F.col("_own") == 0))
+    # one sweep per viewer: the viewer, then for each group what is asked for and the membership
+    asked = requests.select("id_uz", "id_grupy", F.lit(1).alias("_asked"), F.lit(0).alias("_member"))
+    member = access.select("id_uz", "id_grupy", F.lit(0).alias("_asked"), F.lit(1).alias("_member")).distinct()
+    marks = asked.unionByName(member).join(shared, "id_grupy")
+    viewers = users.select("id_uz", is_superuser().cast("long").alias("_rank"))
+    own = F.when(F.col("na_zaproszenie"), F.col("_member")).otherwise(0).cast("long")
+    seen = swept(
+        marks.unionByName(viewers, allowMissingColumns=True),
+        [F.col("id_grupy")],
+        {
+            "_own_before": own,
+            "_known": F.col("_rank").isNotNull().cast("long"),
+            "_super": F.coalesce("_rank", F.lit(0).cast("long")),
+        },
+        by=["id_uz"],
+        ties=[F.desc("_asked")],
+        keep_part=True,
+    )
+    pair = Window.partitionBy(PART, "id_uz", "id_grupy")
+    seen = seen.withColumns(
+        {"_member": F.max("_member").over(pair), "_nr": F.row_number().over(pair.orderBy(F.desc("_asked")))}
+    )
+    superuser, is_member = F.col("_super") > 0, F.col("_member") == 1
+    hidden = F.col("na_zaproszenie") & (is_member if as_coded else ~is_member)
     if as_coded:
         place = F.col("_all_place") - F.when(superuser, 0).otherwise(F.col("_own_before"))
     else:
         own_place = F.col("_open_place") + F.col("_own_before") + F.col("na_zaproszenie").cast("int")
         place = F.when(superuser, F.col("_all_place")).otherwise(own_place)
-    return (
-        _own_before(marks)
-        .filter("_asked = 1")
-        .join(users.select("id_uz", is_superuser().alias("_superuser")), "id_uz")
-        .filter(superuser | ~hidden)
-        .select("id_uz", "id_grupy", place.cast("bigint").alias("place"), (F.col("_member") == 1).alias("zapisany"))
-    )
-
-
-#: Names of the cell levels of an id.
-_CELLS = ["_wide", "_middle", "_cell"]
-
-
-def _cells(key: str) -> dict[str, Column]:
-    return {name: cell for name, (cell,) in zip(_CELLS, id_levels(key), strict=True)}
-
-
-def _shared_places(listed: DataFrame) -> DataFrame:
-    """Per listed group: its place among all groups, and the number of open groups up to it."""
-    placed = numbered_by_id(listed, "id_grupy", name="_all_place")
-    tagged = placed.withColumns(_cells("id_grupy"))
-    is_open = (~F.col("na_zaproszenie")).cast("int")
-    cells = cell_offsets(tagged.groupBy(*_CELLS).agg(F.sum(is_open).alias("_n")), [], [[c] for c in _CELLS])
-    upto = F.sum(is_open).over(
-        Window.partitionBy(*_CELLS).orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        tagged.withColumn("_upto", upto)
-        .join(cells.select(*_CELLS, "_before"), _CELLS)
-        .select("id_grupy", "na_zaproszenie", "_all_place", (F.col("_before") + F.col("_upto")).alias("_open_place"))
-    )
-
-
-def _own_before(marks: DataFrame) -> DataFrame:
-    """Adds, per (viewer, group), how many own invite-only groups come before it."""
-    tagged = marks.withColumns(_cells("id_grupy"))
-    cells = cell_offsets(
-        tagged.groupBy("id_uz", *_CELLS).agg(F.sum("_own").alias("_n")), ["id_uz"], [[c] for c in _CELLS]
-    )
-    inside = F.sum("_own").over(
-        Window.partitionBy("id_uz", *_CELLS).orderBy("id_grupy").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        tagged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-        .join(cells.select("id_uz", *_CELLS, "_before"), ["id_uz", *_CELLS])
-        .select(*marks.columns, (F.col("_before") + F.col("_inside")).alias("_own_before"))
+    return seen.filter((F.col("_asked") == 1) & (F.col("_nr") == 1) & (F.col("_known") > 0) & (superuser | ~hidden)).select(
+        "id_uz", "id_grupy", place.cast("bigint").alias("place"), is_member.alias("zapisany")
     )
 
 

@@ -201,7 +201,6 @@ def with_answer_ids(answers: DataFrame, existing: DataFrame) -> DataFrame:
         numbered(
             answers,
             [F.col(c) for c in order],
-            [[F.to_date("data_wyslania")], [F.date_trunc("minute", "data_wyslania")], [F.col("data_wyslania")]],
             name="_i",
         )
         .withColumn("id_odp_u", F.col("_i") + highest)

@@ -3,10 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.operators.numbering import id_levels, numbered
-
-#: Folder levels of a path by which sources are dealt for numbering.
-FOLDER_DEPTHS = (5, 7, 9)
+from gradewell.operators.numbering import numbered
 
 
 def generate_quiz_set(
@@ -43,12 +40,7 @@ def generate_quiz_set(
         F.lit(False).alias("ukryty"),
     )
     # sources first, then runs of blocks inside a source
-    indexed = numbered(
-        blocks,
-        [F.col("zrodlo"), F.col("blok")],
-        [*_source_levels(blocks), *id_levels("blok")],
-        name="_i",
-    ).withColumn("_i", F.col("_i") - 1)
+    indexed = numbered(blocks, [F.col("zrodlo"), F.col("blok")], name="_i").withColumn("_i", F.col("_i") - 1)
     question_id = F.col("_i") + first_question_id
     pytanie = indexed.select(
         question_id.alias("id_pyt"),
@@ -74,21 +66,6 @@ def generate_quiz_set(
     return {"quiz": quiz, "pytanie": pytanie, "odpowiedz_wzorcowa": odpowiedz}
 
 
-def _source_levels(blocks: DataFrame) -> list[list[Column]]:
-    """Cell levels of the sources: by number when sources are numbers, else by folder, outer ones
-    first. A folder's sources lie together in the order of full paths, for they share its name up
-    to the slash at its end."""
-    source = F.col("zrodlo")
-    if dict(blocks.dtypes)["zrodlo"] in ("bigint", "int"):
-        return [*id_levels("zrodlo"), [source]]
-
-    def folder(depth: int) -> Column:
-        outer = F.substring_index(source, "/", depth)
-        return F.when(F.length(outer) < F.length(source), F.concat(outer, F.lit("/"))).otherwise(source)
-
-    return [*([folder(depth)] for depth in FOLDER_DEPTHS), [source]]
-
-
 def generation_summary(sets: dict[str, dict[str, DataFrame]]) -> DataFrame:
     """Number of quizzes and questions made, per set."""
     rows = None

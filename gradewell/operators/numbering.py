@@ -1,96 +1,68 @@
-"""Row numbers without one task per group.
+"""Row numbers and running sums without one task per group.
 
-A plain ``row_number`` window sends a whole group to one task. Here every row
-falls into a *cell*, a coarse piece of the sort order. Rows are numbered inside
-their cell, cells are counted, and running sums over the cells, level by level,
-give the offset to add. Cells are a function of the row's own values, so a lost executor
-that recomputes its rows gets the same numbers.
+A plain window sends a whole group to one task. Here rows are dealt to parts by range of
+(group, order), so a big group lies in several parts, one after the other. Each part is summed up
+by itself; only the group that a part begins with can have rows in earlier parts, so there is
+one number at most to carry into each part.
+
+The dealt rows are written once to the shared folder. Both steps read them there: the input is
+worked out once, and a lost executor that reads again sees the same parts.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_BITS = 20  # a cell of unique ids holds at most 2**20 rows
-WIDE_BITS = (50, 35)  # wide cells: at most 2**14, of at most 2**15 middle ones, of at most 2**15 cells
-#: What stands for null in a key, by type; a flag beside it tells the two apart.
-_LEAST = {
-    "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0, "float": 0, "boolean": False,
-    "date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01",
-}
-
-
-def id_cell(column: str) -> Column:
-    return F.shiftright(F.col(column).cast("bigint"), CELL_BITS)
-
-
-def id_levels(column: str) -> list[list[Column]]:
-    """Cell levels of an id, coarse to fine, whose windows are bounded for any spread of ids:
-    dense ids fill few cells, hashed ids fill many, but never more than 2**15 under one parent."""
-    wide = [[F.shiftright(F.col(column).cast("bigint"), bits)] for bits in WIDE_BITS]
-    return [*wide, [id_cell(column)]]
-
+from gradewell.sources.shared import stored
 
-def cell_offsets(cells: DataFrame, by: list[str], levels: list[list[str]]) -> DataFrame:
-    """Adds ``_before``: the sum of ``_n`` over all earlier cells of the same group.
-
-    ``levels`` name the cell columns from coarse to fine. Each level is summed
-    inside its parent only, so no window holds more than one parent's cells.
-    """
-    parents = by + [name for level in levels[:-1] for name in level]
-    earlier = (
-        Window.partitionBy(*parents).orderBy(*levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    if len(levels) == 1:
-        return out
-    coarse = cells.groupBy(*parents).agg(F.sum("_n").alias("_n"))
-    above = cell_offsets(coarse, by, levels[:-1]).select(*parents, F.col("_before").alias("_above"))
-    return out.join(above, parents).withColumn("_before", F.col("_before") + F.col("_above")).drop("_above")
+PART = "_part"
 
 
-def numbered(
+def swept(
     df: DataFrame,
     order: list[Column],
-    levels: list[list[Column]],
+    sums: dict[str, Column],
     by: list[str] | None = None,
-    name: str = "place",
+    ties: list[Column] | None = None,
+    keep_part: bool = False,
 ) -> DataFrame:
-    """1-based position of each row in its group ``by`` under ``order``.
+    """Adds running sums over each group ``by`` under ``order``, the row itself included.
 
-    ``levels`` are the cell columns, coarse to fine. Every level must rise with
-    ``order``. Rows with a null group form a group; a null cell comes first, as nulls
-    do in ``order``.
-
-    Rows are spread by group and cell on purpose: a join on the group key before
-    would otherwise lend its layout, and a big group would stay in one task.
+    Rows that are equal in ``by`` and ``order`` lie in one part, in the order of ``ties``. Rows with
+    a null group form a group. Nulls in ``order`` come first, or last where it falls.
+    ``keep_part`` leaves the part's number in column ``_part``.
     """
-    by = list(by or [])
-    tagged, names = df, []
+    by, ties = list(by or []), list(ties or [])
+    adds = {name: f"_add_{name}" for name in sums}
+    dealt = df.withColumns({adds[name]: column for name, column in sums.items()})
+    dealt = dealt.repartitionByRange(*by, *order).withColumn(PART, F.spark_partition_id())
+    rows = stored(dealt, "swept")
+
+    totals = rows.groupBy(*by, PART).agg(*[F.sum(add).alias(add) for add in adds.values()])
+    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col(PART).alias("_into"),
+        *[F.col(b).alias(f"_by_{b}") for b in by],
+        F.lag(PART).over(Window.partitionBy(*by).orderBy(PART)).isNotNull().alias("_goes_on"),
+        *[F.coalesce(F.sum(add).over(earlier), F.lit(0)).alias(f"_carried_{name}") for name, add in adds.items()],
+    ).filter("_goes_on")  # one row a part at most
+    here = F.col(PART) == F.col("_into")
+    for b in by:
+        here = here & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+
+    upto = Window.partitionBy(PART, *by).orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({f"_inside_{name}": F.sum(add).over(upto) for name, add in adds.items()})
+    return inside.join(F.broadcast(carried), here, "left").select(
+        *df.columns,
+        *([PART] if keep_part else []),
+        *[(F.col(f"_inside_{name}") + F.coalesce(f"_carried_{name}", F.lit(0))).alias(name) for name in sums],
+    )
 
-    def keyed(column: Column, name: str) -> list[str]:
-        """Two columns without nulls that tell the values of ``column`` apart, nulls first."""
-        nonlocal tagged
-        tagged = tagged.withColumn(name, column)
-        least = _LEAST.get(dict(tagged.dtypes)[name], "")
-        tagged = tagged.withColumns(
-            {f"{name}_there": F.col(name).isNotNull(), name: F.coalesce(name, F.lit(least).cast(dict(tagged.dtypes)[name]))}
-        )
-        return [f"{name}_there", name]
 
-    groups = [n for i, column in enumerate(by) for n in keyed(F.col(column), f"_by{i}")]
-    for depth, level in enumerate(levels):
-        names.append([n for i, column in enumerate(level) for n in keyed(column, f"_cell{depth}_{i}")])
-    keys = groups + [n for level in names for n in level]
-    cells = cell_offsets(tagged.groupBy(*keys).agg(F.count("*").alias("_n")), groups, names)
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (
-        tagged.repartition(*keys)
-        .withColumn("_inside", inside)
-        .join(cells.select(*keys, "_before"), keys)
-        .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
-    )
+def numbered(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """1-based position of each row in its group ``by`` under ``order``, which should tell rows apart."""
+    return swept(df, order, {name: F.lit(1).cast("long")}, by)
 
 
 def numbered_by_id(df: DataFrame, key: str, by: list[str] | None = None, name: str = "place") -> DataFrame:
     """``numbered`` for lists ordered by an id that is unique inside its group."""
-    return numbered(df, [F.col(key)], id_levels(key), by, name)
+    return numbered(df, [F.col(key)], by, name)

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.functions.scalar import millionths, points, privilege_mask
+from gradewell.functions.scalar import points, privilege_mask
 from gradewell.operators.access import granted, with_standing
-from gradewell.operators.numbering import id_levels, numbered
+from gradewell.operators.numbering import numbered
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
 
@@ -74,13 +74,7 @@ def recompute_group_ranking(
 
 def placed(ranking: DataFrame) -> DataFrame:
     """Place of each user in the group: points descending, ties by id."""
-    fall = -millionths("pkt")
-    return numbered(
-        ranking.select("id_grupy", "id_uz", "pkt"),
-        order=[F.desc("pkt"), F.col("id_uz")],
-        levels=[[F.floor(fall / 1_000_000)], [fall], *id_levels("id_uz")],
-        by=["id_grupy"],
-    )
+    return numbered(ranking.select("id_grupy", "id_uz", "pkt"), [F.desc("pkt"), F.col("id_uz")], by=["id_grupy"])
 
 
 def leaderboard(ranking: DataFrame, users: DataFrame, groups: DataFrame, access: DataFrame) -> DataFrame:

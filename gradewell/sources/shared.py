@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"name a folder that all executors share in {SETTING}; {warehouse} is local to each machine")
         root = f"{warehouse.rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written under ``shared_folder`` and read back: it is worked out once, here."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

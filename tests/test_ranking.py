@@ -1,20 +1,22 @@
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradewell.operators import ranking as R
-from gradewell.operators.numbering import id_cell, id_levels, numbered, numbered_by_id
+from gradewell.operators.numbering import numbered, numbered_by_id, swept
 from gradewell.operators.scoring import attempt_history, question_scores
 from tests.conftest import rows
 
 
 def test_numbering_equals_a_plain_sort(spark):
     rng = random.Random(7)
-    # one group holds most rows; ids lie in several cells; many ties
+    # one group holds most rows; many ties
     data = [(1 if rng.random() < 0.7 else rng.randrange(2, 9), rng.randrange(1 << 23), rng.randrange(6)) for _ in range(4000)]
     data = list({(g, i): (g, i, p) for g, i, p in data}.values())
     df = spark.createDataFrame(data, "g long, i long, p long")
-    got = numbered(df, [F.desc("p"), F.col("i")], [[-F.col("p")], [id_cell("i")]], by=["g"])
+    got = numbered(df.repartition(7), [F.desc("p"), F.col("i")], by=["g"])
     want, place = [], {}
     for g, i, p in sorted(data, key=lambda r: (r[0], -r[2], r[1])):
         place[g] = place.get(g, 0) + 1
@@ -76,29 +78,51 @@ def test_attempt_rules(spark):
     assert rows(R.ranking_from_attempts(attempts, quizzes, "sum", include_limbo=True)) == [(1, 0, 1.0), (1, 5, 5.0)]
 
 
-def test_hashed_ids_are_numbered_in_small_windows(spark):
-    """With ids spread over 64 bits, no window of cells holds more than a small part of the rows."""
+@pytest.fixture()
+def many_parts(spark):
+    """Ranges are not joined together again, so that small tables lie in several parts."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_hashed_ids_and_a_hot_group(many_parts):
+    """Places are those of a sort, whatever the spread of ids and the size of a group."""
     n = 200_000
-    df = spark.range(n).select(F.xxhash64("id").alias("i"))
-    levels = [level[0].alias(f"c{k}") for k, level in enumerate(id_levels("i"))]
-    cells = df.select(*levels)
-    largest = 0
-    for depth in range(len(levels)):
-        parents = [f"c{k}" for k in range(depth)]
-        inside = cells.select(*parents, f"c{depth}").distinct().groupBy(*parents).count()
-        largest = max(largest, inside.agg(F.max("count")).first()[0])
-    assert largest <= 1 << 15
+    df = many_parts.range(n).select(F.xxhash64("id").alias("i"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("g"))
     places = numbered_by_id(df, "i").agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()
     assert tuple(places) == (n, 1, n)
-    few = df.limit(500)
-    got = [r.i for r in numbered_by_id(few, "i").orderBy("place").collect()]
-    assert got == sorted(got)
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("i")).cast("long"))
+    got = numbered_by_id(df, "i", ["g"])
+    assert got.exceptAll(want).count() == 0 and got.count() == n
+
+
+def test_running_sums(many_parts):
+    rng = random.Random(11)
+    data = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, rng.randrange(40)]), k, rng.randrange(5)) for k in range(3000)]
+    df = many_parts.createDataFrame(data, "g long, o long, k long, n long")
+    got = swept(df, [F.col("o")], {"s": F.col("n"), "c": F.lit(1)}, by=["g"], ties=[F.desc("k")])
+    want, held = [], {}
+    for g, o, k, n in sorted(data, key=lambda r: (r[0] or -1, -1 if r[1] is None else r[1], -r[2])):
+        s, c = held.get(g, (0, 0))
+        held[g] = (s + n, c + 1)
+        want.append((g, o, k, n, s + n, c + 1))
+    assert rows(got) == sorted(want, key=repr)
+    assert swept(df.limit(0), [F.col("o")], {"s": F.col("n")}).count() == 0
+
 
+def test_input_is_worked_out_once(many_parts):
+    """What reads the sweep's result never goes back to its input."""
+    source = many_parts.range(1000).select((F.col("id") % 5).alias("g"), F.xxhash64("id").alias("i"))
+    plan = numbered_by_id(source, "i", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and plan.count("FileScan") == 2
+    carried = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert len(carried) == 1  # one row a part
 
-def test_sources_by_path_keep_the_order_of_paths(spark):
-    from gradewell.operators.generate import _source_levels
 
+def test_paths_keep_their_order(spark):
     paths = [f"file:///{a}/{b}{c}/{d}" for a in "pq" for b in ("r", "r-s", "r/t/u/v/w") for c in ("", "/x", "!") for d in ("1", "z", "zz")]
     df = spark.createDataFrame([(p,) for p in paths], "zrodlo string")
-    got = [r.zrodlo for r in numbered(df, [F.col("zrodlo")], _source_levels(df)).orderBy("place").collect()]
+    got = [r.zrodlo for r in numbered(df, [F.col("zrodlo")]).orderBy("place").collect()]
     assert got == sorted(paths)

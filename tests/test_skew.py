@@ -160,10 +160,13 @@ def test_results_do_not_depend_on_the_plan(spark, domain, hot_answers):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_big_group_is_numbered_in_cells(big, hot_members):
-    """The numbering window is keyed by group and cell, not by the group alone."""
-    from gradewell.operators.numbering import numbered_by_id
-
-    plan = numbered_by_id(hot_members, "id_uz", by=["id_grupy"])._jdf.queryExecution().executedPlan().toString()
-    windows = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^)]*)", plan)
-    assert windows and all("_cell0_0" in w for w in windows)
+def test_big_group_is_numbered_in_parts(big, hot_members):
+    """The numbering window is keyed by part and group, not by the group alone."""
+    from gradewell.operators.numbering import numbered_by_id, swept
+
+    placed = numbered_by_id(hot_members, "id_uz", by=["id_grupy"], name="place")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[sum\(_add_place[^]]*?windowspecdefinition\(([^)]*)", plan)
+    assert any("_part" in w for w in windows)
+    parts = swept(hot_members, [F.col("id_uz")], {"n": F.lit(1)}, by=["id_grupy"], keep_part=True)
+    assert parts.filter(F.col("id_grupy") == HOT_GROUP).select("_part").distinct().count() > 3
