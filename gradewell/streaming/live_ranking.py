@@ -1,32 +1,42 @@
 """Rankings kept up to date by a stream of submissions.
 
-Append-only tables live under one path, each with a folder per micro-batch:
-``refused`` (forms that do not pass the gates), ``answers``, ``attempts`` (one short
-row per attempt) and ``ranking`` (new totals of the (user, group) pairs the batch touched). A batch that runs again writes the
-same folders again, so nothing is counted twice. The present ranking is the
-latest row of each pair.
-
-``compact`` folds old batches into ``attempts_base`` (the best attempt per user
-and quiz) and ``ranking_base`` (one row per pair), so that a batch reads the base
-and the few batches after it, however long the stream has been running.
+Two streaming queries share one path. The first, the intake, judges and scores each micro-batch of
+forms and appends to tables that have a folder per batch: ``refused`` (forms that do not pass the
+gates), ``members`` (memberships that entering a group has made), ``answers`` and ``attempts`` (one
+short row per attempt). The second reads the attempts as they come and keeps, as state of
+each (user, group) pair, the best attempt per quiz and their sum; pairs whose sum has changed are
+appended to ``ranking``. Nobody reads old answers or attempts again: what a batch costs depends on
+the batch, and the state holds a number per (user, quiz).
+
+Nothing is counted twice. A batch that runs again writes its own folders again, and a best attempt
+stays what it is when it is seen once more, so attempts may even be delivered twice. The present
+ranking is the latest row of each pair; every ``FOLD`` batches the log is folded into a
+base, so readers see a base and the few batches after it.
 
 A submitted form must arrive whole, i.e. its rows in one file of the stream.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from gradewell.functions.scalar import POINT_DIGITS
 from gradewell.operators.changes import expand_submissions, gate_submissions, shown_options
-from gradewell.operators.ranking import ranking_from_attempts
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
 
 ATTEMPT = "id_uz long, id_quizu long, zdobyte_pkt double"
 TOTAL = "id_uz long, id_grupy long, pkt double"
+MEMBER = "id_grupy long, id_uz long, prawa_dost string"
 NO_BATCH = -1
+#: Batches of the ranking's log after which it is folded into a new base.
+FOLD = 16
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -41,22 +51,6 @@ class QuizTables:
     access: DataFrame
 
 
-def start_live_ranking(
-    submissions: DataFrame, tables: QuizTables, path: str, seed: str, **trigger
-) -> StreamingQuery:
-    """Starts the stream; ``trigger`` is passed on, e.g. ``availableNow=True``."""
-    spark = submissions.sparkSession
-    for name, schema in (("attempts", ATTEMPT), ("ranking", TOTAL)):
-        # an empty first base, the same at every start
-        _write(spark.createDataFrame([], schema), f"{path}/{name}_base/upto={NO_BATCH}")
-    return (
-        submissions.writeStream.foreachBatch(lambda batch, nr: _apply_batch(batch, nr, tables, path, seed))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
 def _write(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").parquet(folder)
 
@@ -68,54 +62,131 @@ def _store(df: DataFrame, path: str, table: str, nr: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _since_base(spark: SparkSession, path: str, table: str, schema: str, below: int) -> DataFrame:
-    """Rows of the newest base older than batch ``below`` and of the batches after it, with ``batch``."""
-    bases = spark.read.schema(f"{schema}, upto long").parquet(f"{path}/{table}_base").filter(F.col("upto") < below)
-    newest = bases.agg(F.max("upto")).first()[0]
-    newest = NO_BATCH if newest is None else newest
-    base = bases.filter(F.col("upto") == newest).withColumnRenamed("upto", "batch")
-    log = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/{table}")
-    return base.unionByName(log.filter((F.col("batch") > newest) & (F.col("batch") < below)))
+# Forms to attempts --------------------------------------------------------------
+def start_intake(submissions: DataFrame, tables: QuizTables, path: str, seed: str, **trigger) -> StreamingQuery:
+    """Starts judging and scoring the forms; ``trigger`` is passed on, e.g. ``availableNow=True``."""
+    spark = submissions.sparkSession
+    for table, schema in (("members", MEMBER), ("attempts", ATTEMPT)):
+        # an empty first batch, the same at every start
+        _write(spark.createDataFrame([], schema), f"{path}/{table}/batch={NO_BATCH}")
+    return (
+        submissions.writeStream.foreachBatch(lambda batch, nr: take_batch(batch, nr, tables, path, seed))
+        .option("checkpointLocation", f"{path}/checkpoint-intake")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def current_members(spark: SparkSession, path: str, access: DataFrame, below: int = 1 << 62) -> DataFrame:
+    """The membership rows that the stream began with and those it has made in batches under ``below``."""
+    made = spark.read.schema(f"{MEMBER}, batch long").parquet(f"{path}/members").filter(F.col("batch") < below)
+    columns = ["id_grupy", "id_uz", "prawa_dost"]
+    return access.select(columns).unionByName(made.select(columns))
 
 
-def _apply_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: str) -> None:
-    accepted, refused, _ = gate_submissions(batch, tables.quizzes, tables.groups, tables.access)
+def take_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: str) -> None:
+    """One micro-batch: forms judged by the memberships of this moment, answers, attempts."""
+    spark = batch.sparkSession
+    access = current_members(spark, path, tables.access, below=nr)
+    accepted, refused, members = gate_submissions(batch, tables.quizzes, tables.groups, access)
     _write(refused, f"{path}/refused/batch={nr}")
+    _write(members.join(access, ["id_grupy", "id_uz"], "left_anti").select("id_grupy", "id_uz", "prawa_dost"), f"{path}/members/batch={nr}")
     shown = shown_options(batch, tables.questions, tables.types, tables.templates, seed, accepted)
     answers = _store(expand_submissions(shown)[0], path, "answers", nr)
     scores = question_scores(answers, tables.questions, tables.types, tables.templates)
-    fresh = _store(attempt_history(scores).select("id_uz", "id_quizu", "zdobyte_pkt"), path, "attempts", nr)
-
-    groups = tables.quizzes.select("id_quizu", "id_grupy").filter(F.col("id_grupy") != LIMBO_GROUP)
-    touched = fresh.join(groups, "id_quizu").select("id_uz", "id_grupy")
-    # only attempts of touched pairs up to this batch count, also when it runs again
-    history = (
-        _since_base(batch.sparkSession, path, "attempts", ATTEMPT, nr + 1)
-        .join(groups, "id_quizu")
-        .join(touched, ["id_uz", "id_grupy"], "left_semi")
-        .select("id_uz", "id_quizu", "zdobyte_pkt")
+    _write(attempt_history(scores).select("id_uz", "id_quizu", "zdobyte_pkt"), f"{path}/attempts/batch={nr}")
+
+
+# Attempts to totals -------------------------------------------------------------
+class BestAttempts(StatefulProcessor):
+    """State of a (user, group) pair: the best attempt of each quiz, and their sum. Points are kept
+    as whole numbers of their last digit, so sums are exact in any order."""
+
+    UNIT = 10**POINT_DIGITS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        number = StructType([StructField("n", LongType())])
+        self.best = handle.getMapState("best", StructType([StructField("id_quizu", LongType())]), number)
+        self.total = handle.getValueState("total", number)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.total.get()[0] if self.total.exists() else None
+        total = before or 0
+        for row in rows:
+            quiz, gained = (row["id_quizu"],), round(row["zdobyte_pkt"] * self.UNIT)
+            held = self.best.getValue(quiz)[0] if self.best.containsKey(quiz) else None
+            if held is None or gained > held:
+                self.best.updateValue(quiz, (gained,))
+                total += gained - (held or 0)
+        if total != before:
+            self.total.update((total,))
+            yield Row(id_uz=key[0], id_grupy=key[1], pkt=total / self.UNIT)
+
+    def close(self) -> None:
+        pass
+
+
+_TOTAL = StructType([StructField("id_uz", LongType()), StructField("id_grupy", LongType()), StructField("pkt", DoubleType())])
+
+
+def start_totals(spark: SparkSession, quizzes: DataFrame, path: str, files: int | None = None, **trigger) -> StreamingQuery:
+    """Starts keeping the totals of the attempts under ``path``; ``files`` bounds the files of a
+    micro-batch. The state lives in RocksDB, under the query's checkpoint."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    source = spark.readStream.schema(f"{ATTEMPT}, batch long").option("ignoreMissingFiles", "true")
+    attempts = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{path}/attempts")
+    groups = quizzes.select("id_quizu", "id_grupy").filter(F.col("id_grupy") != LIMBO_GROUP)
+    totals = (
+        attempts.join(groups, "id_quizu")
+        .groupBy("id_uz", "id_grupy")
+        .transformWithState(BestAttempts(), _TOTAL, outputMode="Update", timeMode="None")
     )
-    _store(ranking_from_attempts(history, tables.quizzes), path, "ranking", nr)
+    _write(spark.createDataFrame([], TOTAL), f"{path}/ranking_base/upto={NO_BATCH}")
+    return (
+        totals.writeStream.foreachBatch(lambda changed, nr: _append(changed, nr, path))
+        .outputMode("update")
+        .option("checkpointLocation", f"{path}/checkpoint-totals")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def _append(changed: DataFrame, nr: int, path: str) -> None:
+    if nr and nr % FOLD == 0:
+        fold(changed.sparkSession, path, nr - 1)
+    _write(changed, f"{path}/ranking/batch={nr}")
+
+
+def _since_base(spark: SparkSession, path: str, below: int) -> DataFrame:
+    """Rows of the newest base older than batch ``below`` and of the batches after it, with ``batch``."""
+    bases = spark.read.schema(f"{TOTAL}, upto long").parquet(f"{path}/ranking_base").filter(F.col("upto") < below)
+    newest = bases.agg(F.max("upto")).first()[0]
+    newest = NO_BATCH if newest is None else newest
+    base = bases.filter(F.col("upto") == newest).withColumnRenamed("upto", "batch")
+    log = spark.read.schema(f"{TOTAL}, batch long").parquet(f"{path}/ranking")
+    return base.unionByName(log.filter((F.col("batch") > newest) & (F.col("batch") < below)))
 
 
 def _latest(totals: DataFrame) -> DataFrame:
     return totals.groupBy("id_uz", "id_grupy").agg(F.max_by("pkt", "batch").alias("pkt"))
 
 
+def fold(spark: SparkSession, path: str, upto: int) -> None:
+    """Folds the ranking's log up to batch ``upto``, which must be finished for good, into a new base."""
+    _write(_latest(_since_base(spark, path, upto + 1)), f"{path}/ranking_base/upto={upto}")
+
+
 def current_ranking(spark: SparkSession, path: str) -> DataFrame:
     """Latest total of every (user, group) pair."""
-    return _latest(_since_base(spark, path, "ranking", TOTAL, 1 << 62))
+    return _latest(_since_base(spark, path, 1 << 62))
 
 
-def compact(spark: SparkSession, path: str, upto: int) -> None:
-    """Folds the batches up to ``upto`` into a new base. These must be finished for good."""
-    best = (
-        _since_base(spark, path, "attempts", ATTEMPT, upto + 1)
-        .groupBy("id_uz", "id_quizu")
-        .agg(F.max("zdobyte_pkt").alias("zdobyte_pkt"))
-    )
-    _write(best, f"{path}/attempts_base/upto={upto}")
-    _write(_latest(_since_base(spark, path, "ranking", TOTAL, upto + 1)), f"{path}/ranking_base/upto={upto}")
+def catch_up(submissions: DataFrame, tables: QuizTables, path: str, seed: str, files: int | None = None) -> DataFrame:
+    """Takes in all forms that are there and returns the ranking. Goes on where it stopped before."""
+    spark = submissions.sparkSession
+    start_intake(submissions, tables, path, seed, availableNow=True).awaitTermination()
+    start_totals(spark, tables.quizzes, path, files, availableNow=True).awaitTermination()
+    return current_ranking(spark, path)
 
 
 def replay(
@@ -125,5 +196,4 @@ def replay(
     schema = submissions.schema
     submissions.repartition(files, "id_uz", "data_wyslania").write.parquet(f"{path}/inbox")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/inbox")
-    start_live_ranking(stream, tables, path, seed, availableNow=True).awaitTermination()
-    return current_ranking(spark, path)
+    return catch_up(stream, tables, path, seed)

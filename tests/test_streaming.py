@@ -1,15 +1,11 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from gradewell.operators import changes as CH
-from gradewell.operators.ranking import recompute_ranking
-from gradewell.streaming.live_ranking import (
-    QuizTables,
-    _apply_batch,
-    compact,
-    current_ranking,
-    replay,
-    start_live_ranking,
-)
+from gradewell.operators.ranking import ranking_from_attempts, recompute_ranking
+from gradewell.streaming import live_ranking as LR
 from tests.conftest import rows
 
 
@@ -21,13 +17,20 @@ def wanted(d, submissions):
 
 
 def quiz_tables(d):
-    return QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
+    return LR.QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
+
+
+def totals(df):
+    return rows(df, "id_uz", "id_grupy", "pkt")
 
 
 def test_stream_equals_batch(spark, domain, tmp_path):
-    got = replay(spark, domain.submissions, quiz_tables(domain), str(tmp_path / "live"), "s")
-    assert spark.read.parquet(str(tmp_path / "live" / "ranking")).select("batch").distinct().count() > 1
-    assert rows(got, "id_uz", "id_grupy", "pkt") == rows(wanted(domain, domain.submissions), "id_uz", "id_grupy", "pkt")
+    path, tables = str(tmp_path / "live"), quiz_tables(domain)
+    got = LR.replay(spark, domain.submissions, tables, path, "s")
+    assert spark.read.parquet(f"{path}/attempts").filter("batch >= 0").select("batch").distinct().count() > 1
+    assert totals(got) == totals(wanted(domain, domain.submissions))
+    members = CH.gate_submissions(domain.submissions, domain.quiz, domain.grupa_quizowa, domain.dostep_grupa)[2]
+    assert rows(LR.current_members(spark, path, tables.access)) == rows(members, "id_grupy", "id_uz", "prawa_dost")
 
 
 def test_restart_and_repeated_batch_do_not_count_twice(spark, domain, tmp_path):
@@ -37,17 +40,49 @@ def test_restart_and_repeated_batch_do_not_count_twice(spark, domain, tmp_path):
 
     def run():
         stream = spark.readStream.schema(domain.submissions.schema).parquet(inbox)
-        start_live_ranking(stream, tables, path, "s", availableNow=True).awaitTermination()
+        return LR.catch_up(stream, tables, path, "s")
 
     first.coalesce(1).write.mode("append").parquet(inbox)
-    run()
-    before = rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt")
-    compact(spark, path, 0)
-    assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == before
+    before = totals(run())
+    assert before == totals(wanted(domain, first))
+    LR.fold(spark, path, 0)
+    assert totals(LR.current_ranking(spark, path)) == before
     second.coalesce(1).write.mode("append").parquet(inbox)
-    run()  # a new query on the same checkpoint
-    _apply_batch(second, 1, tables, path, "s")  # the last batch once more
-    want = rows(wanted(domain, domain.submissions), "id_uz", "id_grupy", "pkt")
-    assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == want
-    compact(spark, path, 1)
-    assert rows(current_ranking(spark, path), "id_uz", "id_grupy", "pkt") == want
+    run()  # new queries on the same checkpoints
+    LR.take_batch(second, 1, tables, path, "s")  # the last batch once more, with new files of attempts
+    LR.start_totals(spark, tables.quizzes, path).awaitTermination()
+    want = totals(wanted(domain, domain.submissions))
+    assert totals(LR.current_ranking(spark, path)) == want
+    LR.fold(spark, path, 1)
+    assert totals(LR.current_ranking(spark, path)) == want
+    made = spark.read.parquet(f"{path}/members").groupBy("id_grupy", "id_uz").count()
+    assert made.filter("count > 1").count() == 0  # the second batch saw the members of the first
+
+
+@pytest.fixture()
+def two_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_thirty_batches_keep_a_bounded_state(two_partitions, tmp_path):
+    spark, path = two_partitions, str(tmp_path / "live")
+    quizzes = spark.createDataFrame([(q, q % 3) for q in range(6)], "id_quizu long, id_grupy long")
+    every = []
+    for nr in range(30):
+        batch = [(u, (u + nr + k) % 6, float((7 * nr + 3 * u + k) % 10) / 2) for u in range(20) for k in range(2)]
+        every += batch
+        spark.createDataFrame(batch, LR.ATTEMPT).coalesce(1).write.parquet(f"{path}/attempts/batch={nr}")
+    query = LR.start_totals(spark, quizzes, path, files=1)
+    query.awaitTermination()
+    progress = [json.loads(p.json) for p in query.recentProgress]
+    steps = [p for p in progress if p["numInputRows"]]
+    assert len(steps) == 30 and {p["numInputRows"] for p in steps} == {40}  # a batch reads what is new
+    pairs, best = {(u, q % 3) for u, q, _ in every if q % 3}, {(u, q) for u, q, _ in every if q % 3}
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in steps]
+    assert sizes[-1] == sizes[-5] <= 2 * (len(pairs) + len(best))
+    stamped = spark.createDataFrame([(*r, k) for k, r in enumerate(every)], f"{LR.ATTEMPT}, data_wyslania long")
+    assert totals(LR.current_ranking(spark, path)) == totals(ranking_from_attempts(stamped, quizzes))
+    bases = spark.read.parquet(f"{path}/ranking_base").schema.names
+    assert "upto" in bases and (tmp_path / "live" / "ranking_base" / f"upto={LR.FOLD - 1}").exists()
