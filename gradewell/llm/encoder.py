@@ -10,15 +10,17 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from functools import cached_property
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
 import regex
 
-#: Words that a task remembers in each of its two generations (about 25 MB).
-REMEMBERED = 125_000
+#: Words that a Python worker remembers in each of its two generations (about 60 MB).
+REMEMBERED = 400_000
 #: Words that are encoded at a time.
 TOGETHER = 64
 #: Letters below this need no normal form beyond lower case.
@@ -72,7 +74,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.path = path
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.pattern = _by_words(spec)
         self.young: dict[bytes, bytes] = {}
@@ -87,18 +89,28 @@ class Encoder:
             self.closes[[i for piece, i in vocabulary.items() if piece.endswith(close)]] = True
 
     @staticmethod
-    def chunks(texts: list[bytes]) -> list[list[bytes]]:
+    def chunks(texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The chunks of all texts, and the number of them up to the end of each text."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         lower = b"<|" not in data.tobytes()  # special tokens are told by case
         mark = ((data[1:-1] == 46) | (data[1:-1] == 44)) & _LETTER[data[:-2]] & _SPACE[data[2:]]
         points = np.flatnonzero(mark) + 1
-        cut = np.insert(_LOWER[data] if lower else data, points, 32).tobytes()
-        lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        ends = np.cumsum(lengths)
+        cut = np.insert(_LOWER[data] if lower else data, points, 32)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
         ends += np.searchsorted(points, ends)
-        return [cut[start:end].split() for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        space = _SPACE[cut]
+        begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        return cut.tobytes().split(), np.searchsorted(begins, ends).tolist()
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
@@ -134,14 +146,26 @@ class Encoder:
             return [ids + self.end for ids in self.whole(texts)]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        split = self.chunks(texts)
+        chunks, ends = self.chunks(texts)
         known, old = self.young, self.old
-        fresh = {*filterfalse(known.__contains__, chain.from_iterable(split))}
-        again = fresh & old.keys()
-        known.update((x, old[x]) for x in again)
-        fresh = [*(fresh - again)]
-        known.update(zip(fresh, self.encode(fresh), strict=True))
-        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
+        found = [*map(known.get, chunks)]
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        if unknown:
+            fresh = {chunks[k] for k in unknown}
+            again = fresh & old.keys()
+            known.update((x, old[x]) for x in again)
+            fresh = [*(fresh - again)]
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+            for k in unknown:
+                found[k] = known[chunks[k]]
+        return [b"".join(found[start:end]) + self.end for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def worker_encoder(path: str, end_id: int | None) -> Encoder:
+    """The encoder of this Python worker: the words that one task has met are known to the next.
+    This package is sent along with each task, so what must outlive one is kept outside it."""
+    held = sys.modules.setdefault("gradewell_worker_memory", ModuleType("gradewell_worker_memory")).__dict__
+    return held.setdefault("encoders", {}).get((path, end_id)) or held["encoders"].setdefault((path, end_id), Encoder(path, end_id))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

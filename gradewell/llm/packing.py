@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import store
-from gradewell.llm.encoder import Encoder, text_batches
+from gradewell.llm.encoder import text_batches, worker_encoder
 
 WINDOW = 2048
 
@@ -27,7 +27,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFra
     the task's tokens before it. ``part`` numbers the tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, before = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+        encode, part, before = worker_encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         for frame in frames:
             for start, texts in text_batches(frame["text"]):
                 raw = encode(texts)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import shared_path, small_batches
-from gradewell.llm.encoder import Encoder, text_batches
+from gradewell.llm.encoder import text_batches, worker_encoder
 
 SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, bounds: list[int], tokenizer_path: str, end_id: int
     is the number of ``bounds`` (ascending) that are below the id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, pack = Encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=1)
+        encode, pack = worker_encoder(tokenizer_path, end_id), zstandard.ZstdCompressor(level=1)
         edges = np.array(bounds, dtype=np.int64)
         for frame in frames:
             ids = frame["doc_id"].to_numpy()
