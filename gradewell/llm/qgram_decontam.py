@@ -1,10 +1,10 @@
 """Benchmark decontamination: the q-gram lemma in diagonal bands, then banded alignment.
 
 Both sides are normalised: lower case, each run of other characters than letters and digits as
-one space. An item is cut into overlapping passages; a passage that occurs in a document within
-its edit budget is a leak. By the q-gram lemma a passage of m characters with at most k edits
-shares at least (m - q + 1) - k * q of its q-grams with the region, all of them on diagonals that
-are at most k apart.
+one space. A document leaks an item if a run of PASSAGE of the item's characters (all of a shorter
+item), wherever it begins, occurs in the document within its edit budget. By the q-gram lemma such
+a run of m characters with at most k edits shares at least (m - q + 1) - k * q of its q-grams with
+its region, all of them on diagonals that are at most k apart.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from gradewell.llm.common import store
 
 #: Characters of a q-gram; edits allowed for each character of a passage.
 Q, EDITS = 12, 0.05
-#: Characters of a passage, and the step between passages of one item. Items shorter than LEAST
-#: characters are compared as a whole and must occur without edits.
-PASSAGE, STEP, LEAST = 120, 60, 40
+#: Characters of a passage. Items shorter than LEAST characters must occur without edits.
+PASSAGE, LEAST = 120, 40
 #: Items are matched in blocks of so many characters, so that what tasks hold stays small.
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 22
+#: Places of a text that are looked up at a time; a run and its region lie in two neighbouring steps.
+PLACES = 1 << 12
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -64,142 +65,217 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def passages_of(length: int) -> list[tuple[int, int]]:
-    """(start, end) of the overlapping passages of a normalised item."""
-    if length <= PASSAGE:
-        return [(0, length)] if length else []
-    starts = [*range(0, length - PASSAGE, STEP), length - PASSAGE]
-    return [(s, s + PASSAGE) for s in starts]
-
-
 def budget(length: int) -> int:
     return int(length * EDITS) if length >= LEAST else 0
 
 
 @dataclass
 class Index:
-    """Passages of a block of items and their q-grams, sorted by hash."""
+    """Items of a block: their texts, and the q-grams of those that have any, sorted by hash."""
 
-    items: list[int]
-    passages: list[str]
+    ids: list[int]
+    texts: list[str]
+    codes: list[np.ndarray]
+    short: list[int]
     grams: np.ndarray
     owners: np.ndarray
     offsets: np.ndarray
     table: np.ndarray
+    target: np.ndarray  # characters of a passage of each item
+    most: np.ndarray  # edits that it may have
 
 
 def index_of(items: list[tuple[int, str]]) -> Index:
     ids, texts, grams, owners, offsets = [], [], [], [], []
     for item, text in items:
         plain = normal(text)
-        for start, end in passages_of(len(plain)):
-            passage = plain[start:end]
-            q = min(Q, len(passage))
-            found = gram_hashes(code_points(passage)) if q == Q else np.zeros(0, dtype=np.uint64)
+        if plain:
+            found = gram_hashes(code_points(plain))
             grams.append(found)
-            owners.append(np.full(len(found), len(ids)))
-            offsets.append(np.arange(len(found)))
+            owners.append(np.full(len(found), len(ids), dtype=np.int32))
+            offsets.append(np.arange(len(found), dtype=np.int32))
             ids.append(item)
-            texts.append(passage)
+            texts.append(plain)
     every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
     order = np.argsort(every, kind="stable")
     table = np.zeros(1 << TABLE_BITS, dtype=bool)
     table[(every >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    joined = [np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int64) for x in (owners, offsets)]
-    return Index(ids, texts, every[order], *joined, table)
-
-
-def banded_distance(passage: str, region: str, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best alignment of the whole passage with a part of the region that may
-    begin and end anywhere, if it needs at most ``most`` edits. Ends are exclusive."""
-    a, b = code_points(passage), code_points(region)
-    if not len(a):
-        return (0, 0)
-    before = np.zeros(len(b) + 1, dtype=np.int32)
-    steps = np.arange(len(b) + 1, dtype=np.int32)
-    for i, c in enumerate(a, 1):
-        row = np.empty_like(before)
-        row[0] = i
-        row[1:] = np.minimum(before[:-1] + (b != c), before[1:] + 1)
-        before = np.minimum.accumulate(row - steps) + steps
-        if before.min() > most:
-            return None
-    end = int(before.argmin())
-    return (int(before[end]), end) if before[end] <= most else None
-
+    joined = [np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int32) for x in (owners, offsets)]
+    target = np.array([min(PASSAGE, len(t)) for t in texts], dtype=np.int64)
+    most = np.array([budget(m) for m in target.tolist()], dtype=np.int64)
+    short = [k for k, t in enumerate(texts) if len(t) < Q]
+    return Index(ids, texts, [code_points(t) for t in texts], short, every[order], *joined, table, target, most)
 
-def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) for each item with a passage in the text, at its best passage;
-    places are in the normalised text."""
-    plain = normal(text)
-    out: dict[int, tuple[int, int, int, int]] = {}
 
-    def take(item: int, start: int, end: int, edits: int) -> None:
-        if item not in out or (edits, start) < (out[item][3], out[item][1]):
-            out[item] = (item, start, end, edits)
+def aligned_run(item: np.ndarray, text: np.ndarray, lowest: int, width: int, target: int, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best alignment, inside a band of diagonals, of a run of ``target``
+    characters of ``item`` with a part of ``text``, if it needs at most ``most`` edits; places are
+    those in ``text``. A diagonal is a text place less the item's.
 
-    hashes = gram_hashes(code_points(plain))
-    at = np.flatnonzero(index.table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(hashes) else hashes
-    low = np.searchsorted(index.grams, hashes[at], side="left") if len(at) else at
-    high = np.searchsorted(index.grams, hashes[at], side="right") if len(at) else at
-    counts = (high - low).astype(np.int64)
-    if counts.sum():
-        where = np.repeat(at, counts)
-        entry = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        owner, offset = index.owners[entry], index.offsets[entry]
-        order = np.argsort(owner, kind="stable")
-        owner, offset, where = owner[order], offset[order], where[order]
-        firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        for start, end in zip(firsts, [*firsts[1:], len(owner)], strict=True):
-            passage = index.passages[owner[start]]
-            most = budget(len(passage))
-            need = max(1, len(passage) - Q + 1 - most * Q)
-            if end - start < need:
-                continue
-            for left, right in bands(where[start:end], offset[start:end], most, need):
-                begin = max(0, left - most)
-                region = plain[begin : right + len(passage) + most]
-                found = banded_distance(passage, region, most)
-                if found:
-                    stop = begin + found[1]
-                    take(index.items[owner[start]], max(0, stop - len(passage)), stop, found[0])
-    for item, passage in zip(index.items, index.passages, strict=True):
-        if len(passage) < Q:
-            place = f" {plain} ".find(f" {passage} ")
-            if place >= 0:
-                take(item, place, place + len(passage), 0)
-    return sorted(out.values())
-
-
-def bands(where: np.ndarray, offset: np.ndarray, most: int, need: int) -> Iterator[tuple[int, int]]:
-    """(lowest, highest diagonal) of the bands that hold at least ``need`` different q-grams of a
-    passage. Bands are 2 * (most + 1) diagonals wide and overlap by half, so that any most + 1
-    neighbouring diagonals lie in one."""
-    width = most + 1
-    diagonal = where - offset
+    For each number of edits and each diagonal the earliest row that an alignment up to here can have
+    begun at is carried from row to row, so all runs are tried at once.
+    """
+    rows = len(item)
+    places = np.arange(rows)[:, None] + lowest + np.arange(width)
+    inside = (places >= 0) & (places < len(text))
+    same = inside & (text[np.clip(places, 0, len(text) - 1)] == item[:, None])
+    far = np.int64(1) << 60
+    # a state is the row and, below it, the diagonal that the alignment began at
+    begun = np.full((most + 1, width), far, dtype=np.int64)
+    fresh = np.arange(width, dtype=np.int64)
+    begun[0] = fresh
+    best = None
+    for i in range(rows):
+        new = np.where(same[i], begun, far)
+        np.minimum(new[1:], np.where(inside[i], begun[:-1], far), out=new[1:])  # another character
+        np.minimum(new[1:, :-1], begun[:-1, 1:], out=new[1:, :-1])  # an item's character is missing
+        np.minimum(new[0], (i + 1) * width + fresh, out=new[0])
+        for e in range(1, len(new)):
+            np.minimum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])  # a character of the text is extra
+        begun = new
+        done = np.argwhere(begun // width <= i + 1 - target)
+        if len(done):
+            edits, d = done[0].tolist()
+            start, end = divmod(int(begun[edits, d]), width), i + 1 + lowest + d
+            best = (edits, max(0, start[0] + lowest + start[1]), min(end, len(text)))
+            if not edits:
+                break
+            begun = begun[:edits]
+    return best
+
+
+def exact_runs(where: np.ndarray, owner: np.ndarray, offset: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
+    """(owner, place, offset) where enough q-grams lie one after the other on a diagonal for a whole
+    passage without edits, earliest places first."""
+    order = np.lexsort((where, where - offset, owner))
+    w, o, f = where[order], owner[order], offset[order]
+    new = np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1] + 1) | (f[1:] != f[:-1] + 1)))
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(w)))
+    long = length >= index.target[o[first]] - Q + 1
+    first = first[long]
+    for k in first[np.argsort(w[first], kind="stable")].tolist():
+        yield int(o[k]), int(w[k]), int(f[k])
+
+
+def bands(diagonal: np.ndarray, offset: np.ndarray, most: int, need: int, target: int) -> Iterator[tuple[int, int, int, int]]:
+    """(lowest diagonal, fewest edits, first row, last row) of the bands in which some ``target``
+    characters of the item share ``need`` different q-grams or more with the text, by diagonal. Bands are
+    2 * (most + 1) diagonals wide and overlap by half, so that any most + 1 neighbouring
+    diagonals lie in one."""
+    width, grams = most + 1, target - Q + 1
     lowest = int(diagonal.min())
     cell = (diagonal - lowest) // width
     order = np.lexsort((offset, cell))
     cell, offset = cell[order], offset[order]
-    fresh = np.concatenate(([True], (cell[1:] != cell[:-1]) | (offset[1:] != offset[:-1])))
-    cells, counts = np.unique(cell[fresh], return_counts=True)
-    by_cell = dict(zip(cells.tolist(), counts.tolist(), strict=True))
-    done = set()
+    edges = np.searchsorted(cell, np.arange(int(cell[-1]) + 2)) if cell[-1] < 4 * len(cell) else None
+    cells = np.unique(cell)
+
+    def rows(c: int) -> np.ndarray:
+        if edges is not None:
+            return offset[edges[c] : edges[c + 1]] if 0 <= c < len(edges) - 1 else offset[:0]
+        return offset[np.searchsorted(cell, c) : np.searchsorted(cell, c, side="right")]
+
+    done = -2
     for c in cells.tolist():
-        for first in (c - 1, c):
-            if first not in done and by_cell.get(first, 0) + by_cell.get(first + 1, 0) >= need:
-                done.add(first)
-                yield lowest + first * width, lowest + (first + 2) * width - 1
+        for low in (c - 1, c):
+            if low <= done:
+                continue
+            done = low
+            held = np.unique(np.concatenate((rows(low), rows(low + 1))))
+            if len(held) < need:
+                continue
+            full = np.searchsorted(held, held + grams) - np.arange(len(held))  # of the run that begins here
+            enough = np.flatnonzero(full >= need)
+            if len(enough):
+                fewest = max(0, -(-(grams - int(full.max())) // Q))
+                yield lowest + low * width, fewest, int(held[enough[0]]) - grams, int(held[enough[-1]]) + grams + target
+
+
+def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits) for each item with a passage in the text, at its best passage: the
+    one of fewest edits, of equal ones the first by place (without edits) or by diagonal. Places are
+    in the normalised text."""
+    plain = normal(text)
+    best: dict[int, tuple[int, int, int]] = {}  # owner: edits, start, end
+    hashes = gram_hashes(code_points(plain))
+    at = np.flatnonzero(index.table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(hashes) else np.zeros(0, dtype=np.int64)
+    low = np.searchsorted(index.grams, hashes[at], side="left")
+    counts = np.searchsorted(index.grams, hashes[at], side="right") - low
+    at, low, counts = at[counts > 0], low[counts > 0], counts[counts > 0]
+    if len(at):
+        codes, seen = code_points(plain), {}
+        # texts are taken in overlapping steps, so that one with very many pairs is bounded
+        for step in np.unique(at // PLACES).tolist():
+            start, end = np.searchsorted(at, [step * PLACES, (step + 1) * PLACES + 2 * PASSAGE])
+            n = counts[start:end]
+            where = np.repeat(at[start:end], n)
+            entry = np.repeat(low[start:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owner, offset = index.owners[entry], index.offsets[entry].astype(np.int64)
+            _step(plain, codes, where, owner, offset, index, best, seen)
+    for owner in index.short:
+        place = f" {plain} ".find(f" {index.texts[owner]} ")
+        if place >= 0:
+            best[owner] = (0, place, place + len(index.texts[owner]))
+    out: dict[int, tuple[int, int, int]] = {}
+    for owner, found in best.items():
+        item = index.ids[owner]
+        out[item] = min(found, out.get(item, found))
+    return sorted((item, start, end, edits) for item, (edits, start, end) in out.items())
+
+
+def _step(plain: str, codes: np.ndarray, where: np.ndarray, owner: np.ndarray, offset: np.ndarray, index: Index, best: dict, seen: dict) -> None:
+    """Takes the finds among the pairs of a step into ``best``. ``seen`` holds what regions that were
+    aligned before gave: periodic texts show the same ones again and again."""
+    size = np.bincount(owner, minlength=len(index.ids))
+    grams = index.target - Q + 1
+    need = np.maximum(1, grams - Q * index.most)
+    hot = size >= need
+    for k, (edits, _, _) in best.items():
+        hot[k] &= edits > 0
+    keep = hot[owner]
+    if not keep.any():
+        return
+    where, owner, offset = where[keep], owner[keep], offset[keep]
+    for k, place, row in exact_runs(where, owner, offset, index):
+        target = int(index.target[k])
+        if best.get(k, (1,))[0] and plain[place : place + target] == index.texts[k][row : row + target]:
+            best[k] = (0, place, place + target)
+    order = np.argsort(owner, kind="stable")
+    where, owner, offset = where[order], owner[order], offset[order]
+    firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    for start, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(owner)], strict=True):
+        k = int(owner[start])
+        most, target, item = int(index.most[k]), int(index.target[k]), index.codes[k]
+        most = min(most, best[k][0] - 1) if k in best else most
+        if most < 1:
+            continue  # found without edits, or only so to be found
+        for lowest, fewest, first, last in bands(where[start:end] - offset[start:end], offset[start:end], int(index.most[k]), int(need[k]), target):
+            if fewest > most:
+                continue
+            first, last, width = max(0, first), min(len(item), last), 2 * (int(index.most[k]) + 1)
+            begin = max(0, first + lowest)
+            region = codes[begin : last + lowest + width]
+            key = (k, first, last, most, first + lowest - begin, region.tobytes())
+            if key not in seen:
+                seen[key] = aligned_run(item[first:last], region, first + lowest - begin, width, target, most)
+            if seen[key]:
+                edits, a, b = seen[key]
+                best[k] = (edits, begin + a, begin + b)
+                most = edits - 1
+                if most < 1:
+                    break
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it leaks: id_col, item_col, start, end, edits
     (the item's best passage; places in the normalised text). Other documents have no row.
 
-    A document leaks an item if one of the item's passages of PASSAGE characters (all of a
-    shorter item) occurs in it with at most EDITS edits for each character, whole texts compared.
-    Items go to the tasks in blocks of BLOCK_CHARS characters and the documents are read once for
-    each block, so what a task holds does not grow with the benchmark.
+    A document leaks an item if any run of PASSAGE of its characters (all of a shorter item) occurs
+    in it with at most EDITS edits for each character; whole texts are compared.
+    Items go to the tasks in blocks of BLOCK_CHARS characters, one block after the other: the
+    documents are read once for each, its finds are stored, and neither driver nor tasks hold
+    more than one block.
 
     Null and empty items or documents have no leaks; items without letters or digits have none.
     Repeated items with one id count as one. Repeated documents have their rows each. Rows with a
@@ -211,15 +287,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    found = []
+    found = None
     for number in range(blocks):
         held = [(r["item"], r["text"]) for r in items.filter(block == number).collect()]  # about BLOCK_CHARS characters
-        if held or number == 0:
-            found.append(plain.mapInPandas(_matcher(docs.sparkSession.sparkContext.broadcast(index_of(held))), "doc_id long, item long, start int, end int, edits int"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select(F.col("doc_id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
+        index = docs.sparkSession.sparkContext.broadcast(index_of(held))
+        part = store(plain.mapInPandas(_matcher(index), "doc_id long, item long, start int, end int, edits int"), "leaks")
+        index.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("doc_id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
 
 
 def _matcher(spread):

@@ -3,6 +3,7 @@
 import html
 import math
 import random
+import time
 import re
 import struct
 import zlib
@@ -199,8 +200,8 @@ def test_decontamination(spark):
     for (doc, item), row in list(found.items())[:40]:  # every find holds by brute force
         text = qgram_decontam.normal(dict(plain + rows)[doc])[row["start"] : row["end"]]
         x = qgram_decontam.normal(bench.text[bench.item_id == item].iloc[0])
-        best = min(edit_distance(x[s:e], text) for s, e in qgram_decontam.passages_of(len(x)))
-        assert best <= 2 * qgram_decontam.budget(qgram_decontam.PASSAGE)
+        target = min(len(x), qgram_decontam.PASSAGE)
+        assert min(substring_distance(x[s : s + target], text) for s in range(len(x) - target + 1)) <= row["edits"] <= qgram_decontam.budget(target)
 
 
 def edit_distance(a, b):
@@ -212,15 +213,79 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_banded_distance():
+def substring_distance(a, b):
+    """Least edits between the whole of a and any part of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return min(row)
+
+
+def test_aligned_run():
+    """The best run of the item against all runs and parts of the text."""
     rng = random.Random(5)
-    for _ in range(60):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
-        b = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 16)))
-        want = min(edit_distance(a, b[s:e]) for s in range(len(b) + 1) for e in range(s, len(b) + 1))
-        got = qgram_decontam.banded_distance(a, b, 12)
+    for _ in range(150):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(8, 20)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 24)))
+        target = rng.randrange(3, len(item) + 1)
+        want = min(substring_distance(item[s : s + target], text) for s in range(len(item) - target + 1))
+        a, b = map(qgram_decontam.code_points, (item, text))
+        wide = (-len(item) - 8, len(item) + len(text) + 16)
+        got = qgram_decontam.aligned_run(a, b, *wide, target, 20)
         assert got[0] == want
-        assert qgram_decontam.banded_distance(a, b, want - 1) is None
+        assert min(edit_distance(item[s : s + target], text[got[1] : got[2]]) for s in range(len(item) - target + 1)) == want
+        assert qgram_decontam.aligned_run(a, b, *wide, target, want - 1) is None if want else True
+
+
+def quotes():
+    """(item texts, their index, a maker of other text)."""
+    bench = pd.read_parquet("/root/testdata/sf0.1/benchmark.parquet")
+    rng = random.Random(12)
+    other = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(30))
+    index = qgram_decontam.index_of(list(zip(bench.item_id, bench.text, strict=True)))
+    return [(i, qgram_decontam.normal(t)) for i, t in zip(bench.item_id, bench.text, strict=True)], index, other, rng
+
+
+def test_quotes_are_found_wherever_they_begin():
+    items, index, other, rng = quotes()
+    for item, text in items:
+        for length in (120, 121, 135, 150, 178, 200):
+            if length <= len(text):
+                at = rng.randrange(len(text) - length + 1)
+                found = qgram_decontam.leaks(f"{other()} {text[at : at + length]} {other()}", index)
+                assert item in {i for i, _, _, edits in found if edits == 0}
+        if len(text) > 200:  # shorter quotes than a passage are none
+            found = qgram_decontam.leaks(f"{other()} {text[50:140]} {other()}", index)
+            assert item not in {i for i, *_ in found}
+
+
+def test_edited_quotes_against_brute_force():
+    items, index, other, rng = quotes()
+    held = set()
+    for item, text in rng.sample([x for x in items if len(x[1]) > 130], 40):
+        at = rng.randrange(len(text) - 120 + 1)
+        chars = list(text[at : at + 120])
+        for k in rng.sample(range(120), rng.randrange(1, 12)):
+            chars[k] = rng.choice(["", "q", chars[k] + "z", chars[k]])
+        document = qgram_decontam.normal(f"{other()} {''.join(chars)} {other()}")
+        want = min(substring_distance(text[s : s + 120], document) for s in range(max(0, at - 8), min(len(text) - 119, at + 9)))
+        got = {i: edits for i, _, _, edits in qgram_decontam.leaks(document, index)}.get(item)
+        assert got == (want if want <= 6 else None)
+        held.add(got is None)
+    assert held == {True, False}
+
+
+def test_periodic_texts_end_soon():
+    for document, item, want in (
+        ("a" * 100_000, "a" * 300, (0, 120, 0)),
+        ("a" * 100_000, "a" * 60 + "b" + "a" * 100, (0, 119, 1)),
+        ("ab" * 50_000, "ab" * 70 + "c" + "ab" * 70, (0, 120, 0)),
+    ):
+        begin = time.process_time()
+        assert qgram_decontam.leaks(document, qgram_decontam.index_of([(1, item)])) == [(1, *want)]
+        assert time.process_time() - begin < 20
 
 
 def test_gram_hashes():
