@@ -1,10 +1,10 @@
 """Main text of web pages: page structure, and a suffix array over the pages of a host.
 
 A page becomes blocks of text. Blocks in menus, headers, forms, adverts and the like go by their
-markup; blocks inside the page's article stay. For the rest (pages without an article, text beside
-it) the host decides: the pages' token streams are joined, a suffix array finds long substrings
-that several distinct pages share, and a block that such substrings cover is boilerplate; only
-unique runs stay.
+markup; blocks inside the page's article stay. Where markup leaves it open (pages without an
+article, or with less text in articles than outside) the host decides on every block: the pages'
+token streams are joined, a suffix array finds long substrings that several distinct pages
+share, and a block that such substrings cover is boilerplate; only unique runs stay.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ INLINE = {
     "var", "br", "wbr", "img", "ruby", "rt", "rp", "rb", "rtc",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-#: Words of class and id attributes that mark text beside the article.
+#: Names in class and id attributes that mark text beside the article: alone, or as the last word
+#: of a name ("site-footer").
 MARKS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside",
     "widget", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "banner", "ad", "ads", "advert", "adverts",
@@ -52,6 +53,14 @@ MARKS = {
     "replies", "respond", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup",
     "login", "popup", "modal", "overlay", "toolbar", "pagination", "pager", "skip", "copyright", "disclaimer",
 }
+#: Words that may follow a mark in a name ("comment-list") without changing what it means.
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "holder",
+    "inner", "item", "items", "left", "line", "link", "links", "list", "main", "outer", "panel", "right", "row", "section",
+    "slot", "small", "text", "thread", "title", "top", "unit", "wrap", "wrapper",
+}
+#: Words before a mark that tell of it rather than being it ("has-sidebar").
+TELLS = {"has", "have", "with", "without", "no", "not", "is", "show", "hide", "before", "after", "below", "above", "under"}
 ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
@@ -63,31 +72,69 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-GONE, PLAIN, ARTICLE = 0, 1, 2
+#: Kinds of text: beside the article for certain, or by a name only; outside and inside an
+#: article or main element; and in an article that lies in something beside the article by a name.
+GONE, NAMED, PLAIN, ARTICLE, MAIN, NAMED_ARTICLE = range(6)
+
+
+def _is_mark(name: str, in_article: bool) -> bool:
+    """Whether a name of a class or id attribute marks text beside the article. An article may have
+    a header of its own."""
+    words = _WORD.findall(name)
+    if not words or words[0] in TELLS:
+        return False
+    marks = MARKS - {"header"} if in_article else MARKS
+    while len(words) > 1 and words[-1] in PARTS and words[-2] in marks | PARTS:
+        words.pop()
+    return words[-1] in marks
 
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds text beside the article, by its name and attributes."""
+def _beside(name: str, attributes: str, in_article: bool) -> int | None:
+    """GONE or NAMED for an element that holds text beside the article, by its name and attributes."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return GONE
     if not attributes or name in ("html", "body"):
-        return False
+        return None
+    named = None
     for found in _ATTRIBUTE.finditer(attributes):
         key, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
+            return GONE
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("article", "main") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return GONE
+        if key in ("class", "id") and name not in ("article", "main") and any(_is_mark(x, in_article) for x in value.split()):
+            named = NAMED
+    return named
+
+
+def _inside(kind: int, name: str, attributes: str) -> int:
+    """The kind of text inside an element that lies in text of ``kind``. An article inside another
+    one is a reader's comment on it."""
+    if kind == GONE or (kind == NAMED_ARTICLE and name in ("article", "main")):
+        return kind
+    if kind == NAMED:
+        return GONE if _beside(name, attributes, False) == GONE else NAMED_ARTICLE if name in ("article", "main") else NAMED
+    beside = _beside(name, attributes, kind in (ARTICLE, MAIN, NAMED_ARTICLE))
+    if beside is not None:
+        return GONE if kind in (ARTICLE, MAIN, NAMED_ARTICLE) else beside
+    if name == "main":
+        return MAIN if kind == PLAIN else kind
+    if name == "article":
+        return {PLAIN: ARTICLE, ARTICLE: GONE}.get(kind, kind)
+    return kind
 
 
 def page_blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the page's blocks in order, without those beside the article by markup.
-    Kind is ARTICLE inside an article or main element, else PLAIN. White space inside a block is
-    one space, character references are decoded. Unclosed elements end with their parents; a p
-    ends where another block begins."""
+    Kind is ARTICLE for text that is the article's by markup, else PLAIN: then the host decides.
+    White space inside a block is one space, character references are decoded. Unclosed elements
+    end with their parents; a p ends where another block begins.
+
+    A name of a class or id never costs the whole text: if all articles, or all blocks, lie in
+    elements that only a name puts beside the article, the name does not count. Where articles
+    (without a main element) hold less text than is outside them, they are teasers as well as
+    they may be the text, and the host decides on all blocks.
+    """
     out: list[tuple[int, str]] = []
     held: list[str] = []
     open_: list[tuple[str, int]] = []  # element, kind inside it
@@ -147,16 +194,28 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
             kind = open_[-1][1] if open_ else PLAIN
         inside = kind
         if kind != GONE:
-            if _beside(name, found[3], kind == ARTICLE):
-                inside = GONE
-            elif name in ("article", "main"):
-                inside = ARTICLE
+            inside = _inside(kind, name, found[3])
         if inside != kind:
             flush()
             kind = inside
         open_.append((name, inside))
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks that markup leaves, as ARTICLE or PLAIN."""
+    kinds = {kind for kind, _ in blocks}
+    if MAIN in kinds:
+        return [(ARTICLE if kind == MAIN else PLAIN, text) for kind, text in blocks if kind in (MAIN, ARTICLE, PLAIN)]
+    if ARTICLE in kinds:
+        inside = sum(len(text) for kind, text in blocks if kind == ARTICLE)
+        outside = sum(len(text) for kind, text in blocks if kind == PLAIN)
+        sure = ARTICLE if inside >= outside else PLAIN
+        return [(sure if kind == ARTICLE else PLAIN, text) for kind, text in blocks if kind in (ARTICLE, PLAIN)]
+    if NAMED_ARTICLE in kinds:
+        return [(ARTICLE if kind == NAMED_ARTICLE else PLAIN, text) for kind, text in blocks if kind in (NAMED_ARTICLE, PLAIN)]
+    return [(PLAIN, text) for kind, text in blocks if kind == (PLAIN if PLAIN in kinds else NAMED)]
 
 
 def shared_tokens(pages: list[list[int]], long: int = LONG, least: int = PAGES) -> list[np.ndarray]:

@@ -84,3 +84,41 @@ def test_html_decides_for_the_whole_host(spark):
     assert len(dealt) == len(rows) and dealt == whole
     gone = sum(few[k % 30] in html and few[k % 30] not in dealt[k] for k, _, html in rows[:90])
     assert gone > 70
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="page has-sidebar"><p>one two</p><div class="sidebar">x</div></div>', "one two"),
+        ('<div class="page has-sidebar"><article><p>one two</p></article><div id="sidebar">x</div></div>', "one two"),
+        ('<div class="page sidebar"><article><p>one two</p></article></div>', "one two"),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>text</p></article>', "Title\n\ntext"),
+        ('<main><p class="related-work">keep</p><section id="share-prices">too</section><ul class="comment-list"><li>no</li></ul></main>', "keep\n\ntoo"),
+        ('<article><p>text</p><article><p>nice!</p></article></article>', "text"),
+        ('<article>text here</article><div class="comments"><article>I agree</article></div>', "text here"),
+        ('<body><p>the main text stands here, outside of the</p><article>teaser</article></body>', "the main text stands here, outside of the\n\nteaser"),
+        ('<div class="widget"><p>all that there is</p></div>', "all that there is"),
+        ('<main><p>a</p><div class="ad-slot">buy</div><div class="site-footer">c</div><aside>d</aside></main>', "a"),
+    ],
+)
+def test_html_names_never_cost_the_article(page, want):
+    assert html_suffix.main_texts([html_suffix.page_blocks(page)]) == [want]
+
+
+def test_html_host_decides_on_pages_without_article(spark):
+    """The suffix array takes what pages share and leaves what they don't, teasers and all."""
+    rng, rows, want = random.Random(3), [], {}
+    notice = prose(rng, 12)
+    for page in range(40):
+        own, teaser = prose(rng, 30), prose(rng, 9)
+        rows.append((page, "http://host.org/x", f"<body><div>{notice}</div><p>{own}</p><article>{teaser}</article></body>"))
+        want[page] = f"{own}\n\n{teaser}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (1000, 7):
+        assert {r["page_id"]: r["text"] for r in html_suffix.extract(pages, shard=shard).collect()} == want
+
+
+def test_html_of_very_long_pages():
+    text = "word " * 200_000
+    page = f"<nav>{text}</nav><article>" + f"<p>{text}</p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>"
+    assert html_suffix.main_texts([html_suffix.page_blocks(page)]) == [f"{text.strip()}\n\ndeep"]
