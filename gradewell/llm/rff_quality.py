@@ -101,12 +101,14 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, seed: int = SEED) -> Model | None:
     """The model for (doc_id, stats, label 0/1). Three quarters of the rows fit the ridge, one
-    quarter calibrates it, by a hash of the id. None where there are no rows.
+    quarter calibrates it, by a hash of the id, however many there are; where none is in that
+    quarter, all scores are the mean label. None where there are no rows.
 
     Each of SUM_TASKS tasks sums the normal equations of its rows; their sum is solved here.
     The calibration reduces scores to at most BINS bins before they are pooled."""
     facts = labelled.agg(
         F.count("*").alias("n"),
+        F.avg("label").alias("share"),
         F.array(*(F.avg(F.get("stats", F.lit(k))) for k in range(STATISTICS))).alias("mean"),
         F.array(*(F.stddev_pop(F.get("stats", F.lit(k))) for k in range(STATISTICS))).alias("spread"),
     ).first()
@@ -146,12 +148,14 @@ def fit(labelled: DataFrame, seed: int = SEED) -> Model | None:
             scores = model.fourier(np.stack(frame["stats"].to_numpy())) @ model.weights if len(frame) else np.zeros(0)
             yield pd.DataFrame({"raw": scores, "label": frame["label"].astype(float)})
 
-    held = labelled.filter(share == 0) if facts["n"] >= 200 else labelled
-    scored = store(held.mapInPandas(raw, "raw double, label double"), "calibration")
+    scored = store(labelled.filter(share == 0).mapInPandas(raw, "raw double, label double"), "calibration")
     cuts = scored.agg(F.percentile_approx("raw", F.array(*(F.lit(k / BINS) for k in range(1, BINS))), 10_000)).first()[0]
     edges = [-math.inf, *sorted({*(cuts or [])}), math.inf]
     binned = scored.withColumn("bin", _bin(F.col("raw"), edges)).groupBy("bin")
     bins = binned.agg(F.avg("raw").alias("at"), F.avg("label").alias("value"), F.count("*").alias("n")).orderBy("bin").toPandas()
+    if not len(bins):
+        model.values = np.array([facts["share"]], dtype=float)
+        return model
     model.steps = bins["at"].to_numpy()
     model.values = pool_adjacent(bins["value"].to_numpy(), bins["n"].to_numpy(dtype=float))
     return model
