@@ -19,6 +19,15 @@ SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 BLANK = r"^\s*$"
 
 
+def _two_lines(table: str, key: str) -> str:
+    return rf"""
+SELECT zrodlo, nr // 2 AS blok, max(trim(linia, {SPACES})) FILTER (WHERE nr % 2 = 0) AS pytanie,
+  list(trim(linia, {SPACES}) ORDER BY nr) FILTER (WHERE nr % 2 > 0) AS odpowiedzi
+FROM (SELECT zrodlo, unnest(l) AS linia, generate_subscripts(l, 1) - 1 AS nr
+  FROM (SELECT {key} AS zrodlo, string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n') AS l FROM {table} WHERE length(text) > 0))
+GROUP BY ALL"""
+
+
 def _band(score: str, top: str) -> str:
     return f"""CASE WHEN {score} < 0.25 * {top} THEN 'bad-score'
                     WHEN {score} < 0.75 * {top} THEN 'mediocre-score' ELSE 'good-score' END"""
@@ -187,6 +196,16 @@ SELECT s.nr, s.id_wlasciciela, s.nazwa, s.na_zaproszenie, s.haslo, CASE
     OR s.nr > (SELECT min(o.nr) FROM grupy_sprawdzone o WHERE o.powod IS NULL AND o.nazwa = s.nazwa)
   THEN 'name_taken' END AS powod
 FROM grupy_sprawdzone s""",
+    "nowi_sprawdzeni": f"""
+SELECT *, nullif(concat_ws(',', CASE WHEN NOT regexp_matches(email, '{EMAIL}') THEN 'email_format' END,
+  CASE WHEN trim(nazwa_uz) = '' THEN 'nazwa_uz_pusta' END, CASE WHEN length(nazwa_uz) > 30 THEN 'nazwa_uz_za_dluga' END,
+  CASE WHEN length(login) > 15 THEN 'login_za_dlugi' END), '') AS zle FROM nowi_uzytkownicy""",
+    "nowi_ocenieni": """
+SELECT z.*, nullif(concat_ws(',', zle, CASE WHEN {nazwa_uz} THEN 'nazwa_uz_zajete' END,
+  CASE WHEN {login} THEN 'login_zajete' END, CASE WHEN {email} THEN 'email_zajete' END), '') AS powod
+FROM nowi_sprawdzeni z""".format(**{f: f"""(z.{f} IN (SELECT {f} FROM uzytkownik)
+  OR coalesce(z.nr > (SELECT min(o.nr) FROM nowi_sprawdzeni o WHERE o.zle IS NULL AND o.{f} = z.{f}), false))"""
+                                    for f in ("nazwa_uz", "login", "email")}),
     "pytania_usuwane": """
 SELECT id_pyt FROM pytanie WHERE id_quizu IN (SELECT id_quizu FROM quizy_do_usuniecia)
 UNION SELECT id_pyt FROM pytania_do_usuniecia""",
@@ -211,9 +230,19 @@ SELECT doc_id AS zrodlo, nr // 5 AS blok,
   max(trim(linia, {SPACES})) FILTER (WHERE nr % 5 = 0) AS pytanie,
   list(trim(linia, {SPACES}) ORDER BY nr) FILTER (WHERE nr % 5 > 0) AS odpowiedzi
 FROM linie GROUP BY ALL""",
+    "bloki_testow": _two_lines("benchmark", "item_id"),
+    "bloki_rozmow": _two_lines("conversations", "conv_id * 1000 + turn"),
+    "zestawy": """
+SELECT 1 AS z, zrodlo, blok, pytanie, odpowiedzi, 40 AS quizy, 101 AS q0, 4 AS ile, CAST(3 AS BIGINT) AS id_typu FROM bloki
+UNION ALL SELECT 2, zrodlo, blok, pytanie, odpowiedzi, 7, 141, 1, 11 FROM bloki_testow
+UNION ALL SELECT 3, zrodlo, blok, pytanie, odpowiedzi, 9, 148, 1, 11 FROM bloki_rozmow""",
+    "zestawy_nr": """
+SELECT *, row_number() OVER (ORDER BY z, zrodlo, blok) - 1 AS i, row_number() OVER (PARTITION BY z ORDER BY zrodlo, blok) - 1 AS w,
+  coalesce(sum(ile) OVER (ORDER BY z, zrodlo, blok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o0 FROM zestawy""",
     "bloki_nr": "SELECT *, row_number() OVER (ORDER BY zrodlo, blok) - 1 AS i FROM bloki",
 }
 
+GONE_CATEGORIES = "SELECT id_podkategorii FROM podkategoria WHERE id_nadkategorii = 4"
 QUIZ = "id_quizu, id_wlasciciela, nazwa, id_grupy, limit_podejsc, limit_czasowy, data_utworzenia, ukryty"
 QUESTION = "id_pyt, tresc, id_typu, id_autora, pkt, id_quizu, id_kategorii, ukryty"
 
@@ -514,6 +543,27 @@ SELECT * FROM ranking WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuni
 SELECT * FROM odpowiedz_uzytkownika WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
     "delete_users_dyskusja": """
 SELECT * FROM dyskusja WHERE id_uz NOT IN (SELECT id_uz FROM uzytkownicy_do_usuniecia WHERE id_uz <> 0)""",
+    "create_users": """
+SELECT id_uz, login, nazwa_uz, email, ranga FROM uzytkownik UNION ALL
+SELECT (SELECT max(id_uz) FROM uzytkownik) + row_number() OVER (ORDER BY nr), login, nazwa_uz, email, 'user'
+FROM nowi_ocenieni WHERE powod IS NULL""",
+    "create_users_rejects": "SELECT nr, login, powod FROM nowi_ocenieni WHERE powod IS NOT NULL",
+    "delete_groups_grupa_quizowa": "SELECT id_grupy, id_wlasciciela, nazwa, na_zaproszenie, haslo FROM grupa_quizowa WHERE NOT na_zaproszenie",
+    "delete_groups_quiz": """
+SELECT id_quizu, id_wlasciciela, nazwa, CASE WHEN id_grupy IN (SELECT id_grupy FROM grupa_quizowa WHERE na_zaproszenie) THEN 0 ELSE id_grupy END AS id_grupy,
+  limit_podejsc, limit_czasowy, data_utworzenia, ukryty FROM quiz""",
+    "delete_groups_dostep_grupa": """
+SELECT * FROM dostep_grupa WHERE id_grupy NOT IN (SELECT id_grupy FROM grupa_quizowa WHERE na_zaproszenie)""",
+    "delete_groups_ranking": """
+SELECT * FROM ranking WHERE id_grupy NOT IN (SELECT id_grupy FROM grupa_quizowa WHERE na_zaproszenie)""",
+    "delete_categories_kategoria": f"SELECT * FROM kategoria WHERE id_kategorii NOT IN ({GONE_CATEGORIES})",
+    "delete_categories_podkategoria": f"""
+SELECT * FROM podkategoria WHERE id_podkategorii NOT IN ({GONE_CATEGORIES}) AND id_nadkategorii NOT IN ({GONE_CATEGORIES})""",
+    "delete_categories_pytanie": f"SELECT {QUESTION} FROM pytanie WHERE id_kategorii NOT IN ({GONE_CATEGORIES})",
+    "delete_categories_odpowiedz_wzorcowa": f"""
+SELECT * FROM odpowiedz_wzorcowa WHERE id_pyt IN (SELECT id_pyt FROM pytanie WHERE id_kategorii NOT IN ({GONE_CATEGORIES}))""",
+    "delete_categories_odpowiedz_uzytkownika": f"""
+SELECT * FROM odpowiedz_uzytkownika WHERE id_pyt IN (SELECT id_pyt FROM pytanie WHERE id_kategorii NOT IN ({GONE_CATEGORIES}))""",
     "update_profiles": """
 SELECT u.id_uz, coalesce(n.login, u.login) AS login, coalesce(n.nazwa_uz, u.nazwa_uz) AS nazwa_uz,
   coalesce(n.email, u.email) AS email, u.ranga
@@ -531,12 +581,33 @@ SELECT zrodlo, blok, pytanie, coalesce(array_to_string(odpowiedzi, '|'), '') AS
     "generate_quiz_set_pytanie": """
 SELECT i + 1001 AS id_pyt, pytanie AS tresc, CAST(3 AS BIGINT) AS id_typu, CAST(1 AS BIGINT) AS id_autora,
   CAST(1 AS DOUBLE) AS pkt, 101 + i % 40 AS id_quizu, CAST(1 AS BIGINT) AS id_kategorii, false AS ukryty FROM bloki_nr""",
+    "generate_quiz_set_quiz": """
+SELECT 101 + i AS id_quizu, CAST(1 AS BIGINT) AS id_wlasciciela, 'dokumenty ' || (i + 1) AS nazwa, CAST(1 AS BIGINT) AS id_grupy,
+  CAST(NULL AS INTEGER) AS limit_podejsc, CAST(NULL AS VARCHAR) AS limit_czasowy, TIMESTAMP '2020-01-01' AS data_utworzenia, false AS ukryty
+FROM range(40) r(i)""",
+    "generate_chain_quiz": """
+SELECT q0 + i AS id_quizu, CAST(1 AS BIGINT) AS id_wlasciciela, n || ' ' || (i + 1) AS nazwa, CAST(1 AS BIGINT) AS id_grupy,
+  CAST(NULL AS INTEGER) AS limit_podejsc, CAST(NULL AS VARCHAR) AS limit_czasowy, TIMESTAMP '2020-01-01' AS data_utworzenia, false AS ukryty
+FROM (VALUES ('dokumenty', 101, 40), ('testy', 141, 7), ('rozmowy', 148, 9)) v(n, q0, ile), range(40) r(i) WHERE i < ile""",
+    "generate_chain_pytanie": """
+SELECT i + 1001 AS id_pyt, coalesce(pytanie, '') AS tresc, id_typu, CAST(1 AS BIGINT) AS id_autora, CAST(1 AS DOUBLE) AS pkt,
+  q0 + w % quizy AS id_quizu, CAST(1 AS BIGINT) AS id_kategorii, false AS ukryty FROM zestawy_nr""",
+    "generate_chain_odpowiedz": """
+SELECT CAST(5001 + o0 + s AS BIGINT) AS id_odp_w, i + 1001 AS id_pyt, coalesce(odpowiedzi[s + 1], '') AS tresc_odp,
+  CASE WHEN s = 0 THEN 100 ELSE 0 END AS poziom_poprawnosci, CAST(NULL AS VARCHAR) AS komentarz
+FROM zestawy_nr, (VALUES (0), (1), (2), (3)) v(s) WHERE s < ile""",
+    "generate_chain_summary": """
+SELECT CASE z WHEN 1 THEN 'dokumenty' WHEN 2 THEN 'testy' ELSE 'rozmowy' END AS zestaw, CAST(any_value(quizy) AS BIGINT) AS quizy,
+  count(*) AS pytania FROM zestawy GROUP BY z""",
     "generate_quiz_set_odpowiedz": """
 SELECT 5001 + i * 4 + s AS id_odp_w, i + 1001 AS id_pyt, coalesce(odpowiedzi[s + 1], '') AS tresc_odp,
   CASE WHEN s = 0 THEN 100 ELSE 0 END AS poziom_poprawnosci, CAST(NULL AS VARCHAR) AS komentarz
 FROM bloki_nr, (VALUES (0), (1), (2), (3)) v(s)""",
     "generation_summary": "SELECT 'dokumenty' AS zestaw, CAST(40 AS BIGINT) AS quizy, count(*) AS pytania FROM bloki",
     # data quality
+    "check_not_null_tables": """
+SELECT 'uzytkownik' AS tabela, 'nie_null' AS regula, 'nazwa_uz' AS klucz, count(*) AS wiersze FROM uzytkownik WHERE ranga = 'teacher'
+UNION ALL SELECT 'quiz', 'nie_null', 'data_utworzenia', count(*) FROM quiz WHERE ukryty""",
     "check_users": f"""
 SELECT 'uzytkownik' AS tabela, regula, CAST(id_uz AS VARCHAR) AS klucz FROM (
   SELECT id_uz, 'email_format' AS regula FROM uzytkownik WHERE NOT regexp_matches(email, '{EMAIL}')
@@ -585,6 +656,16 @@ SELECT * FROM (
   SELECT id_nadkategorii AS id_przodka, id_podkategorii AS id_potomka, 1 AS glebokosc FROM podkategoria
   UNION ALL SELECT a.id_nadkategorii, b.id_podkategorii, 2 FROM podkategoria a
   JOIN podkategoria b ON b.id_nadkategorii = a.id_podkategorii)""",
+    "category_cycles": """
+WITH RECURSIVE w_dol AS (
+  SELECT min(p_partkey) * 7 % 50 + 1 AS nad, CAST(p_size AS BIGINT) AS pod FROM part GROUP BY p_size
+), w_droga AS (
+  SELECT nad, pod, 1 AS n FROM w_dol UNION ALL
+  SELECT d.nad, e.pod, d.n + 1 FROM w_droga d JOIN w_dol e ON e.nad = d.pod WHERE d.n < 100
+), w_par AS (SELECT nad, pod, min(n) AS n FROM w_droga GROUP BY ALL)
+SELECT min(b.pod) AS cykl, a.nad AS id_kategorii, CAST(a.n AS INTEGER) AS dlugosc
+FROM w_par a JOIN w_par b ON b.nad = a.nad JOIN w_par c ON c.nad = b.pod AND c.pod = b.nad
+WHERE a.nad = a.pod GROUP BY a.nad, a.n""",
     "quiz_categories": """
 SELECT DISTINCT p.id_quizu, k.id_kategorii, k.nazwa AS kategoria FROM pytanie p JOIN kategoria k USING (id_kategorii)""",
     "discussion_feed": f"""
@@ -629,6 +710,7 @@ WHERE {kept.get(child, "true")} AND {key} NOT IN (SELECT {pkey} FROM {parent} WH
 
 SQL["orphans"] = _orphans()
 SQL["submit_ranking"] = SQL["live_ranking"]
+SQL["live_members"] = SQL["gate_submissions_members"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -72,6 +72,13 @@ SELECT c_custkey AS nr, c_custkey AS id_wlasciciela,
        WHEN c_acctbal > 8000 THEN repeat(c_name, 4) ELSE c_mktsegment || ' ' || c_nationkey END AS nazwa,
   CASE WHEN c_acctbal > 5000 THEN true WHEN c_acctbal > 3000 THEN false END AS na_zaproszenie,
   CAST(NULL AS VARCHAR) AS haslo FROM customer""",
+    "nowi_uzytkownicy": """
+SELECT o_orderkey AS nr,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'u' || o_custkey ELSE 'n' || (o_orderkey % 9000) END AS login,
+  CASE WHEN o_orderpriority LIKE '2%' THEN '' WHEN o_orderpriority LIKE '3%' THEN repeat('dlugi', 8)
+       ELSE 'Nowy ' || o_orderkey END AS nazwa_uz,
+  CASE WHEN o_orderstatus = 'P' THEN 'zly' WHEN o_orderkey % 17 = 3 THEN 'shared@ex.pl'
+       ELSE 'n' || (o_orderkey % 7000) || '@ex.pl' END AS email FROM orders""",
     "quizy_do_usuniecia": "SELECT p_partkey AS id_quizu FROM part WHERE p_brand IN ('Brand#1', 'Brand#17')",
     "pytania_do_usuniecia": "SELECT l_partkey * 10 + l_linenumber AS id_pyt FROM lineitem WHERE l_quantity > 49",
     "uzytkownicy_do_usuniecia": "SELECT c_custkey AS id_uz FROM customer WHERE c_acctbal < 0 OR c_custkey = 0",

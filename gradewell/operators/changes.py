@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import is_member
 from gradewell.operators.access import removal_check, user_roles
+from gradewell.operators.cascade import cascade
 from gradewell.operators.catalog import visible_questions
 from gradewell.operators.counts import question_validity
-from gradewell.operators.numbering import numbered, numbered_by_id
+from gradewell.operators.numbering import least_before, numbered, numbered_by_id, swept
 from gradewell.operators.quality import (
     group_rules,
     problems,
@@ -32,7 +33,9 @@ from gradewell.schema import (
     NEW_QUESTION_TEXT,
     NO_ANSWER,
     PUBLIC_GROUP,
+    RANKS,
 )
+from gradewell.sources.shared import stored
 
 
 # Shared steps ---------------------------------------------------------------
@@ -317,7 +320,8 @@ def apply_option_changes(
 
     The rows of one (id_pyt, tresc_odp) form a queue: creating appends, deleting takes
     the head, updating meets the head. With +1 and -1 for these, the running sum and its
-    running minimum tell which row is the head, and where there was none.
+    running minimum tell which row is the head, and where there was none. Both are swept, so a
+    long queue spreads over tasks; the judged rows are stored, and all that follows reads them.
     """
     by = ["id_pyt", "tresc_odp"]
     fields = ["poziom_poprawnosci", "komentarz"]
@@ -331,12 +335,12 @@ def apply_option_changes(
     changed_broken = F.array_join(problems(changed_rules), ",")
     is_new, known = F.col("op") == "create", F.col("wielokrotnego_wyboru").isNotNull()
     step = F.when(known & is_new & (new_broken == ""), 1).when(known & (F.col("op") == "delete"), -1).otherwise(0)
-    order = Window.partitionBy(*by).orderBy("nr")
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumns({"_bylo": F.coalesce("_bylo", F.lit(0)), "_krok": step})
-    found = found.withColumn("_suma", F.col("_bylo") + F.sum("_krok").over(sofar))
-    found = found.withColumn("_dno", F.least(F.min("_suma").over(sofar), F.lit(0)))
-    found = found.withColumn("_dno_przed", F.lag("_dno", 1, 0).over(order))
+    counts = {"_krokow": F.col("_krok"), "_odjete": (F.col("_krok") == -1).cast("int"), "_dodane": (F.col("_krok") == 1).cast("int")}
+    found = swept(found, [F.col("nr")], counts, by=by, keep_part=True).withColumn("_suma", F.col("_bylo") + F.col("_krokow"))
+    found = least_before(found, [F.col("nr")], "_suma", "_dno_przed", by)
+    found = found.withColumn("_dno_przed", F.least(F.coalesce("_dno_przed", F.lit(0)), F.lit(0)))
+    dno = F.least("_dno_przed", "_suma")
     there = F.col("_suma") - F.col("_krok") - F.col("_dno_przed")  # rows in the queue before this one
     reason = (
         F.when(~known, "no_question")
@@ -344,9 +348,13 @@ def apply_option_changes(
         .when(is_new & (new_broken != ""), new_broken)
         .when((F.col("op") == "update") & (changed_broken != ""), changed_broken)
     )
-    gone = F.sum(F.when(F.col("_krok") == -1, 1).otherwise(0)).over(sofar) + F.col("_dno")
-    made = F.sum(F.when(F.col("_krok") == 1, 1).otherwise(0)).over(sofar)
-    judged = found.withColumns({"powod": reason, "_usuniete": gone, "_miejsce": F.col("_bylo") + made})
+    judged = found.select(
+        *changes.columns,
+        reason.alias("powod"),
+        (F.col("_odjete") + dno).alias("_usuniete"),
+        (F.col("_bylo") + F.col("_dodane")).alias("_miejsce"),
+    )
+    judged = stored(judged, "option-changes")
 
     created = with_new_ids(
         _accepted(judged)
@@ -482,32 +490,17 @@ def create_questions(
     return questions.select(*fresh.columns).unionByName(fresh)
 
 
-def _taken(
-    rows: DataFrame, batch: DataFrame, table: DataFrame, column: str, key: str | None = None
-) -> DataFrame:
-    """Adds ``_taken_<column>``: the value is another's already, or an earlier row of ``batch`` asks for it.
+def _taken(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Adds ``_taken_<column>``: the table has the value already, or an earlier row asks for it.
 
-    ``key``: rows and table share it; a row's own table value does not count, nor
-    does an earlier row with the same key. Only values of the batch are looked up
-    in the table, and all facts are gathered per value, so rows meet them in one join.
+    Only values of the batch are looked up in the table, and all facts are gathered per value,
+    so rows meet them in one join.
     """
-    asked = batch.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.min("nr").alias("_first"), *([F.min_by(key, "nr").alias("_first_key")] if key else [])
-    )
-    owners = table.join(rows.select(column).distinct(), column, "left_semi").groupBy(column).agg(
-        F.count("*").alias("_n"), *([F.min(key).alias("_k1"), F.max(key).alias("_k2")] if key else [])
-    )
+    asked = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("nr").alias("_first"))
+    owners = table.join(rows.select(column).distinct(), column, "left_semi").select(column, F.lit(True).alias("_there")).distinct()
     facts = asked.join(owners, column, "full")
-    by_other = F.coalesce(F.col("_n") > 0, F.lit(False))
-    earlier = F.coalesce(F.col("_first") < F.col("nr"), F.lit(False))
-    if key:
-        by_other = by_other & ((F.col("_k1") != F.col(key)) | (F.col("_k2") != F.col(key)))
-        earlier = earlier & (F.col("_first_key") != F.col(key))
-    # whoever holds a value may keep it; a free value goes to the first row that asks
-    earlier = F.col("_n").isNull() & earlier
-    return rows.join(own_shuffle(facts, column), column, "left").select(
-        *rows.columns, (by_other | earlier).alias(f"_taken_{column}")
-    )
+    taken = F.coalesce(F.col("_there") | (F.col("_first") < F.col("nr")), F.col("_first") < F.col("nr"), F.lit(False))
+    return rows.join(own_shuffle(facts, column), column, "left").select(*rows.columns, taken.alias(f"_taken_{column}"))
 
 
 def create_groups(requests: DataFrame, groups: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -522,7 +515,7 @@ def create_groups(requests: DataFrame, groups: DataFrame, users: DataFrame) -> t
     )
     # only rows that could be created compete for a name
     rivals = _accepted(checked).drop("powod")
-    fit = _taken(rivals, rivals, groups, "nazwa").withColumn(
+    fit = _taken(rivals, groups, "nazwa").withColumn(
         "powod", F.when(F.col("_taken_nazwa"), "name_taken")
     )
     fresh = with_new_ids(_accepted(fit), groups, "id_grupy").select(
@@ -547,16 +540,8 @@ def delete_questions_quizzes(
 ) -> dict[str, DataFrame]:
     """Deletes quizzes and questions with everything below them: questions, their template and
     user answers, and the posts about a quiz."""
-    left_quizzes = quizzes.join(quiz_ids.select("id_quizu"), "id_quizu", "left_anti")
-    by_quiz = questions.join(quiz_ids.select("id_quizu"), "id_quizu", "left_semi").select("id_pyt")
-    doomed = by_quiz.unionByName(question_ids.select("id_pyt"))
-    return {
-        "quiz": left_quizzes,
-        "pytanie": questions.join(doomed, "id_pyt", "left_anti"),
-        "odpowiedz_wzorcowa": templates.join(doomed, "id_pyt", "left_anti"),
-        "odpowiedz_uzytkownika": answers.join(doomed, "id_pyt", "left_anti"),
-        "dyskusja": posts.join(quiz_ids.select("id_quizu"), "id_quizu", "left_anti").select(*posts.columns),
-    }
+    tables = {"quiz": quizzes, "pytanie": questions, "odpowiedz_wzorcowa": templates, "odpowiedz_uzytkownika": answers, "dyskusja": posts}
+    return cascade({"quiz": quiz_ids, "pytanie": question_ids}, tables)
 
 
 def delete_users(user_ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -566,32 +551,54 @@ def delete_users(user_ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str,
     Quizzes of a deleted user go to the holding area; groups and questions pass to the limbo
     user. Memberships, ranking rows, answers and posts of a deleted user go.
     """
-    gone = user_ids.select("id_uz").filter(F.col("id_uz") != LIMBO_USER).distinct()
-
-    def passed_on(name: str, key: str, more: dict[str, int]) -> DataFrame:
-        table = tables[name]
-        flagged = gone.select(F.col("id_uz").alias(key), F.lit(True).alias("_gone"))
-        moved = F.col("_gone").isNotNull()
-        state = table.join(own_shuffle(flagged, key), key, "left").withColumns(
-            {
-                column: F.when(moved, F.lit(value)).otherwise(F.col(column)).cast("bigint")
-                for column, value in {key: LIMBO_USER, **more}.items()
-            }
-        )
-        return state.select(*table.columns)
+    return cascade({"uzytkownik": user_ids}, tables)
 
-    def removed(name: str) -> DataFrame:
-        return tables[name].join(gone, "id_uz", "left_anti").select(*tables[name].columns)
 
-    return {
-        "quiz": passed_on("quiz", "id_wlasciciela", {"id_grupy": LIMBO_GROUP}),
-        "grupa_quizowa": passed_on("grupa_quizowa", "id_wlasciciela", {}),
-        "pytanie": passed_on("pytanie", "id_autora", {}),
-        **{name: removed(name) for name in ("uzytkownik", "dostep_grupa", "ranking", "odpowiedz_uzytkownika", "dyskusja")},
-    }
+PROFILE_FIELDS = ["nazwa_uz", "login", "email"]
 
 
-PROFILE_FIELDS = ["nazwa_uz", "login", "email"]
+def _stacked(fields: list[str]) -> Column:
+    """The fields of a row as an array of (pole, wartosc)."""
+    return F.array(*[F.struct(F.lit(f).alias("pole"), F.col(f).alias("wartosc")) for f in fields])
+
+
+def _with_lost_values(checked: DataFrame, users: DataFrame, key: str | None = None) -> DataFrame:
+    """``checked`` (nr, fields, powod) with the fields that a row may not have added to ``powod``:
+    another user has the value, or it is free and an earlier row that keeps the rules asks for it.
+
+    ``key``: whose row it is; a user's own value, or own earlier row, is in nobody's way. The fields
+    are put under one another, so values meet their rivals and their owners in one join.
+    """
+    who = F.col(key) if key else F.lit(None).cast("long")
+    asked = checked.select("nr", who.alias("_who"), "powod", F.explode(_stacked(PROFILE_FIELDS)).alias("_p"))
+    asked = asked.select("nr", "_who", "powod", "_p.*").filter("wartosc IS NOT NULL")
+    first = _accepted(asked).groupBy("pole", "wartosc").agg(F.min("nr").alias("_first"), F.min_by("_who", "nr").alias("_first_who"))
+    held = users.select("id_uz", F.explode(_stacked(PROFILE_FIELDS)).alias("_p")).select("id_uz", "_p.*")
+    held = held.join(asked.select("pole", "wartosc").distinct(), ["pole", "wartosc"], "left_semi")
+    held = held.groupBy("pole", "wartosc").agg(F.min("id_uz").alias("_k1"), F.max("id_uz").alias("_k2"))
+    facts = first.join(held, ["pole", "wartosc"], "full")
+    by_other = F.col("_k1").isNotNull() & ~(F.col("_k1").eqNullSafe(F.col("_who")) & F.col("_k2").eqNullSafe(F.col("_who")))
+    before = (F.col("_first") < F.col("nr")) & (F.col("_who").isNull() | (F.col("_first_who") != F.col("_who")))
+    lost = asked.join(own_shuffle(facts, "wartosc"), ["pole", "wartosc"]).filter(by_other | (F.col("_k1").isNull() & before))
+    lost = lost.groupBy("nr").agg(F.collect_set("pole").alias("_pola"))
+    taken = F.array_join(problems({f"{f}_zajete": F.array_contains("_pola", f) for f in PROFILE_FIELDS}), ",")
+    both = F.concat_ws(",", "powod", F.when(F.col("_pola").isNotNull(), taken))
+    return checked.join(lost, "nr", "left").withColumn("powod", F.when(both != "", both)).drop("_pola")
+
+
+def create_users(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New users from (nr, login, nazwa_uz, email): the table with them, and the refused rows.
+
+    A row is refused alone: when ``user_rules`` break, when a user of the table has one of its
+    values, or when an earlier row that keeps the rules asks for the same one. New users have the
+    rank ``user`` and the ids after the highest one, in the order of ``nr``.
+    """
+    rules = F.array_join(problems(user_rules()), ",")
+    checked = requests.select("nr", *PROFILE_FIELDS, F.when(rules != "", rules).alias("powod"))
+    judged = stored(_with_lost_values(stored(checked, "new-users"), users), "new-users")
+    fresh = with_new_ids(_accepted(judged), users, "id_uz").select(*["id_uz", *PROFILE_FIELDS, F.lit(RANKS[0]).alias("ranga")])
+    columns = ["id_uz", "login", "nazwa_uz", "email", "ranga"]
+    return users.select(columns).unionByName(fresh.select(columns)), _rejected(judged, "login")
 
 
 def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -605,16 +612,10 @@ def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
     """
     own = overlaid(changes, users, "id_uz", PROFILE_FIELDS)
     rules = F.array_join(problems(user_rules()), ",")
-    checked = own.withColumn("powod", F.when(rules != "", rules))
-    asked = changes.join(users.select("id_uz"), "id_uz", "left_semi").select("nr", "id_uz", *PROFILE_FIELDS)
-    rivals = asked.join(_accepted(checked).select("nr"), "nr", "left_semi")
-    rows = asked
-    for field in PROFILE_FIELDS:
-        rows = _taken(rows, rivals, users, field, "id_uz")
-    taken = F.array_join(problems({f"{f}_zajete": F.col(f"_taken_{f}") for f in PROFILE_FIELDS}), ",")
-    reasons = checked.select("nr", "powod").join(rows.select("nr", "id_uz", taken.alias("_zajete")), "nr")
-    both = F.concat_ws(",", "powod", F.when(F.col("_zajete") != "", F.col("_zajete")))
-    judged = reasons.select("nr", "id_uz", F.when(both != "", both).alias("powod"))
-    news = last_given(asked.join(_accepted(judged).select("nr"), "nr", "left_semi"), "id_uz", PROFILE_FIELDS)
+    checked = own.select("nr", F.when(rules != "", rules).alias("powod"))
+    checked = stored(changes.select("nr", "id_uz", *PROFILE_FIELDS).join(checked, "nr"), "profile-changes")
+
+    judged = _with_lost_values(checked, users, key="id_uz")
+    news = last_given(_accepted(judged), "id_uz", PROFILE_FIELDS)
     rejects = _rejected(judged, "id_uz").unionByName(missing_keys(changes, users, "id_uz", "no_user"))
     return overlay(users, news, "id_uz", PROFILE_FIELDS), rejects

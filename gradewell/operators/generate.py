@@ -14,8 +14,8 @@ def generate_quiz_set(
     type_id: int,
     at: Column,
     first_quiz_id: int = 1,
-    first_question_id: int = 1,
-    first_template_id: int = 1,
+    first_question_id: int | Column = 1,
+    first_template_id: int | Column = 1,
     owner: int = 1,
     group: int = 1,
     category: int = 1,
@@ -66,6 +66,25 @@ def generate_quiz_set(
     return {"quiz": quiz, "pytanie": pytanie, "odpowiedz_wzorcowa": odpowiedz}
 
 
+def generate_chain(
+    sets: dict[str, dict], at: Column, first_quiz_id: int = 1, first_question_id: int = 1, first_template_id: int = 1, **owner: int
+) -> dict[str, dict[str, DataFrame]]:
+    """Several sets one after another: the ids of each go on where those of the one before it end.
+
+    ``sets``: by name, the arguments of ``generate_quiz_set`` that are its own: blocks, name,
+    quizzes, answers and type_id. The questions of earlier sets are counted where a plan runs.
+    """
+    out, quiz_id, question_id, template_id = {}, first_quiz_id, F.lit(first_question_id), F.lit(first_template_id)
+    for name, own in sets.items():
+        out[name] = generate_quiz_set(
+            **own, at=at, first_quiz_id=quiz_id, first_question_id=question_id, first_template_id=template_id, **owner
+        )
+        made = own["blocks"].agg(F.count("*").alias("_n")).scalar()
+        quiz_id, question_id = quiz_id + own["quizzes"], question_id + made
+        template_id = template_id + made * own["answers"]
+    return out
+
+
 def generation_summary(sets: dict[str, dict[str, DataFrame]]) -> DataFrame:
     """Number of quizzes and questions made, per set."""
     rows = None

@@ -58,6 +58,23 @@ def swept(
     )
 
 
+def least_before(df: DataFrame, order: list[Column], value: str, name: str, by: list[str]) -> DataFrame:
+    """Adds the least ``value`` of the earlier rows of each group, null where there is none, to rows
+    that ``swept`` has given with the same groups and order and with their part."""
+    plain = df.columns
+    totals = df.groupBy(*by, PART).agg(F.min(value).alias("_least"))
+    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col(PART).alias("_into"), *[F.col(b).alias(f"_by_{b}") for b in by], F.min("_least").over(earlier).alias("_carried")
+    ).filter("_carried IS NOT NULL")  # one row a part at most
+    here = F.col(PART) == F.col("_into")
+    for b in by:
+        here = here & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    inside = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = df.withColumn("_inside", F.min(value).over(inside)).join(F.broadcast(carried), here, "left")
+    return found.select(*plain, F.least("_inside", "_carried").alias(name))
+
+
 def numbered(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
     """1-based position of each row in its group ``by`` under ``order``, which should tell rows apart."""
     return swept(df, order, {name: F.lit(1).cast("long")}, by)

@@ -1,12 +1,14 @@
 """Every batch query over the test tables, by name."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.functions import scalar as S
 from gradewell.operators import access as AC
+from gradewell.operators import cascade as CC
 from gradewell.operators import catalog as CA
 from gradewell.operators import changes as CH
 from gradewell.operators import counts as CO
@@ -22,7 +24,7 @@ from gradewell.plans.flows import submit
 from gradewell.sources import line_blocks as LB
 from gradewell.sources.shared import shared_folder
 from gradewell.sources.testrequests import Requests
-from gradewell.streaming.live_ranking import QuizTables, replay
+from gradewell.streaming.live_ranking import QuizTables, current_members, replay
 
 SEED = "losowanie"
 MADE_AT = "2020-01-01 00:00:00"
@@ -687,6 +689,16 @@ def delete_users_dyskusja(d):
     return _users_deleted(d)["dyskusja"]
 
 
+@query
+def create_users(d):
+    return CH.create_users(d.nowi_uzytkownicy, d.uzytkownik)[0]
+
+
+@query
+def create_users_rejects(d):
+    return CH.create_users(d.nowi_uzytkownicy, d.uzytkownik)[1]
+
+
 @query
 def update_profiles(d):
     return CH.update_profiles(d.zmiany_profili, d.uzytkownik)[0]
@@ -697,6 +709,64 @@ def update_profiles_rejects(d):
     return CH.update_profiles(d.zmiany_profili, d.uzytkownik)[1]
 
 
+def _groups_deleted(d):
+    """Invite-only groups go; their quizzes pass to the holding area."""
+    gone = d.grupa_quizowa.filter("na_zaproszenie").select("id_grupy")
+    return CC.cascade({"grupa_quizowa": gone}, d.tables("grupa_quizowa", "quiz", "dostep_grupa", "ranking"))
+
+
+@query
+def delete_groups_grupa_quizowa(d):
+    return _groups_deleted(d)["grupa_quizowa"]
+
+
+@query
+def delete_groups_quiz(d):
+    return _groups_deleted(d)["quiz"]
+
+
+@query
+def delete_groups_dostep_grupa(d):
+    return _groups_deleted(d)["dostep_grupa"]
+
+
+@query
+def delete_groups_ranking(d):
+    return _groups_deleted(d)["ranking"]
+
+
+def _categories_deleted(d):
+    """The categories right below the root's third child go, with their questions."""
+    gone = d.podkategoria.filter("id_nadkategorii = 4").select(F.col("id_podkategorii").alias("id_kategorii"))
+    names = ("kategoria", "podkategoria", "pytanie", "odpowiedz_wzorcowa", "odpowiedz_uzytkownika")
+    return CC.cascade({"kategoria": gone}, d.tables(*names))
+
+
+@query
+def delete_categories_kategoria(d):
+    return _categories_deleted(d)["kategoria"]
+
+
+@query
+def delete_categories_podkategoria(d):
+    return _categories_deleted(d)["podkategoria"]
+
+
+@query
+def delete_categories_pytanie(d):
+    return _categories_deleted(d)["pytanie"]
+
+
+@query
+def delete_categories_odpowiedz_wzorcowa(d):
+    return _categories_deleted(d)["odpowiedz_wzorcowa"]
+
+
+@query
+def delete_categories_odpowiedz_uzytkownika(d):
+    return _categories_deleted(d)["odpowiedz_uzytkownika"]
+
+
 # Generation ---------------------------------------------------------------------
 STRIDE = 5
 
@@ -722,6 +792,53 @@ def generate_quiz_set_pytanie(d):
     return _generated(d)["pytanie"]
 
 
+@query
+def generate_quiz_set_quiz(d):
+    return _generated(d)["quiz"]
+
+
+def _chained(d):
+    """Three sets from three tables of texts, one after another; the later ones take two lines a question."""
+    talk = d.raw("conversations").selectExpr("conv_id * 1000 + turn AS nr", "text")
+    texts = {
+        "dokumenty": (d.raw("documents"), "doc_id", STRIDE, 4, 3, 40),
+        "testy": (d.raw("benchmark"), "item_id", 2, 1, 11, 7),
+        "rozmowy": (talk, "nr", 2, 1, 11, 9),
+    }
+    sets = {
+        name: {
+            "blocks": LB.question_blocks(LB.text_lines(table, key, "text"), stride), "name": f"{name} %d",
+            "quizzes": quizzes, "answers": answers, "type_id": kind,
+        }
+        for name, (table, key, stride, answers, kind, quizzes) in texts.items()
+    }
+    return GE.generate_chain(sets, F.lit(MADE_AT).cast("timestamp_ntz"), 101, 1001, 5001)
+
+
+def _all_sets(d, table):
+    return reduce(DataFrame.unionByName, [tables[table] for tables in _chained(d).values()])
+
+
+@query
+def generate_chain_quiz(d):
+    return _all_sets(d, "quiz")
+
+
+@query
+def generate_chain_pytanie(d):
+    return _all_sets(d, "pytanie")
+
+
+@query
+def generate_chain_odpowiedz(d):
+    return _all_sets(d, "odpowiedz_wzorcowa")
+
+
+@query
+def generate_chain_summary(d):
+    return GE.generation_summary(_chained(d))
+
+
 @query
 def generate_quiz_set_odpowiedz(d):
     return _generated(d)["odpowiedz_wzorcowa"]
@@ -772,12 +889,30 @@ def check_not_null(d):
     return QU.check_not_null(tables, partial=("pytanie", "quiz", "grupa_quizowa"))
 
 
+@query
+def check_not_null_tables(d):
+    """The tables themselves, with gaps where the given tables have some: users without a name, quizzes without a time."""
+    tables = d.tables("pytanie", "quiz", "grupa_quizowa", "odpowiedz_wzorcowa", "dostep_grupa")
+    tables["uzytkownik"] = d.uzytkownik.withColumn("nazwa_uz", F.when(F.col("ranga") != "teacher", F.col("nazwa_uz")))
+    tables["quiz"] = d.quiz.withColumn("data_utworzenia", F.when(~F.col("ukryty"), F.col("data_utworzenia")))
+    return QU.check_not_null(tables)
+
+
 # Categories and discussions -----------------------------------------------------
 @query
 def category_closure(d):
     return HI.category_closure(d.podkategoria)
 
 
+@query
+def category_cycles(d):
+    """Sizes of parts as categories, each below the size that its first part's key falls on."""
+    edges = d.raw("part").groupBy(F.col("p_size").cast("long").alias("id_podkategorii")).agg(
+        (F.min("p_partkey") * 7 % 50 + 1).alias("id_nadkategorii")
+    )
+    return HI.category_cycles(HI.category_closure(edges))
+
+
 @query
 def quiz_categories(d):
     return HI.quiz_categories(d.pytanie, d.kategoria)
@@ -796,6 +931,15 @@ def live_ranking(d):
     return replay(d.spark, d.submissions, tables, path, SEED)
 
 
+@query
+def live_members(d):
+    """Memberships that the stream has made, with those it began with."""
+    tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
+    path = shared_folder(d.spark, "live-members")
+    replay(d.spark, d.submissions, tables, path, SEED)
+    return current_members(d.spark, path, d.dostep_grupa)
+
+
 @query
 def submit_ranking(d):
     """Submissions to ranking with every step stored."""

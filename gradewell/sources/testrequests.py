@@ -175,6 +175,17 @@ class Requests(Domain):
             "CAST(NULL AS STRING) AS haslo",
         )
 
+    @cached_property
+    def nowi_uzytkownicy(self) -> DataFrame:
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS nr",
+            "CASE WHEN o_orderpriority LIKE '1%' THEN 'u' || o_custkey ELSE 'n' || (o_orderkey % 9000) END AS login",
+            """CASE WHEN o_orderpriority LIKE '2%' THEN '' WHEN o_orderpriority LIKE '3%' THEN repeat('dlugi', 8)
+                    ELSE 'Nowy ' || o_orderkey END AS nazwa_uz""",
+            """CASE WHEN o_orderstatus = 'P' THEN 'zly' WHEN o_orderkey % 17 = 3 THEN 'shared@ex.pl'
+                    ELSE 'n' || (o_orderkey % 7000) || '@ex.pl' END AS email""",
+        )
+
     @cached_property
     def quizy_do_usuniecia(self) -> DataFrame:
         return self.raw("part").filter("p_brand IN ('Brand#1', 'Brand#17')").selectExpr("p_partkey AS id_quizu")
