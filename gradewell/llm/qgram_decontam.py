@@ -282,21 +282,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     null id are compared too. Empty tables give an empty result.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.filter(F.length(item_text_col) > 0)
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
     found = None
-    for number in range(blocks):
-        held = [(r["item"], r["text"]) for r in items.filter(block == number).collect()]  # about BLOCK_CHARS characters
-        index = docs.sparkSession.sparkContext.broadcast(index_of(held))
+    for index in _indexes(docs, benchmark, item_col, item_text_col):
         part = store(plain.mapInPandas(_matcher(index), "doc_id long, item long, start int, end int, edits int"), "leaks")
         index.destroy()
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("doc_id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> Iterator:
+    """A broadcast index of each block of items, one after the other."""
+    items = benchmark.filter(F.length(text_col) > 0)
+    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    for number in range(blocks):
+        held = [(r["item"], r["text"]) for r in items.filter(block == number).collect()]  # about BLOCK_CHARS characters
+        yield docs.sparkSession.sparkContext.broadcast(index_of(held))
+
+
 def _matcher(spread):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = spread.value
@@ -308,7 +313,25 @@ def _matcher(spread):
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that leak no item, with all their columns. Rows whose id is null stay."""
-    hit = store(find_leaks(docs, benchmark, id_col, text_col).select(id_col).distinct(), "leaks")
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text leaks no item, with all their columns.
+
+    As ``find_leaks``, but each row is judged where it is: nothing is joined by id, so rows with a
+    null or a repeated id are rows like all others. With more than one block of items, what each
+    block leaves is stored for the next.
+    """
+    clean = None
+    for index in _indexes(docs, benchmark, item_col, item_text_col):
+        left = docs if clean is None else store(clean, "clean")
+        clean = left.filter(_is_clean(index)(F.col(text_col)))
+    return clean
+
+
+def _is_clean(spread):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not leaks(text, spread.value) for text in texts], dtype=bool)
+
+    return clean

@@ -12,6 +12,7 @@ from gradewell.llm import (
     bloom_dedup,
     html_suffix,
     line_chunks,
+    oracle,
     packing,
     poisson_mix,
     ppm_language,
@@ -121,14 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
-
-
-OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-)
-SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = min(doc_id) OVER g AS kept, text_sha256
-FROM d WINDOW g AS (PARTITION BY text_sha256)
-"""
+    return {"op8_jaccard_join": oracle.OP8, "op10_exact_dedup": oracle.OP10, "op13_prefix_trie": oracle.OP13}

@@ -166,6 +166,44 @@ def _bin(raw: Column, edges: list[float]) -> Column:
     return F.size(F.filter(inner, lambda x: x < raw))
 
 
+def _chosen(labels: DataFrame, id_col: str, label_col: str, learn: Column | None, max_labelled: int) -> DataFrame:
+    """(doc_id, label) of the labels to learn from."""
+    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
+    known = known.agg(F.max(label_col).cast("double").alias("label"))
+    chosen = known if learn is None else known.filter(learn)
+    total = chosen.count()
+    if total > max_labelled:
+        rank = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "doc_id"), 11).cast("double") / float(1 << 53)
+        chosen = chosen.filter(rank < max_labelled / total)
+    return chosen
+
+
+def _scores(model: Model | None, stats: pd.Series) -> np.ndarray:
+    return model.score(np.stack(stats.to_numpy())) if model is not None and len(stats) else np.full(len(stats), 0.5)
+
+
+def good_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED
+) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    As ``quality_scores``, but each row is judged where it is, by its text alone: nothing is joined
+    by id, so rows with a null or a repeated id are rows like all others.
+    """
+    chosen = _chosen(labels, id_col, label_col, None, max_labelled)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = document_statistics(own.join(chosen.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    model = fit(store(store(known, "statistics").join(chosen, "doc_id"), "labelled"))
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        stats = pd.Series([np.array(statistics(x.encode("utf-8", "replace") if x else b"")) for x in texts], dtype=object)
+        return pd.Series(_scores(spread.value, stats) >= 0.5)
+
+    return docs.filter(good(F.col(text_col)))
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -185,20 +223,13 @@ def quality_scores(
     scored. Equal texts get equal scores. An empty table gives an empty table.
     """
     stats = store(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
-    known = known.agg(F.max(label_col).cast("double").alias("label"))
-    chosen = known if learn is None else known.filter(learn)
-    total = chosen.count()
-    if total > max_labelled:
-        rank = F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), "doc_id"), 11).cast("double") / float(1 << 53)
-        chosen = chosen.filter(rank < max_labelled / total)
+    chosen = _chosen(labels, id_col, label_col, learn, max_labelled)
     model = fit(store(stats.join(chosen, "doc_id"), "labelled"))
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = spread.value
         for frame in frames:
-            score = model.score(np.stack(frame["stats"].to_numpy())) if model is not None and len(frame) else np.full(len(frame), 0.5)
+            score = _scores(spread.value, frame["stats"])
             yield pd.DataFrame({"doc_id": frame["doc_id"].array, "score": score, "predicted": (score >= 0.5).astype(int)})
 
     scored = stats.mapInPandas(run, "doc_id long, score double, predicted int")

@@ -35,8 +35,8 @@ def shingles(text, size=4):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def brute_components(texts):
-    sets = {i: shingles(t) for i, t in texts.items()}
+def brute_components(texts, size=4, percent=85):
+    sets = {i: shingles(t, size) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -47,7 +47,7 @@ def brute_components(texts):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -428,7 +428,7 @@ def test_pipeline(spark):
         frame = after
     stages = {name: (before, after) for name, before, after in kept}
     before, after = stages["near_copies"]
-    groups = brute_components(dict(zip(before.doc_id, before.text, strict=True)))
+    groups = brute_components(dict(zip(before.doc_id, before.text, strict=True)), corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
     assert sorted(after.doc_id) == sorted(i for i, (_, root) in groups.items() if i == root)
     before, after = stages["decontamination"]
     bench = pd.read_parquet(f"{SF}/benchmark.parquet").text
