@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 #: Longest context in bytes, and how often a context must occur in training to be kept.
 ORDER, LEAST = 3, 12
-#: Training texts of each language, about, taken by a hash of the id; contexts kept, at most, the
-#: most frequent first. Together they bound the model.
-TEXTS_PER_LANGUAGE, CONTEXTS = 1500, 20_000
+#: Training texts of each language, about, taken by a hash of the id. This bounds the model: it holds
+#: contexts that occur LEAST times in one language's texts.
+TEXTS_PER_LANGUAGE = 1500
 SEED = 5
 CHUNK = 1 << 20
 
@@ -44,12 +44,25 @@ def counts_of(texts: list[bytes]) -> pd.DataFrame:
 
 @dataclass
 class Trees:
-    """Frozen statistics of all languages as code lengths in bits."""
+    """Frozen statistics of all languages as code lengths in bits.
+
+    A context has a cell for each byte that follows it in some language. Any other byte costs the
+    context's escape and then what it costs in the next shorter kept context."""
 
     languages: list[str]
-    bits: np.ndarray  # [context, byte, language]
+    cell: np.ndarray  # [context * 256 + byte]: number of the cell, -1 where there is none
+    bits: np.ndarray  # [cell, language]
+    escape: np.ndarray  # [context, language]
+    shorter: np.ndarray  # [context]: the next shorter kept context
     nodes: list[tuple[np.ndarray, np.ndarray]]  # per order: kept contexts, ascending, and their rows
 
+    def row_bits(self, row: int) -> np.ndarray:
+        """Code lengths of all bytes after a context, [byte, language]."""
+        cells = self.cell[row * 256 : row * 256 + 256]
+        if row == 0:
+            return self.bits[cells]
+        return np.where((cells >= 0)[:, None], self.bits[cells], self.escape[row] + self.row_bits(self.shorter[row]))
+
 
 def grow(counts: pd.DataFrame) -> Trees:
     """The trees for (lang, order, key, n) rows.
@@ -61,46 +74,61 @@ def grow(counts: pd.DataFrame) -> Trees:
     counts = counts.assign(context=counts["key"] // 256, byte=counts["key"] % 256, l=counts["lang"].map(number))
     totals = counts.groupby(["order", "context", "l"])["n"].sum().groupby(["order", "context"]).max()
     kept = totals[totals >= LEAST]
-    kept = kept[kept.index.get_level_values("order") > 0].sort_values(ascending=False, kind="stable").head(CONTEXTS)
-    names = [(0, 0), *sorted(kept.index)]
+    names = [(0, 0), *sorted(kept[kept.index.get_level_values("order") > 0].index)]
     rows = {name: k for k, name in enumerate(names)}
-    row = [rows.get(x, -1) for x in zip(counts["order"], counts["context"], strict=True)]
-    counts = counts.assign(row=row)
-    counts = counts[counts["row"] >= 0]
-    seen = np.zeros((len(names), 256, len(languages)), dtype=np.float32)
-    seen[counts["row"], counts["byte"], counts["l"]] = counts["n"]
-    bits = np.zeros_like(seen)
+    counts = counts.assign(row=[rows.get(x, -1) for x in zip(counts["order"], counts["context"], strict=True)])
+    counts = counts[counts["row"] >= 0].sort_values("row", kind="stable")
+    first = np.searchsorted(counts["row"].to_numpy(), np.arange(len(names) + 1))
+    byte, lang, n = (counts[c].to_numpy() for c in ("byte", "l", "n"))
+
+    shape = (256, len(languages))
+    trees = Trees(languages, np.full(256 * len(names), -1, dtype=np.int32), np.zeros((0, shape[1]), dtype=np.float32),
+                  np.zeros((len(names), shape[1]), dtype=np.float32), np.zeros(len(names), dtype=np.int32), [])
+    held, count = [], 0
     for k, (order, context) in enumerate(names):
+        own = np.zeros(shape)
+        part = slice(first[k], first[k + 1])
+        own[byte[part], lang[part]] = n[part]
         if order == 0:
-            below = np.full(seen.shape[1:], 1 / 256, dtype=np.float64)
+            below = np.full(shape, 1 / 256)
         else:
-            shorter = next(rows[o, context % 256**o] for o in range(order - 1, -1, -1) if (o, context % 256**o) in rows)
-            below = np.exp2(-bits[shorter].astype(np.float64))
-        own = seen[k].astype(np.float64)
-        n, kinds = own.sum(axis=0), (own > 0).sum(axis=0)
+            trees.shorter[k] = next(rows[o, context % 256**o] for o in range(order - 1, -1, -1) if (o, context % 256**o) in rows)
+            below = np.exp2(-_row_bits(trees, held, int(trees.shorter[k])))
+        total, kinds = own.sum(axis=0), (own > 0).sum(axis=0)
         rest = np.where(own > 0, 0.0, below)
         left = rest.sum(axis=0)
-        escape = np.where(left > 0, kinds / np.maximum(n + kinds, 1), 0.0)
-        scale = np.where(left > 0, n + kinds, np.maximum(n, 1))
-        p = np.where(own > 0, own / np.maximum(scale, 1), escape * rest / np.where(left > 0, left, 1))
-        p = np.where(n > 0, p, below)
-        bits[k] = -np.log2(np.maximum(p, 1e-30))
-    nodes = []
+        scale = np.where(left > 0, total + kinds, np.maximum(total, 1))
+        share = np.where((left > 0) & (total > 0), kinds / np.maximum(scale, 1) / np.where(left > 0, left, 1), 1.0)
+        p = np.where(own > 0, own / np.maximum(scale, 1), share * below)
+        trees.escape[k] = -np.log2(np.maximum(share, 1e-30))
+        there = np.arange(256) if order == 0 else np.flatnonzero(own.any(axis=1))
+        trees.cell[k * 256 + there] = count + np.arange(len(there))
+        held.append(-np.log2(np.maximum(p[there], 1e-30)).astype(np.float32))
+        count += len(there)
+    trees.bits = np.concatenate(held)
     for order in range(1, ORDER + 1):
-        own = [(context, rows[o, context]) for o, context in names if o == order]
-        own.sort()
-        nodes.append((np.array([c for c, _ in own], dtype=np.int64), np.array([r for _, r in own], dtype=np.int32)))
-    return Trees(languages, bits, nodes)
+        own = sorted((context, rows[o, context]) for o, context in names if o == order)
+        trees.nodes.append((np.array([c for c, _ in own], dtype=np.int64), np.array([r for _, r in own], dtype=np.int32)))
+    return trees
+
+
+def _row_bits(trees: Trees, held: list[np.ndarray], row: int) -> np.ndarray:
+    """``row_bits`` while the trees grow: ``held`` has the cells of each context so far."""
+    if row == 0:
+        return held[0].astype(np.float64)
+    out = trees.escape[row] + _row_bits(trees, held, int(trees.shorter[row]))
+    out[trees.cell[row * 256 : row * 256 + 256] >= 0] = held[row]
+    return out
 
 
 class Coder:
     """Code lengths of texts under all trees. Context rows are looked up in dense tables."""
 
     def __init__(self, trees: Trees):
-        self.bits = trees.bits.reshape(-1, len(trees.languages))
+        self.trees = trees
         self.tables = []
         for order, (contexts, rows) in enumerate(trees.nodes, 1):
-            table = np.zeros(256**order, dtype=np.uint16 if len(trees.bits) < 65536 else np.int32)
+            table = np.zeros(256**order, dtype=np.uint16 if len(trees.shorter) < 65536 else np.int32)
             table[contexts] = rows
             self.tables.append(table)
 
@@ -118,12 +146,22 @@ class Coder:
 
     def lengths(self, text: bytes) -> np.ndarray:
         """The code length of the whole text in bits, for each language."""
-        total = np.zeros(self.bits.shape[1])
+        trees = self.trees
+        total = np.zeros(len(trees.languages))
         for start in range(0, len(text), CHUNK):
             before = min(start, ORDER)
             data = np.frombuffer(text[start - before : start + CHUNK], dtype=np.uint8)
-            cell = self.rows(data) * 256 + data
-            total += self.bits[cell[before:]].sum(axis=0, dtype=np.float64)
+            row, byte = self.rows(data)[before:], data[before:]
+            cell = trees.cell[row * 256 + byte]
+            while True:
+                total += trees.bits[cell[cell >= 0]].sum(axis=0, dtype=np.float64)
+                none = cell < 0
+                row, byte = row[none], byte[none]
+                if not len(row):
+                    break
+                total += trees.escape[row].sum(axis=0, dtype=np.float64)
+                row = trees.shorter[row].astype(np.int64)
+                cell = trees.cell[row * 256 + byte]
         return total
 
 
@@ -198,5 +236,5 @@ def code_length(text: bytes, trees: Trees, language: str) -> float:
             if found is not None:
                 row = found
                 break
-        total += float(trees.bits[row, byte, number])
+        total += float(trees.row_bits(row)[byte, number])
     return total if not math.isnan(total) else math.inf
