@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import components, store
@@ -22,8 +22,9 @@ from gradewell.operators.skew import own_shuffle
 
 #: Words in a shingle, and the least similarity in per cent.
 SHINGLE, PERCENT = 4, 85
-#: Sets in a block, about; entries of one piece of an index list, about.
-BLOCK_SETS, PIECE = 256, 4096
+#: Sets in a block, about, and shingles in it, about: the fewer of both. Entries of one piece of an
+#: index list, about.
+BLOCK_SETS, BLOCK_TOKENS, PIECE = 256, 1 << 20, 4096
 #: The frequency sketch has 2**bits counters, one for each row about, so many at least and at most (64 MB).
 SKETCH_BITS = (18, 24)
 #: Needed sets are broadcast to the scan of the texts up to so many (about 32 MB), and joined beyond.
@@ -205,7 +206,7 @@ def jaccard_components(
     4. Each list is reduced to blocks with ranges of size and position. Pairs of blocks whose
        ranges, or whose number of shared lists, rule out the needed overlap are skipped.
     5. Links inside blocks (with the leader), then between blocks that meet: the smaller block's
-       sets visit the larger one, in rooms of about BLOCK_SETS visitors. A pair of blocks is
+       sets visit the larger one, in rooms of about as many visitors as a block has sets. A pair of blocks is
        skipped where all its sets are in one component already.
 
     Shingles are compared as 64-bit hashes. Null and empty texts, and texts of white space, have
@@ -231,12 +232,12 @@ def jaccard_components(
     votes = lists.join(own_shuffle(leads, "token"), "token").groupBy("set_id", "lead", "n").count()
     most = votes.filter(F.col("count") * 4 * 100 >= F.col("n") * (100 - percent)).groupBy("set_id")
     chosen = most.agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    heard = lists.select("set_id").distinct().join(chosen, "set_id", "left")
-    heard = heard.select("set_id", F.coalesce("lead", "set_id").alias("lead"))
-    parts = heard.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    heard = lists.select("set_id", "n").distinct().join(chosen, "set_id", "left")
+    heard = heard.select("set_id", "n", F.coalesce("lead", "set_id").alias("lead"))
+    parts = heard.groupBy("lead").agg(_portions().alias("parts"))
     split = F.pmod(F.xxhash64("set_id"), F.col("parts"))
     blocks = heard.join(own_shuffle(parts, "lead"), "lead")
-    blocks = store(blocks.select("set_id", "lead", F.xxhash64("lead", split).alias("block")), "blocks")
+    blocks = store(blocks.select("set_id", "lead", "n", F.xxhash64("lead", split).alias("block")), "blocks")
 
     entries = lists.join(blocks.select("set_id", "block"), "set_id").groupBy("token", "block")
     entries = entries.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("n", "i") for f in (F.min, F.max)))
@@ -259,12 +260,12 @@ def jaccard_components(
     several = blocks.groupBy("block").count().filter("count > 1").select("block")
     several = several.withColumn("several", F.lit(True))
     needed = blocks.join(met.union(several.select("block")).distinct(), "block", "left_semi").join(several, "block", "left")
-    needed = store(needed.select("set_id", "block", "lead", F.coalesce("several", F.lit(False)).alias("several")), "needed")
+    needed = store(needed.select("set_id", "block", "lead", "n", F.coalesce("several", F.lit(False)).alias("several")), "needed")
     # a cluster's leader is a guest in the cluster's other blocks
     homes = needed.filter("several").select("block", F.col("lead").alias("set_id")).distinct()
     guests = homes.join(needed.select("block", "set_id"), ["block", "set_id"], "left_anti")
     guests = guests.select("set_id", "block", F.col("set_id").alias("lead"), F.lit(True).alias("several"), F.lit(True).alias("guest"))
-    asked = needed.withColumn("guest", F.lit(False)).union(guests)
+    asked = needed.drop("n").withColumn("guest", F.lit(False)).union(guests)  # twice as many as are needed, at most
     asked = F.broadcast(asked) if needed.count() <= BROADCAST_SETS else asked
     texts = docs.join(asked, docs["doc_id"] == asked["set_id"]).select("set_id", "block", "lead", "several", "guest", "text")
     arrays = store(_arrays(texts, size), "arrays")
@@ -275,7 +276,7 @@ def jaccard_components(
 
     state = components(links)
     placed = needed.join(state, F.col("set_id") == F.col("node"), "left")
-    placed = store(placed.select("set_id", "block", F.coalesce("root", "set_id").alias("comp")), "placed")
+    placed = store(placed.select("set_id", "block", "n", F.coalesce("root", "set_id").alias("comp")), "placed")
     spans = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
     for side in "xy":
         pairs = pairs.join(spans.select(F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in spans.columns[1:])), side)
@@ -286,9 +287,9 @@ def jaccard_components(
         *(F.when(swap, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"to{c}") for c in ("", "_low", "_high")),
         F.when(swap, F.col("x")).otherwise(F.col("y")).alias("block"),
     )
-    visits = visits.join(placed, "block").filter("to_low != comp or to_high != comp").select("to", "set_id", "comp").distinct()
+    visits = visits.join(placed, "block").filter("to_low != comp or to_high != comp").select("to", "set_id", "comp", "n").distinct()
     visits = store(visits, "visits")
-    rooms = visits.groupBy("to").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("rooms"))
+    rooms = visits.groupBy("to").agg(_portions().cast("int").alias("rooms"))
     room = F.pmod(F.xxhash64("set_id"), F.col("rooms")).cast("int")
     guests = visits.join(own_shuffle(rooms, "to"), "to").select("to", room.alias("room"), "set_id", "comp")
     hosts = rooms.join(placed.withColumnRenamed("block", "to"), "to")
@@ -308,6 +309,12 @@ def jaccard_components(
     )
 
 
+def _portions() -> Column:
+    """Into how many portions sets go so that each has about BLOCK_SETS of them and BLOCK_TOKENS
+    of their shingles at most."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS))
+
+
 def _arrays(texts: DataFrame, size: int) -> DataFrame:
     names = ["set_id", "block", "lead", "several", "guest", "tokens"]
 

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import corpus_pipeline
-from gradewell.llm import html_suffix, queries
-from tests.llm.test_brute_force import shingles
+from gradewell.llm import html_suffix, ppm_language, queries, set_join
+from tests.llm.test_brute_force import brute_components, shingles
 
 
 def test_pipeline_drops_copies_with_a_fifth_added(spark):
@@ -122,3 +123,35 @@ def test_html_of_very_long_pages():
     text = "word " * 200_000
     page = f"<nav>{text}</nav><article>" + f"<p>{text}</p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>"
     assert html_suffix.main_texts([html_suffix.page_blocks(page)]) == [f"{text.strip()}\n\ndeep"]
+
+
+def test_context_trees_of_a_hundred_languages():
+    """The model grows with what was learned, and texts go to their own language."""
+    rng, texts = random.Random(9), {}
+    for lang in range(100):
+        letters = [chr(rng.choice((97, 0x400, 0x4E00, 0xAC00)) + rng.randrange(400)) for _ in range(12)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+        texts[f"l{lang:03d}"] = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)]
+    counts = pd.concat(ppm_language.counts_of([t.encode() for t in found[:9]]).assign(lang=lang) for lang, found in texts.items())
+    trees = ppm_language.grow(counts.groupby(["lang", "order", "key"], as_index=False)["n"].sum())
+    coder = ppm_language.Coder(trees)
+    for lang, found in texts.items():
+        for text in found[9:]:
+            assert trees.languages[int(np.argmin(coder.lengths(text.encode())))] == lang
+    contexts, dense = len(trees.shorter), len(trees.shorter) * 256 * 100 * 4
+    assert contexts > 3000 and trees.bits.nbytes + trees.cell.nbytes + trees.escape.nbytes < dense / 20
+
+
+def test_set_join_of_very_long_documents(spark, monkeypatch):
+    """Blocks hold few sets where these are large, and no link is lost by it."""
+    monkeypatch.setattr(set_join, "BLOCK_TOKENS", 500)
+    rng, rows = random.Random(10), []
+    for group in range(12):
+        base = [f"g{group}w{k}" for k in range(rng.choice((40, 400)))]
+        for copy in range(6):
+            words = list(base)
+            for _ in range(copy * len(base) // 400):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            rows.append((100 * group + copy, " ".join(words)))
+    got = set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(dict(rows))
