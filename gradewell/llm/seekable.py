@@ -25,8 +25,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import shared_path, small_batches
+from gradewell.llm.common import small_batches
 from gradewell.llm.encoder import text_batches, worker_encoder
+from gradewell.sources.shared import shared_folder
 
 SKIPPABLE, NAME = 0x184D2A5E, b"TOKSEEK1"
 ENTRY = np.dtype([("id", "<i8"), ("at", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("ids_crc", "<u4"), ("frame_crc", "<u4")])
@@ -198,5 +199,5 @@ def read_tokens(listed: DataFrame, folder: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Writes ``docs`` as token files (``write_tokens``) and reads every document back
     (``read_tokens``). The files stay in ``folder``, a new one in the shared folder by default."""
-    folder = folder or shared_path(docs.sparkSession, "tokens")
+    folder = folder or shared_folder(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, tokenizer_path, end_id, id_col, text_col), folder)
