@@ -605,6 +605,40 @@ SELECT 5001 + i * 4 + s AS id_odp_w, i + 1001 AS id_pyt, coalesce(odpowiedzi[s +
 FROM bloki_nr, (VALUES (0), (1), (2), (3)) v(s)""",
     "generation_summary": "SELECT 'dokumenty' AS zestaw, CAST(40 AS BIGINT) AS quizy, count(*) AS pytania FROM bloki",
     # data quality
+    "publish_tables": f"""
+SELECT tabela, regula, count(*) AS wiersze FROM (
+  SELECT 'uzytkownik' AS tabela, 'email_format' AS regula FROM uzytkownik WHERE NOT regexp_matches(email, '{EMAIL}')
+  UNION ALL SELECT 'uzytkownik', 'email_za_dlugi' FROM uzytkownik WHERE length(email) > 60
+  UNION ALL SELECT 'uzytkownik', 'nazwa_uz_za_dluga' FROM uzytkownik WHERE length(nazwa_uz) > 30
+  UNION ALL SELECT 'uzytkownik', 'login_za_dlugi' FROM uzytkownik WHERE length(login) > 15
+  UNION ALL SELECT 'odpowiedz_wzorcowa', 'poziom_wielokrotny' FROM odpowiedz_wzorcowa JOIN pytanie USING (id_pyt)
+  WHERE id_typu BETWEEN 6 AND 10 AND poziom_poprawnosci NOT IN (0, 100)) GROUP BY ALL""",
+    "published_questions": f"SELECT {QUESTION} FROM pytanie WHERE NOT ukryty",
+    "stored_quizzes": f"SELECT {QUIZ} FROM quiz",
+    "stored_answers": "SELECT * FROM odpowiedz_uzytkownika",
+    "stored_submissions": """
+SELECT a.id_uz, a.id_quizu % 25 + CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS id_grupy, a.id_quizu, a.data_wyslania,
+  a.id_quizu * 10 + e.k AS id_pyt, e.wybrane, e.open_text
+FROM attempts a LEFT JOIN (
+  SELECT l_orderkey AS o_orderkey, l_linenumber AS k, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS wybrane,
+    min(l_returnflag) AS open_text FROM lineitem GROUP BY ALL) e USING (o_orderkey)""",
+    "file_lines": r"""
+SELECT plik, row_number() OVER (PARTITION BY plik ORDER BY doc_id, nr) - 1 AS nr_linii, md5(regexp_replace(linia, '\r\z', '')) AS linia
+FROM (SELECT doc_id // 100 AS plik, doc_id, unnest(l) AS linia, generate_subscripts(l, 1) AS nr
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))""",
+    "kept_ranking": """
+SELECT id_uz, id_grupy, round(sum(m), 6) AS pkt, count(*) AS quizy FROM (
+  SELECT id_uz, id_quizu, max(zdobyte_pkt) AS m FROM podejscia WHERE NOT (id_uz % 3 <> 0 AND id_quizu % 5 = 0) GROUP BY ALL)
+JOIN quiz q USING (id_quizu) WHERE q.id_grupy <> 0 GROUP BY ALL""",
+    "kept_member_counts": """
+SELECT g.id_grupy, count(u.id_uz) AS uzytkownicy FROM grupa_quizowa g
+LEFT JOIN dostep_grupa d ON d.id_grupy = g.id_grupy AND d.id_uz % 4 <> 1
+LEFT JOIN uzytkownik u ON u.id_uz = d.id_uz AND u.id_uz <> 0 AND u.ranga NOT IN ('moderator', 'administrator') GROUP BY 1""",
+    "kept_quiz_counts": """
+SELECT g.id_grupy, count(q.id_quizu) AS quizy FROM grupa_quizowa g LEFT JOIN (
+  SELECT q.id_quizu, q.id_grupy, coalesce(c.ukryty, q.ukryty) AS ukryty
+  FROM quiz q LEFT JOIN (SELECT id_quizu, arg_max(ukryty, nr) AS ukryty FROM zmiany_widocznosci GROUP BY 1) c USING (id_quizu)) q
+ON q.id_grupy = g.id_grupy AND NOT q.ukryty GROUP BY 1""",
     "check_not_null_tables": """
 SELECT 'uzytkownik' AS tabela, 'nie_null' AS regula, 'nazwa_uz' AS klucz, count(*) AS wiersze FROM uzytkownik WHERE ranga = 'teacher'
 UNION ALL SELECT 'quiz', 'nie_null', 'data_utworzenia', count(*) FROM quiz WHERE ukryty""",
@@ -710,6 +744,14 @@ WHERE {kept.get(child, "true")} AND {key} NOT IN (SELECT {pkey} FROM {parent} WH
 
 SQL["orphans"] = _orphans()
 SQL["submit_ranking"] = SQL["live_ranking"]
+for _plain, _other in {
+    "is_enrolled": "enrolled_by_bitmaps",
+    "not_enrolled": "not_enrolled_by_bitmaps",
+    "has_privileges_edit": "privileges_by_bitmaps",
+    "lookup_by_key": "lookup_indexed",
+    "template_lookup": "template_lookup_indexed",
+}.items():
+    SQL[_other] = SQL[_plain]
 SQL["live_members"] = SQL["gate_submissions_members"]
 
 

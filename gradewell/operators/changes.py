@@ -325,9 +325,7 @@ def apply_option_changes(
     """
     by = ["id_pyt", "tresc_odp"]
     fields = ["poziom_poprawnosci", "komentarz"]
-    keys = changes.select(*by).distinct()
-    touched = templates.join(keys, by, "left_semi")
-    held = touched.groupBy(*by).agg(F.count("*").alias("_bylo"))
+    held = templates.join(changes.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count("*").alias("_bylo"))
     found = with_multi_flag(changes, questions, types).join(own_shuffle(held, "id_pyt"), by, "left")
     rules = template_rules()
     new_broken = F.array_join(problems(rules), ",")
@@ -364,17 +362,18 @@ def apply_option_changes(
         "id_odp_w",
     )
     columns = ["id_odp_w", "id_pyt", "tresc_odp", *fields, "ost_modyfikacja"]
+    taken = judged.groupBy(*by).agg(F.max("_usuniete").alias("_glowa"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy("id_odp_w")).cast("long")
-    queue = touched.select(*columns, place.alias("_miejsce")).unionByName(created.select(*columns, "_miejsce"))
+    touched = templates.join(own_shuffle(taken, "id_pyt"), by).select(*columns, "_glowa", place.alias("_miejsce"))
+    created = created.join(own_shuffle(taken, "id_pyt"), by).select(*columns, "_glowa", "_miejsce")
     edits = _accepted(judged).filter("op = 'update'").withColumn("_miejsce", F.col("_usuniete") + 1)
     edits = edits.groupBy(*by, "_miejsce").agg(
         F.max_by("kiedy", "nr").alias("_new_ost_modyfikacja"),
         *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("nr"))).alias(f"_new_{f}") for f in fields],
     )
-    taken = judged.groupBy(*by).agg(F.max("_usuniete").alias("_glowa"))
-    alive = queue.join(own_shuffle(taken, "id_pyt"), by).filter("_miejsce > _glowa").join(own_shuffle(edits, "id_pyt"), [*by, "_miejsce"], "left")
+    alive = touched.unionByName(created).filter("_miejsce > _glowa").join(own_shuffle(edits, "id_pyt"), [*by, "_miejsce"], "left")
     alive = alive.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in (*fields, "ost_modyfikacja") else F.col(c) for c in columns])
-    others = templates.join(keys, by, "left_anti").select(*columns)
+    others = templates.join(taken, by, "left_anti").select(*columns)
     return others.unionByName(alive), _rejected(judged, "op", "id_pyt", "tresc_odp")
 
 

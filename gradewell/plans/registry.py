@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from gradewell.functions import scalar as S
 from gradewell.operators import access as AC
+from gradewell.operators import bitmaps as BM
 from gradewell.operators import cascade as CC
 from gradewell.operators import catalog as CA
 from gradewell.operators import changes as CH
 from gradewell.operators import counts as CO
 from gradewell.operators import generate as GE
 from gradewell.operators import hierarchy as HI
+from gradewell.operators import incremental as IN
+from gradewell.operators import publish as PU
 from gradewell.operators import quality as QU
 from gradewell.operators import ranking as RA
 from gradewell.operators import relations as RE
@@ -21,8 +24,10 @@ from gradewell.operators import sampling as SA
 from gradewell.operators import scoring as SC
 from gradewell.schema import NO_ANSWER
 from gradewell.plans.flows import submit
+from gradewell.sources import indexed as IX
 from gradewell.sources import line_blocks as LB
-from gradewell.sources.shared import shared_folder
+from gradewell.sources import tables as TA
+from gradewell.sources.shared import shared_folder, stored
 from gradewell.sources.testrequests import Requests
 from gradewell.streaming.live_ranking import QuizTables, current_members, replay
 
@@ -415,6 +420,36 @@ ORPHAN_TABLES = [
 ]
 
 
+# Bitmaps and indexed files ------------------------------------------------------
+@query
+def enrolled_by_bitmaps(d):
+    return BM.is_enrolled(d.wizyty, BM.right_bitmaps(d.dostep_grupa))
+
+
+@query
+def not_enrolled_by_bitmaps(d):
+    return BM.not_enrolled(d.wizyty, BM.right_bitmaps(d.dostep_grupa))
+
+
+@query
+def privileges_by_bitmaps(d):
+    return BM.has_privileges(d.pary.distinct(), "editing_and_deleting_quizzes", **_who(d))
+
+
+@query
+def lookup_indexed(d):
+    path = shared_folder(d.spark, "indexed")
+    IX.write_indexed(d.quiz, path, "id_quizu")
+    return IX.lookup_indexed(d.spark, d.klucze, path, "id_quizu")[0].select("id_quizu", "nazwa", "id_grupy")
+
+
+@query
+def template_lookup_indexed(d):
+    path = shared_folder(d.spark, "indexed")
+    IX.write_indexed(d.odpowiedz_wzorcowa, path, "id_pyt")
+    return IX.template_lookup_indexed(d.spark, d.szukane, path)
+
+
 # Counts -------------------------------------------------------------------------
 @query
 def member_counts(d):
@@ -898,6 +933,96 @@ def check_not_null_tables(d):
     return QU.check_not_null(tables)
 
 
+@query
+def publish_tables(d):
+    """Rules that rows of the written tables break, as counted while they were written."""
+    tables = d.tables("uzytkownik", "grupa_quizowa", "kategoria", "typ", "pytanie", "quiz", "odpowiedz_wzorcowa")
+    broken = {("uzytkownik", rule): 1 << 60 for rule in PU.table_rules("uzytkownik", d.uzytkownik.columns)}
+    return PU.write_checked(tables, shared_folder(d.spark, "published"), 1, broken)
+
+
+@query
+def published_questions(d):
+    path = shared_folder(d.spark, "published")
+    PU.write_checked(d.tables("pytanie", "typ"), path, 1)
+    PU.write_checked({"pytanie": d.pytanie.filter("NOT ukryty"), "typ": d.typ}, path, 2)
+    return PU.read_published(d.spark, path)["pytanie"]
+
+
+# Stored tables ------------------------------------------------------------------
+@query
+def stored_quizzes(d):
+    path = shared_folder(d.spark, "tables")
+    TA.write_tables(d.tables("quiz", "typ"), path)
+    return TA.load_tables(d.spark, path, ["quiz", "typ"])["quiz"]
+
+
+@query
+def stored_answers(d):
+    path = shared_folder(d.spark, "tables")
+    TA.write_tables(d.tables("odpowiedz_uzytkownika"), path)
+    return TA.load_table(d.spark, path, "odpowiedz_uzytkownika").drop("dzien")
+
+
+@query
+def stored_submissions(d):
+    path = shared_folder(d.spark, "submissions")
+    d.submissions.write.parquet(path)
+    return TA.read_submissions(d.spark, path).select(
+        "id_uz", "id_grupy", "id_quizu", "data_wyslania", "id_pyt", F.array_join(F.array_sort("chosen"), ",").alias("wybrane"), "open_text"
+    )
+
+
+@query
+def file_lines(d):
+    """The lines of text files, a file for each hundred documents, numbered."""
+    path = shared_folder(d.spark, "texts")
+    texts = d.raw("documents").filter("text IS NOT NULL").select(F.floor(F.col("doc_id") / 100).alias("plik"), "doc_id", "text")
+    texts.repartition("plik").sortWithinPartitions("plik", "doc_id").select("plik", "text").write.partitionBy("plik").text(path)
+    lines = LB.file_lines(d.spark, path)
+    file = F.regexp_extract("zrodlo", r"plik=(-?\d+)/", 1).cast("long").alias("plik")
+    return lines.select(file, "nr_linii", F.md5("linia").alias("linia"))
+
+
+# Kept by changes ----------------------------------------------------------------
+def _attempt_batches(d):
+    """Attempts that come first, and a second batch in which others come and some of the first go."""
+    attempts = SC.attempt_history(_scores(d)).select(*IN.ATTEMPT)
+    first = F.col("id_uz") % 3 != 0
+    old = attempts.filter(first).withColumn("zmiana", F.lit(1))
+    gone = attempts.filter(first & (F.col("id_quizu") % 5 == 0)).withColumn("zmiana", F.lit(-1))
+    return old, attempts.filter(~first).withColumn("zmiana", F.lit(1)).unionByName(gone)
+
+
+@query
+def kept_ranking(d):
+    path = shared_folder(d.spark, "attempts")
+    best = d.spark.createDataFrame([], "id_uz long, id_quizu long, best double")
+    ranking = d.spark.createDataFrame([], "id_uz long, id_grupy long, pkt double, quizy long")
+    for number, batch in enumerate(_attempt_batches(d)):
+        batch = stored(batch, "attempt-changes")
+        IN.write_attempts(batch, path, number)
+        best, moved = IN.changed_best(best, batch, path)
+        best, ranking = stored(best, "best"), stored(IN.changed_ranking(ranking, moved, d.quiz), "ranking")
+    return ranking
+
+
+@query
+def kept_member_counts(d):
+    share = F.col("id_uz") % 4
+    before = CO.member_counts(d.grupa_quizowa, d.dostep_grupa.filter(share != 0), d.uzytkownik)
+    changes = d.dostep_grupa.filter(share < 2).select("id_grupy", "id_uz", F.when(share == 0, 1).otherwise(-1).alias("zmiana"))
+    return IN.changed_member_counts(before, changes, d.uzytkownik)
+
+
+@query
+def kept_quiz_counts(d):
+    """Counts after the batch of visibility changes."""
+    after = CH.set_quiz_visibility(d.zmiany_widocznosci, d.quiz)[0].join(d.zmiany_widocznosci.select("id_quizu"), "id_quizu", "left_semi")
+    before = d.quiz.join(d.zmiany_widocznosci.select("id_quizu"), "id_quizu", "left_semi")
+    return IN.changed_quiz_counts(CO.active_quiz_counts(d.grupa_quizowa, d.quiz), before, after)
+
+
 # Categories and discussions -----------------------------------------------------
 @query
 def category_closure(d):

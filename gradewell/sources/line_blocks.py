@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.scalar import block_of, slot_of, strip
+from gradewell.sources.shared import stored
 
 BLOCK = ["zrodlo", "blok"]
 
@@ -45,15 +46,20 @@ def text_lines(texts: DataFrame, source: str, text: str) -> DataFrame:
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of text files, large files being read in splits.
 
-    Lines are numbered inside their split, and each split's count gives the
-    offset of the next one. A line belongs to one split only, and splits depend
-    on nothing but the files and the settings.
+    The files are read once: each line is stored with its split, the byte that it begins at, and
+    its place in the split; what the splits hold, summed up in the order of the bytes, gives each
+    its offset. A line that reaches over several splits belongs to the one it begins in. Lines end
+    with a line feed, with or without a carriage return. Offsets come from the stored lines, so
+    they stay right whatever splits another reading would make.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("zrodlo"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-        F.col("value").alias("linia"),
+    raw = stored(
+        spark.read.option("lineSep", "\n").text(path).select(
+            F.col("_metadata.file_path").alias("zrodlo"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"),
+            F.regexp_replace("value", "\r$", "").alias("linia"),
+        ),
+        "lines",
     )
     before = Window.partitionBy("zrodlo").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
