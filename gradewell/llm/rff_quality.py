@@ -192,7 +192,8 @@ def good_rows(
     """
     chosen = _chosen(labels, id_col, label_col, None, max_labelled)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = document_statistics(own.join(chosen.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    # about max_labelled ids at most, so texts are not shuffled to meet them
+    known = document_statistics(own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), "doc_id", "text")
     model = fit(store(store(known, "statistics").join(chosen, "doc_id"), "labelled"))
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
