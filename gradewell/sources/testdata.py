@@ -81,13 +81,19 @@ class Domain:
 
     @cached_property
     def pytanie(self) -> DataFrame:
+        # Spark gives exploded rows the size of what they come from, and so would broadcast the questions of
+        # many quizzes; the size of a join grows with both sides, so the questions meet their types in one
+        kinds = self.spark.range(1, 8).selectExpr(
+            "CAST(id AS INT) AS k",
+            "CAST(CASE WHEN id = 2 THEN 1 WHEN id <= 3 THEN 2 WHEN id <= 5 THEN 7 ELSE 11 END AS BIGINT) AS id_typu",
+        )
         numbered = self.quiz.select(
             "id_quizu", F.col("nazwa").alias("_nazwa"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")
         ).withColumn("id_pyt", F.col("id_quizu") * 10 + F.col("k"))
-        return numbered.selectExpr(
+        return numbered.join(F.broadcast(kinds), "k").selectExpr(
             "id_pyt",
             "_nazwa || ' ' || k AS tresc",
-            """CAST(CASE WHEN k = 2 THEN 1 WHEN k <= 3 THEN 2 WHEN k <= 5 THEN 7 ELSE 11 END AS BIGINT) AS id_typu""",
+            "id_typu",
             "id_quizu % 150 AS id_autora",
             "1 + (k % 3) * 0.5D AS pkt",
             "id_quizu",
