@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tab
 BROADCAST_QUESTIONS = [
     "attempt_limit_status",
     "check_containment",
+    "recompute_ranking_last",
 ]
 
 
