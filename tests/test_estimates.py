@@ -18,6 +18,7 @@ BROADCAST_QUESTIONS = [
     "apply_option_changes",
     "attempt_limit_status",
     "check_containment",
+    "check_not_null",
     "recompute_ranking_last",
 ]
 
