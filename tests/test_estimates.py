@@ -19,6 +19,7 @@ BROADCAST_QUESTIONS = [
     "attempt_limit_status",
     "check_containment",
     "check_not_null",
+    "check_unique",
     "recompute_ranking_last",
 ]
 
