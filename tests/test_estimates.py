@@ -20,6 +20,7 @@ BROADCAST_QUESTIONS = [
     "check_containment",
     "check_not_null",
     "check_unique",
+    "delete_categories_odpowiedz_uzytkownika",
     "recompute_ranking_last",
 ]
 
