@@ -21,6 +21,7 @@ BROADCAST_QUESTIONS = [
     "check_not_null",
     "check_unique",
     "delete_categories_odpowiedz_uzytkownika",
+    "delete_groups_ranking",
     "recompute_ranking_last",
 ]
 
