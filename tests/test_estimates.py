@@ -22,6 +22,7 @@ BROADCAST_QUESTIONS = [
     "check_unique",
     "delete_categories_odpowiedz_uzytkownika",
     "delete_groups_ranking",
+    "delete_quiz_answers",
     "recompute_ranking_last",
 ]
 
