@@ -23,6 +23,7 @@ BROADCAST_QUESTIONS = [
     "delete_categories_odpowiedz_uzytkownika",
     "delete_groups_ranking",
     "delete_quiz_answers",
+    "delete_quizzes_odpowiedz_uzytkownika",
     "recompute_ranking_last",
 ]
 
