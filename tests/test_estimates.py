@@ -24,6 +24,7 @@ BROADCAST_QUESTIONS = [
     "delete_groups_ranking",
     "delete_quiz_answers",
     "delete_quizzes_odpowiedz_uzytkownika",
+    "delete_users_odpowiedz_uzytkownika",
     "recompute_ranking_last",
 ]
 
