@@ -25,6 +25,7 @@ BROADCAST_QUESTIONS = [
     "delete_quiz_answers",
     "delete_quizzes_odpowiedz_uzytkownika",
     "delete_users_odpowiedz_uzytkownika",
+    "delete_users_ranking",
     "recompute_ranking_last",
 ]
 
