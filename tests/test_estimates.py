@@ -26,6 +26,7 @@ BROADCAST_QUESTIONS = [
     "delete_quizzes_odpowiedz_uzytkownika",
     "delete_users_odpowiedz_uzytkownika",
     "delete_users_ranking",
+    "expand_submissions",
     "recompute_ranking_last",
 ]
 
