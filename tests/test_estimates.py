@@ -27,6 +27,7 @@ BROADCAST_QUESTIONS = [
     "delete_users_odpowiedz_uzytkownika",
     "delete_users_ranking",
     "expand_submissions",
+    "expand_submissions_rejects",
     "recompute_ranking_last",
 ]
 
