@@ -28,6 +28,7 @@ BROADCAST_QUESTIONS = [
     "delete_users_ranking",
     "expand_submissions",
     "expand_submissions_rejects",
+    "kept_ranking",
     "recompute_ranking_last",
 ]
 
