@@ -29,6 +29,7 @@ BROADCAST_QUESTIONS = [
     "expand_submissions",
     "expand_submissions_rejects",
     "kept_ranking",
+    "leaderboard",
     "recompute_ranking_last",
 ]
 
