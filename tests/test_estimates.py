@@ -30,6 +30,7 @@ BROADCAST_QUESTIONS = [
     "expand_submissions_rejects",
     "kept_ranking",
     "leaderboard",
+    "leaderboard_raw",
     "recompute_ranking_last",
 ]
 
