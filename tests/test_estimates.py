@@ -31,6 +31,7 @@ BROADCAST_QUESTIONS = [
     "kept_ranking",
     "leaderboard",
     "leaderboard_raw",
+    "transfer_to_group_ranking",
     "recompute_ranking_last",
 ]
 
