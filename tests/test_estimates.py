@@ -32,6 +32,7 @@ BROADCAST_QUESTIONS = [
     "leaderboard",
     "leaderboard_raw",
     "transfer_to_group_ranking",
+    "update_questions",
     "recompute_ranking_last",
 ]
 
