@@ -33,6 +33,7 @@ BROADCAST_QUESTIONS = [
     "leaderboard_raw",
     "transfer_to_group_ranking",
     "update_questions",
+    "update_questions_rejects",
     "recompute_ranking_last",
 ]
 
