@@ -34,6 +34,7 @@ BROADCAST_QUESTIONS = [
     "transfer_to_group_ranking",
     "update_questions",
     "update_questions_rejects",
+    "ranking_with_user",
     "recompute_ranking_last",
 ]
 
