@@ -35,6 +35,7 @@ BROADCAST_QUESTIONS = [
     "update_questions",
     "update_questions_rejects",
     "ranking_with_user",
+    "recompute_group_ranking",
     "recompute_ranking_last",
 ]
 
