@@ -37,6 +37,7 @@ BROADCAST_QUESTIONS = [
     "ranking_with_user",
     "recompute_group_ranking",
     "recompute_ranking_last",
+    "recompute_ranking_sum",
 ]
 
 
