@@ -7,6 +7,7 @@ import pytest
 
 from gradewell.operators import changes, numbering
 from gradewell.plans import registry
+from gradewell.sources import shared
 from gradewell.sources.testrequests import Requests
 from tests.conftest import SF_SMALL
 
@@ -79,3 +80,40 @@ def test_estimates_are_near_the_size(spark, table, columns):
     df = getattr(Requests(spark, SF_SMALL), table).select(*columns)
     size = 24 * df.count()  # two columns of 8 bytes, and the head of the row
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > size / 4
+
+
+@pytest.mark.parametrize(
+    "table, columns",
+    [
+        ("quiz", ["id_quizu", "id_grupy"]),
+        ("uzytkownik", ["id_uz", "nazwa_uz"]),
+        ("attempts", ["id_uz", "id_quizu", "data_wyslania"]),
+        ("zmiany_pytan", ["nr", "id_pyt"]),
+    ],
+)
+@pytest.mark.parametrize("grouped", [False, True])
+def test_estimates_of_scans_are_near_the_size(spark, table, columns, grouped):
+    df = getattr(Requests(spark, SF_SMALL), table).select(*columns)
+    size = 24 * df.count()
+    if grouped:  # the optimizer takes some joins away below a grouping
+        df = df.distinct()
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > size / 2
+
+
+def test_estimates_of_stored_rows_are_near_the_size(spark):
+    df = shared.stored(spark.range(0, 100_000, 1, 4).selectExpr("id", "id % 10 AS a", "cast(null AS string) AS b"), "estimate")
+    assert sorted(df.dtypes) == [("a", "bigint"), ("b", "string"), ("id", "bigint")] and df.count() == 100_000
+    firsts = df.select("b", "a", "id")
+    assert shared.sized(firsts).count() == 100_000  # null in the first column
+    assert firsts.groupBy("id").agg({"a": "max"})._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 24 * 100_000 / 2
+
+
+@pytest.mark.parametrize("name", [n for n in BROADCAST_QUESTIONS if n != "kept_ranking"])
+def test_scans_of_growing_tables_are_not_broadcast(spark, small_limit, monkeypatch, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # the files of the smallest parts have 7 KB
+    for module in (changes, numbering, registry):
+        monkeypatch.setattr(module, "stored", lambda df, purpose: df)
+    plan = registry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    large = re.compile(r"\[(p_partkey|c_custkey|o_orderkey|o_custkey|l_orderkey|event_id)")
+    # what sweeps have summed up is a row a part
+    assert not [part for part in broadcast_parts(plan) if large.search(part) and not re.search("SortMergeJoin|Window", part)]
