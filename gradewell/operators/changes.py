@@ -35,7 +35,7 @@ from gradewell.schema import (
     PUBLIC_GROUP,
     RANKS,
 )
-from gradewell.sources.shared import stored
+from gradewell.sources.shared import sized, stored
 
 
 # Shared steps ---------------------------------------------------------------
@@ -352,7 +352,7 @@ def apply_option_changes(
         (F.col("_odjete") + dno).alias("_usuniete"),
         (F.col("_bylo") + F.col("_dodane")).alias("_miejsce"),
     )
-    judged = stored(judged, "option-changes")
+    judged = sized(stored(judged, "option-changes"))
 
     created = with_new_ids(
         _accepted(judged)
@@ -594,7 +594,7 @@ def create_users(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, Data
     """
     rules = F.array_join(problems(user_rules()), ",")
     checked = requests.select("nr", *PROFILE_FIELDS, F.when(rules != "", rules).alias("powod"))
-    judged = stored(_with_lost_values(stored(checked, "new-users"), users), "new-users")
+    judged = sized(stored(_with_lost_values(sized(stored(checked, "new-users")), users), "new-users"))
     fresh = with_new_ids(_accepted(judged), users, "id_uz").select(*["id_uz", *PROFILE_FIELDS, F.lit(RANKS[0]).alias("ranga")])
     columns = ["id_uz", "login", "nazwa_uz", "email", "ranga"]
     return users.select(columns).unionByName(fresh.select(columns)), _rejected(judged, "login")
@@ -612,7 +612,7 @@ def update_profiles(changes: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
     own = overlaid(changes, users, "id_uz", PROFILE_FIELDS)
     rules = F.array_join(problems(user_rules()), ",")
     checked = own.select("nr", F.when(rules != "", rules).alias("powod"))
-    checked = stored(changes.select("nr", "id_uz", *PROFILE_FIELDS).join(checked, "nr"), "profile-changes")
+    checked = sized(stored(changes.select("nr", "id_uz", *PROFILE_FIELDS).join(checked, "nr"), "profile-changes"))
 
     judged = _with_lost_values(checked, users, key="id_uz")
     news = last_given(_accepted(judged), "id_uz", PROFILE_FIELDS)

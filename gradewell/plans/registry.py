@@ -27,7 +27,7 @@ from gradewell.plans.flows import submit
 from gradewell.sources import indexed as IX
 from gradewell.sources import line_blocks as LB
 from gradewell.sources import tables as TA
-from gradewell.sources.shared import shared_folder, stored
+from gradewell.sources.shared import shared_folder, sized, stored
 from gradewell.sources.testrequests import Requests
 from gradewell.streaming.live_ranking import QuizTables, current_members, replay
 
@@ -1000,10 +1000,10 @@ def kept_ranking(d):
     best = d.spark.createDataFrame([], "id_uz long, id_quizu long, best double")
     ranking = d.spark.createDataFrame([], "id_uz long, id_grupy long, pkt double, quizy long")
     for number, batch in enumerate(_attempt_batches(d)):
-        batch = stored(batch, "attempt-changes")
+        batch = sized(stored(batch, "attempt-changes"))
         IN.write_attempts(batch, path, number)
         best, moved = IN.changed_best(best, batch, path)
-        best, ranking = stored(best, "best"), stored(IN.changed_ranking(ranking, moved, d.quiz), "ranking")
+        best, ranking = sized(stored(best, "best")), sized(stored(IN.changed_ranking(ranking, moved, d.quiz), "ranking"))
     return ranking
 
 

@@ -101,7 +101,8 @@ def test_estimates_of_scans_are_near_the_size(spark, table, columns, grouped):
 
 
 def test_estimates_of_stored_rows_are_near_the_size(spark):
-    df = shared.stored(spark.range(0, 100_000, 1, 4).selectExpr("id", "id % 10 AS a", "cast(null AS string) AS b"), "estimate")
+    df = spark.range(0, 100_000, 1, 4).selectExpr("id", "id % 10 AS a", "cast(null AS string) AS b")
+    df = shared.sized(shared.stored(df, "estimate"))
     assert sorted(df.dtypes) == [("a", "bigint"), ("b", "string"), ("id", "bigint")] and df.count() == 100_000
     firsts = df.select("b", "a", "id")
     assert shared.sized(firsts).count() == 100_000  # null in the first column
