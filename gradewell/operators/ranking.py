@@ -59,15 +59,13 @@ def recompute_group_ranking(
 ) -> DataFrame:
     """Recomputes the rows of ``group_ids`` and keeps the others.
 
-    Answers of other groups are dropped before any of them is scored.
+    Answers of other groups meet no question and are not scored. They are not looked for before:
+    that would shuffle all answers once more.
     """
     wanted = group_ids.select("id_grupy")
     their_quizzes = quizzes.join(wanted, "id_grupy", "left_semi")
     their_questions = questions.join(their_quizzes, "id_quizu", "left_semi")
-    their_answers = answers.join(their_questions.select("id_pyt"), "id_pyt", "left_semi")
-    fresh = recompute_ranking(
-        their_answers, their_questions, types, templates, their_quizzes, attempt_rule, include_limbo=True
-    )
+    fresh = recompute_ranking(answers, their_questions, types, templates, their_quizzes, attempt_rule, include_limbo=True)
     kept = ranking.join(wanted, "id_grupy", "left_anti")
     return kept.select("id_uz", "id_grupy", "pkt").unionByName(fresh.select("id_uz", "id_grupy", "pkt"))
 

@@ -10,16 +10,24 @@ from gradewell.schema import COMMENT_PREFIX
 ATTEMPT = ["id_uz", "data_wyslania"]
 
 
-def _text(column: str, normalize: bool) -> Column:
-    return F.lower(F.trim(column)) if normalize else F.col(column)
+def _text(column: Column, normalize: bool) -> Column:
+    return F.lower(F.trim(column)) if normalize else column
 
 
 def answer_key(templates: DataFrame, normalize: bool = False) -> DataFrame:
-    """One row per (question, text), so that joining answers never adds rows."""
-    levels = templates.groupBy("id_pyt", _text("tresc_odp", normalize).alias("_text")).agg(
-        F.max("poziom_poprawnosci").alias("_level")
-    )
-    return own_shuffle(levels, "id_pyt")
+    """One row per question with the level of each text (``_levels``), so that joining answers never
+    adds rows; ``normalize`` adds those of the trimmed lower-case texts (``_loose``)."""
+    # spread by question first, so that both groupings find their rows in place
+    texts = templates.select("id_pyt", "tresc_odp", "poziom_poprawnosci").repartition("id_pyt")
+    named = {"_levels": False, "_loose": True} if normalize else {"_levels": False}
+
+    def levels(loose: bool) -> DataFrame:
+        text = _text(F.col("tresc_odp"), loose).alias("_text")
+        best = texts.groupBy("id_pyt", text).agg(F.max("poziom_poprawnosci").alias("_level")).filter("_text IS NOT NULL")
+        return best.groupBy("id_pyt").agg(F.map_from_entries(F.collect_list(F.struct("_text", "_level"))).alias("_map"))
+
+    found = [levels(loose).withColumnRenamed("_map", name) for name, loose in named.items()]
+    return found[0].join(found[1], "id_pyt", "full") if normalize else found[0]
 
 
 def question_scores(
@@ -35,62 +43,48 @@ def question_scores(
     multi: all of ``pkt`` when every shown option is ticked as its level says;
     open: ``pkt * level / 100`` of the template with the same text.
 
-    Answers are shuffled once by attempt. That layout serves the grouping by
-    question here and the grouping by quiz in ``attempt_history``, and it leaves
-    AQE free to split popular questions in the join before it.
+    Answers are shuffled by attempt, where the rows of a submission lie together and
+    compress well, and become one row per (submission, question). These meet
+    one row per question, with its texts' levels: AQE can split popular questions there.
     ``normalize`` makes open answers match by trimmed lower-case text.
     """
-    levels = _answer_levels(answers, templates, normalize)
-    ticked = F.col("zaznaczona")
-    facts = (
-        levels.repartition(*ATTEMPT)
+    entry = F.struct(F.col("tresc_odp").alias("text"), F.col("zaznaczona").alias("ticked"))
+    given = (
+        answers.select(*ATTEMPT, "id_pyt", "tresc_odp", "zaznaczona")
+        .repartition(*ATTEMPT)
         .groupBy(*ATTEMPT, "id_pyt")
-        .agg(
-            F.count_if(ticked).alias("_ticked"),
-            F.max(F.when(ticked, F.col("_level"))).alias("_ticked_level"),
-            F.bool_and(ticked == (F.col("_level") == 100)).alias("_all_right"),
-            F.max("_open_level").alias("_open_level"),
-        )
+        .agg(F.collect_list(entry).alias("_given"))
     )
-    share = F.col("pkt") * F.col("_level") / 100
     shape = questions.join(types, "id_typu").select(
         "id_pyt",
         "id_quizu",
         "pkt",
         question_kind("liczba_odp", "wielokrotnego_wyboru").alias("rodzaj"),
     )
-    level = (
-        F.when(F.col("rodzaj") == "multi", F.when(F.col("_all_right"), 100).otherwise(0))
-        .when(F.col("rodzaj") == "open", F.col("_open_level"))
-        .otherwise(F.when(F.col("_ticked") == 1, F.col("_ticked_level")).otherwise(0))
-    )
-    return (
-        facts.join(shape, "id_pyt")
-        .withColumn("_level", F.coalesce(level, F.lit(0)))
-        .select(
-            "id_uz",
-            "id_pyt",
-            "id_quizu",
-            "data_wyslania",
-            "rodzaj",
-            points(share).alias("zdobyte_pkt"),
-            F.col("pkt").alias("max_pkt"),
-        )
-    )
+    known = own_shuffle(shape.join(answer_key(templates, normalize), "id_pyt", "left"), "id_pyt")
 
+    def level_of(text: Column, levels: str) -> Column:
+        return F.coalesce(F.col(levels)[text], F.lit(0))
 
-def _answer_levels(answers: DataFrame, templates: DataFrame, normalize: bool) -> DataFrame:
-    """Each answer with the level of its text; a text without template counts as 0."""
-    needed = answers.select(*ATTEMPT, "id_pyt", "zaznaczona", F.col("tresc_odp").alias("_text"))
-    exact = needed.join(answer_key(templates), ["id_pyt", "_text"], "left")
-    exact = exact.withColumn("_level", F.coalesce("_level", F.lit(0)))
-    if not normalize:
-        return exact.withColumn("_open_level", F.col("_level"))
-    loose = answer_key(templates, True).withColumnsRenamed({"_text": "_loose", "_level": "_open_level"})
-    return (
-        exact.withColumn("_loose", _text("_text", True))
-        .join(loose, ["id_pyt", "_loose"], "left")
-        .withColumn("_open_level", F.coalesce("_open_level", F.lit(0)))
+    exact = lambda e: level_of(e["text"], "_levels")
+    loose = (lambda e: level_of(_text(e["text"], True), "_loose")) if normalize else exact
+    ticked = F.filter("_given", lambda e: e["ticked"])
+    judged = F.filter("_given", lambda e: e["ticked"].isNotNull())
+    all_right = (F.size(judged) > 0) & F.forall(judged, lambda e: e["ticked"] == (exact(e) == 100))
+    level = (
+        F.when(F.col("rodzaj") == "multi", F.when(all_right, 100).otherwise(0))
+        .when(F.col("rodzaj") == "open", F.array_max(F.transform("_given", loose)))
+        .otherwise(F.when(F.size(ticked) == 1, F.array_max(F.transform(ticked, exact))).otherwise(0))
+    )
+    share = F.col("pkt") * F.coalesce(level, F.lit(0)) / 100
+    return given.join(known, "id_pyt").select(
+        "id_uz",
+        "id_pyt",
+        "id_quizu",
+        "data_wyslania",
+        "rodzaj",
+        points(share).alias("zdobyte_pkt"),
+        F.col("pkt").alias("max_pkt"),
     )
 
 

@@ -2,15 +2,20 @@
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.operators.ranking import recompute_ranking
+from gradewell.operators.skew import own_shuffle
 from gradewell.schema import question_types
 from gradewell.sources.shared import sized
 
 #: Tables that grow.
 LARGE = ["customer", "supplier", "part", "orders", "lineitem", "events"]
+#: Texts of the options of each question, in order.
+LETTERS = ["A", "N", "R"]
+#: Which questions (id_pyt) are hidden.
+HIDDEN = "id_pyt % 11 = 0"
 
 
 class Domain:
@@ -91,16 +96,8 @@ class Domain:
     def pytanie(self) -> DataFrame:
         # Spark gives exploded rows the size of what they come from, and so would broadcast the questions of
         # many quizzes; the size of a join grows with both sides, so the questions meet their types in one
-        kinds = self.spark.range(1, 8).selectExpr(
-            "CAST(id AS INT) AS k",
-            "CAST(CASE WHEN id = 2 THEN 1 WHEN id <= 3 THEN 2 WHEN id <= 5 THEN 7 ELSE 11 END AS BIGINT) AS id_typu",
-        )
-        numbered = self._scan("part").select(
-            F.col("p_partkey").alias("id_quizu"),
-            F.col("p_name").alias("_nazwa"),
-            F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"),
-        ).withColumn("id_pyt", F.col("id_quizu") * 10 + F.col("k"))
-        return numbered.join(F.broadcast(kinds), "k").selectExpr(
+        quizzes = self._scan("part").select(F.col("p_partkey").alias("id_quizu"), F.col("p_name").alias("_nazwa"))
+        return self._asked(quizzes).selectExpr(
             "id_pyt",
             "_nazwa || ' ' || k AS tresc",
             "id_typu",
@@ -108,17 +105,28 @@ class Domain:
             "1 + (k % 3) * 0.5D AS pkt",
             "id_quizu",
             "10 + id_pyt % 25 AS id_kategorii",
-            "id_pyt % 11 = 0 AS ukryty",
+            f"{HIDDEN} AS ukryty",
+        )
+
+    def _asked(self, quizzes: DataFrame) -> DataFrame:
+        """A row for each question of the rows' quizzes (id_quizu), with k, id_pyt and id_typu."""
+        kinds = self.spark.range(1, 8).selectExpr(
+            "CAST(id AS INT) AS k",
+            "CAST(CASE WHEN id = 2 THEN 1 WHEN id <= 3 THEN 2 WHEN id <= 5 THEN 7 ELSE 11 END AS BIGINT) AS id_typu",
         )
+        numbered = quizzes.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7))))
+        return numbered.withColumn("id_pyt", F.col("id_quizu") * 10 + F.col("k")).join(F.broadcast(kinds), "k")
+
+    def _offered(self, asked: DataFrame, texts: Column | None = None) -> DataFrame:
+        """A row for each option (i, tresc_odp) of the questions (k, id_pyt, id_quizu), but for doubled ones.
+        ``texts``: the options' texts, A, N and R if not given."""
+        texts = F.array(*map(F.lit, LETTERS)) if texts is None else texts
+        options = asked.select("*", F.posexplode(texts).alias("_pos", "tresc_odp"))
+        return options.withColumn("i", F.col("_pos") % len(LETTERS)).filter("NOT (k = 3 AND id_quizu % 13 = 5 AND i = 2)")
 
     @cached_property
     def odpowiedz_wzorcowa(self) -> DataFrame:
-        options = self.pytanie.select(
-            "id_pyt",
-            "id_quizu",
-            (F.col("id_pyt") % 10).alias("k"),
-            F.posexplode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("i", "tresc_odp"),
-        ).filter("NOT (k = 3 AND id_quizu % 13 = 5 AND i = 2)")
+        options = self._offered(self.pytanie.select("id_pyt", "id_quizu", (F.col("id_pyt") % 10).alias("k")))
         regular = options.selectExpr(
             "id_pyt * 10 + i AS id_odp_w",
             "id_pyt",
@@ -170,43 +178,37 @@ class Domain:
 
     @cached_property
     def odpowiedz_uzytkownika(self) -> DataFrame:
-        shown = self.attempts.join(
-            self.pytanie.filter("NOT ukryty").select("id_quizu", "id_pyt", "id_typu"), "id_quizu"
-        ).withColumn("k", (F.col("id_pyt") % 10).cast("int"))
-        lines = self.raw("lineitem").select(
-            F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("k"), "l_returnflag"
-        )
-        flags = lines.groupBy("o_orderkey", "k").agg(
-            F.collect_set("l_returnflag").alias("_flags"), F.min("l_returnflag").alias("_first")
-        )
-        shown = shown.join(flags, ["o_orderkey", "k"], "left")
-        closed = shown.filter("id_typu <> 11").join(
-            self.odpowiedz_wzorcowa.select("id_pyt", "id_odp_w", "tresc_odp"), "id_pyt"
-        )
-        return closed.selectExpr(
-            "o_orderkey * 100 + id_odp_w % 100 AS id_odp_u",
+        # an attempt stays one short row through all shuffles; its questions and options are made of it afterwards
+        times = self.raw("part").groupBy(F.col("p_partkey").alias("id_quizu")).agg(F.count("*").cast("int").alias("_times"))
+        marks = self._lines.groupBy("o_orderkey").agg(F.collect_set(F.struct("l_linenumber", "l_returnflag")).alias("_marks"))
+        attempts = self.attempts.join(own_shuffle(times, "id_quizu"), "id_quizu").join(marks, "o_orderkey", "left")
+        attempts = attempts.withColumn("_nr", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        flags = F.expr("transform(filter(_marks, m -> m.l_linenumber = k AND m.l_returnflag IS NOT NULL), m -> m.l_returnflag)")
+        shown = self._asked(attempts).filter(f"NOT ({HIDDEN})").withColumn("_flags", flags)
+        # were a quiz in the table twice, each of its questions would be so too, and meet the options of both
+        letters = F.array(*map(F.lit, LETTERS))
+        letters = F.when(F.col("_times") == 1, letters).otherwise(F.flatten(F.array_repeat(letters, F.col("_times"))))
+        is_open = F.col("id_typu") == 11
+        texts = F.when(is_open, F.array(F.coalesce(F.array_min("_flags"), F.lit("nil")))).otherwise(letters)
+        return self._offered(shown, texts).selectExpr(
+            "o_orderkey * 100 + (id_pyt * 10 + i) % 100 AS id_odp_u",
             "id_uz",
             "tresc_odp",
             "id_pyt",
             "data_wyslania",
-            "coalesce(array_contains(_flags, tresc_odp), false) AS zaznaczona",
-        ).union(
-            shown.filter("id_typu = 11").selectExpr(
-                "o_orderkey * 100 + k * 10",
-                "id_uz",
-                "coalesce(_first, 'nil')",
-                "id_pyt",
-                "data_wyslania",
-                "true",
-            )
+            "id_typu = 11 OR coalesce(array_contains(_flags, tresc_odp), false) AS zaznaczona",
         )
 
+    @property
+    def _lines(self) -> DataFrame:
+        """Lines of orders, those of an order in one place."""
+        lines = self.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
+        return lines.repartition("o_orderkey")
+
     @cached_property
     def submissions(self) -> DataFrame:
-        entered = (
-            self.raw("lineitem")
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-            .agg(F.collect_set("l_returnflag").alias("chosen"), F.min("l_returnflag").alias("open_text"))
+        entered = self._lines.groupBy("o_orderkey", "l_linenumber").agg(
+            F.collect_set("l_returnflag").alias("chosen"), F.min("l_returnflag").alias("open_text")
         )
         return self.attempts.join(entered, "o_orderkey", "left").selectExpr(
             "id_uz",
