@@ -53,7 +53,7 @@ def question_scores(
         answers.select(*ATTEMPT, "id_pyt", "tresc_odp", "zaznaczona")
         .repartition(*ATTEMPT)
         .groupBy(*ATTEMPT, "id_pyt")
-        .agg(F.collect_list(entry).alias("_given"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_given"))  # in order, as equal lists compress well
     )
     shape = questions.join(types, "id_typu").select(
         "id_pyt",

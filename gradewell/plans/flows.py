@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.operators.changes import expand_submissions, gate_submissions, shown_options
+from gradewell.operators.changes import expand_submissions, judged_submissions, shown_options, sorted_submissions
 from gradewell.operators.ranking import leaderboard, ranking_from_attempts
 from gradewell.operators.scoring import attempt_history, question_scores
 
@@ -22,8 +22,9 @@ def submit(
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    gates = [tables[name] for name in ("quiz", "grupa_quizowa", "dostep_grupa")]
-    accepted, refused, members = gate_submissions(submissions, *gates)
+    access = tables["dostep_grupa"].select("id_grupy", "id_uz", "prawa_dost")
+    judged = stored("osadzone", judged_submissions(submissions, tables["quiz"], tables["grupa_quizowa"], access))
+    accepted, refused, entered = sorted_submissions(judged)
     accepted = stored("przyjete", accepted)
     answers, _ = expand_submissions(shown_options(submissions, *kinds, seed, accepted))
     answers = stored("odpowiedz_uzytkownika", answers)
@@ -34,7 +35,7 @@ def submit(
         "podejscia": attempts,
         "ranking": ranking,
         "odrzucone": stored("odrzucone", refused),
-        "dostep_grupa": stored("dostep_grupa", members),
+        "dostep_grupa": stored("dostep_grupa", access.unionByName(entered)),
     }
 
 

@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tab
 #: Queries, and the most rows that they may shuffle for each row of the answers.
 MOST = {
     "question_scores": 2.5,
+    "expand_submissions": 1.5,  # the largest step of submit_ranking and of the stream
 }
 
 
