@@ -1049,9 +1049,15 @@ def discussion_feed(d):
 
 
 # Streaming ----------------------------------------------------------------------
+def _live_tables(d: Requests) -> QuizTables:
+    # each batch looks at the memberships, so they are worked out once
+    access = sized(stored(d.dostep_grupa, "access"))
+    return QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, access)
+
+
 @query
 def live_ranking(d):
-    tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
+    tables = _live_tables(d)
     path = shared_folder(d.spark, "live-ranking")
     return replay(d.spark, d.submissions, tables, path, SEED)
 
@@ -1059,10 +1065,10 @@ def live_ranking(d):
 @query
 def live_members(d):
     """Memberships that the stream has made, with those it began with."""
-    tables = QuizTables(d.pytanie, d.typ, d.odpowiedz_wzorcowa, d.quiz, d.grupa_quizowa, d.dostep_grupa)
+    tables = _live_tables(d)
     path = shared_folder(d.spark, "live-members")
     replay(d.spark, d.submissions, tables, path, SEED)
-    return current_members(d.spark, path, d.dostep_grupa)
+    return current_members(d.spark, path, tables.access)
 
 
 @query

@@ -1,12 +1,12 @@
 """Rankings kept up to date by a stream of submissions.
 
 Two streaming queries share one path. The first, the intake, judges and scores each micro-batch of
-forms and appends to tables that have a folder per batch: ``refused`` (forms that do not pass the
-gates), ``members`` (memberships that entering a group has made), ``answers`` and ``attempts`` (one
+forms and appends to tables that have a folder per batch: ``judged`` (all forms, with what the gates
+say), ``refused`` (those that do not pass), ``members`` (memberships that entering a group has made), ``answers`` and ``attempts`` (one
 short row per attempt). The second reads the attempts as they come and keeps, as state of
-each (user, group) pair, the best attempt per quiz and their sum; pairs whose sum has changed are
-appended to ``ranking``. Nobody reads old answers or attempts again: what a batch costs depends on
-the batch, and the state holds a number per (user, quiz).
+each (user, group) pair, the different results of each quiz; the pairs of a batch are appended
+to ``ranking`` with the sum of the best. It is an aggregation of Spark's own, without Python in the
+tasks. Nobody reads old answers or attempts again: what a batch costs depends on the batch.
 
 Nothing is counted twice. A batch that runs again writes its own folders again, and a best attempt
 stays what it is when it is seen once more, so attempts may even be delivered twice. The present
@@ -16,16 +16,14 @@ base, so readers see a base and the few batches after it.
 A submitted form must arrive whole, i.e. its rows in one file of the stream.
 """
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
 
 from gradewell.functions.scalar import POINT_DIGITS
-from gradewell.operators.changes import expand_submissions, gate_submissions, shown_options
+from gradewell.operators.changes import expand_submissions, judged_submissions, shown_options, sorted_submissions
 from gradewell.operators.scoring import attempt_history, question_scores
 from gradewell.schema import LIMBO_GROUP
 
@@ -88,9 +86,10 @@ def take_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: s
     """One micro-batch: forms judged by the memberships of this moment, answers, attempts."""
     spark = batch.sparkSession
     access = current_members(spark, path, tables.access, below=nr)
-    accepted, refused, members = gate_submissions(batch, tables.quizzes, tables.groups, access)
+    judged = _store(judged_submissions(batch, tables.quizzes, tables.groups, access), path, "judged", nr)
+    accepted, refused, entered = sorted_submissions(judged)
     _write(refused, f"{path}/refused/batch={nr}")
-    _write(members.join(access, ["id_grupy", "id_uz"], "left_anti").select("id_grupy", "id_uz", "prawa_dost"), f"{path}/members/batch={nr}")
+    _write(entered, f"{path}/members/batch={nr}")
     shown = shown_options(batch, tables.questions, tables.types, tables.templates, seed, accepted)
     answers = _store(expand_submissions(shown)[0], path, "answers", nr)
     scores = question_scores(answers, tables.questions, tables.types, tables.templates)
@@ -98,35 +97,17 @@ def take_batch(batch: DataFrame, nr: int, tables: QuizTables, path: str, seed: s
 
 
 # Attempts to totals -------------------------------------------------------------
-class BestAttempts(StatefulProcessor):
-    """State of a (user, group) pair: the best attempt of each quiz, and their sum. Points are kept
-    as whole numbers of their last digit, so sums are exact in any order."""
+UNIT = 10**POINT_DIGITS
 
-    UNIT = 10**POINT_DIGITS
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        number = StructType([StructField("n", LongType())])
-        self.best = handle.getMapState("best", StructType([StructField("id_quizu", LongType())]), number)
-        self.total = handle.getValueState("total", number)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self.total.get()[0] if self.total.exists() else None
-        total = before or 0
-        for row in rows:
-            quiz, gained = (row["id_quizu"],), round(row["zdobyte_pkt"] * self.UNIT)
-            held = self.best.getValue(quiz)[0] if self.best.containsKey(quiz) else None
-            if held is None or gained > held:
-                self.best.updateValue(quiz, (gained,))
-                total += gained - (held or 0)
-        if total != before:
-            self.total.update((total,))
-            yield Row(id_uz=key[0], id_grupy=key[1], pkt=total / self.UNIT)
-
-    def close(self) -> None:
-        pass
-
-
-_TOTAL = StructType([StructField("id_uz", LongType()), StructField("id_grupy", LongType()), StructField("pkt", DoubleType())])
+def _sum_of_best() -> Column:
+    """Points of a (user, group) pair: the best attempt of each quiz, summed. The state is the set of
+    (quiz, points) that occurred, so a quiz has an entry for each of its different results. Points are
+    whole numbers of their last digit, so sums are exact in any order."""
+    gained = F.round(F.col("zdobyte_pkt") * UNIT).cast("long").alias("n")
+    results = F.array_sort(F.collect_set(F.struct("id_quizu", gained)))
+    best = F.filter(results, lambda x, i: F.coalesce(F.get(results["id_quizu"], i + 1) != x["id_quizu"], F.lit(True)))
+    return F.aggregate(best, F.lit(0).cast("long"), lambda total, x: total + x["n"]) / UNIT
 
 
 def start_totals(spark: SparkSession, quizzes: DataFrame, path: str, files: int | None = None, **trigger) -> StreamingQuery:
@@ -136,11 +117,7 @@ def start_totals(spark: SparkSession, quizzes: DataFrame, path: str, files: int
     source = spark.readStream.schema(f"{ATTEMPT}, batch long").option("ignoreMissingFiles", "true")
     attempts = (source.option("maxFilesPerTrigger", files) if files else source).parquet(f"{path}/attempts")
     groups = quizzes.select("id_quizu", "id_grupy").filter(F.col("id_grupy") != LIMBO_GROUP)
-    totals = (
-        attempts.join(groups, "id_quizu")
-        .groupBy("id_uz", "id_grupy")
-        .transformWithState(BestAttempts(), _TOTAL, outputMode="Update", timeMode="None")
-    )
+    totals = attempts.join(groups, "id_quizu").groupBy("id_uz", "id_grupy").agg(_sum_of_best().alias("pkt"))
     _write(spark.createDataFrame([], TOTAL), f"{path}/ranking_base/upto={NO_BATCH}")
     return (
         totals.writeStream.foreachBatch(lambda changed, nr: _append(changed, nr, path))

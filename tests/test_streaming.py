@@ -86,3 +86,15 @@ def test_thirty_batches_keep_a_bounded_state(two_partitions, tmp_path):
     assert totals(LR.current_ranking(spark, path)) == totals(ranking_from_attempts(stamped, quizzes))
     bases = spark.read.parquet(f"{path}/ranking_base").schema.names
     assert "upto" in bases and (tmp_path / "live" / "ranking_base" / f"upto={LR.FOLD - 1}").exists()
+
+
+def test_totals_need_no_python_in_tasks(two_partitions, tmp_path):
+    spark, path = two_partitions, str(tmp_path / "live")
+    quizzes = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "id_quizu long, id_grupy long")
+    results = [(1, 0, 0.1), (1, 0, 0.3), (1, 0, 0.2), (1, 1, 0.2), (1, 1, 0.2), (1, 2, 5.0), (2, 1, 0.0)]
+    spark.createDataFrame(results, LR.ATTEMPT).write.parquet(f"{path}/attempts/batch=0")
+    query = LR.start_totals(spark, quizzes, path)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "Python" not in plan and "TransformWithState" not in plan
+    assert totals(LR.current_ranking(spark, path)) == [(1, 1, 0.5), (1, 2, 5.0), (2, 1, 0.0)]
