@@ -98,3 +98,14 @@ def test_totals_need_no_python_in_tasks(two_partitions, tmp_path):
     plan = query._jsq.explainInternal(False)
     assert "StateStoreSave" in plan and "Python" not in plan and "TransformWithState" not in plan
     assert totals(LR.current_ranking(spark, path)) == [(1, 1, 0.5), (1, 2, 5.0), (2, 1, 0.0)]
+
+
+def test_a_batch_judges_its_forms_once(spark, domain, tmp_path, monkeypatch):
+    looks, look = [], LR.current_members
+    monkeypatch.setattr(LR, "current_members", lambda *a, **k: looks.append(a) or look(*a, **k))
+    path, tables = str(tmp_path / "live"), quiz_tables(domain)
+    LR._write(spark.createDataFrame([], LR.MEMBER), f"{path}/members/batch={LR.NO_BATCH}")
+    LR.take_batch(domain.submissions, 0, tables, path, "s")
+    judged, refused = (spark.read.parquet(f"{path}/{t}/batch=0") for t in ("judged", "refused"))
+    accepted = CH.gate_submissions(domain.submissions, domain.quiz, domain.grupa_quizowa, domain.dostep_grupa)[0]
+    assert len(looks) == 1 and judged.count() == refused.count() + accepted.count()
