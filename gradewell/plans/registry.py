@@ -987,7 +987,7 @@ def file_lines(d):
 # Kept by changes ----------------------------------------------------------------
 def _attempt_batches(d):
     """Attempts that come first, and a second batch in which others come and some of the first go."""
-    attempts = SC.attempt_history(_scores(d)).select(*IN.ATTEMPT)
+    attempts = sized(stored(SC.attempt_history(_scores(d)).select(*IN.ATTEMPT), "attempts-scored"))  # for both batches
     first = F.col("id_uz") % 3 != 0
     old = attempts.filter(first).withColumn("zmiana", F.lit(1))
     gone = attempts.filter(first & (F.col("id_quizu") % 5 == 0)).withColumn("zmiana", F.lit(-1))
