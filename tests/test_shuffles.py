@@ -16,6 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test tab
 MOST = {
     "question_scores": 2.5,
     "expand_submissions": 1.5,  # the largest step of submit_ranking and of the stream
+    "question_page": 2.5,
 }
 
 
