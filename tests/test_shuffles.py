@@ -17,6 +17,7 @@ MOST = {
     "question_scores": 2.5,
     "expand_submissions": 1.5,  # the largest step of submit_ranking and of the stream
     "question_page": 2.5,
+    "attempt_history": 3,
 }
 
 
