@@ -18,6 +18,7 @@ MOST = {
     "expand_submissions": 1.5,  # the largest step of submit_ranking and of the stream
     "question_page": 2.5,
     "attempt_history": 3,
+    "recompute_ranking": 3,
 }
 
 
