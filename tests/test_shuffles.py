@@ -19,6 +19,7 @@ MOST = {
     "question_page": 2.5,
     "attempt_history": 3,
     "recompute_ranking": 3,
+    "recompute_ranking_last": 3,
 }
 
 
