@@ -20,6 +20,7 @@ MOST = {
     "attempt_history": 3,
     "recompute_ranking": 3,
     "recompute_ranking_last": 3,
+    "recompute_ranking_sum": 3,
 }
 
 
