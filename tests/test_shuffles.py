@@ -21,6 +21,7 @@ MOST = {
     "recompute_ranking": 3,
     "recompute_ranking_last": 3,
     "recompute_ranking_sum": 3,
+    "recompute_group_ranking": 3,
 }
 
 
