@@ -22,6 +22,7 @@ MOST = {
     "recompute_ranking_last": 3,
     "recompute_ranking_sum": 3,
     "recompute_group_ranking": 3,
+    "transfer_to_group_ranking": 3.5,
 }
 
 
