@@ -23,6 +23,7 @@ MOST = {
     "recompute_ranking_sum": 3,
     "recompute_group_ranking": 3,
     "transfer_to_group_ranking": 3.5,
+    "leaderboard": 3,
 }
 
 
