@@ -24,6 +24,7 @@ MOST = {
     "recompute_group_ranking": 3,
     "transfer_to_group_ranking": 3.5,
     "leaderboard": 3,
+    "leaderboard_raw": 3,
 }
 
 
