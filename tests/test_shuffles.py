@@ -25,6 +25,7 @@ MOST = {
     "transfer_to_group_ranking": 3.5,
     "leaderboard": 3,
     "leaderboard_raw": 3,
+    "ranking_with_user": 3,
 }
 
 
