@@ -26,6 +26,7 @@ MOST = {
     "leaderboard": 3,
     "leaderboard_raw": 3,
     "ranking_with_user": 3,
+    "delete_users_ranking": 3,
 }
 
 
