@@ -27,6 +27,7 @@ MOST = {
     "leaderboard_raw": 3,
     "ranking_with_user": 3,
     "delete_users_ranking": 3,
+    "delete_groups_ranking": 3,
 }
 
 
