@@ -28,6 +28,7 @@ MOST = {
     "ranking_with_user": 3,
     "delete_users_ranking": 3,
     "delete_groups_ranking": 3,
+    "answer_ids": 4,
 }
 
 
