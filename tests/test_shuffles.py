@@ -29,6 +29,7 @@ MOST = {
     "delete_users_ranking": 3,
     "delete_groups_ranking": 3,
     "answer_ids": 4,
+    "check_not_null": 3,
 }
 
 
